@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +104,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             labels.join(step.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         )
     raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str, log2_bits: int = 24) -> DataFrame:
+    """`docs` without the rows whose key is in `dropped`; only rows that may be go through the join."""
+    some = bitmap(dropped.select(F.col(key).cast("long").alias("gone")), "gone", log2_bits)
+
+    def part(inside: bool):  # noqa: ANN202
+        def run(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                values = batch[key].cast("int64")
+                hit = in_bitmap(some, values.fill_null(0).to_numpy()) & ~np.asarray(values.is_null())
+                yield batch.filter(pa.array(hit == inside))
+
+        return run
+
+    return docs.mapInArrow(part(False), docs.schema).union(docs.mapInArrow(part(True), docs.schema).join(dropped.select(key), key, "left_anti").select(*docs.columns))

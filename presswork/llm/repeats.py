@@ -205,7 +205,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int =
 
     several = extents.groupBy("head").agg(F.count("*").alias("extents")).where("extents > 1").select("head")
     edge = common.stored(extents.join(several, "head").select("one.*", "n"))
-    some = common.bitmap(edge.withColumn("key", F.col("key")), "key", bitmap_bits)
+    some = common.bitmap(edge, "key", bitmap_bits)
     near = texts.mapInArrow(_only(some, True), "key long, text string")
     asked = edge.groupBy("key").agg(F.collect_list(F.struct("at", "first", "last", "n")).alias("runs"))
     blocks = common.stored(near.join(asked, "key").mapInArrow(_blocks(length), BLOCK_SCHEMA))
@@ -245,37 +245,32 @@ def _cut(length: int) -> Callable:
                 begins = np.flatnonzero(cut & ~np.concatenate(([False], cut[:-1]))) if len(own) else []
                 for to, x in zip(out, (len(own), int(cut.sum()), len(begins), own[~cut].tobytes()), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([batch["key"], *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch["key"], *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), batch["rest"]], ["key", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
     return run
 
 
-CUT_SCHEMA = "key long, n_bytes long, n_removed long, n_spans long, kept binary"
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 4, bitmap_bits: int = 24) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept binary) of every row with a key.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 4, bitmap_bits: int = 24, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept binary, rest) of every row with a key.
 
     Every byte that a `length`-byte string covers which also starts anywhere else, in the same text
     or another, is removed; all strings are judged on the input. A null text counts as empty, texts
-    under `length` bytes are kept as they are, other columns are ignored. Rows that repeat a key
-    are one document, the smallest text of them; rows whose key is null are left out. An empty
-    table gives an empty one.
+    under `length` bytes are kept as they are; rest is a struct of the columns named in `carry`, others are
+    ignored. Rows that repeat a key are one document, the smallest text of them; rows whose key is null
+    are left out. An empty table gives an empty one.
     """
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("key is not null")
-    return _remove(docs, length, batches, bitmap_bits)
-
-
-def _remove(docs: DataFrame, length: int, batches: int, bitmap_bits: int) -> DataFrame:
+    rest = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest")).where("key is not null")
     if docs.groupBy("key").count().where("count > 1").limit(1).count():
-        docs = common.stored(docs.groupBy("key").agg(F.min("text").alias("text")))
+        docs = common.stored(docs.groupBy("key").agg(F.min(F.struct("text", "rest")).alias("one")).select("key", "one.text", "one.rest"))
     spans = common.stored(repeated_spans(docs, "key", "text", length, batches, bitmap_bits))
     by_key = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     some = common.bitmap(spans, "key", bitmap_bits)
     none = F.lit(None).cast("array<struct<first:int,last:int>>")
-    cut = docs.mapInArrow(_only(some, True), "key long, text string").join(by_key, "key", "left")
-    left = docs.mapInArrow(_only(some, False), "key long, text string").withColumn("spans", none)
-    return cut.mapInArrow(_cut(length), CUT_SCHEMA).unionByName(left.mapInArrow(_cut(length), CUT_SCHEMA))
+    cut = docs.mapInArrow(_only(some, True), docs.schema).join(by_key, "key", "left")
+    left = docs.mapInArrow(_only(some, False), docs.schema).withColumn("spans", none)
+    schema = f"key long, n_bytes long, n_removed long, n_spans long, kept binary, rest {docs.schema['rest'].dataType.simpleString()}"
+    return cut.mapInArrow(_cut(length), schema).unionByName(left.mapInArrow(_cut(length), schema))
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
