@@ -20,6 +20,7 @@ sets by 128 bits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from presswork.llm import common, textops
 
 #: Coordinates of a point; counts are held in a byte and 255 stands for any higher count.
 GROUPS = 64
-SKETCH_BITS = 20
+SKETCH_BITS = 23
 SKETCH_PARTS = 256
 #: Most rows of one block of a shingle's group, and points in a page of the tree.
 BLOCK_ROWS = 512
@@ -67,24 +68,29 @@ PROFILE_SCHEMA = "key long, n long, k1 long, k2 long, point binary, part int, co
 
 
 def _profile(size: int) -> Callable:
+    def emit(sketch: np.ndarray) -> pa.RecordBatch:
+        n = SKETCH_PARTS
+        counts = pa.array([zlib.compress(p.tobytes(), 1) for p in sketch.reshape(n, -1)], pa.binary())
+        sketch[:] = 0
+        return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), counts], ["key", "n", "k1", "k2", "point", "part", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
+        held = 0
         for rows, u, off in _slices(batches, size):
-            sketch += np.bincount((u & np.uint64(len(sketch) - 1)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            k1, k2 = _set_keys(u, off)
-            points = _points(u, off)
             n = rows.num_rows
+            if held + n > 60_000:  # a count is at most the number of rows
+                yield emit(sketch)
+                held = 0
+            np.add.at(sketch, (u & np.uint64(len(sketch) - 1)).astype(np.int64), 1)
+            held += n
+            k1, k2 = _set_keys(u, off)
             yield pa.RecordBatch.from_arrays(
-                [rows["key"], pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array([p.tobytes() for p in points], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["key", "n", "k1", "k2", "point", "part", "counts"],
-            )
-        if sketch.any():
-            n = SKETCH_PARTS
-            none = [pa.nulls(n, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays(
-                [*none, pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([p.tobytes() for p in sketch.reshape(n, -1)], pa.binary())],
+                [rows["key"], pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array([p.tobytes() for p in _points(u, off)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 ["key", "n", "k1", "k2", "point", "part", "counts"],
             )
+        if held:
+            yield emit(sketch)
 
     return run
 
@@ -93,15 +99,15 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            c = np.frombuffer(counts, np.uint32)
+            c = np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.uint32)
             total[part] = total[part] + c if part in total else c
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
+        counts = [zlib.compress(c.tobytes(), 1) for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(counts, pa.binary())], ["part", "counts"])
 
 
 def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Callable:
-    noise = max(1.0, float(sketch.mean()))
-    frequent = 2 * noise + 64
+    frequent = 2 * float(sketch.mean()) + 64
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]], hot: bool) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -137,8 +143,7 @@ def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Call
                 seen.clear()
             row = np.repeat(np.arange(len(n)), n)
             est = sketch[(u & np.uint64(len(sketch) - 1)).astype(np.int64)]
-            level = np.clip(np.log2(np.maximum(1.0, est / noise)), 0, 15).astype(np.uint64)
-            order = np.lexsort(((level << np.uint64(60)) | (textops.mix(u) >> np.uint64(4)), row))
+            order = np.lexsort(((est.astype(np.uint64) << np.uint64(48)) | (textops.mix(u) >> np.uint64(16)), row))
             place = np.arange(len(u)) - off[row]
             use = order[(place < (n - (percent * n + 99) // 100 + 1)[row]) & fresh[row]]
             often = est[use] > frequent
@@ -323,9 +328,9 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = profile.where("part is null").select("key", "n", "k1", "k2", "point")
     classes = common.stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("point").alias("point")))
     parts = profile.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_sketches, "part int, counts binary")
-    sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
-    for r in parts.collect():  # SKETCH_PARTS rows of a fixed size
-        sketch[r.part] += np.frombuffer(r.counts, np.uint32)
+    sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint16)
+    for r in parts.toLocalIterator():  # SKETCH_PARTS rows of a fixed size
+        sketch[r.part] = np.minimum(np.frombuffer(zlib.decompress(r.counts), np.uint32), 65535)
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, total * (100 - percent) // 100 // 100_000)
 
