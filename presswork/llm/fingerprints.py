@@ -116,7 +116,9 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     next text, and the smallest of their texts is the one that comes next to others; a row whose key is null, or a table of
     a single key, is compared with itself. An empty table gives an empty one.
     """
-    base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("signature", signature(F.col("text"), size))
+    signed = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("signature", signature(F.col("text"), size))
+    # both sides of the join below read this very plan, so its exchange (and the signatures) are made once
+    base = signed.where("id is not null")
     ids = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n"))
     ids = common.stored(ids)
     order = neighbours(ids)
@@ -124,7 +126,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     order = order.crossJoin(F.broadcast(ends)).select("id", F.coalesce("previous", "last.id").alias("previous"), F.coalesce("n_previous", "last.n").alias("n_previous"))  # one row
     heads = base.join(order, "id").select(F.col("previous").alias("id"), F.struct(F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int")).alias("head"), F.col("signature").alias("next")).alias("after"))
     heads = heads.groupBy("id").agg(F.min("after").alias("after"))
-    both = base.join(heads, "id", "left")
+    alone = signed.where("id is null").withColumn("after", F.lit(None).cast(heads.schema["after"].dataType))
+    both = base.join(heads, "id", "left").unionByName(alone)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.when(F.col("after").isNull(), F.substring(F.col("text"), n - quarter + 1, quarter)).otherwise(F.substring(F.col("after.head"), F.lit(1), quarter)))
