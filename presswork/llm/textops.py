@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once (a single longer text is a slice of its own).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 700_000
 #: Odd 64-bit multiplier of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
