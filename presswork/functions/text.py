@@ -16,9 +16,12 @@ BLACKLIST = ("opinion", "(é|e)ditorial", "sponsored", "advertorial", "publicit(
 
 
 def blacklist_pattern(unicode_boundaries: bool = False) -> str:
-    """ASCII boundaries never match beside an accented letter; unicode_boundaries is the evident intent."""
-    words = "|".join(BLACKLIST)
-    return f"(?U)\\b({words})\\b" if unicode_boundaries else f"{BEFORE}({words}){AFTER}"
+    """With ASCII boundaries an accented letter is no word character, so beside it a boundary needs one on the
+    other side: " éditorial" and "publicité " don't match. unicode_boundaries is the evident intent."""
+    if unicode_boundaries:
+        return f"(?U)\\b({'|'.join(BLACKLIST)})\\b"
+    plain = "|".join(w.replace("(é|e)", "e").replace("(é|y)", "y") for w in BLACKLIST)
+    return f"{BEFORE}({plain}){AFTER}|[0-9A-Za-z_]éditorial{AFTER}|{BEFORE}publicité[0-9A-Za-z_]"
 
 
 def token_count(text: Column) -> Column:

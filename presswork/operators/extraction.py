@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.urls import HOST, TRACKING, decode_entities, found, host, links, meta, normalise, strip_tracking
-from presswork.operators.reports import NOW
+from presswork.operators.reports import now
 from presswork.sources.fixtures import AS_OF
 
 #: Signs of a paywall, hosts that are no news site, paths that are no article.
@@ -44,7 +44,7 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "<[^>]*>", ""))
 
 
-def extract(pages: DataFrame, as_of: Column = NOW) -> DataFrame:
+def extract(pages: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Article fields of (url, html). JSON-LD with a headline wins; else meta tags; where title or
     summary is missing, the first heading and paragraph replace both. No title: the page is dropped. An absent date is
     as_of; one that can't be read is marked date_invalid."""
@@ -63,7 +63,7 @@ def extract(pages: DataFrame, as_of: Column = NOW) -> DataFrame:
     rows = rows.withColumn("title", F.when(fall, F.col("h1")).otherwise(F.col("t"))).withColumn("summary", F.coalesce(F.when(fall, F.col("p1")).otherwise(F.col("s")), F.lit(""))).where("title is not null")
     return rows.select(
         "page_id", canonical_url().alias("canonical_url"), "title", "summary", host("url").alias("source_domain"), language().alias("lang"), "image_url",
-        F.coalesce(parsed, F.when(F.col("date_text").isNull(), as_of)).alias("published_at"), (F.col("date_text").isNotNull() & parsed.isNull()).alias("date_invalid"), F.col("html").rlike(PAYWALL).alias("paywalled_bool"),
+        F.coalesce(parsed, F.when(F.col("date_text").isNull(), now(as_of))).alias("published_at"), (F.col("date_text").isNotNull() & parsed.isNull()).alias("date_invalid"), F.col("html").rlike(PAYWALL).alias("paywalled_bool"),
     )
 
 
@@ -182,5 +182,5 @@ QUERIES = {
     "e24_entities": (lambda v: v.tagged_pages.select("page_id", decode_entities(F.col("html")).alias("text")), "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#39;', '''') AS text FROM tagged_pages"),
     "e25_snippet": (lambda v: v.articles.select("id", F.concat(F.substring("summary", 1, 200), F.lit("...")).alias("snippet")), "SELECT id, substring(summary, 1, 200) || '...' AS snippet FROM articles"),
     "e26_probe_features": (lambda v: v.tagged_pages.select("page_id", (F.col("html").contains("ld+json") & F.col("html").contains("NewsArticle")).alias("jsonld_news"), language().isNotNull().alias("has_lang")), f"SELECT page_id, contains(html, 'ld+json') AND contains(html, 'NewsArticle') AS jsonld_news, {DLANG} IS NOT NULL AS has_lang FROM tagged_pages"),
-    "e27_recency": (lambda v: v.sitemap_urls.groupBy("domain").agg(F.coalesce(F.max("lastmod") >= F.timestamp_seconds(F.unix_timestamp(NOW) - 7 * 86400), F.lit(False)).alias("recent")), f"SELECT domain, coalesce(max(lastmod) >= {AS_OF} - INTERVAL 168 HOUR, false) AS recent FROM sitemap_urls GROUP BY 1"),
+    "e27_recency": (lambda v: v.sitemap_urls.groupBy("domain").agg(F.coalesce(F.max("lastmod") >= F.timestamp_seconds(F.unix_timestamp(now()) - 7 * 86400), F.lit(False)).alias("recent")), f"SELECT domain, coalesce(max(lastmod) >= {AS_OF} - INTERVAL 168 HOUR, false) AS recent FROM sitemap_urls GROUP BY 1"),
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.functions.text import AFTER, BEFORE, BLACKLIST, SPACE_CLASS, any_keyword, blacklist_pattern, keywords, listed, token_count
-from presswork.operators.reports import NOW
+from presswork.functions.text import any_keyword, blacklist_pattern, keywords, listed, token_count
+from presswork.operators.reports import now
 from presswork.sources.fixtures import AS_OF
 
 REASONS = ("title", "stale", "length", "blacklist", "keywords")
@@ -17,9 +17,9 @@ def has_title(title: str = "title", least: int = 10) -> Column:
     return F.coalesce(F.length(title) >= least, F.lit(False))
 
 
-def is_fresh(published: str, hours: Column, as_of: Column = NOW) -> Column:
+def is_fresh(published: str, hours: Column, as_of: Column | None = None) -> Column:
     """Q3: future dates and missing ones pass."""
-    return F.coalesce((F.unix_timestamp(as_of) - F.unix_timestamp(published)) <= hours * 3600, F.lit(True))
+    return F.coalesce((F.unix_timestamp(now(as_of)) - F.unix_timestamp(published)) <= hours * 3600, F.lit(True))
 
 
 def right_length(summary: str = "summary", least: int = 20, most: int = 10000) -> Column:
@@ -38,7 +38,7 @@ def topic_pairs(articles: DataFrame, topics: DataFrame) -> DataFrame:
     return articles.join(t, "lang")
 
 
-def gate(articles: DataFrame, topics: DataFrame, as_of: Column = NOW) -> DataFrame:
+def gate(articles: DataFrame, topics: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Q6, Q7: every article and topic with the first reason to reject it, null if it passes."""
     rows = topic_pairs(articles, topics).withColumn("keys", keywords("query", "includes"))
     reason = (
@@ -64,9 +64,9 @@ def scored(articles: DataFrame, topics: DataFrame) -> DataFrame:
     return topic_pairs(articles, topics).withColumn("topic_score", topic_score(low("title"), low("summary")))
 
 
-def recency(published: str, as_of: Column = NOW) -> Column:
+def recency(published: str, as_of: Column | None = None) -> Column:
     """Q10."""
-    age = (F.unix_timestamp(as_of) - F.unix_timestamp(published)) / 3600.0
+    age = (F.unix_timestamp(now(as_of)) - F.unix_timestamp(published)) / 3600.0
     return F.when(age <= 3, 1.0).when(age <= 12, 0.8).when(age <= 48, 0.6).otherwise(0.3)
 
 
@@ -77,7 +77,7 @@ def source_weights(sources: DataFrame) -> DataFrame:
     return sources.crossJoin(F.broadcast(bounds)).select(F.col("id").alias("source_id"), weight.cast("double").alias("weight"))
 
 
-def ranked(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Column = NOW) -> DataFrame:
+def ranked(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Q12, Q13: final score and place in the topic: score, then free before paywalled, then earlier."""
     rows = scored(articles, topics).join(source_weights(sources), "source_id", "left")
     score = F.round(recency("published_at", as_of) + 0.2 * F.least(F.col("topic_score") / 50.0, F.lit(1.0)) + 0.1 * F.coalesce("weight", F.lit(0.5)), 6)
@@ -85,11 +85,10 @@ def ranked(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Co
     return rows.withColumn("score", score).withColumn("place", F.row_number().over(order).cast("long"))
 
 
-DUCK_SPACE = SPACE_CLASS.replace("\u0009", "\\t").replace("\\x0B", "\\x0b")
 PAIRS = "SELECT a.*, t.id AS topic_id, t.query, t.includes, t.excludes, t.freshness_hours, t.max_items FROM articles a JOIN topics t ON t.lang = a.lang"
 GATE = f"""SELECT id, topic_id, CASE WHEN length(title) < 10 THEN 'title' WHEN epoch({AS_OF}) - epoch(published_at) > freshness_hours * 3600 THEN 'stale'
     WHEN len(list_filter(regexp_split_to_array(summary, '[ \\t\\n\\r]+'), lambda x: x <> '')) NOT BETWEEN 20 AND 10000 THEN 'length'
-    WHEN regexp_matches(lower(title || ' ' || summary), '{BEFORE}({'|'.join(BLACKLIST)}){AFTER}') THEN 'blacklist'
+    WHEN regexp_matches(lower(title || ' ' || summary), '{blacklist_pattern()}') THEN 'blacklist'
     WHEN NOT (regexp_matches(lower(title), rx) OR regexp_matches(lower(summary), rx)) THEN 'keywords' END AS reason
     FROM (SELECT *, replace(query, ' ', '|') || CASE WHEN includes <> '' THEN '|' || includes ELSE '' END AS rx FROM ({PAIRS}) p) g"""
 COUNT = "CAST(coalesce(len(regexp_extract_all(lower({0}), {1})), 0) AS BIGINT)"
@@ -107,7 +106,7 @@ QUERIES = {
     "q02_title": (lambda v: v.articles.select("id", has_title(least=75).alias("ok")), "SELECT id, length(title) >= 75 AS ok FROM articles"),
     "q03_freshness": (lambda v: v.articles.where(is_fresh("published_at", F.lit(72))).select("id"), f"SELECT id FROM articles WHERE published_at >= {AS_OF} - INTERVAL 72 HOUR"),
     "q04_length": (lambda v: v.articles.where(right_length()).select("id"), "SELECT id FROM articles WHERE len(list_filter(regexp_split_to_array(summary, '[ \\t\\n\\r]+'), lambda x: x <> '')) BETWEEN 20 AND 10000"),
-    "q05_blacklist": (lambda v: v.articles.withColumn("title", F.when(F.col("id") % 7 == 0, F.concat(F.lit("An Editorial, "), "title")).otherwise(F.col("title"))).where(is_blacklisted()).select("id"), f"SELECT id FROM (SELECT id, lower(CASE WHEN id % 7 = 0 THEN 'An Editorial, ' ELSE '' END || title || ' ' || summary) AS t FROM articles) WHERE regexp_matches(t, '{BEFORE}({'|'.join(BLACKLIST)}){AFTER}')"),
+    "q05_blacklist": (lambda v: v.articles.withColumn("title", F.when(F.col("id") % 7 == 0, F.concat(F.lit("An Editorial, "), "title")).otherwise(F.col("title"))).where(is_blacklisted()).select("id"), f"SELECT id FROM (SELECT id, lower(CASE WHEN id % 7 = 0 THEN 'An Editorial, ' ELSE '' END || title || ' ' || summary) AS t FROM articles) WHERE regexp_matches(t, '{blacklist_pattern()}')"),
     "q06_keywords": (lambda v: topic_pairs(v.articles, v.topics).withColumn("keys", keywords("query", "includes")).where(any_keyword("keys", F.col("title"), F.col("summary"))).select("id", "topic_id"), f"SELECT id, topic_id FROM (SELECT *, replace(query, ' ', '|') || CASE WHEN includes <> '' THEN '|' || includes ELSE '' END AS rx FROM ({PAIRS}) p) WHERE regexp_matches(lower(title), rx) OR regexp_matches(lower(summary), rx)"),
     "q07_gate": (lambda v: gate(v.articles, v.topics).select("id", "topic_id", "reason"), GATE),
     "q07_gate_counts": (lambda v: gate(v.articles, v.topics).groupBy("topic_id", "reason").agg(F.count("*").alias("articles")), f"SELECT topic_id, reason, count(*) AS articles FROM ({GATE}) GROUP BY 1, 2"),

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from presswork.functions.text import any_keyword, keywords
 from presswork.sources.fixtures import AS_OF
 
-NOW = F.expr(AS_OF)
+
+
+def now(as_of: Column | None = None) -> Column:
+    """The moment that is asked for; the fixtures' moment by default."""
+    return F.expr(AS_OF) if as_of is None else as_of
+
+
 WINDOWS = {"24h": 24, "48h": 48, "7d": 168}
 
 
 def hours_before(hours: float, as_of: Column | None = None) -> Column:
-    return F.timestamp_seconds(F.unix_timestamp(NOW if as_of is None else as_of) - int(hours * 3600))
+    return F.timestamp_seconds(F.unix_timestamp(now(as_of)) - int(hours * 3600))
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -40,10 +46,10 @@ def topic_feed(links: DataFrame, articles: DataFrame, sources: DataFrame, topics
     return kept.select("article_id", "title", "source_name", "published_at", "added_at")
 
 
-def feed_age_minutes(feed: DataFrame, as_of: Column = NOW) -> DataFrame:
+def feed_age_minutes(feed: DataFrame, as_of: Column | None = None) -> DataFrame:
     """H2: minutes since the first item of a feed was published; 0 for an empty feed."""
     first = feed.agg(F.max_by("published_at", F.struct("added_at", "article_id")).alias("p"))
-    return first.select(F.coalesce(F.floor((F.unix_timestamp(as_of) - F.unix_timestamp("p")) / 60), F.lit(0)).cast("long").alias("minutes"))
+    return first.select(F.coalesce(F.floor((F.unix_timestamp(now(as_of)) - F.unix_timestamp("p")) / 60), F.lit(0)).cast("long").alias("minutes"))
 
 
 def home_feed(links: DataFrame, articles: DataFrame, hours: int = 48, n: int = 50) -> DataFrame:
@@ -52,11 +58,11 @@ def home_feed(links: DataFrame, articles: DataFrame, hours: int = 48, n: int = 5
     return top(articles.join(recent, "id").select("id", "title", "published_at"), n, F.desc("published_at"), F.desc("id"))
 
 
-def crawl_report(crawls: DataFrame, sources_topics: DataFrame, sources: DataFrame, links: DataFrame, articles: DataFrame, as_of: Column = NOW) -> DataFrame:
+def crawl_report(crawls: DataFrame, sources_topics: DataFrame, sources: DataFrame, links: DataFrame, articles: DataFrame, as_of: Column | None = None) -> DataFrame:
     """H4: articles per crawl and source of its topic that were added while it ran; sources without one are kept."""
     added = links.join(articles.select(F.col("id").alias("article_id"), F.col("source_id").alias("a_source")), "article_id").select(F.col("topic_id").alias("a_topic"), "a_source", "article_id", "added_at")
     of_crawl = crawls.join(sources_topics, "topic_id").join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id")
-    inside = (F.col("a_topic") == F.col("topic_id")) & (F.col("a_source") == F.col("source_id")) & F.col("added_at").between(F.col("started_at"), F.coalesce("finished_at", as_of))
+    inside = (F.col("a_topic") == F.col("topic_id")) & (F.col("a_source") == F.col("source_id")) & F.col("added_at").between(F.col("started_at"), F.coalesce("finished_at", now(as_of)))
     return of_crawl.join(added, inside, "left").groupBy(of_crawl.id.alias("crawl_id"), "source_name").agg(F.count("article_id").alias("articles"))
 
 
@@ -113,9 +119,9 @@ def articles_per_host(articles: DataFrame, hours: int = 24, n: int = 20) -> Data
     return top(articles.where(F.col("first_seen_at") >= hours_before(hours)).groupBy(host.alias("host")).agg(F.count("*").alias("articles")), n, F.desc("articles"), "host")
 
 
-def freshness_buckets(articles: DataFrame, as_of: Column = NOW) -> DataFrame:
+def freshness_buckets(articles: DataFrame, as_of: Column | None = None) -> DataFrame:
     """H15."""
-    age = (F.unix_timestamp(as_of) - F.unix_timestamp("published_at")) / 3600.0
+    age = (F.unix_timestamp(now(as_of)) - F.unix_timestamp("published_at")) / 3600.0
     bucket = F.when(age < 3, "0-3h").when(age < 12, "3-12h").when(age < 24, "12-24h").when(age < 48, "24-48h").otherwise("48h+")
     return articles.where(F.col("first_seen_at") >= hours_before(168)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("articles"))
 
@@ -278,7 +284,7 @@ QUERIES = {
     "h23_good_candidates": (lambda v: good_candidates(v.candidate_domains), "SELECT domain, score FROM candidate_domains WHERE score >= 40"),
     "h24_topic_sources": (lambda v: topic_sources(v.sources_topics, v.sources, v.articles, v.topic_articles, 1), PER_SOURCE.format("")),
     "h25_coverage": (lambda v: coverage(topic_sources(v.sources_topics, v.sources, v.articles, v.topic_articles, 1)), f"SELECT count(CASE WHEN articles > 0 THEN 1 END) AS covered, count(*) AS sources, round(100.0 * count(CASE WHEN articles > 0 THEN 1 END) / nullif(count(*), 0), 2) AS pct FROM ({PER_SOURCE.format('')})"),
-    "h26_topic_sources_window": (lambda v: topic_sources(v.sources_topics, v.sources, v.articles, v.topic_articles, 1, hours_before(48), NOW), PER_SOURCE.format(f"AND l.added_at BETWEEN {H48} AND {AS_OF}")),
+    "h26_topic_sources_window": (lambda v: topic_sources(v.sources_topics, v.sources, v.articles, v.topic_articles, 1, hours_before(48), now()), PER_SOURCE.format(f"AND l.added_at BETWEEN {H48} AND {AS_OF}")),
     "h27_shared_sources": (lambda v: shared_sources(v.sources_topics), "SELECT source_id, count(*) AS topics FROM sources_topics GROUP BY 1 HAVING count(*) > 1"),
     "h28_crawl_time": (lambda v: crawl_time(v.topics, v.sources_topics, v.sources), "SELECT slug, n AS sources, n * 10 AS seconds, n * 10 <= 300 AS fits_300, n * 10 <= 2700 AS fits_2700 FROM (SELECT t.slug, count(s.id) AS n FROM topics t LEFT JOIN sources_topics st ON st.topic_id = t.id LEFT JOIN sources s ON s.id = st.source_id AND s.enabled GROUP BY 1)"),
     "h29_visibility": (lambda v: visibility(v.topic_articles), "SELECT topic_id, count(CASE WHEN NOT hidden_bool THEN 1 END) AS visible, count(CASE WHEN hidden_bool THEN 1 END) AS hidden, count(*) AS total FROM topic_articles GROUP BY 1"),
