@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from presswork.llm import common, textops
 
 #: Coordinates of a point; counts are held in a byte and 255 stands for any higher count.
-GROUPS = 64
+GROUPS = 256
+#: Neighbouring coordinates that are added up for the boxes and the first test of a pair.
+MERGED = 4
 SKETCH_BITS = 23
 SKETCH_PARTS = 256
 #: Most rows of one block of a shingle's group, and points in a page of the tree.
@@ -205,8 +207,9 @@ def _search_tree(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.n
     points into the two blocks that are joined; None joins all with all.
     """
     order = np.argsort(n, kind="stable")
-    points, n, comp = points[order].astype(np.int32), n[order], comp[order]
-    points[points == 255] = 1 << 20
+    fine, n, comp = points[order].astype(np.int16), n[order], comp[order]
+    fine[fine == 255] = 1 << 13
+    points = fine.reshape(len(n), -1, MERGED).sum(axis=2, dtype=np.int32)
     side = None if side is None else side[order]
     pages = [(a, min(a + PAGE, len(n))) for a in range(0, len(n), PAGE)]
     box = np.stack([points[a:b].max(axis=0) for a, b in pages])
@@ -226,6 +229,9 @@ def _search_tree(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.n
             if len(i):
                 overlap = np.minimum(points[i], points[j]).sum(axis=1)
                 ok = (100 + percent) * overlap >= percent * (n[i] + n[j])
+                i, j = i[ok], j[ok]
+                overlap = np.minimum(fine[i], fine[j]).sum(axis=1, dtype=np.int64)
+                ok = (100 + percent) * overlap >= percent * (n[i] + n[j])
                 left.append(order[i[ok]])
                 right.append(order[j[ok]])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
