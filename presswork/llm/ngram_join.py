@@ -11,10 +11,11 @@ shingles of each in any fixed order, and the order taken here is from rare to fr
 fixed-size count sketch), so that a passage which many documents share comes last.
 
 1. equal sets collapse into one class; 2. each member of a shingle's group is compared with the
-group's smallest class only, and the links found are joined into components; 3. groups that still
-hold several components search their tree for links between different components. Links
-inside a component are not needed to know it, so a group of thousands of near copies costs as many
-comparisons as it has members. Sets are compared as 64-bit hashes of shingles, and equal
+group's smallest class only, and the links found are joined into components; members outside the
+largest component of their group are then compared with a random member of it, in a few rounds;
+3. groups that still hold several components search their tree for links between different
+components. Links inside a component are not needed to know it, so a group of thousands of near
+copies costs a few comparisons for each of its members. Sets are compared as 64-bit hashes of shingles, and equal
 sets by 128 bits.
 """
 
@@ -39,6 +40,8 @@ SKETCH_PARTS = 256
 #: Most rows of one block of a shingle's group, and points in a page of the tree.
 BLOCK_ROWS = 512
 PAGE = 16
+#: Rounds of pivots go on while at least one in so many of the pairs that a round tested is a link.
+PIVOT_YIELD = 10
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -320,7 +323,21 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, pe
     return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long"))
 
 
-def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bitmap_bits: int = 24) -> DataFrame:
+def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, owner, component so far) of all rows of `shared`."""
+    inner = common.components(links).withColumnRenamed("node", "owner")
+    return common.stored(shared.join(inner, "owner", "left").select("token", "owner", F.coalesce("component", "owner").alias("component")))
+
+
+def _pivot_pairs(now: DataFrame, salt: int) -> DataFrame:
+    """(pivot, owner) of every owner outside the largest component of its token, the pivot being a random member of that component."""
+    by_component = now.groupBy("token", "component").agg(F.count("*").alias("rows"), F.min_by("owner", F.xxhash64("owner", F.lit(salt))).alias("a"))
+    pivots = by_component.groupBy("token").agg(F.count("*").alias("several"), F.max_by(F.struct("a", "component"), F.struct("rows", "component")).alias("top")).where("several > 1")
+    pairs = now.join(pivots.select("token", "top.a", F.col("top.component").alias("largest")), "token").where("component <> largest")
+    return pairs.select(F.least("a", "owner").alias("a"), F.greatest("a", "owner").alias("b")).distinct()
+
+
+def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bitmap_bits: int = 24, pivot_rounds: int = 4) -> DataFrame:
     """(key, n_shingles, component_id) of every row with a key.
 
     Two rows link when 100 * intersection >= percent * union of their sets of distinct `size`-word
@@ -346,10 +363,14 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = shared.groupBy("token").agg(F.min("owner").alias("a"))
     star = shared.join(first, "token").where("owner <> a").select("a", F.col("owner").alias("b")).distinct()
     links = _links(_bounded(star, classes, percent), classes, texts, size, percent, bitmap_bits)
-    inner = common.components(links)
-
-    now = shared.join(inner.withColumnRenamed("node", "owner"), "owner", "left").select("token", "owner", F.coalesce("component", "owner").alias("component"))
-    now = common.stored(now)
+    now = _with_components(shared, links)
+    for salt in range(pivot_rounds):
+        tested = common.stored(_bounded(_pivot_pairs(now, salt), classes, percent))
+        found = _links(tested, classes, texts, size, percent, bitmap_bits)
+        links = links.union(found)
+        now = _with_components(shared, links)
+        if PIVOT_YIELD * found.count() < tested.count():
+            break
     mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y").select("token", "rows")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     spread = (
