@@ -329,6 +329,13 @@ def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
     return common.stored(shared.join(inner, "owner", "left").select("token", "owner", F.coalesce("component", "owner").alias("component")))
 
 
+def _distinct_groups(shared: DataFrame) -> DataFrame:
+    """The rows of one token for each distinct set of owners: what follows depends on the sets alone."""
+    groups = shared.groupBy("token").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("owner")).alias("x"), F.bit_xor(F.xxhash64("owner", F.lit(1))).alias("y"))
+    kept = groups.where("rows > 1").groupBy("rows", "x", "y").agg(F.min("token").alias("token"))
+    return shared.join(kept.select("token"), "token", "left_semi")
+
+
 def _pivot_pairs(now: DataFrame, salt: int) -> DataFrame:
     """(pivot, owner) of every owner outside the largest component of its token, the pivot being a random member of that component."""
     by_component = now.groupBy("token", "component").agg(F.count("*").alias("rows"), F.min_by("owner", F.xxhash64("owner", F.lit(salt))).alias("a"))
@@ -359,6 +366,7 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     held = texts.mapInArrow(_prefixes(size, percent, sketch.ravel(), buckets), "bucket int, hot boolean, tokens binary, owners binary")
     shared = common.stored(held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens, "token long, owner long"))
+    shared = common.stored(_distinct_groups(shared))
 
     first = shared.groupBy("token").agg(F.min("owner").alias("a"))
     star = shared.join(first, "token").where("owner <> a").select("a", F.col("owner").alias("b")).distinct()
