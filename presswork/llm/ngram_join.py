@@ -37,6 +37,8 @@ GROUPS = 256
 MERGED = 4
 SKETCH_BITS = 23
 SKETCH_PARTS = 256
+#: Shingles that are counted into a sketch at once.
+COUNTED = 4_000_000
 #: Most rows of one block of a shingle's group, and points in a page of the tree.
 BLOCK_ROWS = 512
 PAGE = 16
@@ -82,19 +84,30 @@ def _profile(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
         held = 0
+        slots: list[np.ndarray] = []
+
+        def add() -> None:
+            if slots:
+                sketch[:] += np.bincount(np.concatenate(slots), minlength=len(sketch)).astype(np.uint16)
+                slots.clear()
+
         for rows, u, off in _slices(batches, size):
             n = rows.num_rows
             if held + n > 60_000:  # a count is at most the number of rows
+                add()
                 yield emit(sketch)
                 held = 0
-            np.add.at(sketch, (u & np.uint64(len(sketch) - 1)).astype(np.int64), 1)
+            slots.append((u & np.uint64(len(sketch) - 1)).astype(np.uint32))
             held += n
+            if sum(map(len, slots)) > COUNTED:
+                add()
             k1, k2 = _set_keys(u, off)
             yield pa.RecordBatch.from_arrays(
                 [rows["key"], pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array([p.tobytes() for p in _points(u, off)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 ["key", "n", "k1", "k2", "point", "part", "counts"],
             )
         if held:
+            add()
             yield emit(sketch)
 
     return run
@@ -148,9 +161,10 @@ def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Call
                 seen.clear()
             row = np.repeat(np.arange(len(n)), n)
             est = sketch[(u & np.uint64(len(sketch) - 1)).astype(np.int64)]
-            order = np.lexsort(((est.astype(np.uint64) << np.uint64(48)) | (textops.mix(u) >> np.uint64(16)), row))
-            place = np.arange(len(u)) - off[row]
-            use = order[(place < (n - (percent * n + 99) // 100 + 1)[row]) & fresh[row]]
+            order = (est.astype(np.uint64) << np.uint64(48)) | (textops.mix(u) >> np.uint64(16))
+            first = n - (percent * n + 99) // 100 + 1
+            chosen = [off[i] + np.argpartition(order[off[i] : off[i + 1]], first[i] - 1)[: first[i]] for i in np.flatnonzero(fresh)]
+            use = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
             often = est[use] > frequent
             cold.append((u[use[~often]], k1[row[use[~often]]]))
             if often.any():

@@ -140,9 +140,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, powers: Powers, size: int) -
 def distinct_by_row(h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each row, concatenated, with n_rows + 1 offsets."""
     bounds = np.searchsorted(row, np.arange(n_rows + 1))
-    parts = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    sizes = np.fromiter((len(p) for p in parts), np.int64, n_rows)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+    h = h.copy()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=n_rows))))
 
 
 def signed(h: np.ndarray) -> np.ndarray:
