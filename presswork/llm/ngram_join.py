@@ -332,7 +332,7 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, pe
         for batch in batches:
             yield batch.filter(pa.array(common.in_bitmap(some, batch["key"].to_numpy())))
 
-    near = texts.mapInArrow(only, "key long, text string")
+    near = common.stored(texts.mapInArrow(only, "key long, text string"))
     both = pairs.join(near.toDF("key_b", "text_b"), "key_b").join(near.toDF("key_a", "text_a"), "key_a")
     return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long"))
 
