@@ -320,11 +320,8 @@ def _verify(size: int, percent: int) -> Callable:
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, bitmap_bits: int) -> DataFrame:
-    """The pairs (a, b of class ids) that are similar enough, judged on the texts."""
-    side = classes.select("k1", "key")
-    pairs = pairs.join(side.toDF("a", "key_a"), "a").join(side.toDF("b", "key_b"), "b")
-    pairs = common.stored(pairs)
+def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bitmap_bits: int) -> DataFrame:
+    """The pairs (a, b of class ids, with their keys) that are similar enough, judged on the texts."""
     needed = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
     some = common.bitmap(needed, "key", bitmap_bits)
 
@@ -358,7 +355,7 @@ def _pivot_pairs(now: DataFrame, salt: int) -> DataFrame:
     return pairs.select(F.least("a", "owner").alias("a"), F.greatest("a", "owner").alias("b")).distinct()
 
 
-def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bitmap_bits: int = 24, pivot_rounds: int = 4) -> DataFrame:
+def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bitmap_bits: int = 24, pivot_rounds: int = 1) -> DataFrame:
     """(key, n_shingles, component_id) of every row with a key.
 
     Two rows link when 100 * intersection >= percent * union of their sets of distinct `size`-word
@@ -373,7 +370,7 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = common.stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("point").alias("point")))
     parts = profile.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_sketches, "part int, counts binary")
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint16)
-    for r in parts.toLocalIterator():  # SKETCH_PARTS rows of a fixed size
+    for r in parts.collect():  # SKETCH_PARTS rows of a fixed size, 32 MB together at most
         sketch[r.part] = np.minimum(np.frombuffer(zlib.decompress(r.counts), np.uint32), 65535)
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, total * (100 - percent) // 100 // 100_000)
@@ -384,14 +381,14 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     first = shared.groupBy("token").agg(F.min("owner").alias("a"))
     star = shared.join(first, "token").where("owner <> a").select("a", F.col("owner").alias("b")).distinct()
-    links = _links(_bounded(star, classes, percent), classes, texts, size, percent, bitmap_bits)
+    links = _links(common.stored(_bounded(star, classes, percent)), texts, size, percent, bitmap_bits)
     now = _with_components(shared, links)
     for salt in range(pivot_rounds):
         tested = common.stored(_bounded(_pivot_pairs(now, salt), classes, percent))
-        found = _links(tested, classes, texts, size, percent, bitmap_bits)
+        found = _links(tested, texts, size, percent, bitmap_bits)
         links = links.union(found)
         now = _with_components(shared, links)
-        if PIVOT_YIELD * found.count() < tested.count():
+        if salt + 1 < pivot_rounds and PIVOT_YIELD * found.count() < tested.count():
             break
     mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y").select("token", "rows")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
@@ -403,7 +400,9 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "owner", "component", "n", "point")
     )
     across = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_between(percent), "a long, b long").distinct()
-    links = links.union(_links(across, classes, texts, size, percent, bitmap_bits))
+    keys = classes.select("k1", "key")
+    across = common.stored(across.join(keys.toDF("a", "key_a"), "a").join(keys.toDF("b", "key_b"), "b"))
+    links = links.union(_links(across, texts, size, percent, bitmap_bits))
 
     smallest = common.components(links).join(classes.select(F.col("k1").alias("node"), "key"), "node")
     least = smallest.groupBy("component").agg(F.min("key").alias("component_id"))
@@ -414,9 +413,9 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and points allow the similarity: the same bounds as in the tree."""
-    side = classes.select("k1", "n", "point")
-    both = pairs.join(side.toDF("a", "n_a", "point_a"), "a").join(side.toDF("b", "n_b", "point_b"), "b")
+    """Pairs, with the keys of their classes, whose sizes and points allow the similarity: the same bounds as in the tree."""
+    side = classes.select("k1", "key", "n", "point")
+    both = pairs.join(side.toDF("a", "key_a", "n_a", "point_a"), "a").join(side.toDF("b", "key_b", "n_b", "point_b"), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,9 +424,9 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             least = np.minimum(x, y)
             least[least == 255] = 1 << 20
             ok = ((100 + percent) * least.sum(axis=1) >= percent * (n_a + n_b)) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], ["a", "b"])
+            yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(near, "a long, b long")
+    return both.mapInArrow(near, "a long, b long, key_a long, key_b long")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
