@@ -12,7 +12,7 @@ fixed-size count sketch), so that a passage which many documents share comes las
 
 1. equal sets collapse into one class; 2. each member of a shingle's group is compared with the
 group's smallest class only, and the links found are joined into components; members outside the
-largest component of their group are then compared with a random member of it, in a few rounds;
+largest component of their group are then compared with a random member of it;
 3. groups that still hold several components search their tree for links between different
 components. Links inside a component are not needed to know it, so a group of thousands of near
 copies costs a few comparisons for each of its members. Sets are compared as 64-bit hashes of shingles, and equal
