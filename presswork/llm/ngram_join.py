@@ -132,6 +132,8 @@ def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Call
             return
         token, k1 = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        if not len(token):
+            return
         bucket = ((k1.view(np.uint64) if hot else textops.mix(token)) >> np.uint64(20)).astype(np.int64) % buckets
         order = np.lexsort((k1, token, bucket))
         token, k1, bucket = token[order], k1[order], bucket[order]
@@ -181,13 +183,16 @@ def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Call
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, owner) of tokens with several owners; the batches are sorted by bucket."""
+    """Distinct rows (token, owner) of tokens with several owners; the batches are sorted by bucket.
+
+    A hot token is dealt by its owners, so a bucket holds all copies of a row but not all owners: tokens of one owner stay.
+    """
 
     def out(token: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(token), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(textops.signed(token[i : i + 100_000])), pa.array(owner[i : i + 100_000])], ["token", "owner"])
 
-    def settle(held: list) -> Iterator[pa.RecordBatch]:
+    def settle(held: list, alone: bool) -> Iterator[pa.RecordBatch]:
         if held:
             token, owner = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
@@ -196,25 +201,26 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
             token, owner = token[new], owner[new]
-            same = token[1:] == token[:-1]
-            several = np.zeros(len(token), bool)
-            several[1:] |= same
-            several[:-1] |= same
-            yield from out(token[several], owner[several])
-
-    held: list = []
+            if not alone:
+                same = token[1:] == token[:-1]
+                several = np.zeros(len(token), bool)
+                several[1:] |= same
+                several[:-1] |= same
+                token, owner = token[several], owner[several]
+            yield from out(token, owner)
+
+    cold: list = []
+    hot_rows: list = []
     at = None
     for batch in batches:
         for bucket, hot, tokens, owners in zip(*(batch[c].to_pylist() for c in ("bucket", "hot", "tokens", "owners")), strict=True):
-            pair = np.frombuffer(tokens, np.uint64), np.frombuffer(owners, np.int64)
-            if hot:
-                yield from out(*pair)
-                continue
             if bucket != at:
-                yield from settle(held)
+                yield from settle(cold, False)
+                yield from settle(hot_rows, True)
                 at = bucket
-            held.append(pair)
-    yield from settle(held)
+            (hot_rows if hot else cold).append((np.frombuffer(tokens, np.uint64), np.frombuffer(owners, np.int64)))
+    yield from settle(cold, False)
+    yield from settle(hot_rows, True)
 
 
 def _search_tree(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -341,9 +347,13 @@ def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _distinct_groups(shared: DataFrame) -> DataFrame:
-    """The rows of one token for each distinct set of owners: what follows depends on the sets alone."""
-    groups = shared.groupBy("token").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("owner")).alias("x"), F.bit_xor(F.xxhash64("owner", F.lit(1))).alias("y"))
-    kept = groups.where("rows > 1").groupBy("rows", "x", "y").agg(F.min("token").alias("token"))
+    """The rows of one token for each distinct set of owners: what follows depends on the sets alone.
+
+    Sets are told apart by sums of two hashes, each in halves that can't overflow; the rows have to be distinct.
+    """
+    halves = [h for x in (F.xxhash64("owner"), F.xxhash64("owner", F.lit(1))) for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1)))]
+    groups = shared.groupBy("token").agg(F.count("*").alias("rows"), *[F.sum(h).alias(f"x{i}") for i, h in enumerate(halves)])
+    kept = groups.where("rows > 1").groupBy("rows", "x0", "x1", "x2", "x3").agg(F.min("token").alias("token"))
     return shared.join(kept.select("token"), "token", "left_semi")
 
 

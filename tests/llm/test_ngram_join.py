@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from presswork.llm import ngram_join
 
 
@@ -38,3 +40,15 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, ngram_join.shingle_components(df).collect())) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert ngram_join.shingle_components(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("others", [1, 0])
+def test_families_copied_over_an_even_number_of_partitions(spark, others):
+    words = [[f"w{f}x{i}" for i in range(60)] for f in range(3)]
+    variants = [" ".join(w[:59] + [last]) for w in words for last in ("left", "right")]
+    # 40 copies in each partition, so that the families' common shingles count as frequent
+    rows = [(part * 1000 + copy * 10 + v, text) for part in range(2) for copy in range(40) for v, text in enumerate(variants)]
+    rows += [(part * 1000 + 900, f"another text of part {part}") for part in range(2) for _ in range(others)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(sorted(rows), 2), "doc_id long, text string")
+    got = {r["key"]: r["component_id"] for r in ngram_join.shingle_components(docs).collect()}
+    assert got == {k: k if k % 1000 == 900 else k % 10 // 2 * 2 for k, _ in rows}
