@@ -33,6 +33,8 @@ from presswork.llm import common, textops
 
 #: Coordinates of a point; counts are held in a byte and 255 stands for any higher count.
 GROUPS = 256
+#: The bound of a coordinate held as 255; a text that a row can hold has fewer shingles in a group.
+ANY_COUNT = 1 << 23
 #: Neighbouring coordinates that are added up for the boxes and the first test of a pair.
 MERGED = 4
 SKETCH_BITS = 23
@@ -230,8 +232,8 @@ def _search_tree(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.n
     points into the two blocks that are joined; None joins all with all.
     """
     order = np.argsort(n, kind="stable")
-    fine, n, comp = points[order].astype(np.int16), n[order], comp[order]
-    fine[fine == 255] = 1 << 13
+    fine, n, comp = points[order].astype(np.int32), n[order], comp[order]
+    fine[fine == 255] = ANY_COUNT
     points = fine.reshape(len(n), -1, MERGED).sum(axis=2, dtype=np.int32)
     side = None if side is None else side[order]
     pages = [(a, min(a + PAGE, len(n))) for a in range(0, len(n), PAGE)]
@@ -241,7 +243,7 @@ def _search_tree(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.n
     for p, (a, b) in enumerate(pages):
         q = np.arange(p, len(pages))
         q = q[100 * high[p] >= percent * low[q]]
-        bound = np.minimum(box[q], box[p]).sum(axis=1)
+        bound = np.minimum(box[q], box[p]).sum(axis=1, dtype=np.int64)
         q = q[(100 + percent) * bound >= percent * (low[p] + low[q])]
         for c, d in (pages[k] for k in q):
             i, j = (x.ravel() for x in np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij"))
@@ -250,7 +252,7 @@ def _search_tree(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.n
                 ok &= side[i] != side[j]
             i, j = i[ok], j[ok]
             if len(i):
-                overlap = np.minimum(points[i], points[j]).sum(axis=1)
+                overlap = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64)
                 ok = (100 + percent) * overlap >= percent * (n[i] + n[j])
                 i, j = i[ok], j[ok]
                 overlap = np.minimum(fine[i], fine[j]).sum(axis=1, dtype=np.int64)
@@ -432,8 +434,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32) for c in ("point_a", "point_b"))
             least = np.minimum(x, y)
-            least[least == 255] = 1 << 20
-            ok = ((100 + percent) * least.sum(axis=1) >= percent * (n_a + n_b)) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+            least[least == 255] = ANY_COUNT
+            ok = ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * (n_a + n_b)) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
             yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(ok))
 
     return both.mapInArrow(near, "a long, b long, key_a long, key_b long")

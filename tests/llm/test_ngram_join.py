@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from presswork.llm import ngram_join
@@ -52,3 +53,9 @@ def test_families_copied_over_an_even_number_of_partitions(spark, others):
     docs = spark.createDataFrame(spark.sparkContext.parallelize(sorted(rows), 2), "doc_id long, text string")
     got = {r["key"]: r["component_id"] for r in ngram_join.shingle_components(docs).collect()}
     assert got == {k: k if k % 1000 == 900 else k % 10 // 2 * 2 for k, _ in rows}
+
+
+@pytest.mark.parametrize("n", [3_000_000, 200_000_000])
+def test_saturated_points_bound_nothing(n):
+    i, j = ngram_join._search_tree(np.full((2, ngram_join.GROUPS), 255, np.uint8), np.array([n, n]), np.array([1, 2]), None, 75)
+    assert (i.tolist(), j.tolist()) == ([0], [1])
