@@ -22,3 +22,13 @@ def test_odd_rows(spark):
     assert got[1] == got[2] == got[3] == ("und", True) and got[5] == ("de", False) and got[None][0] == "en"
     assert language.classify(docs.limit(0), model).collect() == []
     assert {r._lang for r in language.classify(docs, {}).collect()} == {"und"}
+
+
+def test_long_clean_texts_keep_their_margin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    by: dict = {}
+    for r in docs.where("text is not null and lang is not null").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text)
+    long = [(k, ("\n".join(v) * 40)[:n]) for k, v in by.items() for n in (100_000, 3_000_000)]
+    got = language.classify(spark.createDataFrame(long, "lang string, text string"), language.learn(docs)).drop("text").collect()
+    assert len(got) == 8 and all(r._lang == r.lang and not r._rejected and r._margin >= 0.05 for r in got)
