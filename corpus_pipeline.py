@@ -16,20 +16,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where(~F.col("_rejected")).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, so that texts under a null or repeated id are told apart; stored, so that it stays."""
+    return common.stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+
+
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = common.stored(ngram_join.shingle_components(docs))
-    dropped = groups.where("key <> component_id").select(F.col("key").alias("doc_id"))
-    return common.without(docs.select(*COLUMNS), dropped, "doc_id")
+    """Of each group of near copies the document with the smallest id stays (a null id comes last)."""
+    rows = _numbered(docs)
+    groups = common.stored(ngram_join.shingle_components(rows, key="_row").select(F.col("key").alias("_row"), "component_id"))
+    ids = groups.join(rows.select("_row", "doc_id"), "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("one"))
+    dropped = common.stored(groups.select("_row").join(first.select("one._row"), "_row", "left_anti"))
+    return common.without(rows, dropped, "_row").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur elsewhere are cut out; a character cut in part goes."""
-    kept = repeats.remove_repeats(docs, carry=("lang", "source"))
+    kept = repeats.remove_repeats(_numbered(docs), key="_row", carry=("doc_id", "lang", "source"))
     # what is left of a character cut in part is not valid UTF-8 any more
     whole = F.col("kept").cast("string")
     text = F.when(F.col("n_removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
-    return kept.select(F.col("key").alias("doc_id"), text.alias("text"), "rest.lang", "rest.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return kept.select("rest.doc_id", text.alias("text"), "rest.lang", "rest.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,3 +25,13 @@ def test_stages_against_brute_force(spark):
     assert set(copies) <= {r.doc_id for r in cut} and max(copies.values()) <= 2
     assert Counter(r.doc_id for r in packed if r.piece == 0) == copies
     assert all(0 <= r.offset and r.offset + r.length <= 2048 for r in packed)
+
+
+def test_texts_under_null_and_repeated_ids_stay(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(30)) for name in "abcd"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[0])]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter({(1, texts[0]): 1, (5, texts[1]): 1, (5, texts[2]): 1, (None, texts[3]): 1})
+    joined = corpus_pipeline.join_near_copies(spark, docs, SF)
+    assert Counter((r.doc_id, r.text) for r in joined.collect()) == want
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.cut_repeats(spark, joined, SF).collect()) == want
