@@ -16,58 +16,72 @@ from pyspark.sql import functions as F
 
 from presswork.llm import common
 
-#: Bounds of the sample a model is learnt from.
+#: Bounds of the sample a model is learnt from; a text's characters come from so many places spread over it.
 SAMPLE_DOCS = 400
 DICT_BYTES = 96_000
 DOC_CHARS = 400
-MAX_LANGUAGES = 500
+PLACES = 4
+#: Languages that are learnt, or held as coders, at once.
+LANGUAGES_AT_ONCE = 500
 #: Bytes of text that are compressed at once.
 BLOCK_BYTES = 16_384
 UNKNOWN = "und"
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionary by language, from about `sample_docs` documents of each (the MAX_LANGUAGES most frequent),
-    at most DOC_CHARS of one document and `dict_bytes` in all. Rows with a null text or language teach nothing.
+    """Dictionary by language, from about `sample_docs` documents of each, at most DOC_CHARS
+    of one document (from PLACES places spread over it) and `dict_bytes` in all. Rows with a null text or language teach nothing.
     Documents are drawn by a hash of their text, so reruns and row orders agree."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null and length(text) >= 20")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / r["count"])))])
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null and text <> ''")
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     draw = (F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 11).cast("double") / float(1 << 53)).alias("draw")
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", F.substring("text", 1, DOC_CHARS).alias("text")).collect()
+    part = DOC_CHARS // PLACES
+    starts = [(F.lit(1) + F.floor((F.length("text") - part) * k / (PLACES - 1))).cast("int") for k in range(PLACES)]
+    spread = F.when(F.length("text") <= DOC_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *[F.substr("text", x, F.lit(part)) for x in starts]))
+    model: dict[str, bytes] = {}
+    for i in range(0, len(counts), LANGUAGES_AT_ONCE):
+        share = F.create_map(*[x for r in counts[i : i + LANGUAGES_AT_ONCE] for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / r["count"])))])
+        sample = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", spread.alias("text")).collect()
+        model |= _dictionaries(sample, sample_docs, dict_bytes)
+    return dict(sorted(model.items()))
+
+
+def _dictionaries(sample: list, sample_docs: int, dict_bytes: int) -> dict[str, bytes]:
     model: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["draw"], r["text"])):
         got = model.setdefault(r["lang"], [])
         if r["text"] not in got[-8:]:
             got.append(r["text"])
-    return {k: " ".join(v[:sample_docs]).lower().encode()[:dict_bytes] for k, v in sorted(model.items())}
+    return {k: " ".join(v[:sample_docs]).lower().encode()[:dict_bytes] for k, v in model.items()}
 
 
 def _classify(model: dict[str, bytes], level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        coders = []
-        for raw in model.values():
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-        names = list(model)
+        def coders_of(at: int) -> list:
+            coders = []
+            for raw in raws[at : at + LANGUAGES_AT_ONCE]:
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+            return coders
+
+        names, raws = list(model), list(model.values())
+        held = coders_of(0) if len(raws) <= LANGUAGES_AT_ONCE else None
         for batch in batches:
-            best, margin = [], []
-            for t in batch["text"]:
-                t = t.as_py()
-                if not t or not any(c.isalpha() for c in t) or not names:
-                    best.append(UNKNOWN)
-                    margin.append(0.0)
-                    continue
-                raw = memoryview(t.lower().encode())
-                blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-                sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, c in enumerate(coders))
-                best.append(names[sizes[0][1]])
-                margin.append(1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0])
+            least: list[list] = [[] for _ in range(batch.num_rows)]  # the two smallest (size, language) of each row
+            for at in range(0, len(raws), LANGUAGES_AT_ONCE):
+                coders = held or coders_of(at)
+                for row, t in enumerate(batch["text"]):
+                    t = t.as_py()
+                    if not t or not any(c.isalpha() for c in t):
+                        continue
+                    raw = memoryview(t.lower().encode())
+                    blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
+                    least[row] = sorted(least[row] + [(sum(len(c.compress(b)) for b in blocks), at + i) for i, c in enumerate(coders)])[:2]
+            best = [names[x[0][1]] if x else UNKNOWN for x in least]
+            margin = [0.0 if not x else 1.0 if len(x) == 1 else 1 - x[0][0] / x[1][0] for x in least]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names), pa.array(best, pa.string()), pa.array(margin, pa.float64())], [*batch.schema.names, "_lang", "_margin"])
 
     return run

@@ -32,3 +32,19 @@ def test_long_clean_texts_keep_their_margin(spark):
     long = [(k, ("\n".join(v) * 40)[:n]) for k, v in by.items() for n in (100_000, 3_000_000)]
     got = language.classify(spark.createDataFrame(long, "lang string, text string"), language.learn(docs)).drop("text").collect()
     assert len(got) == 8 and all(r._lang == r.lang and not r._rejected and r._margin >= 0.05 for r in got)
+
+
+def test_headers_short_texts_and_many_languages(spark, monkeypatch):
+    header, body = "the same notice opens every document of this kind. " * 10, "oro mavi selun tarek " * 40
+    rows = [(1, header + body, "aa"), (2, header, "bb"), (3, "ja nee", "cc"), (4, "q" * 30, "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = language.learn(docs)
+    assert sorted(whole) == ["aa", "bb", "cc", "dd"] and b"selun" in whole["aa"] and whole["cc"] == b"ja nee"
+    asked = docs.union(spark.createDataFrame([(5, "selun tarek oro mavi selun tarek", None)], docs.schema))
+    want = {r.doc_id: (r._lang, r._margin) for r in language.classify(asked, whole).collect()}
+    assert want[5][0] == "aa"
+    monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 3)
+    assert language.learn(docs) == whole
+    run = language._classify(whole, 6)
+    batch = next(run(iter(asked.toArrow().combine_chunks().to_batches())))
+    assert {k: (a, m) for k, a, m in zip(*(batch[c].to_pylist() for c in ("doc_id", "_lang", "_margin")), strict=True)} == want
