@@ -1,11 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A document's terms are its word shingles, weighted by how often they occur. A term with weight S and
-gamma-distributed r, c and uniform b (drawn from its hash) has the score
-ln c - r (t - b) - r with t = floor(ln S / r + b), and the term with the smallest score is the
-sample, together with t. Terms are dealt into as many bins as the signature has samples and every
-bin keeps its smallest score, so one draw per term fills the whole signature; the share of bins
-that agree, among those that are not empty in both, estimates the generalised Jaccard similarity.
+A document's terms are its word shingles, weighted by how often they occur. A term of weight S is dealt
+out unit by unit: unit j goes to bin (start + j * stride) mod BINS, start and odd stride drawn from the term, so
+the units of the lighter of two weights lie where those of the heavier do, and minima and
+maxima of weights, summed over the bins, are those of the documents. In a bin, a term that has W units there and
+gamma-distributed r, c and uniform b (drawn from term and place) has the score ln c - r (t - b) - r with
+t = floor(ln W / r + b); the term with the smallest score is the bin's sample, together with t. The
+share of bins that agree, among those that are not empty in both, estimates the generalised Jaccard similarity.
+
+Terms are rows of generated code, not lambdas over arrays: hashes are sorted inside their document, each run
+of equal ones gives a term and its weight, and the smallest score of a bin is a hash aggregate in the
+partition that already holds the document.
 """
 
 from __future__ import annotations
@@ -15,82 +20,100 @@ from pyspark.sql import functions as F
 
 from presswork.llm import common
 
-#: log2 of the bins, and bits of a sample's identity; a packed term is bin, 40 bits of score, identity.
-BIN_BITS = 7
+#: Samples of a signature (a power of two), bits of a sample's identity, and of a score, which stands above it in a long.
+BINS = 128
 ID_BITS = 16
 SCORE_BITS = 40
-EMPTY = (1 << ID_BITS) - 1
+#: A run of equal hashes is measured by hexadecimal digits; no row can hold more words than so many count.
+RUN_DIGITS = 7
 
 
-def shingle_hashes(text: Column, size: int = 5) -> Column:
-    """Hashes of all runs of `size` words (A-Z lower-cased); fewer words: the whole sequence as one; none: []."""
-    words = F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(common.WORD), F.lit(0))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.transform(F.array(hashed), lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(
-        F.size(h) < size, F.array(F.xxhash64(h))
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))))[0]
+def word_array(text: Column) -> Column:
+    """The lower-cased words of a text."""
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
 
 
-def _bits(h: Column, shift: int, n: int) -> Column:
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1))).cast("double")
+def term_hashes(words: str, size: int) -> Column:
+    """Sorted hashes of all runs of `size` words; with fewer words the whole sequence as one, without words none."""
+    w, n = F.col(words), F.size(words)
+    runs = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)]))
+    return F.sort_array(F.when(n < size, F.slice(F.array(F.xxhash64(w)), 1, F.least(n, F.lit(1)))).otherwise(F.slice(runs, 1, n - (size - 1))))
 
 
-def signature(text: Column, size: int = 5) -> Column:
-    """array<int> of 2**BIN_BITS samples; -1 in bins without a term. A null text is an empty one."""
-    hashes = F.array_sort(shingle_hashes(F.coalesce(text, F.lit("")), size))
+def weighted(rows: DataFrame, terms: str, place: str, term: str) -> DataFrame:
+    """Of exploded sorted `terms` (place, term) the last row of each run of equal ones, with the run's length as `weight`."""
+    at = lambda k: F.get(F.col(terms), k)
+    out = rows.where(F.col(place).isNotNull() & F.coalesce(at(F.col(place) + 1) != F.col(term), F.lit(True))).withColumn("back", F.lit(0))
+    for digit in range(RUN_DIGITS - 1, -1, -1):
+        step = 16**digit
+        more = F.when(F.coalesce(at(F.col(place) - 1) != F.col(term), F.lit(True)), 0)
+        for k in range(15, 0, -1):
+            more = more.when(at(F.col(place) - F.col("back") - k * step) == F.col(term), k * step)
+        out = out.withColumn("back", F.col("back") + more.otherwise(0))
+    return out.withColumn("weight", F.col("back") + 1).drop("back")
 
-    def terms(h: Column) -> Column:
-        last = F.filter(F.sequence(F.lit(1), F.size(h)), lambda p: (p == F.size(h)) | (F.get(h, p - 1) != F.get(h, p)))
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.array(last), lambda ends: F.transform(ends, lambda p, i: packed(F.get(h, p - 1), (p - F.when(i == 0, 0).otherwise(F.get(ends, i - 1))).cast("double"))))[0]
-        )
 
-    def packed(h: Column, weight: Column) -> Column:
-        unit = 1 << 21
-        one, two = F.xxhash64(h, F.lit(1)), F.xxhash64(h, F.lit(2))
-        drawn = F.struct(
-            (-F.log((_bits(one, 0, 21) + 0.5) * (_bits(one, 21, 21) + 0.5) / float(unit * unit))).alias("r"),
-            F.log(-F.log((_bits(two, 0, 21) + 0.5) * (_bits(two, 21, 21) + 0.5) / float(unit * unit))).alias("ln_c"),
-            ((_bits(one, 42, 21) + 0.5) / float(unit)).alias("b"),
-        )
+def _uniform(h: str, shift: int) -> Column:
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / float(1 << 21)
 
-        def with_t(d: Column) -> Column:
-            return F.transform(F.array(F.when(weight == 1, F.lit(0.0)).otherwise(F.floor(F.log(weight) / d["r"] + d["b"]).cast("double"))), lambda t: pack(d, t))[0]
 
-        def pack(d: Column, t: Column) -> Column:
-            score = d["ln_c"] - d["r"] * (t - d["b"]) - d["r"]
-            level = F.greatest(F.lit(0), F.least(F.lit((1 << SCORE_BITS) - 1), ((score + 512) * float(1 << (SCORE_BITS - 10))).cast("bigint")))
-            identity = F.pmod(F.xxhash64(h, t), F.lit(EMPTY))
-            place = F.shiftrightunsigned(h, 64 - BIN_BITS)
-            return F.shiftleft(place, SCORE_BITS + ID_BITS).bitwiseOR(F.shiftleft(level, ID_BITS)).bitwiseOR(identity)
+def dealt(rows: DataFrame, term: str, weight: str) -> DataFrame:
+    """Each term's bins (`bin`) and what it offers there (`sample`: score above identity; a bin keeps the smallest)."""
+    units = rows.withColumn("unit", F.explode_outer(F.sequence(F.lit(0), F.least(F.col(weight), F.lit(BINS)) - 1)))
+    start, stride = F.col(term).bitwiseAND(F.lit(BINS - 1)), F.shiftrightunsigned(term, 32).bitwiseAND(F.lit(BINS - 1)).bitwiseOR(F.lit(1))
+    units = units.withColumn("bin", (start + F.col("unit") * stride).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+    units = units.withColumn("held", F.floor((F.col(weight) - 1 - F.col("unit")) / BINS) + 1)
+    drawn = units.withColumn("one", F.xxhash64(term, "unit")).withColumn("two", F.xxhash64("one"))
+    drawn = drawn.withColumn("r", -F.log(_uniform("one", 0) * _uniform("one", 21))).withColumn("b", _uniform("one", 42))
+    drawn = drawn.withColumn("t", F.when(F.col("held") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.log("held") / F.col("r") + F.col("b"))))
+    score = F.log(-F.log(_uniform("two", 0) * _uniform("two", 21))) - F.col("r") * (F.col("t") - F.col("b")) - F.col("r")
+    level = F.greatest(F.lit(0), F.least(F.lit((1 << SCORE_BITS) - 1), ((score + 512) * float(1 << (SCORE_BITS - 10))).cast("long")))
+    identity = (F.shiftrightunsigned("two", 64 - ID_BITS) + F.col("t") * 40503).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    return drawn.withColumn("sample", F.shiftleft(level, ID_BITS).bitwiseOR(identity))
 
-        return F.transform(F.array(drawn), with_t)[0]
 
-    shift = SCORE_BITS + ID_BITS
-    fill = F.transform(F.sequence(F.lit(0), F.lit((1 << BIN_BITS) - 1)), lambda b: F.shiftleft(b.cast("bigint"), shift).bitwiseOR(F.lit((1 << shift) - 1)))
-    ordered = F.array_sort(F.concat(F.transform(F.array(hashes), terms)[0], fill))
-    least = F.transform(F.array(ordered), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, shift) != F.shiftrightunsigned(F.get(a, i - 1), shift))))[0]
-    return F.transform(least, lambda x: F.when(x.bitwiseAND(F.lit(EMPTY)) == EMPTY, -1).otherwise(x.bitwiseAND(F.lit(EMPTY))).cast("int"))
+def signatures(rows: DataFrame, by: list[str], texts: list[str], size: int = 5) -> DataFrame:
+    """(by, signature0, signature1 ..., near: likeness of the first two or null) from the `texts` columns of each row.
+
+    A signature is a sorted array<int> of bin above identity; empty bins are left out. Rows equal in `by` must be equal. If the rows
+    are dealt by some of `by` already, nothing is moved.
+    """
+    parted = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(t).alias("text")) for k, t in enumerate(texts)])).alias("one"))
+    words = parted.select(*by, "one.which", word_array(F.col("one.text")).alias("words"))
+    terms = words.select(*by, "which", term_hashes("words", size).alias("terms"))
+    each = terms.select(*by, "which", "terms", F.posexplode_outer("terms").alias("place", "term"))  # outer: Spark would push a filter on the size below all projections
+    samples = dealt(weighted(each, "terms", "place", "term"), "term", "weight")
+    bins = samples.groupBy(*by, "bin").agg(*[F.min(F.when(F.col("which") == k, F.col("sample"))).alias(f"s{k}") for k in range(len(texts))])
+    ident = lambda k: F.shiftleft("bin", ID_BITS).bitwiseOR(F.col(f"s{k}").bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int"))
+    some = F.col("s0").isNotNull() | F.col("s1").isNotNull() if len(texts) > 1 else F.lit(True)
+    near = F.try_divide(F.count(F.when(ident(0) == ident(1), 1)), F.count(F.when(some, 1))) if len(texts) > 1 else F.lit(None).cast("double")
+    return bins.groupBy(*by).agg(*[F.sort_array(F.collect_list(ident(k))).alias(f"signature{k}") for k in range(len(texts))], near.alias("near"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated generalised Jaccard similarity of two signatures; 1 if both texts have no term, null with a null."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == -1) & (y == -1), F.lit(0)).when(x == y, F.lit(65537)).otherwise(F.lit(1)))
-    total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return F.when(F.pmod(total, F.lit(65536)) == 0, F.lit(1.0)).otherwise(F.try_divide(F.shiftright(total, 16).cast("double"), F.pmod(total, F.lit(65536)).cast("double")))
+    """Estimated generalised Jaccard similarity of two signatures; 1 if both texts have no term."""
+    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, ID_BITS))
+    either = F.size(a) + F.size(b) - F.size(F.array_intersect(bins(a), bins(b)))
+    return F.when(either == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), either.cast("double")))
 
 
 def fingerprint(samples: Column) -> Column:
-    """The signature as a string of 4 hex digits a bin."""
-    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(F.pmod(x, F.lit(1 << ID_BITS)))), 4, "0")), "")
+    """The signature as a string of 6 hex digits for each bin that is not empty."""
+    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 6, "0")), "")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 5) -> DataFrame:
-    """The input's columns and signature array<int>, fingerprint string: a map over rows, nothing is moved.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
+    """(key, signature array<int>, fingerprint string) of every row; texts move once, by key.
 
-    Equal texts have equal fingerprints. A null text counts as empty; texts without words have all bins empty.
+    Equal texts have equal fingerprints. A null text counts as empty; texts without words have an empty signature. Null keys are
+    kept; rows that repeat key and text give a row each; other columns are ignored; an empty table gives an empty one.
     """
-    return docs.withColumn("signature", signature(F.col(text), size)).withColumn("fingerprint", fingerprint(F.col("signature")))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("content", F.xxhash64("text", F.lit(1)))
+    rows = rows.repartition("id", "content")
+    found = signatures(rows, ["id", "content"], ["text"], size).select(F.col("id").alias("found_id"), F.col("content").alias("found_content"), "signature0")
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("content") == F.col("found_content"))
+    out = rows.select("id", "content").join(found, same, "left").select(F.col("id").alias(key), F.coalesce("signature0", F.array().cast("array<int>")).alias("signature"))
+    return out.withColumn("fingerprint", fingerprint(F.col("signature")))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -113,30 +136,36 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 
     The edited text has the last quarter replaced by as many first code points of the next text,
     ascending key, after the last the first. A null text is empty. Rows that repeat a key have the same
-    next text, and the smallest of their texts is the one that comes next to others; a row whose key is null, or a table of
-    a single key, is compared with itself. An empty table gives an empty one.
+    next text, and the one of their texts with the smallest hash comes next to others; a row whose key is null, or a table of
+    a single key, is compared with itself. Other columns are ignored. An empty table gives an empty one.
     """
-    signed = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("signature", signature(F.col("text"), size))
-    # both sides of the join below read this very plan, so its exchange (and the signatures) are made once
-    base = signed.where("id is not null")
-    ids = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n"))
-    ids = common.stored(ids)
-    order = neighbours(ids)
-    ends = ids.agg(F.max(F.struct("id", "n")).alias("last"))
-    order = order.crossJoin(F.broadcast(ends)).select("id", F.coalesce("previous", "last.id").alias("previous"), F.coalesce("n_previous", "last.n").alias("n_previous"))  # one row
-    heads = base.join(order, "id").select(F.col("previous").alias("id"), F.struct(F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int")).alias("head"), F.col("signature").alias("next")).alias("after"))
-    heads = heads.groupBy("id").agg(F.min("after").alias("after"))
-    alone = signed.where("id is null").withColumn("after", F.lit(None).cast(heads.schema["after"].dataType))
-    both = base.join(heads, "id", "left").unionByName(alone)
+    content = F.xxhash64("text", F.lit(1))
+    # rows without a key are spread by their text; real keys have spread 0
+    base = docs.select(F.col(key).cast("long").alias("given"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = base.select(F.coalesce("given", F.lit(0)).alias("id"), F.when(F.col("given").isNull(), F.pmod(content, F.lit(1 << 20)) + 1).otherwise(F.lit(0)).alias("spread"), "text")
+    ids = common.stored(base.where("spread = 0").groupBy("id").agg(F.max(F.length("text")).alias("n"), F.min(content).alias("first")))
+    ends = ids.agg(F.max(F.struct("id", "n")).alias("last"))  # one row
+    order = neighbours(ids.select("id", "n")).crossJoin(F.broadcast(ends)).select("id", F.coalesce("previous", "last.id").alias("previous"), F.coalesce("n_previous", "last.n").alias("n_previous"))
+    order = common.stored(order.join(ids.select("id", "first"), "id"))
+    # the texts move once: both joins read the same exchange of them
+    zero = F.lit(0).cast("long").alias("spread")
+    nexts = base.join(order.select("id", zero, "previous", "n_previous", "first"), ["id", "spread"]).where(content == F.col("first"))
+    heads = nexts.groupBy(F.col("previous").alias("id")).agg(F.min(F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int"))).alias("head"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.when(F.col("after").isNull(), F.substring(F.col("text"), n - quarter + 1, quarter)).otherwise(F.substring(F.col("after.head"), F.lit(1), quarter)))
-    # text functions count code points; the signature of the edited text is taken once
-    out = both.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "signature", F.coalesce("after.next", "signature").alias("next"))
-    out = out.withColumn("edited_signature", signature(F.col("edited"), size))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.when(F.col("head").isNull(), F.substring(F.col("text"), n - quarter + 1, quarter)).otherwise(F.substring(F.col("head"), F.lit(1), quarter)))
+    both = base.join(heads.select("id", zero, "head"), ["id", "spread"], "left").select("id", "spread", content.alias("content"), "text", edited.alias("edited"))
+    found = common.stored(signatures(both, ["id", "spread", "content"], ["text", "edited"], size))
+    rows = both.select("id", "spread", "content", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    none = F.array().cast("array<int>")
+    after = order.select(F.col("id").alias("next"), F.col("previous").alias("id"), "first")
+    after = after.join(found.where("spread = 0").select(F.col("id").alias("next"), F.col("content").alias("first"), F.col("signature0").alias("signature_next")), ["next", "first"], "left")
+    after = after.select("id", zero, F.coalesce("signature_next", none).alias("signature_next"))
+    out = rows.join(found, ["id", "spread", "content"], "left").join(after, ["id", "spread"], "left")
+    own, changed = F.coalesce("signature0", none), F.coalesce("signature1", none)
     return out.select(
-        F.col("id").alias(key), "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("signature")).alias("fingerprint"), fingerprint(F.col("edited_signature")).alias("edited_fingerprint"),
-        likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next")).alias("near_next"),
+        F.when(F.col("spread") == 0, F.col("id")).alias(key), "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"),
+        F.coalesce("near", F.lit(1.0)).alias("near_edited"), likeness(own, F.coalesce("signature_next", own)).alias("near_next"),
     )
 
 
