@@ -15,6 +15,8 @@ partition that already holds the document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,7 @@ from presswork.llm import common
 BINS = 128
 ID_BITS = 16
 SCORE_BITS = 40
-#: A run of equal hashes is measured by hexadecimal digits; no row can hold more words than so many count.
-RUN_DIGITS = 7
+LANES = 64 // ID_BITS
 
 
 def word_array(text: Column) -> Column:
@@ -40,17 +41,17 @@ def term_hashes(words: str, size: int) -> Column:
     return F.sort_array(F.when(n < size, F.slice(F.array(F.xxhash64(w)), 1, F.least(n, F.lit(1)))).otherwise(F.slice(runs, 1, n - (size - 1))))
 
 
-def weighted(rows: DataFrame, terms: str, place: str, term: str) -> DataFrame:
-    """Of exploded sorted `terms` (place, term) the last row of each run of equal ones, with the run's length as `weight`."""
-    at = lambda k: F.get(F.col(terms), k)
-    out = rows.where(F.col(place).isNotNull() & F.coalesce(at(F.col(place) + 1) != F.col(term), F.lit(True))).withColumn("back", F.lit(0))
-    for digit in range(RUN_DIGITS - 1, -1, -1):
-        step = 16**digit
-        more = F.when(F.coalesce(at(F.col(place) - 1) != F.col(term), F.lit(True)), 0)
-        for k in range(15, 0, -1):
-            more = more.when(at(F.col(place) - F.col("back") - k * step) == F.col(term), k * step)
-        out = out.withColumn("back", F.col("back") + more.otherwise(0))
-    return out.withColumn("weight", F.col("back") + 1).drop("back")
+def run_ends(terms: str) -> Column:
+    """Places of the last of each run of equal values in a sorted array."""
+    return F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda p: F.coalesce(F.get(F.col(terms), p + 1) != F.get(F.col(terms), p), F.lit(True)))
+
+
+def weighted(rows: DataFrame, terms: str, *other: str) -> DataFrame:
+    """(other columns, term, weight): the distinct values of a sorted array and how often each occurs; an empty array has one null term."""
+    ends = rows.select(*other, terms, F.when(F.size(terms) > 0, run_ends(terms)).alias("ends"))
+    # outer: else Spark would push a filter on the array's size below all projections and compute it twice
+    each = ends.select(*other, terms, "ends", F.posexplode_outer("ends").alias("k", "end"))
+    return each.select(*other, F.get(F.col(terms), F.col("end")).alias("term"), (F.col("end") - F.coalesce(F.get("ends", F.col("k") - 1), F.lit(-1))).alias("weight"))
 
 
 def _uniform(h: str, shift: int) -> Column:
@@ -68,51 +69,66 @@ def dealt(rows: DataFrame, term: str, weight: str) -> DataFrame:
     drawn = drawn.withColumn("t", F.when(F.col("held") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.log("held") / F.col("r") + F.col("b"))))
     score = F.log(-F.log(_uniform("two", 0) * _uniform("two", 21))) - F.col("r") * (F.col("t") - F.col("b")) - F.col("r")
     level = F.greatest(F.lit(0), F.least(F.lit((1 << SCORE_BITS) - 1), ((score + 512) * float(1 << (SCORE_BITS - 10))).cast("long")))
-    identity = (F.shiftrightunsigned("two", 64 - ID_BITS) + F.col("t") * 40503).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    identity = F.pmod(F.shiftrightunsigned("two", 64 - ID_BITS) + F.col("t") * 40503, F.lit((1 << ID_BITS) - 1)) + 1
     return drawn.withColumn("sample", F.shiftleft(level, ID_BITS).bitwiseOR(identity))
 
 
-def signatures(rows: DataFrame, by: list[str], texts: list[str], size: int = 5) -> DataFrame:
-    """(by, signature0, signature1 ..., near: likeness of the first two or null) from the `texts` columns of each row.
+def signatures(rows: DataFrame, by: list[str], texts: list[str], size: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, carry, signature0, signature1 ..., near: likeness of the first two or null) from the `texts` columns of each row.
 
-    A signature is a sorted array<int> of bin above identity; empty bins are left out. Rows equal in `by` must be equal. If the rows
-    are dealt by some of `by` already, nothing is moved.
+    A signature is an array<bigint> of LANES samples each, empty bins being 0. Rows equal in `by` have to be equal, and `carry` names other
+    columns of theirs that are long. If the rows are dealt by some of `by` already, nothing is moved.
     """
-    parted = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(t).alias("text")) for k, t in enumerate(texts)])).alias("one"))
-    words = parted.select(*by, "one.which", word_array(F.col("one.text")).alias("words"))
-    terms = words.select(*by, "which", term_hashes("words", size).alias("terms"))
-    each = terms.select(*by, "which", "terms", F.posexplode_outer("terms").alias("place", "term"))  # outer: Spark would push a filter on the size below all projections
-    samples = dealt(weighted(each, "terms", "place", "term"), "term", "weight")
-    bins = samples.groupBy(*by, "bin").agg(*[F.min(F.when(F.col("which") == k, F.col("sample"))).alias(f"s{k}") for k in range(len(texts))])
-    ident = lambda k: F.shiftleft("bin", ID_BITS).bitwiseOR(F.col(f"s{k}").bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int"))
-    some = F.col("s0").isNotNull() | F.col("s1").isNotNull() if len(texts) > 1 else F.lit(True)
-    near = F.try_divide(F.count(F.when(ident(0) == ident(1), 1)), F.count(F.when(some, 1))) if len(texts) > 1 else F.lit(None).cast("double")
-    return bins.groupBy(*by).agg(*[F.sort_array(F.collect_list(ident(k))).alias(f"signature{k}") for k in range(len(texts))], near.alias("near"))
+    parted = rows.select(*by, *carry, F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(t).alias("text")) for k, t in enumerate(texts)])).alias("one"))
+    words = parted.select(*by, *carry, "one.which", word_array(F.col("one.text")).alias("words"))
+    terms = words.select(*by, *carry, "which", term_hashes("words", size).alias("terms"))
+    samples = dealt(weighted(terms, "terms", *by, *carry, "which"), "term", "weight")
+    held = [F.min(c).alias(c) for c in carry]
+    # a slot is a long of the signature: LANES bins; identities are 1 and more, so 0 is an empty bin
+    samples = samples.select(*by, *carry, "which", "sample", F.shiftright("bin", LANES.bit_length() - 1).alias("slot"), F.col("bin").bitwiseAND(F.lit(LANES - 1)).alias("lane"))
+    each = [(k, i) for k in range(len(texts)) for i in range(LANES)]
+    least = [F.min(F.when((F.col("which") == k) & (F.col("lane") == i), F.col("sample"))).alias(f"s{k}_{i}") for k, i in each]
+    slots = samples.groupBy(*by, "slot").agg(*held, *least)
+    lane = lambda k, i: F.coalesce(F.shiftleft(F.col(f"s{k}_{i}").bitwiseAND(F.lit((1 << ID_BITS) - 1)), ID_BITS * i), F.lit(0).cast("long"))
+    slots = slots.select(*by, *carry, "slot", *[reduce(Column.bitwiseOR, [lane(k, i) for i in range(LANES)]).alias(f"p{k}") for k in range(len(texts))])
+    empty = F.lit(0).cast("long")
+    long_of = lambda k: F.array(*[F.coalesce(F.max(F.when(F.col("slot") == i, F.col(f"p{k}"))), empty) for i in range(BINS // LANES)]).alias(f"signature{k}")
+    either, differ = (F.sum(_used(getattr(F.col("p0"), how)(F.col("p1")))) if len(texts) > 1 else F.lit(None) for how in ("bitwiseOR", "bitwiseXOR"))
+    near = F.when(either == 0, F.lit(1.0)).otherwise(F.try_divide((either - differ).cast("double"), either.cast("double")))
+    return slots.groupBy(*by).agg(*held, *[long_of(k) for k in range(len(texts))], near.alias("near"))
+
+
+def _used(x: Column) -> Column:
+    """How many lanes of a long are not 0."""
+    for shift in (8, 4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(sum(((1 << (ID_BITS - shift)) - 1) << (ID_BITS * k) for k in range(LANES)))))
+    return F.bit_count(x.bitwiseAND(F.lit(sum(1 << (ID_BITS * k) for k in range(LANES)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated generalised Jaccard similarity of two signatures; 1 if both texts have no term."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, ID_BITS))
-    either = F.size(a) + F.size(b) - F.size(F.array_intersect(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), either.cast("double")))
+    # lanes that are used and differ, above lanes that are used in either
+    pairs = F.zip_with(a, b, lambda x, y: F.shiftleft(_used(x.bitwiseXOR(y)), 16) + _used(x.bitwiseOR(y)))
+    either = lambda s: s.bitwiseAND(F.lit(65535)).cast("double")
+    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x, lambda s: F.when(either(s) == 0, F.lit(1.0)).otherwise(F.try_divide(either(s) - F.shiftright(s, 16), either(s))))
 
 
 def fingerprint(samples: Column) -> Column:
-    """The signature as a string of 6 hex digits for each bin that is not empty."""
-    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 6, "0")), "")
+    """The signature as a string of 16 hex digits a long."""
+    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """(key, signature array<int>, fingerprint string) of every row; texts move once, by key.
+    """(key, signature array<bigint>, fingerprint string) of every row; texts move once, by key.
 
-    Equal texts have equal fingerprints. A null text counts as empty; texts without words have an empty signature. Null keys are
+    Equal texts have equal fingerprints. A null text counts as empty; texts without words have a signature of zeros. Null keys are
     kept; rows that repeat key and text give a row each; other columns are ignored; an empty table gives an empty one.
     """
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("content", F.xxhash64("text", F.lit(1)))
     rows = rows.repartition("id", "content")
     found = signatures(rows, ["id", "content"], ["text"], size).select(F.col("id").alias("found_id"), F.col("content").alias("found_content"), "signature0")
     same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("content") == F.col("found_content"))
-    out = rows.select("id", "content").join(found, same, "left").select(F.col("id").alias(key), F.coalesce("signature0", F.array().cast("array<int>")).alias("signature"))
+    out = rows.select("id", "content").join(found, same, "left").select(F.col("id").alias(key), F.col("signature0").alias("signature"))
     return out.withColumn("fingerprint", fingerprint(F.col("signature")))
 
 
@@ -143,29 +159,28 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     # rows without a key are spread by their text; real keys have spread 0
     base = docs.select(F.col(key).cast("long").alias("given"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.select(F.coalesce("given", F.lit(0)).alias("id"), F.when(F.col("given").isNull(), F.pmod(content, F.lit(1 << 20)) + 1).otherwise(F.lit(0)).alias("spread"), "text")
-    ids = common.stored(base.where("spread = 0").groupBy("id").agg(F.max(F.length("text")).alias("n"), F.min(content).alias("first")))
+    ids = common.stored(base.where("spread = 0").groupBy("id", "spread").agg(F.max(F.length("text")).alias("n"), F.min(content).alias("first")))
     ends = ids.agg(F.max(F.struct("id", "n")).alias("last"))  # one row
     order = neighbours(ids.select("id", "n")).crossJoin(F.broadcast(ends)).select("id", F.coalesce("previous", "last.id").alias("previous"), F.coalesce("n_previous", "last.n").alias("n_previous"))
-    order = common.stored(order.join(ids.select("id", "first"), "id"))
+    order = common.stored(order.join(ids.select("id", "spread", "first"), "id"))
     # the texts move once: both joins read the same exchange of them
-    zero = F.lit(0).cast("long").alias("spread")
-    nexts = base.join(order.select("id", zero, "previous", "n_previous", "first"), ["id", "spread"]).where(content == F.col("first"))
-    heads = nexts.groupBy(F.col("previous").alias("id")).agg(F.min(F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int"))).alias("head"))
+    nexts = base.join(order, ["id", "spread"]).where(content == F.col("first"))
+    heads = nexts.groupBy(F.col("previous").alias("id"), "spread").agg(F.min(F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int"))).alias("head"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.when(F.col("head").isNull(), F.substring(F.col("text"), n - quarter + 1, quarter)).otherwise(F.substring(F.col("head"), F.lit(1), quarter)))
-    both = base.join(heads.select("id", zero, "head"), ["id", "spread"], "left").select("id", "spread", content.alias("content"), "text", edited.alias("edited"))
-    found = common.stored(signatures(both, ["id", "spread", "content"], ["text", "edited"], size))
-    rows = both.select("id", "spread", "content", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    none = F.array().cast("array<int>")
-    after = order.select(F.col("id").alias("next"), F.col("previous").alias("id"), "first")
-    after = after.join(found.where("spread = 0").select(F.col("id").alias("next"), F.col("content").alias("first"), F.col("signature0").alias("signature_next")), ["next", "first"], "left")
-    after = after.select("id", zero, F.coalesce("signature_next", none).alias("signature_next"))
-    out = rows.join(found, ["id", "spread", "content"], "left").join(after, ["id", "spread"], "left")
-    own, changed = F.coalesce("signature0", none), F.coalesce("signature1", none)
+    both = base.join(heads, ["id", "spread"], "left").select("id", "spread", F.monotonically_increasing_id().alias("row"), content.alias("content"), "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    digest = both.withColumn("digest", F.sha2(F.encode("edited", "UTF-8"), 256))
+    parts = [f"digest{k}" for k in range(4)]
+    digest = digest.select("*", *[F.conv(F.substring("digest", 16 * k + 1, 16), 16, -10).cast("long").alias(p) for k, p in enumerate(parts)])
+    found = common.stored(signatures(digest, ["id", "spread", "row"], ["text", "edited"], size, ("content", "n_chars", *parts)))
+    after = found.where("spread = 0").select("id", F.col("content").alias("first"), F.col("signature0").alias("signature_next")).join(order, ["id", "first"])
+    after = after.select(F.col("previous").alias("id"), "spread", "signature_next").dropDuplicates(["id", "spread"])
+    out = found.join(after, ["id", "spread"], "left")
     return out.select(
-        F.when(F.col("spread") == 0, F.col("id")).alias(key), "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"),
-        F.coalesce("near", F.lit(1.0)).alias("near_edited"), likeness(own, F.coalesce("signature_next", own)).alias("near_next"),
+        F.when(F.col("spread") == 0, F.col("id")).alias(key), "n_chars", F.concat(*[F.lpad(F.lower(F.hex(p)), 16, "0") for p in parts]).alias("edited_sha256"),
+        fingerprint(F.col("signature0")).alias("fingerprint"), fingerprint(F.col("signature1")).alias("edited_fingerprint"),
+        F.col("near").alias("near_edited"), likeness(F.col("signature0"), F.coalesce("signature_next", "signature0")).alias("near_next"),
     )
 
 

@@ -31,12 +31,12 @@ def test_edited_texts_and_estimates(spark):
         off += [got[k].near_edited - _jaccard(_weights(t), _weights(edited)), got[k].near_next - _jaccard(_weights(t), _weights(after))]
     assert abs(sum(off) / len(off)) < 0.02 and sorted(map(abs, off))[int(len(off) * 0.99)] < 0.13
     assert got[705].fingerprint == got[0].fingerprint and got[700].fingerprint == got[701].fingerprint
-    assert got[700].fingerprint == "" and all(len(r.fingerprint) <= 6 * fp.BINS for r in got.values())
+    assert set(got[700].fingerprint) == {"0"} and all(len(r.fingerprint) == 4 * fp.BINS for r in got.values())
 
 
 def _estimate(spark, a, b, size=5):
     got = {r.k: r.signature for r in fp.fingerprints(spark.createDataFrame([(1, a), (2, b)], "k long, text string"), "k", size=size).collect()}
-    return spark.createDataFrame([(got[1], got[2])], "a array<int>, b array<int>").select(fp.likeness(F.col("a"), F.col("b"))).first()[0]
+    return spark.createDataFrame([(got[1], got[2])], "a array<long>, b array<long>").select(fp.likeness(F.col("a"), F.col("b"))).first()[0]
 
 
 def _numbered(name, n):
@@ -59,7 +59,7 @@ def test_very_long_text_and_weights(spark):
     words = ["z"] * 300_000 + [f"v{i}" for i in range(100_000)] + ["q", "r"] * 50
     df = spark.createDataFrame([(" ".join(words),)], "text string").select(fp.word_array(F.col("text")).alias("words"))
     terms = df.select(fp.term_hashes("words", 1).alias("terms"))
-    got = fp.weighted(terms.select("terms", F.posexplode_outer("terms").alias("place", "term")), "terms", "place", "term").select("weight")
+    got = fp.weighted(terms, "terms").select("weight")
     assert sorted(got.groupBy("weight").count().collect()) == [(1, 100_000), (50, 2), (300_000, 1)]
     long = " ".join(words)
     assert _estimate(spark, long, long + " end of it") > 0.95
@@ -68,7 +68,7 @@ def test_very_long_text_and_weights(spark):
 def test_other_columns_and_repeats_in_fingerprints(spark):
     df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 6, "x"), (None, None, 7, "y"), (2, "", 8, None)], "doc_id long, text string, signature int, content string")
     got = fp.fingerprints(df)
-    assert got.columns == ["doc_id", "signature", "fingerprint"] and sorted((r.doc_id or 0, r.fingerprint != "") for r in got.collect()) == [(0, False), (1, True), (1, True), (2, False)]
+    assert got.columns == ["doc_id", "signature", "fingerprint"] and sorted((r.doc_id or 0, set(r.fingerprint) != {"0"}) for r in got.collect()) == [(0, False), (1, True), (1, True), (2, False)]
     assert fp.fingerprints(df.limit(0)).collect() == []
     wide = df.withColumns({c: F.lit(1) for c in ("id", "spread", "head", "first", "previous", "edited", "bin", "near")})
     assert len(fp.compare_edited(wide).collect()) == 4
