@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them.
@@ -36,11 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
-    """Fixed-size bitmap of the hashes of a long column: 2**log2_bits bits whatever the input.
+def bitmap(df: DataFrame, column: str, most_bits: int = 27) -> np.ndarray:
+    """Bitmap of the hashes of a long column: some 16 bits a row, 2**most_bits (16 MB) at most.
 
-    It is only ever a filter ahead of an exact step: a full bitmap lets everything through.
+    It is only ever a filter ahead of an exact step: a fuller bitmap lets more through.
     """
+    log2_bits = min(most_bits, max(16, (16 * df.count()).bit_length()))
     slot = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << log2_bits))
     rows = (
         df.select(slot.alias("slot"))
@@ -54,6 +55,15 @@ def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     return words
 
 
+def may_be_in(words: np.ndarray, column: str) -> Column:
+    """Whether a long column may be in a bitmap(); a null is not. Only this column goes to Python."""
+
+    def test(values: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(words, values.fill_null(0).to_numpy(zero_copy_only=False)) & values.is_valid().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(test, "boolean")(F.col(column).cast("long"))
+
+
 def spark_xxhash64(values: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of a long column, seed 42, for int64 values."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -106,17 +116,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError(f"components are not settled after {max_rounds} rounds")
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str, log2_bits: int = 24) -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """`docs` without the rows whose key is in `dropped`; only rows that may be go through the join."""
-    some = bitmap(dropped.select(F.col(key).cast("long").alias("gone")), "gone", log2_bits)
-
-    def part(inside: bool):  # noqa: ANN202
-        def run(batches):  # noqa: ANN001, ANN202
-            for batch in batches:
-                values = batch[key].cast("int64")
-                hit = in_bitmap(some, values.fill_null(0).to_numpy()) & ~np.asarray(values.is_null())
-                yield batch.filter(pa.array(hit == inside))
-
-        return run
-
-    return docs.mapInArrow(part(False), docs.schema).union(docs.mapInArrow(part(True), docs.schema).join(dropped.select(key), key, "left_anti").select(*docs.columns))
+    may = may_be_in(bitmap(dropped.select(F.col(key).cast("long").alias("gone")), "gone"), key)
+    return docs.where(~may).union(docs.where(may).join(dropped.select(key), key, "left_anti").select(*docs.columns))

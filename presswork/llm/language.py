@@ -8,13 +8,12 @@ bounded number of bytes in each block, so the margin doesn't fall as a text gets
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm import common
+from presswork.llm.textops import worker_state
 
 #: Bounds of the sample a model is learnt from; a text's characters come from so many places spread over it.
 SAMPLE_DOCS = 400
@@ -56,7 +55,9 @@ def _dictionaries(sample: list, sample_docs: int, dict_bytes: int) -> dict[str,
 
 
 def _classify(model: dict[str, bytes], level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A function of a text column; other columns of a row don't go to Python."""
+
+    def judge(texts: pa.Array) -> pa.Array:
         import zstandard
 
         def coders_of(at: int) -> list:
@@ -68,23 +69,24 @@ def _classify(model: dict[str, bytes], level: int):
             return coders
 
         names, raws = list(model), list(model.values())
-        held = coders_of(0) if len(raws) <= LANGUAGES_AT_ONCE else None
-        for batch in batches:
-            least: list[list] = [[] for _ in range(batch.num_rows)]  # the two smallest (size, language) of each row
-            for at in range(0, len(raws), LANGUAGES_AT_ONCE):
-                coders = held or coders_of(at)
-                for row, t in enumerate(batch["text"]):
-                    t = t.as_py()
-                    if not t or not any(c.isalpha() for c in t):
-                        continue
-                    raw = memoryview(t.lower().encode())
-                    blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-                    least[row] = sorted(least[row] + [(sum(len(c.compress(b)) for b in blocks), at + i) for i, c in enumerate(coders)])[:2]
-            best = [names[x[0][1]] if x else UNKNOWN for x in least]
-            margin = [0.0 if not x else 1.0 if len(x) == 1 else 1 - x[0][0] / x[1][0] for x in least]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names), pa.array(best, pa.string()), pa.array(margin, pa.float64())], [*batch.schema.names, "_lang", "_margin"])
-
-    return run
+        state = worker_state()
+        if getattr(state, "model", None) != model:  # workers are used again
+            state.model, state.coders = model, coders_of(0) if len(raws) <= LANGUAGES_AT_ONCE else None
+        least: list[list] = [[] for _ in range(len(texts))]  # the two smallest (size, language) of each row
+        for at in range(0, len(raws), LANGUAGES_AT_ONCE):
+            coders = state.coders or coders_of(at)
+            for row, t in enumerate(texts):
+                t = t.as_py()
+                if not t or not any(c.isalpha() for c in t):
+                    continue
+                raw = memoryview(t.lower().encode())
+                blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
+                least[row] = sorted(least[row] + [(sum(len(c.compress(b)) for b in blocks), at + i) for i, c in enumerate(coders)])[:2]
+        best = pa.array([names[x[0][1]] if x else UNKNOWN for x in least], pa.string())
+        margin = pa.array([0.0 if not x else 1.0 if len(x) == 1 else 1 - x[0][0] / x[1][0] for x in least], pa.float64())
+        return pa.StructArray.from_arrays([best, margin], ["lang", "margin"])
+
+    return F.arrow_udf(judge, "struct<lang:string,margin:double>")
 
 
 def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", min_margin: float = 0.004, level: int = 6) -> DataFrame:
@@ -95,11 +97,8 @@ def classify(docs: DataFrame, model: dict[str, bytes], text: str = "text", min_m
     the three are replaced; repeated rows are judged alike.
     """
     own = [c for c in docs.columns if c not in ("_lang", "_margin", "_rejected")]
-    rows = docs.select(*own)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    if text != "text":
-        raise ValueError("the text column has to be named text")
-    out = rows.mapInArrow(_classify(model, level), f"{schema}, _lang string, _margin double")
+    judged = docs.select(*[F.col(f"`{c}`") for c in own], _classify(model, level)(F.col(text)).alias("_margin"))
+    out = judged.select(*[F.col(f"`{c}`") for c in own], F.col("_margin.lang").alias("_lang"), F.col("_margin.margin").alias("_margin"))
     return out.withColumn("_rejected", (F.col("_lang") == UNKNOWN) | (F.col("_margin") < min_margin))
 
 

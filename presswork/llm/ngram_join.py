@@ -2,21 +2,20 @@
 
 A document's shingles are hashed into groups; the group counts are a point, and the overlap of two
 documents is at most the sum of their coordinate minima. Points of documents that share a rare
-shingle are packed into the pages of a count-vector R-tree, whose boxes (coordinate maxima) bound
-every pair of pages before any pair of points is looked at; surviving pairs are verified on the texts.
+shingle are packed into a count-vector R-tree, whose boxes (coordinate maxima) bound every pair of
+nodes, level by level, before any pair of points is looked at; surviving pairs are verified on the texts.
 
 In as many dimensions as text needs, boxes alone don't part a whole corpus, so the tree's top level
 is exact instead: with a similarity t, two documents must share one of the first n - ceil(t n) + 1
 shingles of each in any fixed order, and the order taken here is from rare to frequent (by a
 fixed-size count sketch), so that a passage which many documents share comes last.
 
-1. equal sets collapse into one class; 2. each member of a shingle's group is compared with the
-group's smallest class only, and the links found are joined into components; members outside the
-largest component of their group are then compared with a random member of it;
-3. groups that still hold several components search their tree for links between different
-components. Links inside a component are not needed to know it, so a group of thousands of near
-copies costs a few comparisons for each of its members. Sets are compared as 64-bit hashes of shingles, and equal
-sets by 128 bits.
+1. equal sets collapse into one class; 2. a shingle of two classes goes to its tree at once; if there are more,
+each is compared with the hub of the shingle first, the class with the smallest share of rarer shingles, and the links found are joined into components; 3. every shingle whose owners are in several components
+searches its tree for links between different components. A pair's overlap is bounded by the coordinate minima and,
+under its first common shingle, by what either has behind that one. Links inside a component are not needed to know it, so a group of
+thousands of near copies costs a few comparisons for each of its members. Sets are compared as 64-bit hashes of
+shingles, and equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -39,13 +38,11 @@ ANY_COUNT = 1 << 23
 MERGED = 4
 SKETCH_BITS = 23
 SKETCH_PARTS = 256
-#: Shingles that are counted into a sketch at once.
-COUNTED = 4_000_000
-#: Most rows of one block of a shingle's group, and points in a page of the tree.
+#: Most rows of one block of a shingle's group, and entries of a node of the tree.
 BLOCK_ROWS = 512
-PAGE = 16
-#: Rounds of pivots go on while at least one in so many of the pairs that a round tested is a link.
-PIVOT_YIELD = 10
+FAN = 8
+#: Pairs of nodes that are looked at at once.
+PAIRS = 4096
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -86,30 +83,20 @@ def _profile(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
         held = 0
-        slots: list[np.ndarray] = []
-
-        def add() -> None:
-            if slots:
-                sketch[:] += np.bincount(np.concatenate(slots), minlength=len(sketch)).astype(np.uint16)
-                slots.clear()
-
         for rows, u, off in _slices(batches, size):
             n = rows.num_rows
             if held + n > 60_000:  # a count is at most the number of rows
-                add()
                 yield emit(sketch)
                 held = 0
-            slots.append((u & np.uint64(len(sketch) - 1)).astype(np.uint32))
+            slot, count = np.unique((u & np.uint64(len(sketch) - 1)).astype(np.uint32), return_counts=True)
+            sketch[slot] += count.astype(np.uint16)
             held += n
-            if sum(map(len, slots)) > COUNTED:
-                add()
             k1, k2 = _set_keys(u, off)
             yield pa.RecordBatch.from_arrays(
                 [rows["key"], pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array([p.tobytes() for p in _points(u, off)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 ["key", "n", "k1", "k2", "point", "part", "counts"],
             )
         if held:
-            add()
             yield emit(sketch)
 
     return run
@@ -129,25 +116,22 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Callable:
     frequent = 2 * float(sketch.mean()) + 64
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]], hot: bool) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], hot: bool) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        token, k1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        token, k1, place = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         if not len(token):
             return
         bucket = ((k1.view(np.uint64) if hot else textops.mix(token)) >> np.uint64(20)).astype(np.int64) % buckets
         order = np.lexsort((k1, token, bucket))
-        token, k1, bucket = token[order], k1[order], bucket[order]
+        token, k1, place, bucket = (x[order] for x in (token, k1, place, bucket))
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (k1[1:] != k1[:-1])
-        token, k1, bucket = token[fresh], k1[fresh], bucket[fresh]
+        token, k1, place, bucket = (x[fresh] for x in (token, k1, place, bucket))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([hot] * len(spans)), pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([k1[a:b].tobytes() for a, b in spans], pa.binary())],
-            ["bucket", "hot", "tokens", "owners"],
-        )
+        packed = [textops.binary_array(x, cuts) for x in (token, k1, place)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([hot] * (len(cuts) - 1)), *packed], ["bucket", "hot", "tokens", "owners", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold: list = []
@@ -161,20 +145,22 @@ def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Call
                 if n[i] and k not in seen:
                     seen.add(k)
                     fresh[i] = True
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             row = np.repeat(np.arange(len(n)), n)
             est = sketch[(u & np.uint64(len(sketch) - 1)).astype(np.int64)]
             order = (est.astype(np.uint64) << np.uint64(48)) | (textops.mix(u) >> np.uint64(16))
             first = n - (percent * n + 99) // 100 + 1
             chosen = [off[i] + np.argpartition(order[off[i] : off[i + 1]], first[i] - 1)[: first[i]] for i in np.flatnonzero(fresh)]
+            chosen = [x[np.argsort(order[x])] for x in chosen]
             use = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in chosen]) if chosen else np.zeros(0, np.int32)
             often = est[use] > frequent
-            cold.append((u[use[~often]], k1[row[use[~often]]]))
+            cold.append((u[use[~often]], k1[row[use[~often]]], place[~often]))
             if often.any():
-                hot.append((u[use[often]], k1[row[use[often]]]))
+                hot.append((u[use[often]], k1[row[use[often]]], place[often]))
             waiting += len(use)
-            if waiting > 2_000_000:
+            if waiting > 1_000_000:
                 yield from flush(cold, False)
                 yield from flush(hot, True)
                 waiting = 0
@@ -185,81 +171,94 @@ def _prefixes(size: int, percent: int, sketch: np.ndarray, buckets: int) -> Call
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct rows (token, owner) of tokens with several owners; the batches are sorted by bucket.
+    """Distinct rows (token, owner, place of the token among the owner's) of tokens with several owners; the batches are sorted by bucket.
 
     A hot token is dealt by its owners, so a bucket holds all copies of a row but not all owners: tokens of one owner stay.
     """
 
-    def out(token: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(token), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(textops.signed(token[i : i + 100_000])), pa.array(owner[i : i + 100_000])], ["token", "owner"])
-
     def settle(held: list, alone: bool) -> Iterator[pa.RecordBatch]:
         if held:
-            token, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, owner, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((owner, token))
-            token, owner = token[order], owner[order]
+            token, owner, place = token[order], owner[order], place[order]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-            token, owner = token[new], owner[new]
+            token, owner, place = token[new], owner[new], place[new]
             if not alone:
                 same = token[1:] == token[:-1]
                 several = np.zeros(len(token), bool)
                 several[1:] |= same
                 several[:-1] |= same
-                token, owner = token[several], owner[several]
-            yield from out(token, owner)
+                token, owner, place = token[several], owner[several], place[several]
+            for i in range(0, len(token), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (textops.signed(token), owner, place)], ["token", "owner", "place"])
 
     cold: list = []
     hot_rows: list = []
     at = None
     for batch in batches:
-        for bucket, hot, tokens, owners in zip(*(batch[c].to_pylist() for c in ("bucket", "hot", "tokens", "owners")), strict=True):
+        for bucket, hot, tokens, owners, places in zip(*(batch[c].to_pylist() for c in ("bucket", "hot", "tokens", "owners", "places")), strict=True):
             if bucket != at:
                 yield from settle(cold, False)
                 yield from settle(hot_rows, True)
                 at = bucket
-            (hot_rows if hot else cold).append((np.frombuffer(tokens, np.uint64), np.frombuffer(owners, np.int64)))
+            (hot_rows if hot else cold).append((np.frombuffer(tokens, np.uint64), np.frombuffer(owners, np.int64), np.frombuffer(places, np.int32)))
     yield from settle(cold, False)
     yield from settle(hot_rows, True)
 
 
-def _search_tree(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of different components whose bounds allow the similarity.
-
-    Points are packed into pages by size; a page's box is its coordinate maxima. side parts the
-    points into the two blocks that are joined; None joins all with all.
-    """
-    order = np.argsort(n, kind="stable")
-    fine, n, comp = points[order].astype(np.int32), n[order], comp[order]
-    fine[fine == 255] = ANY_COUNT
-    points = fine.reshape(len(n), -1, MERGED).sum(axis=2, dtype=np.int32)
-    side = None if side is None else side[order]
-    pages = [(a, min(a + PAGE, len(n))) for a in range(0, len(n), PAGE)]
-    box = np.stack([points[a:b].max(axis=0) for a, b in pages])
-    low, high = np.array([n[a] for a, _ in pages]), np.array([n[b - 1] for _, b in pages])
-    left, right = [], []
-    for p, (a, b) in enumerate(pages):
-        q = np.arange(p, len(pages))
-        q = q[100 * high[p] >= percent * low[q]]
-        bound = np.minimum(box[q], box[p]).sum(axis=1, dtype=np.int64)
-        q = q[(100 + percent) * bound >= percent * (low[p] + low[q])]
-        for c, d in (pages[k] for k in q):
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij"))
-            ok = (i < j) & (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j])
-            if side is not None:
-                ok &= side[i] != side[j]
+class Tree:
+    """A count-vector R-tree over points in order of size: a node's box has its coordinate maxima, least and largest size,
+    largest possible overlap and its component if it has one only."""
+
+    def __init__(self, points: np.ndarray, n: np.ndarray, most: np.ndarray, comp: np.ndarray, percent: int) -> None:
+        coarse = points.reshape(len(n), -1, MERGED).sum(axis=2, dtype=np.int32)
+        self.order = np.lexsort((coarse[:, coarse.var(axis=0).argmax()], n))
+        self.points, self.percent = points[self.order], percent
+        n, comp = n[self.order], comp[self.order]
+        self.levels = [(coarse[self.order], n, n, most[self.order], comp, comp)]
+        while len(self.levels[-1][0]) > 1:
+            at = np.arange(0, len(self.levels[-1][0]), FAN)
+            least, largest = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append(tuple(f(x, at) for f, x in zip((largest, least, largest, largest, least, largest), self.levels[-1], strict=True)))
+
+    def may_link(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a point of node i and one of node j can be similar enough: coordinate minima, summed, bound the overlap."""
+        box, low, high, most, first, last = self.levels[level]
+        ok = (100 * high[i] >= self.percent * low[j]) & (100 * high[j] >= self.percent * low[i])
+        ok &= (first[i] != last[i]) | (first[j] != last[j]) | (first[i] != first[j])
+        need = self.percent * (low[i] + low[j])
+        ok &= (100 + self.percent) * np.minimum(most[i], most[j]) >= need
+        k = np.flatnonzero(ok)
+        ok[k] = (100 + self.percent) * np.minimum(box[i[k]], box[j[k]]).sum(axis=1, dtype=np.int64) >= need[k]
+        return ok
+
+    def pairs(self, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points of different components (and, if given, different sides) that the bounds allow."""
+        side = None if side is None else side[self.order]
+        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        children = np.arange(FAN)
+        while stack:
+            level, i, j = stack.pop()
+            if len(i) > PAIRS:
+                stack += [(level, i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
+                continue
+            if level == 0:
+                other = i < j if side is None else (i < j) & (side[i] != side[j])
+                i, j = i[other], j[other]
+            ok = self.may_link(level, i, j)
             i, j = i[ok], j[ok]
-            if len(i):
-                overlap = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64)
-                ok = (100 + percent) * overlap >= percent * (n[i] + n[j])
-                i, j = i[ok], j[ok]
-                overlap = np.minimum(fine[i], fine[j]).sum(axis=1, dtype=np.int64)
-                ok = (100 + percent) * overlap >= percent * (n[i] + n[j])
-                left.append(order[i[ok]])
-                right.append(order[j[ok]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+            if level == 0:
+                overlap = np.minimum(self.points[i], self.points[j]).sum(axis=1, dtype=np.int64)
+                n = self.levels[0][1]
+                ok = (100 + self.percent) * overlap >= self.percent * (n[i] + n[j])
+                yield self.order[i[ok]], self.order[j[ok]]
+            elif len(i):
+                below = len(self.levels[level - 1][0])
+                i, j = np.broadcast_arrays((i[:, None] * FAN + children)[:, :, None], (j[:, None] * FAN + children)[:, None, :])
+                real = (i < below) & (j < below) & (i <= j)
+                stack.append((level - 1, i[real], j[real]))
 
 
 def _between(percent: int) -> Callable:
@@ -267,19 +266,21 @@ def _between(percent: int) -> Callable:
 
     def settle(held: list[pa.RecordBatch], seen: set) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        if t.num_rows < 2:
-            return
-        owner, n, comp = (t[c].to_numpy() for c in ("owner", "n", "component"))
-        points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        i, j = _search_tree(points, n, comp, None if lo == hi else t["block"].to_numpy() == lo, percent)
-        pairs = [(a, b) if a < b else (b, a) for a, b in zip(owner[i].tolist(), owner[j].tolist(), strict=True)]
-        pairs = [p for p in pairs if p not in seen]
-        seen.update(pairs)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        side = None if lo == hi else t["block"].to_numpy() == lo
+        if t.num_rows < 2 or side is not None and (side.all() or not side.any()):
+            return
+        owner, n, most, comp = (t[c].to_numpy() for c in ("owner", "n", "most", "component"))
+        points = np.frombuffer(b"".join(t["point"].to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+        points[points == 255] = ANY_COUNT
+        for i, j in Tree(points, n, most, comp, percent).pairs(side):
+            pairs = [(a, b) if a < b else (b, a) for a, b in zip(owner[i].tolist(), owner[j].tolist(), strict=True)]
+            pairs = [p for p in pairs if p not in seen]
+            seen.update(pairs)
+            if len(seen) > 200_000:
+                seen.clear()
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -307,67 +308,78 @@ def _verify(size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textops.Powers()
 
-        def one(text: str, cache: dict) -> np.ndarray:
+        def one(text: str, cache: dict) -> tuple[np.ndarray, int]:
+            """The set of a text and its class."""
             if text not in cache:
                 if len(cache) > 64:
                     cache.clear()
                 raw = text.encode()
-                cache[text] = np.unique(textops.shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), powers, size)[0])
+                own = np.unique(textops.shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), powers, size)[0])
+                cache[text] = own, int(_set_keys(own, np.array([0, len(own)]))[0][0])
             return cache[text]
 
         cache: dict = {}
         for batch in batches:
             keep = []
-            for a, b in zip(batch["text_a"], batch["text_b"], strict=True):
-                x, y = one(a.as_py(), cache), one(b.as_py(), cache)
+            for a, b, text_a, text_b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
+                (x, class_a), (y, class_b) = one(text_a.as_py(), cache), one(text_b.as_py(), cache)
                 common_n = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common_n >= percent * (len(x) + len(y) - common_n))
+                # rows that repeat a key bring several texts, of which one is meant
+                keep.append((a, b) == (class_a, class_b) and 100 * common_n >= percent * (len(x) + len(y) - common_n))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int, bitmap_bits: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b of class ids, with their keys) that are similar enough, judged on the texts."""
-    needed = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
-    some = common.bitmap(needed, "key", bitmap_bits)
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(common.in_bitmap(some, batch["key"].to_numpy())))
-
-    near = common.stored(texts.mapInArrow(only, "key long, text string"))
-    both = pairs.join(near.toDF("key_b", "text_b"), "key_b").join(near.toDF("key_a", "text_a"), "key_a")
+    both = pairs.join(texts.toDF("key_b", "text_b"), "key_b").join(texts.toDF("key_a", "text_a"), "key_a")
     return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long"))
 
 
 def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
     """(token, owner, component so far) of all rows of `shared`."""
     inner = common.components(links).withColumnRenamed("node", "owner")
-    return common.stored(shared.join(inner, "owner", "left").select("token", "owner", F.coalesce("component", "owner").alias("component")))
+    return common.stored(shared.join(inner, "owner", "left").select("token", "owner", "place", F.coalesce("component", "owner").alias("component")))
 
 
 def _distinct_groups(shared: DataFrame) -> DataFrame:
-    """The rows of one token for each distinct set of owners: what follows depends on the sets alone.
+    """The rows of one token for each distinct set of owners, the first in the order of all: what follows depends on the sets and the places.
 
     Sets are told apart by sums of two hashes, each in halves that can't overflow; the rows have to be distinct.
     """
     halves = [h for x in (F.xxhash64("owner"), F.xxhash64("owner", F.lit(1))) for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1)))]
-    groups = shared.groupBy("token").agg(F.count("*").alias("rows"), *[F.sum(h).alias(f"x{i}") for i, h in enumerate(halves)])
-    kept = groups.where("rows > 1").groupBy("rows", "x0", "x1", "x2", "x3").agg(F.min("token").alias("token"))
+    groups = shared.groupBy("token").agg(F.count("*").alias("rows"), F.min("place").alias("first"), *[F.sum(h).alias(f"x{i}") for i, h in enumerate(halves)])
+    kept = groups.where("rows > 1").groupBy("rows", "x0", "x1", "x2", "x3").agg(F.min_by("token", F.struct("first", "token")).alias("token"))
     return shared.join(kept.select("token"), "token", "left_semi")
 
 
-def _pivot_pairs(now: DataFrame, salt: int) -> DataFrame:
-    """(pivot, owner) of every owner outside the largest component of its token, the pivot being a random member of that component."""
-    by_component = now.groupBy("token", "component").agg(F.count("*").alias("rows"), F.min_by("owner", F.xxhash64("owner", F.lit(salt))).alias("a"))
-    pivots = by_component.groupBy("token").agg(F.count("*").alias("several"), F.max_by(F.struct("a", "component"), F.struct("rows", "component")).alias("top")).where("several > 1")
-    pairs = now.join(pivots.select("token", "top.a", F.col("top.component").alias("largest")), "token").where("component <> largest")
-    return pairs.select(F.least("a", "owner").alias("a"), F.greatest("a", "owner").alias("b")).distinct()
+def _hub_pairs(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the hub of each token with more than two owners and every other owner of it: the hub is the owner that has the
+    smallest share of rarer shingles, as the text that near copies were made from has."""
+    rows = shared.join(members.select("owner", "n"), "owner").withColumn("most", F.col("n") - F.col("place"))
+    hubs = rows.groupBy("token").agg(F.max(F.struct(F.col("most") / F.col("n"), "owner", "n", "most")).alias("hub"), F.count("*").alias("rows")).where("rows > 2")
+    both = rows.join(hubs.select("token", "hub"), "token").where("owner <> hub.owner").where((100 + percent) * F.least("most", "hub.most") >= percent * (F.col("n") + F.col("hub.n")))
+    return both.select(F.least("hub.owner", "owner").alias("a"), F.greatest("hub.owner", "owner").alias("b")).distinct()
+
+
+def _blocks(now: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the tokens whose owners are in several components, dealt into pairs of blocks (lo, hi) that hold each pair of owners
+    of different components once. Owners in a token's largest component have negative blocks and meet the others only."""
+    sizes = now.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    top = sizes.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows")).where("several > 1")
+    inner, outer = (F.greatest(F.lit(1), F.ceil(x / BLOCK_ROWS)).cast("int") for x in (F.col("top.rows"), F.col("rows") - F.col("top.rows")))
+    rows = now.join(top.select("token", F.col("top.component").alias("main"), inner.alias("inner"), outer.alias("outer")), "token")
+    hashed = F.xxhash64("owner")
+    inside = F.col("component") == F.col("main")
+    rows = rows.withColumn("block", F.when(inside, -1 - F.pmod(hashed, F.col("inner"))).otherwise(F.pmod(hashed, F.col("outer"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.when(inside, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(-F.col("inner"), F.col("outer") - 1))))
+    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "owner", "place", "component")
+    return rows.join(members.select("owner", "n", "point"), "owner").withColumn("most", F.col("n") - F.col("place"))
 
 
-def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, bitmap_bits: int = 24, pivot_rounds: int = 1) -> DataFrame:
+def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id) of every row with a key.
 
     Two rows link when 100 * intersection >= percent * union of their sets of distinct `size`-word
@@ -387,34 +399,19 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, total * (100 - percent) // 100 // 100_000)
 
-    held = texts.mapInArrow(_prefixes(size, percent, sketch.ravel(), buckets), "bucket int, hot boolean, tokens binary, owners binary")
-    shared = common.stored(held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens, "token long, owner long"))
+    held = texts.mapInArrow(_prefixes(size, percent, sketch.ravel(), buckets), "bucket int, hot boolean, tokens binary, owners binary, places binary")
+    shared = common.stored(held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens, "token long, owner long, place int"))
+    members = common.stored(shared.select("owner").distinct().join(classes.select(F.col("k1").alias("owner"), "key", "n", "point"), "owner"))
+    near = texts.where(common.may_be_in(common.bitmap(members, "key"), "key")).join(members.select("key"), "key")
+    near = common.stored(near)
     shared = common.stored(_distinct_groups(shared))
 
-    first = shared.groupBy("token").agg(F.min("owner").alias("a"))
-    star = shared.join(first, "token").where("owner <> a").select("a", F.col("owner").alias("b")).distinct()
-    links = _links(common.stored(_bounded(star, classes, percent)), texts, size, percent, bitmap_bits)
+    links = _links(common.stored(_bounded(_hub_pairs(shared, members, percent), members, percent)), near, size, percent)
     now = _with_components(shared, links)
-    for salt in range(pivot_rounds):
-        tested = common.stored(_bounded(_pivot_pairs(now, salt), classes, percent))
-        found = _links(tested, texts, size, percent, bitmap_bits)
-        links = links.union(found)
-        now = _with_components(shared, links)
-        if salt + 1 < pivot_rounds and PIVOT_YIELD * found.count() < tested.count():
-            break
-    mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y").select("token", "rows")
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    spread = (
-        now.join(mixed, "token").distinct()
-        .join(classes.select(F.col("k1").alias("owner"), "n", "point"), "owner")
-        .withColumn("block", F.pmod(F.xxhash64("owner"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "owner", "component", "n", "point")
-    )
-    across = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_between(percent), "a long, b long").distinct()
-    keys = classes.select("k1", "key")
+    across = _blocks(now, members).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_between(percent), "a long, b long").distinct()
+    keys = members.select("owner", "key")
     across = common.stored(across.join(keys.toDF("a", "key_a"), "a").join(keys.toDF("b", "key_b"), "b"))
-    links = links.union(_links(across, texts, size, percent, bitmap_bits))
+    links = links.union(_links(across, near, size, percent))
 
     smallest = common.components(links).join(classes.select(F.col("k1").alias("node"), "key"), "node")
     least = smallest.groupBy("component").agg(F.min("key").alias("component_id"))
@@ -424,10 +421,10 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return full.union(rows.where("n = 0").select("key", "n", "key"))
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs, with the keys of their classes, whose sizes and points allow the similarity: the same bounds as in the tree."""
-    side = classes.select("k1", "key", "n", "point")
-    both = pairs.join(side.toDF("a", "key_a", "n_a", "point_a"), "a").join(side.toDF("b", "key_b", "n_b", "point_b"), "b")
+def _bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs, with the keys of their classes, whose sizes and points allow the similarity."""
+    side = members.select("owner", "key", "n", "point")
+    both = pairs.join(side.toDF("a", "key_a", "n_a", "point_a"), "a").join(side.toDF("b", "key_b", "n_b", "point_b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,8 +432,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32) for c in ("point_a", "point_b"))
             least = np.minimum(x, y)
             least[least == 255] = ANY_COUNT
-            ok = ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * (n_a + n_b)) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-            yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array((100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * (n_a + n_b)))
 
     return both.mapInArrow(near, "a long, b long, key_a long, key_b long")
 

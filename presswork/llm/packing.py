@@ -11,8 +11,6 @@ salted groups, so a length that most pieces share is not ranked in one task.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +30,6 @@ STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
-def worker_state() -> types.ModuleType:
-    """A place in this Python worker that outlives a task: workers are used again."""
-    return sys.modules.setdefault("presswork_worker_state", types.ModuleType("presswork_worker_state"))
-
-
 class WordCache:
     """Token ids of words already met, by 64-bit hash of the word."""
 
@@ -105,7 +98,7 @@ class WordCache:
 
 def _pieces(path: str, limit: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = worker_state()
+        state = textops.worker_state()
         caches = state.__dict__.setdefault("word_caches", {})
         if path not in caches:
             caches[path] = WordCache(path)

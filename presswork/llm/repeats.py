@@ -29,7 +29,11 @@ from presswork.llm import common, textops
 
 #: Windows that share one block of the edge search.
 BLOCK = 16
+#: Windows of one part of a long text; bits that hold a place in a slice of texts, which has no more bytes than that.
+PART_BYTES = textops.SLICE_BYTES
 POSITION_BITS = 28
+#: Runs whose windows are hashed at once.
+RUNS_AT_ONCE = 2_000
 
 
 class Runs:
@@ -46,8 +50,6 @@ class Runs:
         with np.errstate(over="ignore"):
             heads = textops.mix((self.cum[gram:] - self.cum[:-gram]) * self.down[: self.n - gram + 1])
         mask = np.uint64((1 << POSITION_BITS) - 1)
-        if self.n > int(mask):
-            raise ValueError(f"a single text of over {int(mask)} bytes has to be split first")
         width = length - gram + 1
         key = (heads & ~mask) | (mask - np.arange(len(heads), dtype=np.uint64))
         key = np.concatenate((key, np.full(width + (-len(key)) % width, np.iinfo(np.uint64).max, np.uint64)))
@@ -79,19 +81,27 @@ class Runs:
         return textops.span_hash(self.cum, self.down, start, end)
 
 
-def _each_slice(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _each_slice(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """(rows, bytes, offsets, place of the bytes in the row's text): some rows, or a part of a single longer one. Parts overlap so far that
+    each window of `length` bytes is in one of them."""
     for batch in batches:
-        data, offsets = textops.column_bytes(batch[column])
+        data, offsets = textops.column_bytes(batch["text"])
         for i, j in textops.slices(offsets):
-            yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            begin, end = offsets[i], offsets[j]
+            for at in range(begin, max(begin + 1, end - length + 1), PART_BYTES) if j == i + 1 else (begin,):
+                to = min(end, at + PART_BYTES + length - 1) if j == i + 1 else end
+                yield batch.slice(i, j - i), data[at:to], np.array([0, to - at]) if j == i + 1 else offsets[i : j + 1] - begin, int(at - begin)
 
 
-def _heads(length: int, gram: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heads(length: int, gram: int, batches: int) -> Callable:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textops.Powers()
-        for _, data, offsets in _each_slice(batches, "text"):
-            head, n = np.unique(Runs(data, offsets, powers, length, gram).head, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(textops.signed(head)), pa.array(n.astype(np.int64))], ["head", "n"])
+        for batch, data, offsets, _ in _each_slice(rows, length):
+            r = Runs(data, offsets, powers, length, gram)
+            of = (common.spark_xxhash64(batch["key"].to_numpy()) % np.uint64(batches)).astype(np.int32)[r.row]
+            for k in range(batches):
+                head, n = np.unique(r.head[of == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), k, np.int32)), pa.array(textops.signed(head)), pa.array(n.astype(np.int64))], ["batch", "head", "n"])
 
     return run
 
@@ -99,10 +109,10 @@ def _heads(length: int, gram: int) -> Callable:
 def _runs(length: int, gram: int, again: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textops.Powers()
-        for batch, data, offsets in _each_slice(batches, "text"):
+        for batch, data, offsets, base in _each_slice(batches, length):
             r = Runs(data, offsets, powers, length, gram)
             k = np.flatnonzero(common.in_bitmap(again, textops.signed(r.head)))
-            zero = offsets[r.row[k]]
+            zero = offsets[r.row[k]] - base
             yield pa.RecordBatch.from_arrays(
                 [batch["key"].take(pa.array(r.row[k])), pa.array(textops.signed(r.head[k])), pa.array(textops.signed(r.extent[k]))]
                 + [pa.array((x[k] - zero).astype(np.int32)) for x in (r.at, r.start, r.stop)],
@@ -118,28 +128,39 @@ RUN_SCHEMA = "key long, head long, extent long, at int, first int, last int"
 def _blocks(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textops.Powers()
-        for batch, data, offsets in _each_slice(batches, "text"):
+        for batch, data, offsets, base in _each_slice(batches, length):
+            runs = batch["runs"]
+            row = np.repeat(np.arange(batch.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))
+            at, first, last, copies = (runs.flatten().field(c).to_numpy().astype(np.int64) for c in ("at", "first", "last", "n"))
+            end = offsets[row + 1] - length
+            at, first, last = (x - base + offsets[row] for x in (at, first, last))
+            own = (first >= offsets[row]) & (last <= end)  # of a part of a long text: the runs that begin in it
+            own &= (first < PART_BYTES) if batch.num_rows == 1 else True
+            at, first, last, copies, row = (x[own] for x in (at, first, last, copies, row))
+            if not len(row):
+                continue
             cum, down = textops.prefix_hash(data, textops.CODES, powers)
-            out: list[list] = [[], [], [], [], [], [], []]
-            for row, (key, runs) in enumerate(zip(batch["key"].to_pylist(), batch["runs"].to_pylist(), strict=True)):
-                zero = offsets[row]
-                for r in runs:
-                    at, first, last = zero + r["at"], zero + r["first"], zero + r["last"]
-                    window = np.arange(first, last + 1)
-                    h = textops.span_hash(cum, down, window, window + length)
-                    block = (at - window) // BLOCK
-                    cuts = np.flatnonzero(np.diff(block)) + 1
-                    for i, j in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(window)])), strict=True):
-                        core = np.array([at - BLOCK * block[i]])
-                        both = textops.span_hash(cum, down, np.array([core[0], window[i]]), np.array([core[0] - BLOCK + 1 + length, window[j - 1] + length]))
-                        for to, x in zip(out, (key, r["n"], both[0], both[1], window[i] - zero, window[j - 1] - zero, h[i:j].tobytes()), strict=True):
-                            to.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(textops.signed(np.array(out[2], np.uint64))), pa.array(textops.signed(np.array(out[3], np.uint64)))]
-                + [pa.array(np.array(x, np.int32)) for x in out[4:6]]
-                + [pa.array(out[6], pa.binary())],
-                ["key", "n", "core", "whole", "first", "last", "windows"],
-            )
+            for k in range(0, len(row), RUNS_AT_ONCE):
+                yield blocks(cum, down, batch["key"], offsets, base, *(x[k : k + RUNS_AT_ONCE] for x in (at, first, last, copies, row)))
+
+    def blocks(cum, down, keys, offsets, base, at, first, last, copies, row) -> pa.RecordBatch:  # noqa: ANN001, PLR0913
+        size = last - first + 1
+        of = np.repeat(np.arange(len(size)), size)
+        window = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[of]
+        number = (at[of] - window) // BLOCK
+        cuts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (number[1:] != number[:-1]))))
+        ends = np.concatenate((cuts[1:], [len(of)]))
+        core = at[of[cuts]] - BLOCK * number[cuts]
+        inner = textops.span_hash(cum, down, core, core - BLOCK + 1 + length)
+        whole = textops.span_hash(cum, down, window[cuts], window[ends - 1] + length)
+        zero = offsets[row[of[cuts]]] - base
+        windows = textops.binary_array(textops.span_hash(cum, down, window, window + length), np.append(cuts, len(of)))
+        return pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(row[of[cuts]])), pa.array(copies[of[cuts]]), pa.array(textops.signed(inner)), pa.array(textops.signed(whole))]
+            + [pa.array((x - zero).astype(np.int32)) for x in (window[cuts], window[ends - 1])]
+            + [windows],
+            ["key", "n", "core", "whole", "first", "last", "windows"],
+        )
 
     return run
 
@@ -149,11 +170,11 @@ BLOCK_SCHEMA = "key long, n long, core long, whole long, first int, last int, wi
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = [len(w) // 8 for w in batch["windows"].to_pylist()]
+        data, offsets = textops.column_bytes(batch["windows"])
+        size = np.diff(offsets) // 8
         at = np.repeat(np.arange(len(size)), size)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-        place = np.arange(len(at)) - np.repeat(begin, size) + np.repeat(batch["first"].to_numpy(), size)
-        h = np.frombuffer(b"".join(batch["windows"].to_pylist()), dtype=np.int64)
+        place = np.arange(len(at)) - np.repeat(offsets[:-1] // 8, size) + np.repeat(batch["first"].to_numpy(), size)
+        h = np.frombuffer(data.tobytes(), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(at)), batch["n"].take(pa.array(at)), pa.array(place.astype(np.int32)), pa.array(h)], ["key", "n", "first", "window"])
 
 
@@ -165,9 +186,12 @@ class SuffixIndex:
         self.levels: dict[int, DataFrame] = {}
         self.found: list[DataFrame] = []
 
-    def add(self, texts: DataFrame) -> None:
-        """Index a batch (column text); the heads it shares with itself or with a level go to `found`."""
-        heads = texts.select("text").mapInArrow(_heads(self.length, self.gram), "head long, n long")
+    def heads(self, texts: DataFrame, batches: int) -> DataFrame:
+        """(batch, head, n) of the kept suffixes of (key, text) rows, dealt into `batches` by their keys."""
+        return common.stored(texts.select("key", "text").mapInArrow(_heads(self.length, self.gram, batches), "batch int, head long, n long"))
+
+    def add(self, heads: DataFrame) -> None:
+        """Index a batch (head, n); the heads it shares with itself or with a level go to `found`."""
         batch = common.stored(heads.groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"))
         self.found.append(batch.where("n > 1").select("head"))
         array = batch.select("head")
@@ -186,7 +210,7 @@ class SuffixIndex:
         return out.distinct()
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int = 400, batches: int = 4, bitmap_bits: int = 24) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int = 400, batches: int = 4) -> DataFrame:
     """(key, first, last) ranges of window starts whose `length` bytes also start anywhere else.
 
     `key` must be unique and not null. `batches` arrays are indexed one after another.
@@ -194,9 +218,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int =
     gram = length // 2
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     index = SuffixIndex(length, gram)
+    heads = index.heads(texts, batches)
     for k in range(batches):
-        index.add(texts.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == k))
-    again = common.bitmap(index.repeated(), "head", bitmap_bits)
+        index.add(heads.where(F.col("batch") == k))
+    again = common.bitmap(common.stored(index.repeated()), "head")
     runs = common.stored(texts.mapInArrow(_runs(length, gram, again), RUN_SCHEMA))
 
     extents = runs.groupBy("head", "extent").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last", "at")).alias("one"))
@@ -205,8 +230,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int =
 
     several = extents.groupBy("head").agg(F.count("*").alias("extents")).where("extents > 1").select("head")
     edge = common.stored(extents.join(several, "head").select("one.*", "n"))
-    some = common.bitmap(edge, "key", bitmap_bits)
-    near = texts.mapInArrow(_only(some, True), "key long, text string")
+    near = texts.where(common.may_be_in(common.bitmap(edge, "key"), "key"))
     asked = edge.groupBy("key").agg(F.collect_list(F.struct("at", "first", "last", "n")).alias("runs"))
     blocks = common.stored(near.join(asked, "key").mapInArrow(_blocks(length), BLOCK_SCHEMA))
 
@@ -221,26 +245,19 @@ def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int =
     return whole.unionByName(same).unionByName(single)
 
 
-def _only(some: np.ndarray, inside: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(common.in_bitmap(some, batch["key"].to_numpy()) == inside))
-
-    return run
-
-
 def _cut(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textops.column_bytes(batch["text"])
             out: list[list] = [[], [], [], []]
-            spans = batch["spans"].to_pylist()
+            spans = batch["spans"].fill_null(pa.array([[]], batch["spans"].type)[0]) if batch["spans"].null_count else batch["spans"]
+            bounds = np.concatenate(([0], np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False))))
+            firsts, lasts = (spans.flatten().field(c).to_numpy() for c in ("first", "last"))
             for row in range(batch.num_rows):
                 own = data[offsets[row] : offsets[row + 1]]
-                gone = np.zeros(len(own) + 1, np.int64)
-                for s in spans[row] or []:
-                    gone[s["first"]] += 1
-                    gone[min(len(own), s["last"] + length)] -= 1
+                first, last = firsts[bounds[row] : bounds[row + 1]], lasts[bounds[row] : bounds[row + 1]]
+                gone = np.bincount(first, minlength=len(own) + 1)
+                gone -= np.bincount(np.minimum(len(own), last.astype(np.int64) + length), minlength=len(own) + 1)
                 cut = np.cumsum(gone)[:-1] > 0
                 begins = np.flatnonzero(cut & ~np.concatenate(([False], cut[:-1]))) if len(own) else []
                 for to, x in zip(out, (len(own), int(cut.sum()), len(begins), own[~cut].tobytes()), strict=True):
@@ -250,7 +267,7 @@ def _cut(length: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 4, bitmap_bits: int = 24, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary, rest) of every row with a key.
 
     Every byte that a `length`-byte string covers which also starts anywhere else, in the same text
@@ -263,14 +280,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest")).where("key is not null")
     if docs.groupBy("key").count().where("count > 1").limit(1).count():
         docs = common.stored(docs.groupBy("key").agg(F.min(F.struct("text", "rest")).alias("one")).select("key", "one.text", "one.rest"))
-    spans = common.stored(repeated_spans(docs, "key", "text", length, batches, bitmap_bits))
+    spans = common.stored(repeated_spans(docs, "key", "text", length, batches))
     by_key = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    some = common.bitmap(spans, "key", bitmap_bits)
-    none = F.lit(None).cast("array<struct<first:int,last:int>>")
-    cut = docs.mapInArrow(_only(some, True), docs.schema).join(by_key, "key", "left")
-    left = docs.mapInArrow(_only(some, False), docs.schema).withColumn("spans", none)
+    may = common.may_be_in(common.bitmap(spans.select("key").distinct(), "key"), "key")
     schema = f"key long, n_bytes long, n_removed long, n_spans long, kept binary, rest {docs.schema['rest'].dataType.simpleString()}"
-    return cut.mapInArrow(_cut(length), schema).unionByName(left.mapInArrow(_cut(length), schema))
+    cut = docs.where(may).join(by_key, "key", "left").mapInArrow(_cut(length), schema)
+    none = F.lit(0).cast("long")
+    left = docs.where(~may).select("key", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"), "rest")
+    return cut.unionByName(left)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ time, so a task never holds more than one slice of hashes whatever the text leng
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,11 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def worker_state() -> types.ModuleType:
+    """A place in this Python worker that outlives a task: workers are used again."""
+    return sys.modules.setdefault("presswork_worker_state", types.ModuleType("presswork_worker_state"))
+
+
 def _byte_codes(lower: bool) -> np.ndarray:
     codes = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
     if lower:

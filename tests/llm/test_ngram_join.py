@@ -8,7 +8,7 @@ from presswork.llm import ngram_join
 
 def _check(spark, docs):
     df = spark.createDataFrame([(k, v, 0) for k, v in docs.items()], "doc_id long, text string, n int")
-    got = {r.key: (r.n_shingles, r.component_id) for r in ngram_join.shingle_components(df, bitmap_bits=12).collect()}
+    got = {r.key: (r.n_shingles, r.component_id) for r in ngram_join.shingle_components(df).collect()}
     assert got == ngram_join.brute_force(docs)
     return got
 
@@ -57,5 +57,19 @@ def test_families_copied_over_an_even_number_of_partitions(spark, others):
 
 @pytest.mark.parametrize("n", [3_000_000, 200_000_000])
 def test_saturated_points_bound_nothing(n):
-    i, j = ngram_join._search_tree(np.full((2, ngram_join.GROUPS), 255, np.uint8), np.array([n, n]), np.array([1, 2]), None, 75)
+    points, sizes = np.full((2, ngram_join.GROUPS), ngram_join.ANY_COUNT, np.int32), np.array([n, n])
+    (i, j), = ngram_join.Tree(points, sizes, sizes, np.array([1, 2]), 75).pairs(None)
     assert (i.tolist(), j.tolist()) == ([0], [1])
+
+
+def test_tree_loses_no_pair():
+    rng = np.random.default_rng(5)
+    centers = rng.integers(0, 3, (30, ngram_join.GROUPS))
+    points = np.maximum(0, centers[rng.integers(0, 30, 900)] + rng.integers(-1, 2, (900, ngram_join.GROUPS)) * (rng.random((900, ngram_join.GROUPS)) < 0.08)).astype(np.int32)
+    n, comp, side = points.sum(axis=1), rng.integers(0, 100, 900), rng.random(900) < 0.5
+    overlap = np.stack([np.minimum(points, p).sum(axis=1) for p in points])
+    want = (175 * overlap >= 75 * (n[:, None] + n[None, :])) & (comp[:, None] != comp[None, :])
+    for sides in (None, side):
+        ok = np.triu(want if sides is None else want & (side[:, None] != side[None, :]), 1)
+        got = {(min(a, b), max(a, b)) for i, j in ngram_join.Tree(points, n, n, comp, 75).pairs(sides) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(ok)), strict=True)) and len(got) > 1000
