@@ -334,6 +334,8 @@ def _verify(size: int, percent: int) -> Callable:
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b of class ids, with their keys) that are similar enough, judged on the texts."""
+    needed = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
+    texts = texts.where(common.may_be_in(common.bitmap(needed, "key"), "key"))
     both = pairs.join(texts.toDF("key_b", "text_b"), "key_b").join(texts.toDF("key_a", "text_a"), "key_a")
     return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long"))
 
@@ -402,8 +404,7 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     held = texts.mapInArrow(_prefixes(size, percent, sketch.ravel(), buckets), "bucket int, hot boolean, tokens binary, owners binary, places binary")
     shared = common.stored(held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_tokens, "token long, owner long, place int"))
     members = common.stored(shared.select("owner").distinct().join(classes.select(F.col("k1").alias("owner"), "key", "n", "point"), "owner"))
-    near = texts.where(common.may_be_in(common.bitmap(members, "key"), "key")).join(members.select("key"), "key")
-    near = common.stored(near)
+    near = common.stored(texts.where(common.may_be_in(common.bitmap(members, "key"), "key")))
     shared = common.stored(_distinct_groups(shared))
 
     links = _links(common.stored(_bounded(_hub_pairs(shared, members, percent), members, percent)), near, size, percent)

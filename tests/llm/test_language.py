@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from presswork.llm import language
 
 
@@ -45,6 +47,21 @@ def test_headers_short_texts_and_many_languages(spark, monkeypatch):
     assert want[5][0] == "aa"
     monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", 3)
     assert language.learn(docs) == whole
-    run = language._classify(whole, 6)
-    batch = next(run(iter(asked.toArrow().combine_chunks().to_batches())))
-    assert {k: (a, m) for k, a, m in zip(*(batch[c].to_pylist() for c in ("doc_id", "_lang", "_margin")), strict=True)} == want
+    again = {r.doc_id: (r._lang, r._margin) for r in language.classify(asked, whole).collect()}
+    assert again == want
+
+
+def test_scores_match_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.learn(docs)
+    coders = {k: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in model.items()}
+    got = language.classify(docs.withColumnRenamed("text", "body").withColumn("text", F.lit(1)), model, text="body")
+    for r in got.collect():
+        if r.body and any(c.isalpha() for c in r.body):
+            raw = r.body.lower().encode()
+            size = sorted((sum(len(c.compress(raw[i : i + language.BLOCK_BYTES])) for i in range(0, len(raw), language.BLOCK_BYTES)), k) for k, c in coders.items())
+            assert r._lang == size[0][1] and abs(r._margin - (1 - size[0][0] / size[1][0])) < 0.01
+        else:
+            assert r._lang == "und" and r._rejected
