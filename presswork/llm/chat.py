@@ -23,6 +23,9 @@ from presswork.llm import common
 ESCAPED = re.compile(r"[\\<>]")
 TAG = re.compile(r"\\.|<[^<>\\]*(?:\\.[^<>\\]*)*>", re.S)
 
+#: An attachment with an amount beyond this, or one that is not finite, expands to no token.
+MOST_TOKENS = 1 << 40
+
 PART_TYPE = "array<struct<kind:string,text:string,ref:string,amount:double>>"
 OUT_SCHEMA = (
     "conv_id long, formatted string, n_turns long, n_tokens_expanded long, loss array<struct<start:long,end:long>>, "
@@ -64,7 +67,8 @@ class Visitor:
 
     def attach(self, part: dict, amount: float) -> None:
         kind = part["kind"]
-        tokens = math.ceil(max(0.0, amount) * self.rates.get(kind, 0))
+        count = max(0.0, amount) * self.rates.get(kind, 0)
+        tokens = math.ceil(count) if count <= MOST_TOKENS else 0  # not for an amount that is no number or infinite
         self.attachments.append({"number": len(self.attachments), "kind": kind, "ref": part["ref"], "tokens": tokens, "start": self.at})
         self.write(f"<part {len(self.attachments) - 1} {escape(kind)} {tokens}>")
 
@@ -108,7 +112,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 
     A row's content is its `parts` column (PART_TYPE; amount: tiles, seconds or pages) if one is named and
     not null, else its text as one part. A null text is empty, a null role is empty and never under the loss, a null kind is text, an
-    unknown kind is an attachment of no tokens. Rows go by turn (null first), ties by role and
+    unknown kind is an attachment of no tokens, as is one whose amount is not finite or beyond MOST_TOKENS. Rows go by turn (null first), ties by role and
     content, and repeated rows are turns of their own. Rows without a conversation belong to none and
     are left out; other columns are ignored; an empty table gives an empty one. Spans count code points.
     """

@@ -28,7 +28,7 @@ UNKNOWN = "und"
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionary by language, from about `sample_docs` documents of each, at most DOC_CHARS
+    """Dictionary by language, from at most `sample_docs` different documents of each, at most DOC_CHARS
     of one document (from PLACES places spread over it) and `dict_bytes` in all. Rows with a null text or language teach nothing.
     Documents are drawn by a hash of their text, so reruns and row orders agree."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null and text <> ''")
@@ -40,18 +40,20 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs:
     model: dict[str, bytes] = {}
     for i in range(0, len(counts), LANGUAGES_AT_ONCE):
         share = F.create_map(*[x for r in counts[i : i + LANGUAGES_AT_ONCE] for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / r["count"])))])
-        sample = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", spread.alias("text")).collect()
-        model |= _dictionaries(sample, sample_docs, dict_bytes)
+        sample = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", spread.alias("text"))
+        # copies of a text count once; a language has one row of so many texts
+        sample = sample.groupBy("lang", "draw").agg(F.min("text").alias("text")).groupBy("lang")
+        sample = sample.agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "text"))), 1, sample_docs).alias("drawn")).collect()
+        model |= {r["lang"]: _dictionary([x["text"] for x in r["drawn"]], dict_bytes) for r in sample}
     return dict(sorted(model.items()))
 
 
-def _dictionaries(sample: list, sample_docs: int, dict_bytes: int) -> dict[str, bytes]:
-    model: dict[str, list[str]] = {}
-    for r in sorted(sample, key=lambda r: (r["draw"], r["text"])):
-        got = model.setdefault(r["lang"], [])
-        if r["text"] not in got[-8:]:
-            got.append(r["text"])
-    return {k: " ".join(v[:sample_docs]).lower().encode()[:dict_bytes] for k, v in model.items()}
+def _dictionary(texts: list[str], dict_bytes: int) -> bytes:
+    got: list[str] = []
+    for t in texts:
+        if t not in got[-8:]:
+            got.append(t)
+    return " ".join(got).lower().encode()[:dict_bytes]
 
 
 def _classify(model: dict[str, bytes], level: int):
@@ -70,8 +72,8 @@ def _classify(model: dict[str, bytes], level: int):
 
         names, raws = list(model), list(model.values())
         state = worker_state()
-        if getattr(state, "model", None) != model:  # workers are used again
-            state.model, state.coders = model, coders_of(0) if len(raws) <= LANGUAGES_AT_ONCE else None
+        if getattr(state, "model", None) != (level, LANGUAGES_AT_ONCE, model):  # workers are used again
+            state.model, state.coders = (level, LANGUAGES_AT_ONCE, model), coders_of(0) if len(raws) <= LANGUAGES_AT_ONCE else None
         least: list[list] = [[] for _ in range(len(texts))]  # the two smallest (size, language) of each row
         for at in range(0, len(raws), LANGUAGES_AT_ONCE):
             coders = state.coders or coders_of(at)

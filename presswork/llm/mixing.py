@@ -52,12 +52,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     `preference` is a positive factor of a document's expected copies (default: all alike); a
     document's expected copies never exceed `most`. A null text has size 0, a null source is a source of
     its own, a null key is sampled by its text; rows that repeat both key and text are taken alike. Reruns agree. Columns of
-    the input that start with an underscore and clash with these five are replaced; an empty table gives an empty one.
+    the input that are named like the four added ones are replaced, others may have any name; an empty table gives an empty one.
     """
-    own = [c for c in docs.columns if c not in ("_size", "_source_size", "_target", "_copies", "_rank")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("_size", "_source_size", "_target", "_copies")]
     like = F.lit(1.0) if preference is None else F.greatest(preference.cast("double"), F.lit(1e-9))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.when(F.col(key).isNull(), F.col(text))), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    small = common.stored(docs.select(F.col(source).alias("source"), size_of(text).alias("size"), like.alias("like"), uniform.alias("uniform")))
+    # the input's columns travel in one struct, so that none can clash with those made here
+    rows = docs.select(F.struct(*own).alias("row"), F.col(source).alias("source"), size_of(text).alias("size"), like.alias("like"), uniform.alias("uniform"))
+    small = common.stored(rows.select("source", "size", "like", "uniform"))
     goal = targets(small.select("source", "size"), weights, share, most)
     mean = small.groupBy(F.col("source").alias("s")).agg(F.try_divide(F.sum(F.col("like") * F.col("size")), F.sum("size")).alias("mean_like"))
     goal = common.stored(goal.join(mean, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "weight", "target", F.coalesce("mean_like", F.lit(1.0)).alias("mean_like")))
@@ -70,10 +72,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         rank = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << (BITS * ROUNDS)))), F.lit((1 << (BITS * ROUNDS)) - 1))
         return df.withColumn("certain", F.floor(expected)).withColumn("_rank", F.when(part > 0, rank.cast("long")))
 
-    def with_goal(df: DataFrame, name: str, goal: DataFrame) -> DataFrame:
-        return df.join(goal.withColumnRenamed("source", "_source"), F.col(name).eqNullSafe(F.col("_source")), "left").drop("_source")
+    def with_goal(df: DataFrame, goal: DataFrame) -> DataFrame:
+        return df.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
-    drawn = ranked(with_goal(small, "source", goal), F.col("like"), F.col("uniform"))
+    drawn = ranked(with_goal(small, goal), F.col("like"), F.col("uniform"))
     certain = drawn.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("certain") * F.col("size")).alias("sure"))
     state = goal.join(certain, F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("target") - F.col("sure")).alias("left"), F.lit(0).cast("long").alias("low"), F.lit(True).alias("open"))
     pool = common.stored(drawn.where("_rank is not null and size > 0").select("source", "size", "_rank"))
@@ -101,9 +103,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     pick = rest.groupBy(F.col("source").alias("p")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")), "_rank"))["_rank"].alias("pick"))
     stops = goal.join(state, F.col("source").eqNullSafe(F.col("s"))).join(pick, F.col("source").eqNullSafe(F.col("p")), "left").drop("s", "p", "left")
     stops = common.stored(stops)
-    out = ranked(with_goal(docs.select(*own), source, stops), like, uniform)
+    out = ranked(with_goal(rows, stops), F.col("like"), F.col("uniform"))
     copies = F.col("certain") + F.when((F.col("_rank") < F.col("low")) | (F.col("_rank") == F.col("pick")), 1).otherwise(0)
-    return out.select(*own, size_of(text).alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.cast("long").alias("_copies"))
+    return out.select("row.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.cast("long").alias("_copies"))
 
 
 def op8_pareto_mix(spark, sf_dir: str) -> DataFrame:

@@ -105,13 +105,14 @@ class Model:
 
 
 def fit(rows: DataFrame, shape: bool, max_rows: int = MAX_LABELLED, min_docs: int = 3, l2: float = 1.0, steps: int = 250, min_z: float = 4.0) -> Model | None:
-    """Fit on (text, grade) rows, at most about `max_rows` of them, drawn by a hash of the text. Rows with a null text or
-    grade teach nothing; None if fewer than two grades are left. Features in under `min_docs` rows, or whose rows' mean grade is
+    """Fit on (text, grade) rows, at most `max_rows` different texts, those with the smallest hashes; copies of a text count once,
+    with the grade that most of them have. Rows with a null text or grade teach nothing; None if fewer than two grades are left. Features in under `min_docs` rows, or whose rows' mean grade is
     under `min_z` standard errors from that of all, are not used."""
     rows = rows.select("text", F.col("grade").cast("int").alias("grade")).where("text is not null and grade is not null")
-    n = rows.count()
-    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(7)), 11).cast("double") / float(1 << 53)
-    got = rows.where(draw < min(1.0, max_rows / max(1, n))).mapInArrow(_featured(shape), "grade int, features binary").toPandas()
+    rows = rows.withColumn("draw", F.xxhash64("text", F.lit(7)))
+    last = rows.select("draw").distinct().orderBy("draw").limit(max_rows).agg(F.max("draw")).first()[0]
+    drawn = rows.where(F.col("draw") <= last).groupBy("draw").agg(F.min("text").alias("text"), F.mode("grade", True).alias("grade"))
+    got = drawn.select("text", "grade").mapInArrow(_featured(shape), "grade int, features binary").toPandas()
     return fit_features(got["grade"].to_numpy(), [np.frombuffer(x, np.int32) for x in got["features"]], shape, min_docs, l2, steps, min_z)
 
 

@@ -5,7 +5,8 @@ on the histogram of piece lengths (a table of fixed size): a sequence is filled
 longest piece that fits, then its smallest piece gives way to two unpacked ones that fill the
 widened gap better, and the same pattern is repeated while pieces of its lengths last. Pieces
 find their place in the plan by their rank among those of equal length; ranks are counted in
-salted groups, so a length that most pieces share is not ranked in one task.
+salted groups, and places are looked up in the plan itself, so a length that most pieces share meets in no task.
+A piece alone in its sequence keeps it: nothing that is left fits beside it, now or later.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -177,40 +179,40 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     counts = np.zeros(limit + 1, np.int64)
     for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `limit` rows
         counts[r.length] = r.n
-    slots: list[tuple[int, int, int, int, int]] = []  # length, first rank, times, first sequence, offset
+    # of each length: first rank, sequences, first sequence, offset; equal neighbours in a sequence are one entry. At most some `limit` patterns
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
     rank = np.zeros(limit + 1, np.int64)
     sequence = 0
     for lengths, times in plan(counts, limit):
         at = 0
-        for n in lengths:
-            slots.append((n, int(rank[n]), times, sequence, at))
-            rank[n] += times
-            at += n
+        for n, same in groupby(lengths):
+            reps = len(list(same))
+            slots.setdefault(n, []).append((int(rank[n]), times, sequence, at))
+            rank[n] += times * reps
+            at += n * reps
         sequence += times
-    spark = docs.sparkSession
-    places = spark.createDataFrame(slots, "length long, rank0 long, times long, sequence0 long, offset long")
-    # ranks are split at the places' bounds: a place holds `times` consecutive ranks of its length
     before = groups.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = salted.withColumn("at", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at"))
-    by_length = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank0", "times", "sequence0", "offset"))).alias("places"))
-    return ranked.join(by_length, "length").mapInArrow(_placed, "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-
-
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, tuple[np.ndarray, ...]] = {}
-    for batch in batches:
-        length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        for n in np.unique(length).tolist():
-            rows = np.flatnonzero(length == n)
-            if n not in known:
-                places = batch["places"][int(rows[0])].as_py()
-                known[n] = tuple(np.array([p[c] for p in places], np.int64) for c in ("rank0", "sequence0", "offset"))
-            rank0, sequence0, offset0 = known[n]
-            at = np.searchsorted(rank0, rank[rows], side="right") - 1
-            sequence[rows], offset[rows] = sequence0[at] + rank[rows] - rank0[at], offset0[at]
-        yield pa.RecordBatch.from_arrays([batch[c] for c in ("key", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)], ["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+    return ranked.mapInArrow(_placed(slots), "key long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _placed(slots: dict[int, list[tuple[int, int, int, int]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {n: tuple(np.array(x, np.int64) for x in zip(*entries, strict=True)) for n, entries in slots.items()}
+        for batch in batches:
+            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            for n in np.unique(length).tolist():
+                rows = np.flatnonzero(length == n)
+                rank0, times, sequence0, offset0 = known[n]
+                at = np.searchsorted(rank0, rank[rows], side="right") - 1
+                # an entry holds so many sequences, then the next place in the same ones
+                behind = rank[rows] - rank0[at]
+                sequence[rows], offset[rows] = sequence0[at] + behind % times[at], offset0[at] + behind // times[at] * n
+            yield pa.RecordBatch.from_arrays([batch[c] for c in ("key", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)], ["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run
 
 
 def word_tokenizer() -> str:

@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str = "text", length: int =
     return whole.unionByName(same).unionByName(single)
 
 
-def _cut(length: int) -> Callable:
+def _cut(length: int, characters: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textops.column_bytes(batch["text"])
@@ -260,20 +260,24 @@ def _cut(length: int) -> Callable:
                 gone -= np.bincount(np.minimum(len(own), last.astype(np.int64) + length), minlength=len(own) + 1)
                 cut = np.cumsum(gone)[:-1] > 0
                 begins = np.flatnonzero(cut & ~np.concatenate(([False], cut[:-1]))) if len(own) else []
-                for to, x in zip(out, (len(own), int(cut.sum()), len(begins), own[~cut].tobytes()), strict=True):
+                stays = ~cut
+                if characters:  # a character goes with any of its bytes
+                    char = np.cumsum((own & 0xC0) != 0x80)
+                    stays = np.bincount(char[cut], minlength=int(char[-1]) + 1 if len(char) else 1)[char] == 0
+                for to, x in zip(out, (len(own), int(cut.sum()), len(begins), own[stays].tobytes()), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([batch["key"], *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), batch["rest"]], ["key", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, batches: int = 4, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary, rest) of every row with a key.
 
     Every byte that a `length`-byte string covers which also starts anywhere else, in the same text
     or another, is removed; all strings are judged on the input. A null text counts as empty, texts
     under `length` bytes are kept as they are; rest is a struct of the columns named in `carry`, others are
-    ignored. Rows that repeat a key are one document, the smallest text of them; rows whose key is null
+    ignored. With `characters`, `kept` is also without the other bytes of characters that were cut in part. Rows that repeat a key are one document, the smallest text of them; rows whose key is null
     are left out. An empty table gives an empty one.
     """
     rest = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
@@ -284,7 +288,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     by_key = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     may = common.may_be_in(common.bitmap(spans.select("key").distinct(), "key"), "key")
     schema = f"key long, n_bytes long, n_removed long, n_spans long, kept binary, rest {docs.schema['rest'].dataType.simpleString()}"
-    cut = docs.where(may).join(by_key, "key", "left").mapInArrow(_cut(length), schema)
+    cut = docs.where(may).join(by_key, "key", "left").mapInArrow(_cut(length, characters), schema)
     none = F.lit(0).cast("long")
     left = docs.where(~may).select("key", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"), "rest")
     return cut.unionByName(left)

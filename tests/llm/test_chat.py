@@ -38,3 +38,18 @@ def test_parts_and_mask(spark):
 def test_query_digests(spark):
     rows = {r.conv_id: r for r in chat.op4_chat_format(spark, "/root/testdata/sf0.001").collect()}
     assert rows[-7].n_turns == 2 and rows[-7].loss_chars == len("\\### Assistant: </turn> ok")
+
+
+def test_amounts_that_are_no_count(spark):
+    amounts = [float("inf"), float("-inf"), float("nan"), 1e300, -1.0, 2.0]
+    parts = [("audio", None, str(a), a) for a in amounts]
+    df = spark.createDataFrame([(1, 0, "user", "x", parts)], f"conv_id long, turn long, role string, text string, content {chat.PART_TYPE}")
+    got = chat.format_conversations(df.withColumn("turns", df.turn).withColumn("t", df.turn), parts="content").first()
+    assert [a.tokens for a in got.attachments] == [0, 0, 0, 0, 0, 50] and got.n_tokens_expanded == 50
+
+
+def test_a_very_long_text_and_repeated_turns(spark):
+    long = "<a\\b>" * 400_000
+    df = spark.createDataFrame([(1, 0, "assistant", long), (1, 1, "user", "same"), (1, 1, "user", "same")], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(df).first()
+    assert chat.read_turns(got.formatted) == [("assistant", long), ("user", "same"), ("user", "same")] and got.n_turns == 3

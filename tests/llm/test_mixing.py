@@ -47,3 +47,20 @@ def test_preference_and_empty(spark):
     assert sum(r._copies for r in rows if r.good) > 2 * sum(r._copies for r in rows if not r.good)
     assert abs(sum(r._copies * r._size for r in rows) - 1600) <= 8
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    names = ("low", "weight", "target", "pick", "mean_like", "_source", "certain", "size", "like", "row", "s", "a.b", "_rank", "_size")
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7), "xy"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    got = mixing.mix(docs.withColumns({n: F.lit(n) for n in names})).collect()
+    plain = {r.doc_id: r._copies for r in mixing.mix(docs).collect()}
+    assert len(got) == 60 and all(r[n] == n for r in got for n in names[:-1]) and {r.doc_id: r._copies for r in got} == plain
+    assert all(r._size == 3 * (r.doc_id % 7) for r in got)
+
+
+def test_a_very_long_text_and_ties(spark):
+    docs = spark.createDataFrame([(1, "w " * 1_000_000, "a")] + [(i, "one two", "b") for i in range(2, 400)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 399 and all(0 <= r._copies <= 2 for r in rows) and {r._size for r in rows} == {1_000_000, 2}

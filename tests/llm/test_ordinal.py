@@ -46,3 +46,25 @@ def test_odd_rows(spark):
     assert all(r.selected for r in quality.grade_documents(docs, labels.limit(0)).collect())
     assert quality.grade_documents(docs.limit(0), labels).collect() == []
     assert toxicity.severities(docs, labels.withColumn("text", F.lit("clash"))).count() == 2
+
+
+def test_a_hot_text_does_not_pass_the_bound(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(ordinal, "fit_features", lambda grade, lists, *_: seen.append(len(lists)))
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.lit("one hot text")).otherwise(F.concat(F.lit("text "), "id")).alias("text"), (F.col("id") % 3).alias("grade"))
+    ordinal.fit(rows, shape=False, max_rows=500)
+    assert seen == [500]
+
+
+def test_scores_match_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = ordinal.fit(docs.select("text", (F.length("text") % 3).alias("grade")), shape=False, min_z=0.5)
+    powers = ordinal.textops.Powers()
+    for r, t in zip(ordinal.score(docs, model).orderBy("key").collect(), docs.orderBy("doc_id").collect(), strict=True):
+        raw = np.frombuffer((t.text or "").encode(), np.uint8)
+        f, _ = ordinal.features(raw, np.array([0, len(raw)]), powers, False)
+        x = sum(float(model.weights[k]) for k in f.tolist())
+        tails = [1 - 1 / (1 + np.exp(-(th - x))) for th in model.thresholds]
+        assert np.allclose(r.tails, tails, atol=1e-5) and abs(r.expected - sum(tails)) < 1e-4

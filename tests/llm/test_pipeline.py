@@ -35,3 +35,15 @@ def test_texts_under_null_and_repeated_ids_stay(spark):
     joined = corpus_pipeline.join_near_copies(spark, docs, SF)
     assert Counter((r.doc_id, r.text) for r in joined.collect()) == want
     assert Counter((r.doc_id, r.text) for r in corpus_pipeline.cut_repeats(spark, joined, SF).collect()) == want
+
+
+def test_odd_rows_empty_tables_and_other_columns(spark):
+    part = "0123456789 abcdefghij " * 30
+    rows = [(1, None, None, None, None), (2, "", "en", "web", 0), (3, part + "x" * 9 + "é� end of this one", "en", "web", 9), (4, "keep � this one as it is, " + part + "ê tail", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert cut[1] == cut[2] == "" and cut[4].startswith("keep � this") and cut[4].endswith("ê tail") and "0123456789" not in cut[3] and "é� end" in cut[3]
+    wide = docs.withColumns({c: docs.n_chars for c in ("_row", "key", "low", "component_id", "kept", "rest")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide, SF).collect() is not None, name
+        assert stage(spark, docs.limit(0), SF).collect() == [], name

@@ -42,3 +42,10 @@ def test_a_very_long_text(spark):
     rows = [(1, text), (2, text[1_400_000:1_401_000] + "!")]
     got = {r.key: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1000, 1), 2: (1000, 1)}
+
+
+def test_characters_cut_in_part_go_whole(spark):
+    a, b = "é" + "q" * 40 + "ê", "è" + "q" * 40 + "ë"  # the two share the first byte of their first characters' and of their last ones' codes
+    rows = [(1, "x" + a + "�"), (2, "y" + b + "�!")]
+    got = {r.key: bytes(r.kept).decode() for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=20, characters=True).collect()}
+    assert got == {1: "xé�", 2: "yè�!"}
