@@ -33,11 +33,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur elsewhere are cut out; a character cut in part goes."""
-    kept = repeats.remove_repeats(_numbered(docs), key="_row", carry=("doc_id", "lang", "source"))
-    # what is left of a character cut in part is not valid UTF-8 any more
-    whole = F.col("kept").cast("string")
-    text = F.when(F.col("n_removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
-    return kept.select("rest.doc_id", text.alias("text"), "rest.lang", "rest.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = repeats.remove_repeats(_numbered(docs), key="_row", carry=("doc_id", "lang", "source"), characters=True)
+    return kept.select("rest.doc_id", F.col("kept").cast("string").alias("text"), "rest.lang", "rest.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
