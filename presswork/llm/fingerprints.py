@@ -164,8 +164,9 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     order = neighbours(ids.select("id", "n")).crossJoin(F.broadcast(ends)).select("id", F.coalesce("previous", "last.id").alias("previous"), F.coalesce("n_previous", "last.n").alias("n_previous"))
     order = common.stored(order.join(ids.select("id", "spread", "first"), "id"))
     # the texts move once: both joins read the same exchange of them
-    nexts = base.join(order, ["id", "spread"]).where(content == F.col("first"))
-    heads = nexts.groupBy(F.col("previous").alias("id"), "spread").agg(F.min(F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int"))).alias("head"))
+    nexts = base.join(order, ["id", "spread"])
+    head = F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int"))
+    heads = nexts.groupBy(F.col("previous").alias("id"), "spread").agg(F.min(F.struct(content.alias("content"), head.alias("head")))["head"].alias("head"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.when(F.col("head").isNull(), F.substring(F.col("text"), n - quarter + 1, quarter)).otherwise(F.substring(F.col("head"), F.lit(1), quarter)))
