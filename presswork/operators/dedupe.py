@@ -75,7 +75,7 @@ def _saved(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df.checkpoint()
 
 
-def keep_first(sigs: DataFrame, key: str = "id", max_rounds: int = 100) -> DataFrame:
+def keep_first(sigs: DataFrame, key: str = "id") -> DataFrame:
     """Keys that stay if each row is dropped iff a near earlier row was kept.
 
     Among equal signatures only the first can stay, so the rounds work on distinct signatures: one with no
@@ -87,7 +87,7 @@ def keep_first(sigs: DataFrame, key: str = "id", max_rounds: int = 100) -> DataF
     earlier = first.withColumnRenamed("sig32", "near").withColumnRenamed("first", "near_first")
     edges = _saved(pairs.join(first, "sig32").join(earlier, "near").where("near_first < first").select("sig32", "near"), spark)
     kept, open_ = [], first
-    for _ in range(max_rounds):
+    while True:
         blocked = edges.select("sig32").distinct()
         now = _saved(open_.join(blocked, "sig32", "left_anti"), spark)
         kept.append(now)
@@ -98,8 +98,6 @@ def keep_first(sigs: DataFrame, key: str = "id", max_rounds: int = 100) -> DataF
         open_ = _saved(open_.join(decided, "sig32", "left_anti"), spark)
         alive = open_.select("sig32")
         edges = _saved(edges.join(alive, "sig32", "left_semi").join(alive.withColumnRenamed("sig32", "near"), "near", "left_semi").select("sig32", "near"), spark)
-    else:
-        raise RuntimeError("keep_first is not settled")
     out = kept[0]
     for k in kept[1:]:
         out = out.union(k)
@@ -125,13 +123,17 @@ NEAR = "bit_count(xor(a.sig32, b.sig32)) <= 1"
 PAST = f"first_seen_at >= {AS_OF} - INTERVAL 168 HOUR"
 
 QUERIES = {
-    "d01_token_hash": (lambda v: v.articles.select("id", token_hash(F.substring("title", 1, 20)).alias("h")), f"SELECT id, {DUCK_HASH.format('substring(title, 1, 20)')} AS h FROM articles"),
+    "d01_token_hash": (lambda v: v.articles.select("id", token_hash(F.col("title")).alias("h")), f"SELECT id, {DUCK_HASH.format('title')} AS h FROM articles"),
     "d02_simhash": (lambda v: signatures(v.articles).select("id", "sig32", sig_hex().alias("simhash")), f"SELECT id, sig32, repeat({' || '.join(f'lpad(lower(to_hex((sig32 >> {8 * i}) & 255)), 2, chr(48))' for i in range(4))}, 2) AS simhash FROM ({DUCK_SIG})"),
     "d03_distance": (lambda v: (s := signatures(v.articles)).select("id", "sig32").join(s.select((F.col("id") + 1).alias("id"), F.col("sig32").alias("other")), "id").select("id", distance(F.col("sig32"), F.col("other")).alias("distance")), f"WITH s AS ({DUCK_SIG}) SELECT b.id, CAST(2 * bit_count(xor(a.sig32, b.sig32)) AS BIGINT) AS distance FROM s a JOIN s b ON b.id = a.id + 1"),
     "d04_known_urls": (lambda v: v.articles.join(v.articles.where(F.col("first_seen_at") < hours_before(48)).select("canonical_url"), "canonical_url", "left_semi").select("id"), f"SELECT id FROM articles WHERE canonical_url IN (SELECT canonical_url FROM articles WHERE first_seen_at < {AS_OF} - INTERVAL 48 HOUR)"),
     "d05_near_counts": (lambda v: near_counts(signatures(v.articles)), f"WITH s AS ({DUCK_SIG}) SELECT a.id, count(*) - 1 AS near_rows FROM s a JOIN s b ON {NEAR} GROUP BY 1"),
     "d06_near_history": (lambda v: (s := signatures(v.articles)) and near_history(s.where(F.col("first_seen_at") >= hours_before(48)), s.where(F.col("first_seen_at") < hours_before(48)), hours_before(168)), f"WITH s AS ({DUCK_SIG}) SELECT DISTINCT a.id FROM s a JOIN s b ON {NEAR} WHERE a.first_seen_at >= {AS_OF} - INTERVAL 48 HOUR AND b.first_seen_at < {AS_OF} - INTERVAL 48 HOUR AND b.{PAST}"),
-    "d07_keep_first": (lambda v: keep_first(signatures(v.articles)), None),
+    "d07_keep_first": (lambda v: keep_first(signatures(v.articles)), f"""WITH RECURSIVE s AS ({DUCK_SIG}), f AS (SELECT sig32, min(id) AS first FROM s GROUP BY 1), o AS (SELECT sig32, first, row_number() OVER (ORDER BY first) AS n FROM f),
+        k AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS id
+            UNION ALL SELECT p.n, CASE WHEN p.near THEN kept ELSE list_append(kept, p.sig32) END, CASE WHEN NOT p.near THEN p.first END
+            FROM (SELECT o.n, o.sig32, o.first, k.kept, len(list_filter(k.kept, lambda x: bit_count(xor(x, o.sig32)) <= 1)) > 0 AS near FROM k JOIN o ON o.n = k.n + 1) p)
+        SELECT id FROM k WHERE id IS NOT NULL"""),
     "d08_outcomes": (lambda v: outcomes(v.articles, v.topics, v.articles.where(F.col("first_seen_at") < hours_before(48))).groupBy("topic_id", "outcome").agg(F.count("*").alias("n")), f"SELECT topic_id, CASE WHEN reason IS NOT NULL THEN 'skippedQuality' WHEN seen THEN 'skippedDuplicates' ELSE 'kept' END AS outcome, count(*) AS n FROM (SELECT g.*, a.first_seen_at < {AS_OF} - INTERVAL 48 HOUR AS seen FROM ({GATE}) g JOIN articles a USING (id)) GROUP BY 1, 2"),
     "d09_distinct_urls": (lambda v: v.index_urls.select("url").dropDuplicates(["url"]), "SELECT DISTINCT url FROM index_urls"),
 }

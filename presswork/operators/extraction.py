@@ -13,7 +13,8 @@ from presswork.sources.fixtures import AS_OF
 PAYWALL = "(?i)paywall|subscriber.{0,20}only|premium.{0,20}content|login.{0,20}to.{0,20}continue|subscribe.{0,20}to.{0,20}read"
 NOT_NEWS = ("facebook.com", "twitter.com", "instagram.com", "youtube.com", "linkedin.com", "reddit.com", "duckduckgo.com", "google.com", "bing.com")
 NOT_ARTICLE = ("/author/", "/tag/", "/category/", "/page/", "/search", "/login", "/register")
-ARTICLE_PATH = "(?i)/article/|/story/|/news/|/[0-9]{4}/[0-9]{2}/"
+ARTICLE_SECTIONS = ("news", "article", "actualites", "politique", "societe", "economy", "economie", "world", "monde", "sport", "culture", "tech", "science")
+ARTICLE_PATH = f"(?i)/({'|'.join(ARTICLE_SECTIONS)})/|/[0-9]{{4}}/[0-9]{{2}}/"
 
 
 def canonical_url(html: str = "html", url: str = "url") -> Column:
@@ -113,6 +114,17 @@ def sitemap_entries(xml: DataFrame, column: str = "xml") -> DataFrame:
     return rows.select("domain", F.trim(found("block", "(?s)<loc>(.*?)</loc>")).alias("loc"), F.try_to_timestamp(F.trim(found("block", "(?s)<lastmod>(.*?)</lastmod>"))).alias("lastmod")).where("loc is not null")
 
 
+def is_recent(xml: Column, days: int = 7) -> Column:
+    """Whether the first <lastmod> date of a sitemap is at most so many days old; false without one."""
+    first = F.try_to_timestamp(F.nullif(F.regexp_extract(xml, "<lastmod>([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")))
+    return F.coalesce(F.unix_timestamp(now()) - F.unix_timestamp(first) <= days * 86400, F.lit(False))
+
+
+def first_locs(xml: Column, n: int = 20) -> Column:
+    """The first web addresses of a sitemap."""
+    return F.slice(F.regexp_extract_all(xml, F.lit("<loc>(https?://[^<]+)</loc>"), F.lit(1)), 1, n)
+
+
 def child_sitemaps(xml: str = "xml", n: int = 5) -> Column:
     """The first children of a sitemap index, those with news or article in the name before others."""
     locs = F.array_distinct(F.regexp_extract_all(xml, F.lit("(?s)<sitemap>.*?<loc>\\s*(.*?)\\s*</loc>"), F.lit(1)))
@@ -174,13 +186,14 @@ QUERIES = {
     "e14_redirects": (lambda v: v.pages.select("page_id", redirect_target(F.concat(F.lit("https://s.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))).alias("target")), "SELECT page_id, url AS target FROM pages"),
     "e15_listing": (lambda v: listing_domains(v.pages.groupBy(F.substring("url", 1, 12).alias("g")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.struct("url").alias("data"))).alias("children")).alias("data"))).alias("json"))), f"SELECT DISTINCT regexp_replace({DHOST('url')}, '^www\\.', '') AS domain FROM pages"),
     "e16_aggregator": (lambda v: outbound(v.tagged_pages, True, ("canon",)), OUT(True, "AND NOT contains(domain, 'canon')")),
-    "e17_article_links": (lambda v: article_links(v.tagged_pages).select("page_id", "link"), "SELECT page_id, 'https://www.' || source || '.example.com:443/2024/01/story-' || CAST(page_id AS VARCHAR) AS link FROM tagged_pages WHERE page_id % 5 = 2"),
-    "e18_sitemap": (lambda v: sitemap_entries(v.sitemap_urls.groupBy("domain").agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format("lastmod", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))), "\n").alias("xml"))), "SELECT domain, url AS loc, lastmod FROM sitemap_urls"),
+    "e17_article_links": (lambda v: article_links(v.section_pages).select("page_id", "link"), f"SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=[\"'']([^\"'']*)[\"'']', 1)) AS href FROM section_pages) WHERE href LIKE '/%' AND NOT regexp_matches(href, '{'|'.join(NOT_ARTICLE)}') AND regexp_matches(lower(href), '/({'|'.join(ARTICLE_SECTIONS)})/|/[0-9]{{4}}/[0-9]{{2}}/')"),
+    "e18_sitemap": (lambda v: sitemap_entries(v.sitemap_urls.groupBy("domain", F.substring(F.md5("url"), 1, 3)).agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format("lastmod", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))), "\n").alias("xml"))), "SELECT domain, url AS loc, lastmod FROM sitemap_urls"),
     "e21_allowed": (lambda v: allowed(v.sitemap_urls, v.robots_rules).select("url", "allowed"), """SELECT url, coalesce(bool_or(kind = 'allow' AND starts_with(path_, path)), false) OR NOT coalesce(bool_or(kind = 'disallow' AND starts_with(path_, path)), false) AS allowed
         FROM (SELECT *, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^#]*)', 1) AS path_ FROM sitemap_urls) u LEFT JOIN robots_rules r ON r.domain = u.domain GROUP BY url"""),
     "e22_article_pattern": (lambda v: v.sitemap_urls.join(v.sources.select("domain", F.get_json_object("api_config", "$.articlePattern").alias("pattern")), "domain").where("pattern is null or url rlike pattern").select("url"), "SELECT url FROM sitemap_urls u JOIN sources s ON s.domain = u.domain WHERE json_extract_string(api_config, '$.articlePattern') IS NULL OR regexp_matches(url, json_extract_string(api_config, '$.articlePattern'))"),
     "e24_entities": (lambda v: v.tagged_pages.select("page_id", decode_entities(F.col("html")).alias("text")), "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&#39;', '''') AS text FROM tagged_pages"),
     "e25_snippet": (lambda v: v.articles.select("id", F.concat(F.substring("summary", 1, 200), F.lit("...")).alias("snippet")), "SELECT id, substring(summary, 1, 200) || '...' AS snippet FROM articles"),
     "e26_probe_features": (lambda v: v.tagged_pages.select("page_id", (F.col("html").contains("ld+json") & F.col("html").contains("NewsArticle")).alias("jsonld_news"), language().isNotNull().alias("has_lang")), f"SELECT page_id, contains(html, 'ld+json') AND contains(html, 'NewsArticle') AS jsonld_news, {DLANG} IS NOT NULL AS has_lang FROM tagged_pages"),
-    "e27_recency": (lambda v: v.sitemap_urls.groupBy("domain").agg(F.coalesce(F.max("lastmod") >= F.timestamp_seconds(F.unix_timestamp(now()) - 7 * 86400), F.lit(False)).alias("recent")), f"SELECT domain, coalesce(max(lastmod) >= {AS_OF} - INTERVAL 168 HOUR, false) AS recent FROM sitemap_urls GROUP BY 1"),
+    "e23_first_locs": (lambda v: v.sitemap_urls.select("url", F.explode(first_locs(F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url><url><loc>ftp://no</loc></url><loc>"), "url", F.lit("?2</loc>")), 2)).alias("loc")), "SELECT url, url AS loc FROM sitemap_urls UNION ALL SELECT url, url || '?2' FROM sitemap_urls"),
+    "e27_recency": (lambda v: v.sitemap_urls.select("url", is_recent(F.concat(F.coalesce(F.concat(F.lit("<url><lastmod>"), F.date_format("lastmod", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</lastmod></url>")), F.lit("<url></url>")), F.when(F.col("url").endswith("1"), F.lit("")).otherwise(F.lit("<url><lastmod>2024-01-30</lastmod></url>")))).alias("recent")), f"SELECT url, coalesce(CASE WHEN lastmod IS NOT NULL THEN date_trunc('day', lastmod) WHEN NOT url LIKE '%1' THEN TIMESTAMP '2024-01-30 00:00:00' END >= {AS_OF} - INTERVAL 168 HOUR, false) AS recent FROM sitemap_urls"),
 }

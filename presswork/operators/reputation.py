@@ -82,6 +82,13 @@ def topic_discovery(links: DataFrame, articles: DataFrame, pages: DataFrame, sou
     return found.join(newest, "page_id").groupBy("domain").agg(F.max_by("page_id", F.struct("added_at", "page_id")).alias("article_id")).select("domain", "article_id", F.lit(5).alias("score"))
 
 
+def discovery_points(sources: DataFrame, found: DataFrame, articles: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A source gets one point more for each new domain, neither a source nor a candidate yet, that its articles link to."""
+    new = found.join(sources.select("domain"), "domain", "left_anti").join(candidates.select("domain"), "domain", "left_anti")
+    by_source = new.join(articles.select(F.col("id").alias("page_id"), "source_id"), "page_id").select("source_id", "domain").distinct()
+    return bump_points(sources, by_source)
+
+
 def probe_score(weights: dict[str, int]) -> Column:
     """R14, R15."""
     return sum((F.when(F.col(c), w).otherwise(0) for c, w in weights.items()), F.lit(0))
@@ -110,6 +117,19 @@ STATE = """SELECT source_id, CAST(count(CASE WHEN status >= 400 AND (ok IS NULL
     FROM (SELECT a.*, max(CASE WHEN status < 400 THEN ts END) OVER (PARTITION BY source_id) AS ok, max(CASE WHEN status < 400 THEN id END) OVER (PARTITION BY source_id, ts) AS ok_id FROM attempts a) GROUP BY 1"""
 A_SUM = " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for c, w in PROBE_A.items())
 
+
+
+def _out(strip_www: bool) -> str:
+    """SQL of the pages and the other hosts they link to, with or without www. and social networks."""
+    own, domain = (f"regexp_extract({x}, '(?i)^[a-z]+://([^/:?#]+)', 1)" for x in ("url", "href"))
+    own, domain = (f"regexp_replace(lower({x}), '^www\\.', '')" if strip_www else f"lower({x})" for x in (own, domain))
+    seen = "" if strip_www else " AND domain NOT LIKE '%facebook%' AND domain NOT LIKE '%twitter%'"
+    return f"""SELECT DISTINCT page_id, domain FROM (SELECT page_id, {own} AS own, {domain} AS domain FROM (
+        SELECT page_id, url, unnest(regexp_extract_all(html, 'href=["'']([^"'']*)["'']', 1)) AS href FROM tagged_pages) WHERE regexp_matches(href, '(?i)^https?://')) WHERE domain <> '' AND domain <> own{seen}"""
+
+
+OUT, OUT_PLAIN = _out(False), _out(True)
+
 QUERIES = {
     "r01_bump_points": (lambda v: bump_points(v.sources, v.articles.where(F.col("first_seen_at") >= hours_before(24))), f"SELECT s.id, s.points + count(a.id) AS points FROM sources s LEFT JOIN articles a ON a.source_id = s.id AND a.first_seen_at >= {AS_OF} - INTERVAL 24 HOUR GROUP BY s.id, s.points"),
     "r02_decay": (lambda v: v.sources.select("id", decay(F.col("points"), 3).cast("long").alias("points")), "SELECT id, CAST(floor(floor(floor(points * 0.6) * 0.6) * 0.6) AS BIGINT) AS points FROM sources"),
@@ -119,15 +139,15 @@ QUERIES = {
     "r06_ordered": (lambda v: v.sources.where("enabled").select("domain", "points", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("points"), F.desc("created_at"))).cast("long").alias("place")), "SELECT domain, points, row_number() OVER (ORDER BY points DESC, created_at DESC) AS place FROM sources WHERE enabled"),
     "r07_known_domains": (lambda v: v.candidate_domains.join(v.sources.select("domain"), F.regexp_replace(v.candidate_domains.domain, "^www\\.", "") == v.sources.domain, "left_anti").select("domain"), "SELECT c.domain FROM candidate_domains c WHERE regexp_replace(c.domain, '^www\\.', '') NOT IN (SELECT domain FROM sources)"),
     "r08_last_seen": (lambda v: v.articles.groupBy("source_id").agg(F.max("first_seen_at").alias("last_seen_at")), "SELECT source_id, max(first_seen_at) AS last_seen_at FROM articles GROUP BY 1"),
-    "r09_discovery_points": (lambda v: outbound(v.tagged_pages).join(v.articles.select(F.col("id").alias("page_id"), "source_id"), "page_id").groupBy("source_id").agg(F.countDistinct("domain").alias("points")), None),
+    "r09_discovery_points": (lambda v: discovery_points(v.sources, outbound(v.tagged_pages), v.articles, v.candidate_domains), f"SELECT s.id, s.points + count(DISTINCT o.domain) AS points FROM sources s LEFT JOIN (SELECT a.source_id, o.domain FROM ({OUT}) o JOIN articles a ON a.id = o.page_id WHERE o.domain NOT IN (SELECT domain FROM sources) AND o.domain NOT IN (SELECT domain FROM candidate_domains)) o ON o.source_id = s.id GROUP BY s.id, s.points"),
     "r10_mainstream": (lambda v: v.candidate_domains.where(~is_mainstream(F.col("domain"))).select("domain"), f"SELECT domain FROM candidate_domains WHERE regexp_replace(domain, '^www\\.', '') NOT IN ({', '.join(repr(d) for d in MAINSTREAM)})"),
-    "r11_candidates": (lambda v: candidates({"outbound": outbound(v.tagged_pages).select("domain").distinct(), "pages": v.candidate_domains.select("domain")}, v.sources), None),
-    "r12_mined_links": (lambda v: mined_links(v.articles, v.tagged_pages), f"SELECT 'www.other' || CAST(id % 9 AS VARCHAR) || '.example.net' AS domain, count(*) AS pages FROM articles WHERE id % 5 = 1 AND first_seen_at >= {AS_OF} - INTERVAL 168 HOUR GROUP BY 1 UNION ALL SELECT 'news' || CAST(id % 4 AS VARCHAR) || '.example.org', count(*) FROM articles WHERE id % 5 = 3 AND first_seen_at >= {AS_OF} - INTERVAL 168 HOUR GROUP BY 1 UNION ALL SELECT 'canon.example.org', count(*) FROM articles WHERE id % 5 = 3 AND first_seen_at >= {AS_OF} - INTERVAL 168 HOUR HAVING count(*) > 0"),
-    "r13_topic_discovery": (lambda v: topic_discovery(v.topic_articles, v.articles, v.tagged_pages, v.sources, 1, 30), None),
+    "r11_candidates": (lambda v: candidates({"outbound": outbound(v.tagged_pages).select("domain").distinct(), "pages": v.candidate_domains.select("domain")}, v.sources), f"SELECT domain, CASE n WHEN 0 THEN 'outbound' ELSE 'pages' END AS feeder FROM (SELECT domain, min(n) AS n FROM (SELECT domain, 0 AS n FROM ({OUT}) UNION ALL SELECT domain, 1 FROM candidate_domains) GROUP BY 1) WHERE domain NOT IN (SELECT domain FROM sources) ORDER BY n, domain LIMIT 50"),
+    "r12_mined_links": (lambda v: mined_links(v.articles, v.tagged_pages), f"SELECT domain, count(*) AS pages FROM ({OUT}) o JOIN articles a ON a.id = o.page_id WHERE first_seen_at >= {AS_OF} - INTERVAL 168 HOUR GROUP BY 1"),
+    "r13_topic_discovery": (lambda v: topic_discovery(v.topic_articles, v.articles, v.tagged_pages, v.sources, 1, 30), f"WITH newest AS (SELECT article_id AS page_id, added_at FROM topic_articles WHERE topic_id = 1 ORDER BY added_at DESC, article_id DESC LIMIT 30) SELECT domain, last(page_id ORDER BY added_at, page_id) AS article_id, 5 AS score FROM ({OUT_PLAIN}) o JOIN newest USING (page_id) WHERE regexp_replace(domain, '^www\\.', '') NOT IN ({', '.join(repr(d) for d in MAINSTREAM)}) AND domain NOT IN (SELECT domain FROM sources) GROUP BY 1"),
     "r14_probe_score": (lambda v: v.candidate_probes.select("domain_id", probe_score(PROBE_A).alias("score")), f"SELECT domain_id, {A_SUM} AS score FROM candidate_probes"),
     "r15_probe_score_b": (lambda v: v.candidate_probes.withColumn("https", F.lit(True)).select("domain_id", probe_score(PROBE_B).alias("score")), "SELECT domain_id, 5 + CASE WHEN has_sitemap THEN 10 ELSE 0 END + CASE WHEN has_feed THEN 10 ELSE 0 END AS score FROM candidate_probes"),
     "r16_robots_state": (lambda v: robots_state(v.sources.select("domain"), v.robots_rules), "SELECT s.domain, coalesce(max(CASE WHEN kind = 'disallow' THEN 'restricted' ELSE 'open' END) FILTER (kind IS NOT NULL), 'error') AS robots_state FROM sources s LEFT JOIN robots_rules r ON r.domain = s.domain GROUP BY 1"),
-    "r17_promotable": (lambda v: promotable(v.candidate_domains, v.topics), "SELECT domain, score, 1 AS topic_id FROM candidate_domains WHERE score >= 60"),
+    "r17_promotable": (lambda v: promotable(v.candidate_domains, v.topics), "SELECT domain, score, (SELECT min(id) FROM topics WHERE enabled) AS topic_id FROM candidate_domains WHERE score >= 60"),
     "r18_discovery_stats": (lambda v: v.candidate_domains.agg(F.count("*").alias("found"), F.count_if(F.col("score") >= 60).alias("promoted"), F.count_if(F.col("score").isNull()).alias("unscored")), "SELECT count(*) AS found, count(CASE WHEN score >= 60 THEN 1 END) AS promoted, count(CASE WHEN score IS NULL THEN 1 END) AS unscored FROM candidate_domains"),
     "r19_search_queries": (lambda v: search_queries(v.topics), "SELECT id, name || ' news' AS q FROM topics UNION ALL SELECT id, name || ' latest articles' FROM topics UNION ALL SELECT id, query || ' breaking news' FROM topics WHERE query <> ''"),
 }

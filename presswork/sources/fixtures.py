@@ -65,6 +65,7 @@ def tables(spark: bool) -> dict[str, str]:
             WHEN 2 THEN '<html lang="' || lang || '"><head><title>Title ' || CAST(doc_id AS VARCHAR(20)) || '</title><meta name="publish-date" content="2024-01-08"></head><body><h1>Big <b>head</b></h1><p></p><p>First words &amp; more</p><a href="/2024/01/story-' || CAST(doc_id AS VARCHAR(20)) || '">s</a><a href="/tag/x">t</a><a href="https://facebook.com/p">f</a></body></html>'
             WHEN 3 THEN '<html><head><link rel="canonical" href="https://Canon.example.org/c/' || CAST(doc_id AS VARCHAR(20)) || '?gclid=1"><meta property="og:title" content="Paid ' || CAST(doc_id AS VARCHAR(20)) || '"><meta property="og:description" content="Behind it"></head><body class="paywall"><a href="http://news' || CAST(doc_id % 4 AS VARCHAR(20)) || '.example.org/article/1">n</a></body></html>'
             ELSE '<html><body><h1>Bare ' || CAST(doc_id AS VARCHAR(20)) || '</h1><p>Only &lt;text&gt;</p></body></html>' END AS html FROM documents""",
+        "section_pages": """SELECT doc_id AS page_id, 'https://www.' || source || '.example.com/' AS url, '<a href="/' || split_part('news,article,actualites,politique,societe,economy,economie,world,monde,sport,culture,tech,science,2024/01,story,video,opinion,author,World,about', ',', CAST(doc_id % 20 + 1 AS INT)) || '/' || CAST(doc_id AS VARCHAR(20)) || '">' || lang || '</a> <a href="https://elsewhere.example.org/news/1">x</a> <a href="/tag/news/">t</a>' AS html FROM documents""",
         "sitemap_urls": f"""SELECT source_domain AS domain, canonical_url AS url, CASE WHEN id % 19 = 0 THEN NULL ELSE published_at END AS lastmod FROM articles""",
         "index_urls": "SELECT source_domain AS domain, CAST(id % 4 AS INT) AS path_no, id AS place, canonical_url || CASE WHEN id % 3 = 0 THEN '?ref=i' ELSE '' END AS url FROM articles",
         "robots_rules": "SELECT domain, CASE WHEN id % 2 = 0 THEN 'disallow' ELSE 'allow' END AS kind, CASE WHEN id % 2 = 0 THEN '/en/1' ELSE '/' END AS path FROM sources WHERE id % 5 <> 4",
@@ -86,6 +87,8 @@ def with_tables(sql: str) -> str:
     if not parts:
         return sql
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join(parts)}, {body[15:]}"
     return f"WITH {', '.join(parts)}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}"
 
 

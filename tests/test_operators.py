@@ -125,3 +125,21 @@ def test_near_duplicate_batches(spark, tables, tmp_path):
     run(recent, 0)
     run(recent.withColumn("id", F.col("id") + 1000), 1)
     assert spark.read.parquet(str(tmp_path / "o")).where("id >= 1000").count() == 0
+    once = spark.read.parquet(str(tmp_path / "h")).count()
+    run(recent, 0)  # a replay changes nothing
+    run(recent.limit(0), 2)  # an empty batch neither
+    assert spark.read.parquet(str(tmp_path / "h")).count() == once > 0
+
+
+def test_article_links_of_every_section(spark):
+    good = ("news", "article", "actualites", "politique", "societe", "economy", "economie", "world", "monde", "sport", "culture", "tech", "science", "2024/01", "World")
+    html = "".join(f'<a href="/{x}/1">' for x in (*good, "story", "tag/news", "about"))
+    got = extraction.article_links(spark.createDataFrame([(1, "https://a.example.org/", html)], "page_id long, url string, html string"))
+    assert {r.link for r in got.collect()} == {f"https://a.example.org/{x}/1" for x in good}
+
+
+def test_first_date_and_first_locs(spark):
+    xml = "<url><loc>https://a/1</loc><lastmod>2024-01-02</lastmod></url><url><loc>ftp://b</loc><lastmod>2024-01-30</lastmod></url>"
+    df = spark.createDataFrame([(xml,), (xml.replace("01-02", "01-29"),), ("<url></url>",), (None,)], "xml string")
+    got = df.select(extraction.is_recent(F.col("xml")).alias("recent"), extraction.first_locs(F.col("xml")).alias("locs")).collect()
+    assert [r.recent for r in got] == [False, True, False, False] and got[0].locs == ["https://a/1"]
