@@ -158,12 +158,12 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     content = F.xxhash64("text", F.lit(1))
     # rows without a key are spread by their text; real keys have spread 0
     base = docs.select(F.col(key).cast("long").alias("given"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.select(F.coalesce("given", F.lit(0)).alias("id"), F.when(F.col("given").isNull(), F.pmod(content, F.lit(1 << 20)) + 1).otherwise(F.lit(0)).alias("spread"), "text")
+    base = base.select(F.coalesce("given", F.lit(0)).alias("id"), F.coalesce(F.when(F.col("given").isNull(), F.pmod(content, F.lit(1 << 20)) + 1), F.lit(0).cast("long")).alias("spread"), "text")
     ids = common.stored(base.where("spread = 0").groupBy("id", "spread").agg(F.max(F.length("text")).alias("n"), F.min(content).alias("first")))
     ends = ids.agg(F.max(F.struct("id", "n")).alias("last"))  # one row
     order = neighbours(ids.select("id", "n")).crossJoin(F.broadcast(ends)).select("id", F.coalesce("previous", "last.id").alias("previous"), F.coalesce("n_previous", "last.n").alias("n_previous"))
     order = common.stored(order.join(ids.select("id", "spread", "first"), "id"))
-    # the texts move once: both joins read the same exchange of them
+    # the texts move once: both joins read the same exchange of them (their keys can't be null, so Spark adds no filter to one)
     nexts = base.join(order, ["id", "spread"])
     head = F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_previous") / 4).cast("int"))
     heads = nexts.groupBy(F.col("previous").alias("id"), "spread").agg(F.min(F.struct(content.alias("content"), head.alias("head")))["head"].alias("head"))
