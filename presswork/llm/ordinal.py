@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm import textops
@@ -104,12 +104,17 @@ class Model:
         return self.grades[0] + ((1 - self.at_most(score)) * steps).sum(axis=1)
 
 
+def draw() -> Column:
+    """A hash of the text, by which samples are drawn; null for a null text."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text", F.lit(7))).alias("draw")
+
+
 def fit(rows: DataFrame, shape: bool, max_rows: int = MAX_LABELLED, min_docs: int = 3, l2: float = 1.0, steps: int = 250, min_z: float = 4.0) -> Model | None:
     """Fit on (text, grade) rows, at most `max_rows` different texts, those with the smallest hashes; copies of a text count once,
     with the grade that most of them have. Rows with a null text or grade teach nothing; None if fewer than two grades are left. Features in under `min_docs` rows, or whose rows' mean grade is
     under `min_z` standard errors from that of all, are not used."""
-    rows = rows.select("text", F.col("grade").cast("int").alias("grade")).where("text is not null and grade is not null")
-    rows = rows.withColumn("draw", F.xxhash64("text", F.lit(7)))
+    own = "draw" if "draw" in rows.columns else draw()
+    rows = rows.select("text", own, F.col("grade").cast("int").alias("grade")).where("draw is not null and grade is not null")
     last = rows.select("draw").distinct().orderBy("draw").limit(max_rows).agg(F.max("draw")).first()[0]
     drawn = rows.where(F.col("draw") <= last).groupBy("draw").agg(F.min("text").alias("text"), F.mode("grade", True).alias("grade"))
     got = drawn.select("text", "grade").mapInArrow(_featured(shape), "grade int, features binary").toPandas()

@@ -13,7 +13,8 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns; this is the order in which a training set wants them. Repeated labels of a document: the lowest counts."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(one, "doc_id").select("text", "grade")
+    # the draw is made ahead of the join, so that only drawn texts move
+    return docs.select("doc_id", "text", ordinal.draw()).join(one, "doc_id").select("text", "draw", "grade")
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.25, max_rows: int = ordinal.MAX_LABELLED) -> DataFrame:

@@ -13,7 +13,8 @@ def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the third grade is the worse of the toxic texts. Repeated labels of a document: the highest counts."""
     grade = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.col("quality") == 0), 2).when(F.col("toxic") == 1, 1)
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(one, "doc_id").select("text", "grade")
+    # the draw is made ahead of the join, so that only drawn texts move
+    return docs.select("doc_id", "text", ordinal.draw()).join(one, "doc_id").select("text", "draw", "grade")
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, flag: float = 0.3, max_rows: int = ordinal.MAX_LABELLED) -> DataFrame:
