@@ -18,17 +18,22 @@ from presswork.sources.fixtures import AS_OF
 
 
 def token_hash(token: Column) -> Column:
-    """31-polynomial modulo 2**32 over code points."""
-    return F.aggregate(F.transform(F.split(token, ""), lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(4294967295)))
+    """31-polynomial modulo 2**32 over UTF-16 units: Java's string hash, unsigned; null: 0."""
+    return F.java_method(F.lit("java.util.Objects"), F.lit("hashCode"), token).cast("long").bitwiseAND(F.lit(4294967295))
 
 
-def simhash(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, sig32): a bit is set iff more tokens have it than not; no tokens: 0. Inside the row, nothing is moved."""
-    tokens = F.filter(F.split(F.lower(text), SPACE_CLASS + "+"), lambda t: t != "")
-    hashes = F.transform(tokens, token_hash)
-    votes = lambda i: F.size(F.filter(F.col("hashes"), lambda h: F.shiftright(h, i).bitwiseAND(F.lit(1)) == 1)) * 2 > F.size("hashes")
-    bits = sum((F.when(votes(i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(1, 32)), F.when(votes(0), F.lit(1)).otherwise(F.lit(0)))
-    return rows.select(F.col(key), hashes.alias("hashes")).select(key, bits.cast("long").alias("sig32"))
+def simhash(rows: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, sig32) of rows with different keys: a bit is set iff more tokens have it than not; no tokens: 0.
+
+    Tokens are rows of generated code, counted before the shuffle: 16 longs a text move, two 32-bit counters in each.
+    """
+    tokens = rows.select(key, *carry, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_CLASS + "+")).alias("token"))
+    hashes = tokens.select(key, *carry, (F.col("token") != "").cast("long").alias("is_token"), token_hash(F.col("token")).alias("h"))  # the hash of "" is 0
+    two = lambda i: F.shiftright("h", i).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftright("h", i + 16).bitwiseAND(F.lit(1)), 32)
+    counts = hashes.groupBy(key, *carry).agg(F.sum("is_token").alias("n"), *[F.sum(two(i)).alias(f"c{i}") for i in range(16)])
+    count = lambda i: F.col(f"c{i}").bitwiseAND(F.lit(4294967295)) if i < 16 else F.shiftright(f"c{i - 16}", 32)
+    bits = [F.when(count(i) * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)]
+    return counts.select(key, *carry, sum(bits[1:], bits[0]).alias("sig32"))
 
 
 def sig_hex(sig: str = "sig32") -> Column:
@@ -56,7 +61,7 @@ def near_signatures(sigs: DataFrame) -> DataFrame:
 def near_counts(sigs: DataFrame, key: str = "id") -> DataFrame:
     """How many other rows are near each row; copies are counted, not paired."""
     sizes = sigs.groupBy("sig32").agg(F.count("*").alias("n"))
-    around = near_signatures(sigs).join(sizes.withColumnRenamed("sig32", "near"), "near").groupBy("sig32").agg((F.sum("n") - 1).alias("near_rows"))
+    around = neighbours(sizes).join(sizes.withColumnRenamed("sig32", "near"), "near").groupBy("sig32").agg((F.sum("n") - 1).alias("near_rows"))
     return sigs.join(around, "sig32").select(key, "near_rows")
 
 
@@ -104,24 +109,38 @@ def keep_first(sigs: DataFrame, key: str = "id") -> DataFrame:
     return out.select(F.col("first").alias(key))
 
 
-def outcomes(articles: DataFrame, topics: DataFrame, seen: DataFrame) -> DataFrame:
-    """What becomes of each article and topic: skippedQuality, skippedDuplicates (URL seen) or kept."""
+def outcomes(articles: DataFrame, fetches: DataFrame, topics: DataFrame, seen: DataFrame, seen_after: Column) -> DataFrame:
+    """(id, topic_id, outcome) of each article (one topic a language): error where its fetch wasn't a 200, skippedQuality by the
+    gate, skippedDuplicates where the URL was seen or the text is near one seen lately or an earlier one of the batch that was kept, else kept."""
     known = seen.select("canonical_url").distinct().withColumn("known", F.lit(True))
-    rows = gate(articles, topics).join(known, "canonical_url", "left")
-    return rows.withColumn("outcome", F.when(F.col("reason").isNotNull(), "skippedQuality").when(F.col("known"), "skippedDuplicates").otherwise("kept"))
+    failed = fetches.where("status <> 200").select("id").distinct().withColumn("failed", F.lit(True))
+    rows = gate(articles, topics).select("id", "topic_id", "canonical_url", "reason").join(known, "canonical_url", "left").join(failed, "id", "left")
+    staged = F.when(F.col("failed"), "error").when(F.col("reason").isNotNull(), "skippedQuality").when(F.col("known"), "skippedDuplicates")
+    rows = _saved(rows.select("id", "topic_id", staged.alias("outcome")), articles.sparkSession)
+    left = rows.where("outcome is null").select("id").distinct()
+    sigs = _saved(signatures(articles.join(left, "id", "left_semi")), articles.sparkSession)
+    new = sigs.join(near_history(sigs, signatures(seen.where(F.col("first_seen_at") >= seen_after)), seen_after), "id", "left_anti")
+    kept = keep_first(new).withColumn("stays", F.lit(True))
+    return rows.join(kept, "id", "left").select("id", "topic_id", F.coalesce("outcome", F.when(F.col("stays"), "kept"), F.lit("skippedDuplicates")).alias("outcome"))
 
 
 def signatures(articles: DataFrame) -> DataFrame:
     both = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    return articles.select("id", "first_seen_at").join(simhash(articles, "id", both), "id")
+    return simhash(articles, "id", both, ("first_seen_at",))
 
 
 DUCK_HASH = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (h * 31 + c) & 4294967295)"
 DUCK_SIG = f"""SELECT id, first_seen_at, CAST({' + '.join(f'CASE WHEN 2 * sum((h >> {i}) & 1) > count(h) THEN {1 << i} ELSE 0 END' for i in range(32))} AS BIGINT) AS sig32 FROM (
-    SELECT id, first_seen_at, {DUCK_HASH.format('tok')} AS h FROM (SELECT id, first_seen_at, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || summary), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS tok FROM articles)) GROUP BY 1, 2"""
+    SELECT id, first_seen_at, {DUCK_HASH.format('tok')} AS h FROM (SELECT id, first_seen_at, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || summary), '{SPACE_CLASS}+'), lambda x: x <> '')) AS tok FROM articles)) GROUP BY 1, 2"""
 NEAR = "bit_count(xor(a.sig32, b.sig32)) <= 1"
 PAST = f"first_seen_at >= {AS_OF} - INTERVAL 168 HOUR"
 
+#: Signatures in order of their first row, kept iff no kept one is near.
+FIRST = """f AS (SELECT sig32, min(id) AS first FROM s GROUP BY 1), o AS MATERIALIZED (SELECT sig32, first, row_number() OVER (ORDER BY first) AS n FROM f),
+        k AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS id
+            UNION ALL SELECT p.n, CASE WHEN p.near THEN kept ELSE list_append(kept, p.sig32) END, CASE WHEN NOT p.near THEN p.first END
+            FROM (SELECT o.n, o.sig32, o.first, k.kept, len(list_filter(k.kept, lambda x: bit_count(xor(x, o.sig32)) <= 1)) > 0 AS near FROM k JOIN o ON o.n = k.n + 1) p)"""
+
 QUERIES = {
     "d01_token_hash": (lambda v: v.articles.select("id", token_hash(F.col("title")).alias("h")), f"SELECT id, {DUCK_HASH.format('title')} AS h FROM articles"),
     "d02_simhash": (lambda v: signatures(v.articles).select("id", "sig32", sig_hex().alias("simhash")), f"SELECT id, sig32, repeat({' || '.join(f'lpad(lower(to_hex((sig32 >> {8 * i}) & 255)), 2, chr(48))' for i in range(4))}, 2) AS simhash FROM ({DUCK_SIG})"),
@@ -129,11 +148,10 @@ QUERIES = {
     "d04_known_urls": (lambda v: v.articles.join(v.articles.where(F.col("first_seen_at") < hours_before(48)).select("canonical_url"), "canonical_url", "left_semi").select("id"), f"SELECT id FROM articles WHERE canonical_url IN (SELECT canonical_url FROM articles WHERE first_seen_at < {AS_OF} - INTERVAL 48 HOUR)"),
     "d05_near_counts": (lambda v: near_counts(signatures(v.articles)), f"WITH s AS ({DUCK_SIG}) SELECT a.id, count(*) - 1 AS near_rows FROM s a JOIN s b ON {NEAR} GROUP BY 1"),
     "d06_near_history": (lambda v: (s := signatures(v.articles)) and near_history(s.where(F.col("first_seen_at") >= hours_before(48)), s.where(F.col("first_seen_at") < hours_before(48)), hours_before(168)), f"WITH s AS ({DUCK_SIG}) SELECT DISTINCT a.id FROM s a JOIN s b ON {NEAR} WHERE a.first_seen_at >= {AS_OF} - INTERVAL 48 HOUR AND b.first_seen_at < {AS_OF} - INTERVAL 48 HOUR AND b.{PAST}"),
-    "d07_keep_first": (lambda v: keep_first(signatures(v.articles)), f"""WITH RECURSIVE s AS ({DUCK_SIG}), f AS (SELECT sig32, min(id) AS first FROM s GROUP BY 1), o AS (SELECT sig32, first, row_number() OVER (ORDER BY first) AS n FROM f),
-        k AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS id
-            UNION ALL SELECT p.n, CASE WHEN p.near THEN kept ELSE list_append(kept, p.sig32) END, CASE WHEN NOT p.near THEN p.first END
-            FROM (SELECT o.n, o.sig32, o.first, k.kept, len(list_filter(k.kept, lambda x: bit_count(xor(x, o.sig32)) <= 1)) > 0 AS near FROM k JOIN o ON o.n = k.n + 1) p)
-        SELECT id FROM k WHERE id IS NOT NULL"""),
-    "d08_outcomes": (lambda v: outcomes(v.articles, v.topics, v.articles.where(F.col("first_seen_at") < hours_before(48))).groupBy("topic_id", "outcome").agg(F.count("*").alias("n")), f"SELECT topic_id, CASE WHEN reason IS NOT NULL THEN 'skippedQuality' WHEN seen THEN 'skippedDuplicates' ELSE 'kept' END AS outcome, count(*) AS n FROM (SELECT g.*, a.first_seen_at < {AS_OF} - INTERVAL 48 HOUR AS seen FROM ({GATE}) g JOIN articles a USING (id)) GROUP BY 1, 2"),
+    "d07_keep_first": (lambda v: keep_first(signatures(v.articles)), f"WITH RECURSIVE s AS ({DUCK_SIG}), {FIRST} SELECT id FROM k WHERE id IS NOT NULL"),
+    "d08_outcomes": (lambda v: outcomes(v.articles, v.fetches, v.topics, v.articles.where(F.col("first_seen_at") < hours_before(48)), hours_before(168)), f"""WITH RECURSIVE a AS ({DUCK_SIG}), g AS (SELECT x.id, x.topic_id,
+            CASE WHEN f.status <> 200 THEN 'error' WHEN x.reason IS NOT NULL THEN 'skippedQuality' WHEN a.first_seen_at < {AS_OF} - INTERVAL 48 HOUR THEN 'skippedDuplicates' END AS outcome FROM ({GATE}) x JOIN a USING (id) JOIN fetches f USING (id)),
+        s AS (SELECT * FROM a WHERE id IN (SELECT id FROM g WHERE outcome IS NULL) AND NOT EXISTS (SELECT 1 FROM a b WHERE {NEAR} AND b.first_seen_at < {AS_OF} - INTERVAL 48 HOUR AND b.{PAST})), {FIRST}
+        SELECT g.id, g.topic_id, CASE WHEN g.outcome IS NOT NULL THEN g.outcome WHEN k.id IS NOT NULL THEN 'kept' ELSE 'skippedDuplicates' END AS outcome FROM g LEFT JOIN (SELECT id FROM k WHERE id IS NOT NULL) k ON k.id = g.id"""),
     "d09_distinct_urls": (lambda v: v.index_urls.select("url").dropDuplicates(["url"]), "SELECT DISTINCT url FROM index_urls"),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions.urls import HOST, TRACKING, decode_entities, found, host, links, meta, normalise, strip_tracking
@@ -137,12 +137,17 @@ def robots_rules(robots: DataFrame, text: str = "text") -> DataFrame:
     lines = robots.select("domain", F.posexplode(F.split(text, "\r?\n")).alias("place", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
     parts = lines.select("domain", "place", F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))).alias("kind"), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("path"))
     # one domain's file is one row of the input, so its window is bounded by it
-    from pyspark.sql import Window
-
     agent = F.last(F.when(F.col("kind") == "user-agent", F.col("path")), ignorenulls=True).over(Window.partitionBy("domain").orderBy("place"))
     return parts.withColumn("agent", agent).where((F.col("agent") == "*") & F.col("kind").isin("allow", "disallow", "crawl-delay") & (F.col("path") != "")).select("domain", "kind", "path", "place")
 
 
+def crawl_delays(robots: DataFrame) -> DataFrame:
+    """(domain, seconds): the last readable Crawl-delay for all agents, 1 at least and where there is none, 2 where there is no text."""
+    seconds = F.greatest(F.expr("try_cast(regexp_extract(path, '^[0-9]+(?:[.][0-9]+)?', 0) AS DOUBLE)"), F.lit(1.0))
+    given = robots_rules(robots).where("kind = 'crawl-delay'").withColumn("seconds", seconds).where("seconds is not null").groupBy("domain").agg(F.max_by("seconds", "place").alias("seconds"))
+    return robots.join(given, "domain", "left").select("domain", F.when(F.col("text").isNull(), 2.0).otherwise(F.coalesce("seconds", F.lit(1.0))).alias("seconds"))
+
+
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Any allow prefix, else no disallow prefix."""
     by_domain = rules.groupBy("domain").agg(F.collect_set(F.when(F.col("kind") == "allow", F.col("path"))).alias("allow"), F.collect_set(F.when(F.col("kind") == "disallow", F.col("path"))).alias("deny"))
@@ -166,6 +171,14 @@ HREFS = f"""regexp_extract_all(html, '(?i)href={A}([^"'']*){A}', 1)"""
 OUT = lambda strip, drop: f"""SELECT DISTINCT page_id, domain FROM (SELECT page_id, own, {'regexp_replace(' if strip else ''}{DHOST('href')}{", '^www\\.', '')" if strip else ''} AS domain FROM (SELECT page_id, {'regexp_replace(' if strip else ''}{DHOST('url')}{", '^www\\.', '')" if strip else ''} AS own, unnest({HREFS}) AS href FROM tagged_pages) WHERE regexp_matches(href, '(?i)^https?://')) WHERE domain IS NOT NULL AND domain <> own {drop}"""
 PLAIN = lambda p: f"trim(regexp_replace({RX(p)}, '<[^>]*>', '', 'g'))"
 
+NEWS = f"SELECT DISTINCT regexp_replace({DHOST('href')}, '^www\\.', '') AS domain FROM (SELECT unnest({HREFS}) AS href FROM tagged_pages) WHERE {DHOST('href')} IS NOT NULL AND NOT regexp_matches({DHOST('href')}, '{'|'.join(NOT_NEWS)}')"
+LISTED = f"SELECT DISTINCT regexp_replace({DHOST('url')}, '^www\\.', '') AS domain FROM pages WHERE regexp_matches(url, '^https?://')"
+ROBOTS = """SELECT * FROM (SELECT domain, place, lower(trim(split_part(line, ':', 1))) AS kind, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS path,
+    last_value(CASE WHEN lower(trim(split_part(line, ':', 1))) = 'user-agent' THEN trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) END IGNORE NULLS) OVER (PARTITION BY domain ORDER BY place) AS agent
+    FROM (SELECT domain, unnest(range(len(lines))) AS place, trim(regexp_replace(unnest(lines), '#.*$', '')) AS line FROM (SELECT domain, string_split(text, chr(10)) AS lines FROM robots_texts))) WHERE agent = '*' AND kind IN ('allow', 'disallow', 'crawl-delay') AND path <> ''"""
+LOCS = "regexp_extract_all(xml, '(?s)<sitemap>.*?<loc>\\s*(.*?)\\s*</loc>', 1)"
+LISTING_SIZE = 25
+
 QUERIES = {
     "e01_canonical_url": (lambda v: v.tagged_pages.select("page_id", canonical_url().alias("canonical_url")), CANON),
     "e02_strip_tracking": (lambda v: v.pages.select("page_id", strip_tracking(F.col("url")).alias("u")), f"SELECT page_id, {DSTRIP('url')} AS u FROM (SELECT *, {LEFT('url')} AS q FROM pages)"),
@@ -182,12 +195,15 @@ QUERIES = {
     "e10_host": (lambda v: v.pages.select("page_id", host("url").alias("host"), host("url", True).alias("bare")), f"SELECT page_id, {DHOST('url')} AS host, regexp_replace({DHOST('url')}, '^www\\.', '') AS bare FROM pages"),
     "e11_outbound": (lambda v: outbound(v.tagged_pages), OUT(False, "AND NOT contains(domain, 'facebook') AND NOT contains(domain, 'twitter')")),
     "e12_outbound_bare": (lambda v: outbound(v.tagged_pages, True, ()), OUT(True, "")),
-    "e13_news_domains": (lambda v: news_domains(v.tagged_pages.select(F.explode(links("html")).alias("url"))), f"SELECT DISTINCT regexp_replace({DHOST('href')}, '^www\\.', '') AS domain FROM (SELECT unnest({HREFS}) AS href FROM tagged_pages) WHERE {DHOST('href')} IS NOT NULL AND NOT regexp_matches({DHOST('href')}, '{'|'.join(NOT_NEWS)}')"),
+    "e13_news_domains": (lambda v: news_domains(v.tagged_pages.select(F.explode(links("html")).alias("url"))), NEWS),
     "e14_redirects": (lambda v: v.pages.select("page_id", redirect_target(F.concat(F.lit("https://s.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))).alias("target")), "SELECT page_id, url AS target FROM pages"),
-    "e15_listing": (lambda v: listing_domains(v.pages.groupBy(F.substring("url", 1, 12).alias("g")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.struct("url").alias("data"))).alias("children")).alias("data"))).alias("json"))), f"SELECT DISTINCT regexp_replace({DHOST('url')}, '^www\\.', '') AS domain FROM pages"),
+    "e15_listing": (lambda v: listing_domains(v.pages.groupBy(F.floor(F.col("page_id") / LISTING_SIZE).alias("g")).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.struct("url").alias("data"))).alias("children")).alias("data"))).alias("json"))), f"SELECT DISTINCT regexp_replace({DHOST('url')}, '^www\\.', '') AS domain FROM pages"),
     "e16_aggregator": (lambda v: outbound(v.tagged_pages, True, ("canon",)), OUT(True, "AND NOT contains(domain, 'canon')")),
     "e17_article_links": (lambda v: article_links(v.section_pages).select("page_id", "link"), f"SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=[\"'']([^\"'']*)[\"'']', 1)) AS href FROM section_pages) WHERE href LIKE '/%' AND NOT regexp_matches(href, '{'|'.join(NOT_ARTICLE)}') AND regexp_matches(lower(href), '/({'|'.join(ARTICLE_SECTIONS)})/|/[0-9]{{4}}/[0-9]{{2}}/')"),
     "e18_sitemap": (lambda v: sitemap_entries(v.sitemap_urls.groupBy("domain", F.substring(F.md5("url"), 1, 3)).agg(F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), F.date_format("lastmod", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))), "\n").alias("xml"))), "SELECT domain, url AS loc, lastmod FROM sitemap_urls"),
+    "e19_child_sitemaps": (lambda v: v.index_xml.select("id", F.posexplode(child_sitemaps()).alias("place", "loc")), f"SELECT id, unnest(range(len(l))) AS place, unnest(l) AS loc FROM (SELECT id, list_slice(list_concat(list_filter({LOCS}, lambda u: contains(u, 'news') OR contains(u, 'article')), list_filter({LOCS}, lambda u: NOT (contains(u, 'news') OR contains(u, 'article')))), 1, 5) AS l FROM index_xml)"),
+    "e20_robots_rules": (lambda v: robots_rules(v.robots_texts), f"SELECT domain, kind, path, place FROM ({ROBOTS})"),
+    "e20_crawl_delays": (lambda v: crawl_delays(v.robots_texts), f"SELECT domain, greatest(coalesce(max(TRY_CAST(path AS DOUBLE)) FILTER (kind = 'crawl-delay'), 1), 1) AS seconds FROM robots_texts LEFT JOIN ({ROBOTS}) USING (domain) GROUP BY 1"),
     "e21_allowed": (lambda v: allowed(v.sitemap_urls, v.robots_rules).select("url", "allowed"), """SELECT url, coalesce(bool_or(kind = 'allow' AND starts_with(path_, path)), false) OR NOT coalesce(bool_or(kind = 'disallow' AND starts_with(path_, path)), false) AS allowed
         FROM (SELECT *, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^#]*)', 1) AS path_ FROM sitemap_urls) u LEFT JOIN robots_rules r ON r.domain = u.domain GROUP BY url"""),
     "e22_article_pattern": (lambda v: v.sitemap_urls.join(v.sources.select("domain", F.get_json_object("api_config", "$.articlePattern").alias("pattern")), "domain").where("pattern is null or url rlike pattern").select("url"), "SELECT url FROM sitemap_urls u JOIN sources s ON s.domain = u.domain WHERE json_extract_string(api_config, '$.articlePattern') IS NULL OR regexp_matches(url, json_extract_string(api_config, '$.articlePattern'))"),

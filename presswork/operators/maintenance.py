@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,36 @@ def promote(candidates: DataFrame, sources: DataFrame, sources_topics: DataFrame
 
 
 def crawl_log(results: DataFrame) -> DataFrame:
-    """Outcome rows (crawl_id, outcome) to one row a crawl with JSON statistics."""
+    """Rows (crawl_id, at, outcome, fatal) to the log of each crawl: opened at its first row, closed at its last with JSON
+    statistics; one with a fatal message is closed as failed, with that message and one error more; one without outcomes is open."""
     n = lambda o: F.count_if(F.col("outcome") == o)
-    return results.groupBy("crawl_id").agg(F.to_json(F.struct(n("kept").alias("kept"), n("skippedDuplicates").alias("skippedDuplicates"), n("skippedQuality").alias("skippedQuality"), n("error").alias("errors"))).alias("stats_json"))
+    sums = results.groupBy("crawl_id").agg(
+        F.min("at").alias("started_at"), F.max("at").alias("last_at"), F.count("outcome").alias("n"), F.max("fatal").alias("error"),
+        n("kept").alias("kept"), n("skippedDuplicates").alias("skippedDuplicates"), n("skippedQuality").alias("skippedQuality"), n("error").alias("errors"),
+    )
+    failed, closed = F.col("error").isNotNull(), (F.col("n") > 0) | F.col("error").isNotNull()
+    stats = F.to_json(F.struct("kept", "skippedDuplicates", "skippedQuality", (F.col("errors") + failed.cast("long")).alias("errors"), "error"))  # a null error is left out
+    return sums.select("crawl_id", "started_at", F.when(closed, F.col("last_at")).alias("finished_at"), F.when(closed, ~failed).alias("ok_bool"), F.when(closed, stats).alias("stats_json"))
+
+
+def new_topics(requests: DataFrame) -> DataFrame:
+    """Topics to insert, with the defaults of what a request leaves out or empty."""
+    return requests.select(
+        "slug", "name", F.nullif("query", F.lit("")).alias("query"), F.coalesce(F.nullif("lang", F.lit("")), F.lit("en")).alias("lang"),
+        F.coalesce(F.nullif("freshness_hours", F.lit(0)), F.lit(72)).alias("freshness_hours"), F.coalesce(F.nullif("max_items", F.lit(0)), F.lit(30)).alias("max_items"), F.lit(True).alias("enabled"),
+    )
+
+
+def set_by_key(target: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """The target with a column replaced where the table of new values (one a key) has one."""
+    values = new.select(key, F.col(column).alias("_new"))
+    return target.join(values, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def set_counts(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """How many of the new values found their row, and how many didn't."""
+    have = target.select(key, F.lit(True).alias("have"))
+    return new.join(have, key, "left").agg(F.count_if("have").alias("updated"), F.count_if(F.col("have").isNull()).alias("not_found"))
 
 
 def purge_unlinked(articles: DataFrame, links: DataFrame, days: int = 90) -> DataFrame:
@@ -91,6 +120,22 @@ def link_domains(domains: DataFrame, sources: DataFrame, sources_topics: DataFra
     return rows.agg(F.count_if(F.col("source_id").isNotNull() & F.col("have").isNull()).alias("added"), F.count_if("have").alias("already"), F.count_if(F.col("source_id").isNull()).alias("not_found"))
 
 
+def _configs(v):  # noqa: ANN001, ANN202
+    rows = v.sources.where("points % 2 = 0").select("domain").union(v.candidate_domains.select("domain"))
+    return rows.select("domain", F.to_json(F.struct(F.concat(F.lit("/"), F.split_part("domain", F.lit("."), F.lit(1)), F.lit("/")).alias("articlePattern"), F.lit(True).alias("learned"))).alias("api_config"))
+
+
+#: Given tables, each with its key and its time, if any.
+SCANNED = {
+    "region": ("r_regionkey", None), "nation": ("n_nationkey", None), "customer": ("c_custkey", None), "supplier": ("s_suppkey", None), "part": ("p_partkey", None),
+    "orders": ("o_orderkey", "o_orderdate"), "events": ("event_id", "ts"), "documents": ("doc_id", None), "pages": ("page_id", None), "labels": ("doc_id", None),
+}
+
+
+def _typed(v):  # noqa: ANN001, ANN202
+    return reduce(DataFrame.union, [getattr(v, t).select(F.lit(t).alias("name"), F.col(k).cast("long").alias("key"), (F.col(at) if at else F.lit(None)).cast("timestamp").alias("at")) for t, (k, at) in SCANNED.items()])
+
+
 S_OLD = f"{AS_OF} - INTERVAL 48 HOUR"
 HIT = "(lower(title) LIKE '%thing%' OR lower(summary) LIKE '%thing%')"
 
@@ -104,18 +149,23 @@ def _promoted(v, i: int):  # noqa: ANN001, ANN202
 
 
 QUERIES = {
-    "s01_typed_scan": (lambda v: v.orders.select("o_orderkey", "o_orderdate"), "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders"),
-    "s02_pages_scan": (lambda v: v.pages.select("page_id", "url", F.lit(200).alias("status")), "SELECT page_id, url, 200 AS status FROM pages"),
+    "s01_typed_scan": (_typed, " UNION ALL ".join(f"SELECT '{t}' AS name, CAST({k} AS BIGINT) AS key, CAST({at or 'NULL'} AS TIMESTAMP) AS at FROM {t}" for t, (k, at) in SCANNED.items())),
+    "s02_pages_scan": (lambda v: v.pages.select("page_id", "url", "html", F.when(F.col("html").isNull(), 404).otherwise(200).alias("status"), F.expr(AS_OF).alias("fetched_at")), f"SELECT page_id, url, html, CASE WHEN html IS NULL THEN 404 ELSE 200 END AS status, {AS_OF} AS fetched_at FROM pages"),
     "s03_insert_articles": (lambda v: insert_ignore(_old(v), v.articles.select("canonical_url", "id"), ["canonical_url"], ["id"]), f"SELECT canonical_url, id, first_seen_at >= {S_OLD} AS inserted FROM articles"),
     "s04_insert_links": (lambda v: insert_ignore(v.topic_articles.where("hidden_bool"), v.topic_articles.select("topic_id", "article_id", "added_at"), ["topic_id", "article_id"], ["added_at"]).where("inserted").select("topic_id", "article_id"), "SELECT topic_id, article_id FROM topic_articles WHERE NOT hidden_bool"),
     "s05_new_sources": (lambda v: insert_ignore(v.sources, v.candidate_domains.select("domain", "last_seen_at"), ["domain"], ["last_seen_at"]), "SELECT domain, last_seen_at, domain NOT IN (SELECT domain FROM sources) AS inserted FROM candidate_domains"),
     "s06_upsert_sources": (lambda v: upsert(v.sources.select("domain", "name", "points"), v.candidate_domains.select("domain", F.col("discovered_via").alias("name")), "domain", {"name": newer("name"), "points": F.coalesce(F.col("t.points"), F.lit(0))}), "SELECT coalesce(s.domain, c.domain) AS domain, coalesce(c.discovered_via, s.name) AS name, coalesce(s.points, 0) AS points FROM sources s FULL JOIN candidate_domains c ON c.domain = s.domain"),
-    "s07_topic_defaults": (lambda v: v.topics.select("id", F.coalesce(F.nullif("includes", F.lit("")), F.lit("any")).alias("includes"), F.coalesce("freshness_hours", F.lit(72)).alias("freshness_hours")), "SELECT id, coalesce(nullif(includes, ''), 'any') AS includes, coalesce(freshness_hours, 72) AS freshness_hours FROM topics"),
-    "s08_crawl_log": (lambda v: crawl_log(v.events.select((F.col("user_id") % 4).alias("crawl_id"), F.when(F.col("event_type") == "click", "kept").when(F.col("event_type") == "view", "skippedDuplicates").when(F.col("event_type") == "signup", "skippedQuality").when(F.col("event_type") == "error", "error").alias("outcome"))), """SELECT user_id % 4 AS crawl_id, '{"kept":' || count(CASE event_type WHEN 'click' THEN 1 END) || ',"skippedDuplicates":' || count(CASE event_type WHEN 'view' THEN 1 END) || ',"skippedQuality":' || count(CASE event_type WHEN 'signup' THEN 1 END) || ',"errors":' || count(CASE event_type WHEN 'error' THEN 1 END) || '}' AS stats_json FROM events GROUP BY 1"""),
+    "s07_topic_defaults": (lambda v: new_topics(v.topic_requests), "SELECT slug, name, nullif(query, '') AS query, coalesce(nullif(lang, ''), 'en') AS lang, coalesce(nullif(freshness_hours, 0), 72) AS freshness_hours, coalesce(nullif(max_items, 0), 30) AS max_items, true AS enabled FROM topic_requests"),
+    "s08_crawl_log": (lambda v: crawl_log(v.events.select((F.col("user_id") % 97).alias("crawl_id"), F.col("ts").alias("at"), F.when(F.col("user_id") % 97 % 8 != 7, F.when(F.col("event_type") == "click", "kept").when(F.col("event_type") == "view", "skippedDuplicates").when(F.col("event_type") == "signup", "skippedQuality").when(F.col("event_type") == "error", "error")).alias("outcome"), F.when((F.col("user_id") % 97 % 8 == 3) & (F.col("event_type") == "error"), "fatal").alias("fatal"))),
+        """SELECT crawl_id, started_at, CASE WHEN closed THEN last_at END AS finished_at, CASE WHEN closed THEN NOT failed END AS ok_bool, CASE WHEN closed THEN '{"kept":' || kept || ',"skippedDuplicates":' || dup || ',"skippedQuality":' || qual || ',"errors":' || (err + CAST(failed AS INT)) || CASE WHEN failed THEN ',"error":"fatal"' ELSE '' END || '}' END AS stats_json
+        FROM (SELECT *, crawl_id % 8 <> 7 AND kept + dup + qual + err > 0 AS closed, crawl_id % 8 = 3 AND err > 0 AS failed FROM (SELECT user_id % 97 AS crawl_id, min(CAST(ts AS TIMESTAMP)) AS started_at, max(CAST(ts AS TIMESTAMP)) AS last_at, count(CASE event_type WHEN 'click' THEN 1 END) AS kept, count(CASE event_type WHEN 'view' THEN 1 END) AS dup,
+            count(CASE event_type WHEN 'signup' THEN 1 END) AS qual, count(CASE event_type WHEN 'error' THEN 1 END) AS err FROM events GROUP BY 1))"""),
     "s09_upsert_candidates": (lambda v: upsert(v.candidate_domains.select("domain", "score"), v.candidate_domains.select("domain", (F.lit(70) - F.col("score")).alias("score")).union(v.sources.select("domain", F.lit(5))), "domain", {"score": F.greatest(F.col("t.score"), F.col("n.score"))}), "SELECT domain, greatest(score, 70 - score) AS score FROM candidate_domains UNION ALL SELECT domain, 5 FROM sources"),
     "s10_touch_candidates": (lambda v: upsert(v.candidate_domains.select("domain", "last_seen_at"), v.sources.select("domain", "last_seen_at"), "domain", {"last_seen_at": newer("last_seen_at")}), "SELECT domain, last_seen_at FROM candidate_domains UNION ALL SELECT domain, last_seen_at FROM sources"),
     "s11_promoted_sources": (lambda v: _promoted(v, 0), "SELECT domain, discovered_via AS name FROM candidate_domains WHERE score >= 60 AND domain NOT IN (SELECT domain FROM sources)"),
     "s12_promoted_links": (lambda v: _promoted(v, 1), "SELECT domain, 1 AS topic_id FROM candidate_domains WHERE score >= 60"),
+    "s12_promoted_count": (lambda v: _promoted(v, 0).agg(F.count("*").alias("promoted")), "SELECT count(*) AS promoted FROM candidate_domains WHERE score >= 60 AND domain NOT IN (SELECT domain FROM sources)"),
+    "s13_manual_promote": (lambda v: v.candidate_domains.where("score >= 40").select(F.col("domain").alias("name"), "domain", F.lit("custom_crawler").alias("type"), F.lit(0).alias("points"), F.lit(True).alias("enabled")), "SELECT domain AS name, domain, 'custom_crawler' AS type, 0 AS points, true AS enabled FROM candidate_domains WHERE score >= 40"),
     "s13_candidates_left": (lambda v: _promoted(v, 2).select("domain"), "SELECT domain FROM candidate_domains WHERE score < 60 OR score IS NULL"),
     "s14_probe_records": (lambda v: v.candidate_probes.select("domain_id", F.to_json(F.struct("has_sitemap", "has_feed")).alias("status_json")), """SELECT domain_id, '{"has_sitemap":' || has_sitemap || ',"has_feed":' || has_feed || '}' AS status_json FROM candidate_probes"""),
     "s15_run_log": (lambda v: v.crawl_runs.select("workflow_name", F.to_json(F.struct(F.get_json_object("metadata", "$.k").cast("long").alias("k"))).alias("metadata")), """SELECT workflow_name, '{"k":' || json_extract_string(metadata, '$.k') || '}' AS metadata FROM crawl_runs"""),
@@ -128,8 +178,9 @@ QUERIES = {
     "s21_backfill_links": (lambda v: v.articles.where(has_term("thing")).select(F.lit(3).alias("topic_id"), F.col("id").alias("article_id")).join(v.topic_articles, ["topic_id", "article_id"], "left_anti"), f"SELECT 3 AS topic_id, id AS article_id FROM articles WHERE {HIT} AND id NOT IN (SELECT article_id FROM topic_articles WHERE topic_id = 3)"),
     "s22_link_domains": (lambda v: link_domains(v.sources.select("domain").union(v.candidate_domains.select("domain")), v.sources, v.sources_topics, 2), "SELECT (SELECT count(*) FROM sources WHERE id NOT IN (SELECT source_id FROM sources_topics WHERE topic_id = 2)) AS added, (SELECT count(*) FROM sources_topics WHERE topic_id = 2) AS already, (SELECT count(*) FROM candidate_domains) AS not_found"),
     "s23_violations": (lambda v: violations(v.index_urls, "index_urls", ["url"], ["domain", "place"]).union(violations(v.attempts, "attempts", ["source_id", "ts"], ["status"])), "SELECT 'index_urls:unique' AS check_name, count(*) AS rows FROM (SELECT url FROM index_urls GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'attempts:unique', count(*) FROM (SELECT 1 FROM attempts GROUP BY source_id, ts HAVING count(*) > 1) UNION ALL SELECT 'index_urls:domain:null', count(*) FROM index_urls WHERE domain IS NULL UNION ALL SELECT 'index_urls:place:null', count(*) FROM index_urls WHERE place IS NULL UNION ALL SELECT 'attempts:status:null', count(*) FROM attempts WHERE status IS NULL"),
-    "s24_replace_config": (lambda v: v.sources.select("domain", F.coalesce("api_config", F.lit('{"learned":false}')).alias("api_config")), """SELECT domain, coalesce(api_config, '{"learned":false}') AS api_config FROM sources"""),
+    "s24_replace_config": (lambda v: set_by_key(v.sources.select("domain", F.coalesce("api_config", F.lit('{"learned":false}')).alias("api_config")), _configs(v), "domain", "api_config"), """WITH c AS (SELECT domain, '{"articlePattern":"/' || split_part(domain, '.', 1) || '/","learned":true}' AS api_config FROM (SELECT domain FROM sources WHERE points % 2 = 0 UNION ALL SELECT domain FROM candidate_domains)) SELECT s.domain, coalesce(c.api_config, s.api_config, '{"learned":false}') AS api_config FROM sources s LEFT JOIN c ON c.domain = s.domain"""),
+    "s24_replace_counts": (lambda v: set_counts(v.sources, _configs(v), "domain"), "SELECT (SELECT count(*) FROM sources WHERE points % 2 = 0) AS updated, (SELECT count(*) FROM candidate_domains WHERE domain NOT IN (SELECT domain FROM sources)) AS not_found"),
     "s25_merge_config": (lambda v: v.sources.where("api_config is not null").select("domain", F.get_json_object(merge_config(F.col("api_config"), articlePattern="/new/"), "$.articlePattern").alias("pattern"), F.get_json_object(merge_config(F.col("api_config"), articlePattern="/new/"), "$.learned").alias("learned")), "SELECT domain, '/new/' AS pattern, json_extract_string(api_config, '$.learned') AS learned FROM sources WHERE api_config IS NOT NULL"),
-    "s26_topic_setting": (lambda v: v.topics.select("slug", F.when(F.col("slug") == "en", 60).otherwise(F.col("max_items")).alias("max_items")), "SELECT slug, CASE WHEN slug = 'en' THEN 60 ELSE max_items END AS max_items FROM topics"),
+    "s26_topic_setting": (lambda v: set_by_key(new_topics(v.topic_requests).select("slug", "max_items"), v.topic_requests.where("lang is not null").select("slug", F.lit(60).alias("max_items")), "slug", "max_items"), "SELECT slug, CASE WHEN lang IS NOT NULL THEN 60 ELSE coalesce(max_items, 30) END AS max_items FROM topic_requests"),
     "s27_insert_counts": (lambda v: insert_ignore(v.sources.where("enabled"), v.sources.select("domain", "id"), ["domain"], ["id"]).agg(F.count_if("inserted").alias("added"), F.count_if(~F.col("inserted")).alias("skipped")), "SELECT count(CASE WHEN NOT enabled THEN 1 END) AS added, count(CASE WHEN enabled THEN 1 END) AS skipped FROM sources"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.functions.text import any_keyword, blacklist_pattern, keywords, listed, token_count
+from presswork.functions.text import SPACE_CLASS, any_keyword, blacklist_pattern, keywords, listed, token_count
 from presswork.operators.reports import now
 from presswork.sources.fixtures import AS_OF
 
@@ -87,7 +87,7 @@ def ranked(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Co
 
 PAIRS = "SELECT a.*, t.id AS topic_id, t.query, t.includes, t.excludes, t.freshness_hours, t.max_items FROM articles a JOIN topics t ON t.lang = a.lang"
 GATE = f"""SELECT id, topic_id, CASE WHEN length(title) < 10 THEN 'title' WHEN epoch({AS_OF}) - epoch(published_at) > freshness_hours * 3600 THEN 'stale'
-    WHEN len(list_filter(regexp_split_to_array(summary, '[ \\t\\n\\r]+'), lambda x: x <> '')) NOT BETWEEN 20 AND 10000 THEN 'length'
+    WHEN len(list_filter(regexp_split_to_array(summary, '{SPACE_CLASS}+'), lambda x: x <> '')) NOT BETWEEN 20 AND 10000 THEN 'length'
     WHEN regexp_matches(lower(title || ' ' || summary), '{blacklist_pattern()}') THEN 'blacklist'
     WHEN NOT (regexp_matches(lower(title), rx) OR regexp_matches(lower(summary), rx)) THEN 'keywords' END AS reason
     FROM (SELECT *, replace(query, ' ', '|') || CASE WHEN includes <> '' THEN '|' || includes ELSE '' END AS rx FROM ({PAIRS}) p) g"""
@@ -102,10 +102,10 @@ RANKED = f"""SELECT id, topic_id, score, row_number() OVER (PARTITION BY topic_i
     FROM (SELECT *, epoch({AS_OF} - published_at) / 3600.0 AS age FROM ({SCORE}) z) s LEFT JOIN ({WEIGHTS}) w USING (source_id)) r"""
 
 QUERIES = {
-    "q01_token_count": (lambda v: v.articles.select("id", token_count(F.col("summary")).cast("long").alias("tokens")), "SELECT id, CAST(len(list_filter(regexp_split_to_array(summary, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM articles"),
+    "q01_token_count": (lambda v: v.articles.select("id", token_count(F.col("summary")).cast("long").alias("tokens")), f"SELECT id, CAST(len(list_filter(regexp_split_to_array(summary, '{SPACE_CLASS}+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM articles"),
     "q02_title": (lambda v: v.articles.select("id", has_title(least=75).alias("ok")), "SELECT id, length(title) >= 75 AS ok FROM articles"),
     "q03_freshness": (lambda v: v.articles.where(is_fresh("published_at", F.lit(72))).select("id"), f"SELECT id FROM articles WHERE published_at >= {AS_OF} - INTERVAL 72 HOUR"),
-    "q04_length": (lambda v: v.articles.where(right_length()).select("id"), "SELECT id FROM articles WHERE len(list_filter(regexp_split_to_array(summary, '[ \\t\\n\\r]+'), lambda x: x <> '')) BETWEEN 20 AND 10000"),
+    "q04_length": (lambda v: v.articles.where(right_length()).select("id"), f"SELECT id FROM articles WHERE len(list_filter(regexp_split_to_array(summary, '{SPACE_CLASS}+'), lambda x: x <> '')) BETWEEN 20 AND 10000"),
     "q05_blacklist": (lambda v: v.articles.withColumn("title", F.when(F.col("id") % 7 == 0, F.concat(F.lit("An Editorial, "), "title")).otherwise(F.col("title"))).where(is_blacklisted()).select("id"), f"SELECT id FROM (SELECT id, lower(CASE WHEN id % 7 = 0 THEN 'An Editorial, ' ELSE '' END || title || ' ' || summary) AS t FROM articles) WHERE regexp_matches(t, '{blacklist_pattern()}')"),
     "q06_keywords": (lambda v: topic_pairs(v.articles, v.topics).withColumn("keys", keywords("query", "includes")).where(any_keyword("keys", F.col("title"), F.col("summary"))).select("id", "topic_id"), f"SELECT id, topic_id FROM (SELECT *, replace(query, ' ', '|') || CASE WHEN includes <> '' THEN '|' || includes ELSE '' END AS rx FROM ({PAIRS}) p) WHERE regexp_matches(lower(title), rx) OR regexp_matches(lower(summary), rx)"),
     "q07_gate": (lambda v: gate(v.articles, v.topics).select("id", "topic_id", "reason"), GATE),

@@ -84,9 +84,8 @@ def crawl_runs_report(runs: DataFrame, n: int = 100) -> DataFrame:
 
 
 def candidate_list(candidates: DataFrame) -> DataFrame:
-    """H8, H9: candidates by score, unknown scores last; rank makes the order a column."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("last_seen_at"), "id")
-    return candidates.select("id", "domain", "score", F.row_number().over(order).cast("long").alias("place"))
+    """H8, H9: candidates by score, unknown scores last."""
+    return candidates.select("id", "domain", "score", "last_seen_at").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("last_seen_at"), "id")
 
 
 def newest_sources(sources: DataFrame) -> DataFrame:
@@ -265,7 +264,7 @@ QUERIES = {
     "h05_recent_crawls": (lambda v: recent_crawls(v.crawls, v.topics), f"SELECT c.id, slug, {STATUS}, started_at FROM crawls c LEFT JOIN topics t ON t.id = c.topic_id WHERE finished_at >= {H48} OR (finished_at IS NULL AND started_at >= {H48}) ORDER BY started_at DESC, c.id DESC LIMIT 50"),
     "h06_crawl_status": (lambda v: v.crawls.select("id", crawl_status("ok_bool").alias("status")), f"SELECT id, {STATUS} FROM crawls"),
     "h07_crawl_runs": (lambda v: crawl_runs_report(v.crawl_runs), "SELECT id, workflow_name, started_at, CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS k FROM crawl_runs ORDER BY started_at DESC, id DESC LIMIT 100"),
-    "h08_candidate_list": (lambda v: candidate_list(v.candidate_domains), "SELECT id, domain, score, row_number() OVER (ORDER BY score DESC NULLS LAST, last_seen_at DESC NULLS LAST, id) AS place FROM candidate_domains"),
+    "h08_candidate_list": (lambda v: candidate_list(v.candidate_domains), "SELECT id, domain, score, last_seen_at FROM candidate_domains"),
     "h09_discoveries": (lambda v: v.candidate_domains.where("score is not null").select("domain", "score").orderBy(F.desc("score"), "domain"), "SELECT domain, score FROM candidate_domains WHERE score IS NOT NULL"),
     "h10_newest_sources": (lambda v: newest_sources(v.sources), "SELECT id, domain, created_at FROM sources"),
     "h11_top_sources": (lambda v: top_sources(v.sources), "SELECT id, domain, points FROM sources ORDER BY points DESC, id LIMIT 20"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.operators.extraction import outbound
+from presswork.functions.urls import links
+from presswork.operators.extraction import LISTED, NEWS
+from presswork.operators.extraction import OUT as OUTBOUND
+from presswork.operators.extraction import listing_domains, news_domains, outbound
 from presswork.operators.reports import hours_before
 from presswork.sources.fixtures import AS_OF
 
@@ -32,16 +35,18 @@ def decay(points: Column, weeks: int = 1, factor: float = 0.6) -> Column:
     return points
 
 
-def failure_reason(status: Column) -> Column:
-    """R4."""
-    return F.when(status >= 400, F.concat(F.lit("http_"), status.cast("string")))
+def failure_reason(status: Column, disallowed: Column | None = None, message: Column | None = None) -> Column:
+    """robots_disallow, else the message of an error cut to 100 characters, else http_ and a status other than 200."""
+    reason = F.when(disallowed, "robots_disallow") if disallowed is not None else F
+    reason = reason.when(message.isNotNull(), F.substring(message, 1, 100)) if message is not None else reason
+    return reason.when(status != 200, F.concat(F.lit("http_"), status.cast("string")))
 
 
 def failure_state(attempts: DataFrame) -> DataFrame:
     """Failures since the last success, last times and the current reason, by source. Two aggregates with
     map-side combining and a join on the source instead of a window over its attempts."""
-    last = attempts.groupBy("source_id").agg(F.max(F.when(F.col("status") < 400, F.struct("ts", "id"))).alias("ok"), F.max(F.when(F.col("status") >= 400, F.struct("ts", "id", "status"))).alias("bad"))
-    after = attempts.join(last.select("source_id", "ok"), "source_id").where((F.col("status") >= 400) & (F.col("ok").isNull() | (F.struct("ts", "id") > F.col("ok"))))
+    last = attempts.groupBy("source_id").agg(F.max(F.when(F.col("status") == 200, F.struct("ts", "id"))).alias("ok"), F.max(F.when(F.col("status") != 200, F.struct("ts", "id", "status"))).alias("bad"))
+    after = attempts.join(last.select("source_id", "ok"), "source_id").where((F.col("status") != 200) & (F.col("ok").isNull() | (F.struct("ts", "id") > F.col("ok"))))
     runs = after.groupBy("source_id").agg(F.count("*").alias("n"))
     return last.join(runs, "source_id", "left").select(
         "source_id", F.coalesce("n", F.lit(0)).alias("consecutive_failures"), F.col("ok.ts").alias("last_success_at"), F.col("bad.ts").alias("last_failure_at"), F.when(F.col("n") > 0, failure_reason(F.col("bad.status"))).alias("failure_reason")
@@ -106,15 +111,20 @@ def promotable(candidates: DataFrame, topics: DataFrame, least: int = 60) -> Dat
     return candidates.where(F.col("score") >= least).select("domain", "score").crossJoin(F.broadcast(first))  # one row
 
 
+def page_listings(pages: DataFrame) -> DataFrame:
+    """The URL of each page as a listing of its own."""
+    return pages.select(F.to_json(F.struct(F.struct(F.array(F.struct(F.struct("url").alias("data"))).alias("children")).alias("data"))).alias("json"))
+
+
 def search_queries(topics: DataFrame) -> DataFrame:
     """R19."""
     all_ = F.array(F.concat("name", F.lit(" news")), F.concat("name", F.lit(" latest articles")), F.when(F.col("query") != "", F.concat("query", F.lit(" breaking news"))))
     return topics.select("id", F.explode(F.filter(all_, lambda q: q.isNotNull())).alias("q"))
 
 
-STATE = """SELECT source_id, CAST(count(CASE WHEN status >= 400 AND (ok IS NULL OR ts > ok OR (ts = ok AND id > ok_id)) THEN 1 END) AS BIGINT) AS consecutive_failures, max(ok) AS last_success_at, max(CASE WHEN status >= 400 THEN ts END) AS last_failure_at,
-    CASE WHEN count(CASE WHEN status >= 400 AND (ok IS NULL OR ts > ok OR (ts = ok AND id > ok_id)) THEN 1 END) > 0 THEN 'http_' || CAST(arg_max(CASE WHEN status >= 400 THEN status END, CASE WHEN status >= 400 THEN epoch_us(ts) * 1000 + id % 1000 END) AS VARCHAR) END AS failure_reason
-    FROM (SELECT a.*, max(CASE WHEN status < 400 THEN ts END) OVER (PARTITION BY source_id) AS ok, max(CASE WHEN status < 400 THEN id END) OVER (PARTITION BY source_id, ts) AS ok_id FROM attempts a) GROUP BY 1"""
+STATE = """SELECT source_id, CAST(count(CASE WHEN status <> 200 AND (ok IS NULL OR ts > ok OR (ts = ok AND id > ok_id)) THEN 1 END) AS BIGINT) AS consecutive_failures, max(ok) AS last_success_at, max(CASE WHEN status <> 200 THEN ts END) AS last_failure_at,
+    CASE WHEN count(CASE WHEN status <> 200 AND (ok IS NULL OR ts > ok OR (ts = ok AND id > ok_id)) THEN 1 END) > 0 THEN 'http_' || CAST(arg_max(CASE WHEN status <> 200 THEN status END, CASE WHEN status <> 200 THEN epoch_us(ts) * 1000 + id % 1000 END) AS VARCHAR) END AS failure_reason
+    FROM (SELECT a.*, max(CASE WHEN status = 200 THEN ts END) OVER (PARTITION BY source_id) AS ok, max(CASE WHEN status = 200 THEN id END) OVER (PARTITION BY source_id, ts) AS ok_id FROM attempts a) GROUP BY 1"""
 A_SUM = " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for c, w in PROBE_A.items())
 
 
@@ -134,14 +144,17 @@ QUERIES = {
     "r01_bump_points": (lambda v: bump_points(v.sources, v.articles.where(F.col("first_seen_at") >= hours_before(24))), f"SELECT s.id, s.points + count(a.id) AS points FROM sources s LEFT JOIN articles a ON a.source_id = s.id AND a.first_seen_at >= {AS_OF} - INTERVAL 24 HOUR GROUP BY s.id, s.points"),
     "r02_decay": (lambda v: v.sources.select("id", decay(F.col("points"), 3).cast("long").alias("points")), "SELECT id, CAST(floor(floor(floor(points * 0.6) * 0.6) * 0.6) AS BIGINT) AS points FROM sources"),
     "r03_failure_state": (lambda v: failure_state(v.attempts), STATE),
-    "r04_reasons": (lambda v: v.attempts.groupBy(failure_reason(F.col("status")).alias("reason")).agg(F.count("*").alias("n")), "SELECT CASE WHEN status >= 400 THEN 'http_' || CAST(status AS VARCHAR) END AS reason, count(*) AS n FROM attempts GROUP BY 1"),
+    "r04_reasons": (lambda v: v.attempts.groupBy(failure_reason(F.col("status"), F.col("id") % 37 == 0, F.when(F.col("id") % 41 == 0, F.concat(F.repeat(F.lit("read timed out, "), 8), F.col("source_id").cast("string")))).alias("reason")).agg(F.count("*").alias("n")), "SELECT CASE WHEN id % 37 = 0 THEN 'robots_disallow' WHEN id % 41 = 0 THEN substring(repeat('read timed out, ', 8) || source_id, 1, 100) WHEN status <> 200 THEN 'http_' || CAST(status AS VARCHAR) END AS reason, count(*) AS n FROM attempts GROUP BY 1"),
     "r05_auto_disable": (lambda v: auto_disable(v.sources, failure_state(v.attempts), 4), f"SELECT s.id, s.enabled AND coalesce(consecutive_failures, 0) < 4 AS enabled, s.enabled AND coalesce(consecutive_failures, 0) >= 4 AS disabled_now FROM sources s LEFT JOIN ({STATE}) f ON f.source_id = s.id"),
-    "r06_ordered": (lambda v: v.sources.where("enabled").select("domain", "points", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("points"), F.desc("created_at"))).cast("long").alias("place")), "SELECT domain, points, row_number() OVER (ORDER BY points DESC, created_at DESC) AS place FROM sources WHERE enabled"),
+    "r06_ordered": (lambda v: v.sources.where("enabled").select("domain", "points", "created_at").orderBy(F.desc("points"), F.desc("created_at")), "SELECT domain, points, created_at FROM sources WHERE enabled"),
     "r07_known_domains": (lambda v: v.candidate_domains.join(v.sources.select("domain"), F.regexp_replace(v.candidate_domains.domain, "^www\\.", "") == v.sources.domain, "left_anti").select("domain"), "SELECT c.domain FROM candidate_domains c WHERE regexp_replace(c.domain, '^www\\.', '') NOT IN (SELECT domain FROM sources)"),
     "r08_last_seen": (lambda v: v.articles.groupBy("source_id").agg(F.max("first_seen_at").alias("last_seen_at")), "SELECT source_id, max(first_seen_at) AS last_seen_at FROM articles GROUP BY 1"),
     "r09_discovery_points": (lambda v: discovery_points(v.sources, outbound(v.tagged_pages), v.articles, v.candidate_domains), f"SELECT s.id, s.points + count(DISTINCT o.domain) AS points FROM sources s LEFT JOIN (SELECT a.source_id, o.domain FROM ({OUT}) o JOIN articles a ON a.id = o.page_id WHERE o.domain NOT IN (SELECT domain FROM sources) AND o.domain NOT IN (SELECT domain FROM candidate_domains)) o ON o.source_id = s.id GROUP BY s.id, s.points"),
     "r10_mainstream": (lambda v: v.candidate_domains.where(~is_mainstream(F.col("domain"))).select("domain"), f"SELECT domain FROM candidate_domains WHERE regexp_replace(domain, '^www\\.', '') NOT IN ({', '.join(repr(d) for d in MAINSTREAM)})"),
-    "r11_candidates": (lambda v: candidates({"outbound": outbound(v.tagged_pages).select("domain").distinct(), "pages": v.candidate_domains.select("domain")}, v.sources), f"SELECT domain, CASE n WHEN 0 THEN 'outbound' ELSE 'pages' END AS feeder FROM (SELECT domain, min(n) AS n FROM (SELECT domain, 0 AS n FROM ({OUT}) UNION ALL SELECT domain, 1 FROM candidate_domains) GROUP BY 1) WHERE domain NOT IN (SELECT domain FROM sources) ORDER BY n, domain LIMIT 50"),
+    "r11_candidates": (lambda v: candidates({"outbound": mined_links(v.articles, v.tagged_pages), "seeds": v.candidate_domains.where("discovered_via = 'search'"), "search": news_domains(v.tagged_pages.select(F.explode(links("html")).alias("url"))), "aggregator": outbound(v.tagged_pages, True, ("canon",)), "listing": listing_domains(page_listings(v.pages))}, v.sources),
+        f"""WITH f AS (SELECT domain, 0 AS n, 'outbound' AS feeder FROM ({OUT}) o JOIN articles a ON a.id = o.page_id WHERE first_seen_at >= {AS_OF} - INTERVAL 168 HOUR UNION ALL SELECT domain, 1, 'seeds' FROM candidate_domains WHERE discovered_via = 'search'
+            UNION ALL SELECT domain, 2, 'search' FROM ({NEWS}) UNION ALL SELECT domain, 3, 'aggregator' FROM ({OUTBOUND(True, "AND NOT contains(domain, 'canon')")}) UNION ALL SELECT domain, 4, 'listing' FROM ({LISTED}) WHERE NOT contains(domain, 'reddit'))
+        SELECT domain, arg_min(feeder, n) AS feeder FROM f WHERE domain NOT IN (SELECT domain FROM sources) GROUP BY 1 ORDER BY min(n), domain LIMIT 50"""),
     "r12_mined_links": (lambda v: mined_links(v.articles, v.tagged_pages), f"SELECT domain, count(*) AS pages FROM ({OUT}) o JOIN articles a ON a.id = o.page_id WHERE first_seen_at >= {AS_OF} - INTERVAL 168 HOUR GROUP BY 1"),
     "r13_topic_discovery": (lambda v: topic_discovery(v.topic_articles, v.articles, v.tagged_pages, v.sources, 1, 30), f"WITH newest AS (SELECT article_id AS page_id, added_at FROM topic_articles WHERE topic_id = 1 ORDER BY added_at DESC, article_id DESC LIMIT 30) SELECT domain, last(page_id ORDER BY added_at, page_id) AS article_id, 5 AS score FROM ({OUT_PLAIN}) o JOIN newest USING (page_id) WHERE regexp_replace(domain, '^www\\.', '') NOT IN ({', '.join(repr(d) for d in MAINSTREAM)}) AND domain NOT IN (SELECT domain FROM sources) GROUP BY 1"),
     "r14_probe_score": (lambda v: v.candidate_probes.select("domain_id", probe_score(PROBE_A).alias("score")), f"SELECT domain_id, {A_SUM} AS score FROM candidate_probes"),
@@ -149,5 +162,5 @@ QUERIES = {
     "r16_robots_state": (lambda v: robots_state(v.sources.select("domain"), v.robots_rules), "SELECT s.domain, coalesce(max(CASE WHEN kind = 'disallow' THEN 'restricted' ELSE 'open' END) FILTER (kind IS NOT NULL), 'error') AS robots_state FROM sources s LEFT JOIN robots_rules r ON r.domain = s.domain GROUP BY 1"),
     "r17_promotable": (lambda v: promotable(v.candidate_domains, v.topics), "SELECT domain, score, (SELECT min(id) FROM topics WHERE enabled) AS topic_id FROM candidate_domains WHERE score >= 60"),
     "r18_discovery_stats": (lambda v: v.candidate_domains.agg(F.count("*").alias("found"), F.count_if(F.col("score") >= 60).alias("promoted"), F.count_if(F.col("score").isNull()).alias("unscored")), "SELECT count(*) AS found, count(CASE WHEN score >= 60 THEN 1 END) AS promoted, count(CASE WHEN score IS NULL THEN 1 END) AS unscored FROM candidate_domains"),
-    "r19_search_queries": (lambda v: search_queries(v.topics), "SELECT id, name || ' news' AS q FROM topics UNION ALL SELECT id, name || ' latest articles' FROM topics UNION ALL SELECT id, query || ' breaking news' FROM topics WHERE query <> ''"),
+    "r19_search_queries": (lambda v: search_queries(v.topic_requests.withColumnRenamed("slug", "id")), "SELECT slug AS id, name || ' news' AS q FROM topic_requests UNION ALL SELECT slug, name || ' latest articles' FROM topic_requests UNION ALL SELECT slug, query || ' breaking news' FROM topic_requests WHERE query <> ''"),
 }

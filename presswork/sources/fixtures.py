@@ -35,8 +35,11 @@ def tables(spark: bool) -> dict[str, str]:
             (1, 'en', 'English', 'thing tion', 'ther|onth', 'zzzz', 'en', 72, 30, true), (2, 'de', 'Deutsch', 'keit', 'lich|ung', '', 'de', 72, 30, true),
             (3, 'fr', 'Francais', 'eaux', 'ment|elle', 'qqq', 'fr', 72, 30, true), (4, 'es', 'Espanol', 'mente', '', '', 'es', 72, 30, false))
             AS t(id, slug, name, query, includes, excludes, lang, freshness_hours, max_items, enabled)""",
+        "topic_requests": """SELECT source || '-' || lang AS slug, source || ' ' || lang AS name, CASE WHEN count(*) % 3 <> 0 THEN source || ' ' || lang WHEN count(*) % 2 = 0 THEN '' END AS query,
+            CASE WHEN min(doc_id) % 2 = 0 THEN lang END AS lang, CASE WHEN min(doc_id) % 3 = 0 THEN 24 END AS freshness_hours, CASE WHEN min(doc_id) % 5 = 0 THEN 10 END AS max_items FROM documents GROUP BY source, lang""",
+        "fetches": "SELECT doc_id AS id, CASE WHEN doc_id % 23 = 0 THEN 503 WHEN doc_id % 31 = 0 THEN 403 ELSE 200 END AS status FROM documents",
         "articles": f"""SELECT doc_id AS id, 'https://' || source || '.example.com/' || lang || '/' || CAST(doc_id AS VARCHAR(20)) AS canonical_url,
-            substring(text, 1, 80) AS title, substring(text, 1, 400) AS summary, CAST(substring(source, 4) AS INT) AS source_id, source || '.example.com' AS source_domain,
+            substring(text, 1, 80) AS title, text AS summary, CAST(substring(source, 4) AS INT) AS source_id, source || '.example.com' AS source_domain,
             {ts(f'{AS_OF_EPOCH} - (doc_id * 7919 % 20160) * 60')} AS published_at, lang,
             {ts(f'least({AS_OF_EPOCH}, {AS_OF_EPOCH} - (doc_id * 7919 % 20160) * 60 + (doc_id * 104729 % 720) * 60)')} AS first_seen_at, doc_id % 11 = 0 AS paywalled_bool
             FROM documents""",
@@ -48,13 +51,13 @@ def tables(spark: bool) -> dict[str, str]:
         "sources_topics": "SELECT s.id AS source_id, t.id AS topic_id FROM sources s CROSS JOIN topics t WHERE (s.id + t.id) % 3 = 0",
         "topic_articles": "SELECT t.id AS topic_id, a.id AS article_id, a.first_seen_at AS added_at, a.id % 17 = 0 AS hidden_bool FROM articles a JOIN topics t ON t.lang = a.lang",
         "crawls": f"""SELECT id, topic_id, started_at, CASE WHEN id % 29 <> 0 THEN finished_at END AS finished_at, CASE WHEN id % 29 <> 0 THEN errors <= kept END AS ok_bool, kept, duplicates, quality, errors FROM (
-            SELECT row_number() OVER (ORDER BY h, u) AS id, u + 1 AS topic_id, started_at, finished_at, kept, duplicates, quality, errors FROM (
+            SELECT CAST({epoch(spark, 'h')} / 3600 AS BIGINT) * 4 + u AS id, u + 1 AS topic_id, started_at, finished_at, kept, duplicates, quality, errors FROM (
             SELECT CAST(user_id % 4 AS INT) AS u, date_trunc('hour', {ev}) AS h, min({ev}) AS started_at, max({ev}) AS finished_at, count(CASE WHEN event_type = 'click' THEN 1 END) AS kept,
             count(CASE WHEN event_type = 'view' THEN 1 END) AS duplicates, count(CASE WHEN event_type = 'signup' THEN 1 END) AS quality, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors
             FROM events GROUP BY 1, 2) g) n""",
         "attempts": f"SELECT event_id AS id, CAST(user_id % 20 AS INT) AS source_id, {ev} AS ts, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status FROM events",
         "crawl_runs": f"SELECT event_id AS id, 'crawl-' || CAST(user_id % 4 AS VARCHAR(20)) AS workflow_name, {ev} AS started_at, props AS metadata FROM events WHERE event_type = 'purchase'",
-        "candidate_domains": f"""SELECT row_number() OVER (ORDER BY domain) AS id, domain, CASE WHEN p % 2 = 0 THEN 'outbound_links' ELSE 'search' END AS discovered_via,
+        "candidate_domains": f"""SELECT p AS id, domain, CASE WHEN p % 2 = 0 THEN 'outbound_links' ELSE 'search' END AS discovered_via,
             CASE WHEN p % 13 = 0 THEN NULL ELSE CAST(CASE WHEN p % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN p % 3 = 0 THEN 20 ELSE 0 END + CASE WHEN p % 5 < 3 THEN 25 ELSE 0 END + CASE WHEN p % 7 < 4 THEN 10 ELSE 0 END AS INT) END AS score,
             {ts(f'{AS_OF_EPOCH} - p % 200 * 3600')} AS last_seen_at, p FROM (SELECT {host} AS domain, min(page_id) AS p FROM pages GROUP BY 1) h""",
         "candidate_probes": "SELECT id AS domain_id, p % 2 = 0 AS has_sitemap, p % 3 = 0 AS lastmod_recent, p % 4 = 0 AS has_feed, p % 5 < 3 AS jsonld_news, p % 7 < 4 AS has_lang, CASE WHEN p % 7 < 4 THEN 'en' END AS lang FROM candidate_domains WHERE p % 6 <> 5",
@@ -67,6 +70,8 @@ def tables(spark: bool) -> dict[str, str]:
             ELSE '<html><body><h1>Bare ' || CAST(doc_id AS VARCHAR(20)) || '</h1><p>Only &lt;text&gt;</p></body></html>' END AS html FROM documents""",
         "section_pages": """SELECT doc_id AS page_id, 'https://www.' || source || '.example.com/' AS url, '<a href="/' || split_part('news,article,actualites,politique,societe,economy,economie,world,monde,sport,culture,tech,science,2024/01,story,video,opinion,author,World,about', ',', CAST(doc_id % 20 + 1 AS INT)) || '/' || CAST(doc_id AS VARCHAR(20)) || '">' || lang || '</a> <a href="https://elsewhere.example.org/news/1">x</a> <a href="/tag/news/">t</a>' AS html FROM documents""",
         "sitemap_urls": f"""SELECT source_domain AS domain, canonical_url AS url, CASE WHEN id % 19 = 0 THEN NULL ELSE published_at END AS lastmod FROM articles""",
+        "index_xml": "SELECT id, '<sitemapindex>' || '<sitemap> <loc>' || canonical_url || '/a.xml</loc></sitemap>' || '<sitemap><loc> ' || canonical_url || '/b.xml </loc><lastmod>x</lastmod></sitemap>' || CASE WHEN id % 2 = 0 THEN '<sitemap><loc>' || canonical_url || '/news.xml</loc></sitemap>' ELSE '' END || '<sitemap><loc>' || canonical_url || '/c.xml</loc></sitemap>' || CASE WHEN id % 3 = 0 THEN '<sitemap><loc>' || canonical_url || '/article-' || lang || '.xml</loc></sitemap>' ELSE '' END || '<sitemap><loc>' || canonical_url || '/d.xml</loc></sitemap></sitemapindex>' AS xml FROM articles",
+        "robots_texts": "SELECT domain, 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10) || '# ' || name || chr(10) || 'User-Agent: *' || chr(10) || 'Disallow: /' || name || '/' || chr(10) || CASE WHEN id % 2 = 0 THEN 'Allow: /' || name || '/open' || chr(10) ELSE 'Disallow:' || chr(10) END || CASE WHEN id % 3 = 0 THEN 'Crawl-delay: ' || CAST(id % 5 AS VARCHAR(20)) || chr(10) ELSE '' END || 'Sitemap: https://' || domain || '/s.xml' AS text FROM sources",
         "index_urls": "SELECT source_domain AS domain, CAST(id % 4 AS INT) AS path_no, id AS place, canonical_url || CASE WHEN id % 3 = 0 THEN '?ref=i' ELSE '' END AS url FROM articles",
         "robots_rules": "SELECT domain, CASE WHEN id % 2 = 0 THEN 'disallow' ELSE 'allow' END AS kind, CASE WHEN id % 2 = 0 THEN '/en/1' ELSE '/' END AS path FROM sources WHERE id % 5 <> 4",
     }

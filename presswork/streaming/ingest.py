@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from presswork.operators import dedupe, extraction, quality
 
 
-def extracted_articles(pages: DataFrame) -> DataFrame:
-    """A stateless map of a page stream."""
-    return extraction.extract(pages)
+def extracted_articles(pages: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """A stateless map of a page stream; with topics, each article and topic of its language that passes the gate."""
+    articles = extraction.extract(pages)
+    return articles if topics is None else quality.gate(articles, topics).where("reason is null").drop("reason", "keys")
 
 
 def distinct_urls(articles: DataFrame, horizon: str = "7 days") -> DataFrame:
@@ -61,6 +62,19 @@ def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def hourly_outcomes(outcomes: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Tumbling counts of (topic_id, outcome, ts) by topic."""
+    hours = outcomes.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "topic_id", "outcome").agg(F.count("*").alias("n"))
+    return hours.select(F.col("window.start").alias("start"), "topic_id", "outcome", "n")
+
+
+def sliding_latency(articles: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Hours from publication to first sight over the last 24, every hour."""
+    latency = (F.unix_timestamp("first_seen_at") - F.unix_timestamp("published_at")) / 3600.0
+    days = articles.withWatermark("first_seen_at", delay).groupBy(F.window("first_seen_at", "24 hours", "1 hour")).agg(F.avg(latency).alias("avg_hours"), F.max(latency).alias("max_hours"), F.count("*").alias("n"))
+    return days.select(F.col("window.end").alias("until"), "avg_hours", "max_hours", "n")
+
+
 def crawl_sessions(attempts: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Sessions of a source's attempts."""
     return attempts.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "source_id").agg(F.count("*").alias("n")).select("source_id", F.col("session_window.start").alias("start"), "n")
@@ -73,7 +87,7 @@ def failure_events(attempts: DataFrame, limit: int = 20) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
         n = state.get[0] if state.exists else 0
         for status in rows["status"]:
-            n = n + 1 if status >= 400 else 0
+            n = n + 1 if status != 200 else 0
         state.update((n,))
         yield pd.DataFrame({"source_id": [key[0]], "failures": [n], "disabled": [n >= limit]})
 

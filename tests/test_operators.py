@@ -143,3 +143,55 @@ def test_first_date_and_first_locs(spark):
     df = spark.createDataFrame([(xml,), (xml.replace("01-02", "01-29"),), ("<url></url>",), (None,)], "xml string")
     got = df.select(extraction.is_recent(F.col("xml")).alias("recent"), extraction.first_locs(F.col("xml")).alias("locs")).collect()
     assert [r.recent for r in got] == [False, True, False, False] and got[0].locs == ["https://a/1"]
+
+
+def test_token_hash_counts_utf16_units(spark):
+    def units(t):
+        b = (t or "").encode("utf-16-be")
+        return [int.from_bytes(b[i : i + 2], "big") for i in range(0, len(b), 2)]
+
+    def want(t):
+        h = 0
+        for u in units(t):
+            h = (h * 31 + u) & 0xFFFFFFFF
+        return h
+
+    rows = spark.createDataFrame([("plain",), ("é€",), ("a\U0001f600b" * 9,), ("",), (None,)], "t string").select("t", dedupe.token_hash(F.col("t")).alias("h")).collect()
+    assert all(r.h == want(r.t) for r in rows)
+
+
+def test_simhash_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \t "), (4, "One"), (5, "one one\u00a0ONE"), (6, "a b"), (7, "word " * 70000)]
+    got = {r.id: r.sig32 for r in dedupe.simhash(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).collect()}
+    assert got[1] == got[2] == got[3] == 0 and got[4] == got[5] and len(got) == 7
+    assert got[6] == 97 & 98 and got[7] == 3655434  # a bit of half the tokens isn't set
+
+
+def test_outcomes_of_each_stage(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi"
+    other = " ".join(f"machine{i}" for i in range(30))
+    rows = [(1, "A machine title", words), (2, "A machine title", words), (3, "short", words), (4, "Seen machine title", other), (5, "Failed machine title", other), (6, "Another machine title", other + " tail")]
+    a = spark.createDataFrame(rows, "id long, title string, summary string").select("*", F.lit("en").alias("lang"), F.concat(F.lit("u"), "id").alias("canonical_url"), F.timestamp_seconds(F.lit(1706659200)).alias("published_at"), F.timestamp_seconds(F.lit(1706659200)).alias("first_seen_at"))
+    topics = spark.createDataFrame([(1, "en", "machine", "", "", 72, 30)], "id int, lang string, query string, includes string, excludes string, freshness_hours int, max_items int")
+    fetches = spark.createDataFrame([(i, 503 if i == 5 else 200) for i in range(1, 7)], "id long, status int")
+    got = {r.id: r.outcome for r in dedupe.outcomes(a, fetches, topics, a.where("id = 4"), hours_before(168)).collect()}
+    assert got == {1: "kept", 2: "skippedDuplicates", 3: "skippedQuality", 4: "skippedDuplicates", 5: "error", 6: "kept"}
+
+
+def test_gated_late_sliding_and_session_streams(spark, tables, tmp_path):
+    pages = tables.tagged_pages
+    topics = tables.topics
+    got = _run(ingest.extracted_articles(_stream(spark, pages, str(tmp_path / "p")), topics), "w1g", tmp_path)
+    assert got.count() == quality.gate(extraction.extract(pages), topics).where("reason is null").count()
+    late = _run(ingest.fresh_only(_stream(spark, tables.articles.select("id", "published_at"), str(tmp_path / "f")), 72, None), "w4", tmp_path)
+    assert late.count() == tables.articles.where(quality.is_fresh("published_at", F.lit(72))).count()
+    end = "timestamp_seconds(4102444800)"
+    seen = tables.articles.select("first_seen_at", "published_at").union(spark.sql(f"select {end}, {end}"))
+    days = _run(ingest.sliding_latency(_stream(spark, seen, str(tmp_path / "s"))), "w5s", tmp_path)
+    assert days.agg(F.sum("n")).first()[0] == 24 * tables.articles.count()
+    outs = tables.attempts.select("ts", (F.col("source_id") % 4).alias("topic_id"), F.col("status").cast("string").alias("outcome")).union(spark.sql(f"select {end}, 0, 'end'"))
+    hours = _run(ingest.hourly_outcomes(_stream(spark, outs, str(tmp_path / "o"))), "w5t", tmp_path)
+    assert hours.agg(F.sum("n")).first()[0] == tables.attempts.count()
+    tries = tables.attempts.select("ts", "source_id").union(spark.sql(f"select {end}, 0"))
+    sessions = _run(ingest.crawl_sessions(_stream(spark, tries, str(tmp_path / "t"))), "w6", tmp_path)
+    assert sessions.agg(F.sum("n")).first()[0] == tables.attempts.count()
