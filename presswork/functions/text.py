@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as JavaScript's \s has it, as an explicit class.
 SPACE_CLASS = "[\\t\\n\\x0B\\f\\r    -     　﻿]"
+SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 #: ASCII word boundaries, written out: Java's \b is Unicode.
 BEFORE, AFTER = "(^|[^0-9A-Za-z_])", "([^0-9A-Za-z_]|$)"
 #: The words that mark opinion, sponsoring and advertising.
@@ -24,8 +25,13 @@ def blacklist_pattern(unicode_boundaries: bool = False) -> str:
     return f"{BEFORE}({plain}){AFTER}|[0-9A-Za-z_]éditorial{AFTER}|{BEFORE}publicité[0-9A-Za-z_]"
 
 
+def pieces(text: Column) -> Column:
+    """Tokens and empty strings between white spaces; splitting at one plain character is several times faster than at a class."""
+    return F.split(F.translate(text, SPACES, " " * len(SPACES)), " ")
+
+
 def token_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, SPACE_CLASS + "+"), lambda t: t != ""))
+    return F.size(F.filter(pieces(text), lambda t: t != ""))
 
 
 def keywords(query: str, includes: str) -> Column:

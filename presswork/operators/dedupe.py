@@ -11,7 +11,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.functions.text import SPACE_CLASS
+from presswork.functions.text import SPACE_CLASS, pieces
 from presswork.operators.quality import GATE, gate
 from presswork.operators.reports import hours_before
 from presswork.sources.fixtures import AS_OF
@@ -27,7 +27,7 @@ def simhash(rows: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()
 
     Tokens are rows of generated code, counted before the shuffle: 16 longs a text move, two 32-bit counters in each.
     """
-    tokens = rows.select(key, *carry, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_CLASS + "+")).alias("token"))
+    tokens = rows.select(key, *carry, F.explode(pieces(F.lower(F.coalesce(text, F.lit(""))))).alias("token"))
     hashes = tokens.select(key, *carry, (F.col("token") != "").cast("long").alias("is_token"), token_hash(F.col("token")).alias("h"))  # the hash of "" is 0
     two = lambda i: F.shiftright("h", i).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftright("h", i + 16).bitwiseAND(F.lit(1)), 32)
     counts = hashes.groupBy(key, *carry).agg(F.sum("is_token").alias("n"), *[F.sum(two(i)).alias(f"c{i}") for i in range(16)])
