@@ -29,11 +29,11 @@ def simhash(rows: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()
     """
     tokens = rows.select(key, *carry, F.explode(pieces(F.lower(F.coalesce(text, F.lit(""))))).alias("token"))
     hashes = tokens.select(key, *carry, (F.col("token") != "").cast("long").alias("is_token"), token_hash(F.col("token")).alias("h"))  # the hash of "" is 0
-    two = lambda i: F.shiftright("h", i).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftright("h", i + 16).bitwiseAND(F.lit(1)), 32)
-    counts = hashes.groupBy(key, *carry).agg(F.sum("is_token").alias("n"), *[F.sum(two(i)).alias(f"c{i}") for i in range(16)])
-    count = lambda i: F.col(f"c{i}").bitwiseAND(F.lit(4294967295)) if i < 16 else F.shiftright(f"c{i - 16}", 32)
-    bits = [F.when(count(i) * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)]
-    return counts.select(key, *carry, sum(bits[1:], bits[0]).alias("sig32"))
+    sums = [F.expr(f"sum((shiftright(h, {i}) & 1) + shiftleft(shiftright(h, {i + 16}) & 1, 32))").alias(f"c{i}") for i in range(16)]
+    counts = hashes.groupBy(key, *carry).agg(F.sum("is_token").alias("n"), *sums)
+    count = lambda i: f"(c{i} & 4294967295)" if i < 16 else f"shiftright(c{i - 16}, 32)"
+    bits = " + ".join(f"if({count(i)} * 2 > n, {1 << i}L, 0L)" for i in range(32))
+    return counts.select(key, *carry, F.expr(bits).alias("sig32"))
 
 
 def sig_hex(sig: str = "sig32") -> Column:
@@ -49,7 +49,7 @@ def distance(a: Column, b: Column) -> Column:
 
 def neighbours(sigs: DataFrame) -> DataFrame:
     """(sig32, near) for every distinct signature and each of its 33 keys."""
-    keys = F.array(F.col("sig32"), *[F.col("sig32").bitwiseXOR(F.lit(1 << i)) for i in range(32)])
+    keys = F.expr(f"array(sig32, {', '.join(f'sig32 ^ {1 << i}L' for i in range(32))})")
     return sigs.select("sig32").distinct().select("sig32", F.explode(keys).alias("near"))
 
 
