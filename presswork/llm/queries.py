@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from presswork.llm import chat, filter_audit, fingerprints, language, mixing, ngram_join, packing, quality, repeats, toxicity, vectors
+from presswork.llm import chat, filter_audit, fingerprints, language, mixing, ngram_join, packing, quality, repair, repeats, toxicity, vectors
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,10 +15,11 @@ QUERIES = {
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_rotated_codes": vectors.op10_rotated_codes,
+    "op11_auction_repair": repair.op11_auction_repair,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
-#: op12's SQL counts every order by itself, without a potential. op4's digests follow from the table alone, but for formatted_chars, which the template's escapes add to.
+#: op11's SQL is a dynamic program, op12's counts every order by itself, without a potential. op4's digests follow from the table alone, but for formatted_chars, which the template's escapes add to.
 SQL = {
     "op4_chat_format": r"""
         WITH said AS (
@@ -33,5 +34,6 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(escaped + length(role) + 15) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op11_auction_repair": repair.SQL,
     "op12_filter_audit": filter_audit.SQL,
 }
