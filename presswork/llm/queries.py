@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from presswork.llm import chat, filter_audit, fingerprints, language, mixing, ngram_join, packing, quality, repair, repeats, toxicity, vectors
+from presswork.llm import chat, filter_audit, fingerprints, language, mixing, ngram_join, packing, quality, repair, repeats, secret_scan, toxicity, vectors
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_rotated_codes": vectors.op10_rotated_codes,
     "op11_auction_repair": repair.op11_auction_repair,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_secret_novelty": secret_scan.op13_secret_novelty,
 }
 
 #: op11's SQL is a dynamic program, op12's counts every order by itself, without a potential. op4's digests follow from the table alone, but for formatted_chars, which the template's escapes add to.
