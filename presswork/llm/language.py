@@ -30,16 +30,18 @@ UNKNOWN = "und"
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary by language, from at most `sample_docs` different documents of each, at most DOC_CHARS
     of one document (from PLACES places spread over it) and `dict_bytes` in all. Rows with a null text or language teach nothing.
-    Documents are drawn by a hash of their text, so reruns and row orders agree."""
+    Documents are drawn by a hash of their text, so reruns and row orders agree; every language with a text is
+    learnt, however often its texts repeat."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null and text <> ''")
-    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     draw = (F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 11).cast("double") / float(1 << 53)).alias("draw")
+    # shares of different texts, as copies share a draw; twice the bound leaves room for the estimate's error
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(draw).alias("texts")).orderBy("lang").collect()
     part = DOC_CHARS // PLACES
     starts = [(F.lit(1) + F.floor((F.length("text") - part) * k / (PLACES - 1))).cast("int") for k in range(PLACES)]
     spread = F.when(F.length("text") <= DOC_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *[F.substr("text", x, F.lit(part)) for x in starts]))
     model: dict[str, bytes] = {}
     for i in range(0, len(counts), LANGUAGES_AT_ONCE):
-        share = F.create_map(*[x for r in counts[i : i + LANGUAGES_AT_ONCE] for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / r["count"])))])
+        share = F.create_map(*[x for r in counts[i : i + LANGUAGES_AT_ONCE] for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * sample_docs / max(1, r["texts"]))))])
         sample = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "draw", spread.alias("text"))
         # copies of a text count once; a language has one row of so many texts
         sample = sample.groupBy("lang", "draw").agg(F.min("text").alias("text")).groupBy("lang")

@@ -65,3 +65,13 @@ def test_scores_match_plain_compression(spark):
             assert r._lang == size[0][1] and abs(r._margin - (1 - size[0][0] / size[1][0])) < 0.01
         else:
             assert r._lang == "und" and r._rejected
+
+
+def test_a_language_of_two_texts_that_repeat_is_learnt(spark):
+    rows = [(i, ("η γάτα κάθεται πάνω στο χαλί και κοιτάζει " * 3, "ο σκύλος τρέχει μέσα στον κήπο κάθε πρωί " * 3)[i % 2], "el") for i in range(40_000)]
+    rows += [(50_000 + i, f"the cat number {i} sat on the mat and looked at the dog", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert sorted(model) == ["el", "en"] and "γάτα" in model["el"].decode() and "σκύλος" in model["el"].decode()
+    got = language.classify(docs.where("doc_id >= 39998 and doc_id < 50003"), model).collect()
+    assert all(r._lang == r.lang and not r._rejected for r in got)
