@@ -65,7 +65,7 @@ class WordCache:
             self.hash = np.insert(self.hash, to, h)
             self.used += len(flat)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, powers: textops.Powers) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by row) of texts. The tokenizer drops white space and never merges across it,
         nor across a letter and the stop that ends a word, so words can be encoded one by one."""
         start, end, row = textops.words(data, offsets)
@@ -80,8 +80,7 @@ class WordCache:
         all_end = np.concatenate((np.where(stop, end - 1, end), end[tails]))
         order = np.argsort(all_start, kind="stable")
         start, end, row = all_start[order], all_end[order], np.concatenate((row, row[tails]))[order]
-        cum, down = textops.prefix_hash(data, textops.CODES, powers)
-        h, first, back = np.unique(textops.span_hash(cum, down, start, end), return_index=True, return_inverse=True)
+        h, first, back = np.unique(textops.word_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.hash) + len(h) > CACHE_WORDS:
             self.clear()
         at = np.searchsorted(self.hash, h)
@@ -104,11 +103,11 @@ def _pieces(path: str, limit: int, end_id: int):
         caches = state.__dict__.setdefault("word_caches", {})
         if path not in caches:
             caches[path] = WordCache(path)
-        cache, powers = caches[path], state.__dict__.setdefault("powers", textops.Powers())
+        cache = caches[path]
         for batch in batches:
             data, offsets = textops.column_bytes(batch["text"])
             for i, j in textops.slices(offsets, 4 * textops.SLICE_BYTES // 2):
-                ids, off = cache.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], powers)
+                ids, off = cache.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out: list[list] = [[], [], [], [], []]
                 last = np.array([end_id], np.uint32)
                 for r in range(j - i):

@@ -6,6 +6,7 @@ time, so a task never holds more than one slice of hashes whatever the text leng
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Iterator
@@ -38,8 +39,21 @@ CODES = _byte_codes(False)
 CODES_LOWER = _byte_codes(True)
 
 
+#: A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Masks of the first n bytes of eight.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Longer words are hashed by hashlib, one by one.
+SHORT_WORD = 64
+
+
 class Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    """Powers of the hash base and of its inverse, grown on demand.
+
+    Hashes of spans are polynomials modulo 2**64. Some pairs of texts of 1,000 bytes and more (such as the Thue-Morse word and its
+    complement) are equal under every such polynomial, so they serve shorter spans, and features that may collide; words take word_hashes().
+    """
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
@@ -119,6 +133,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[start:end], mixed eight bytes at a time: no sum that could cancel out. Long words take blake2b."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    with np.errstate(over="ignore"):
+        h = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB))
+        h = mix(h ^ (eight[start] & FIRST_BYTES[np.minimum(size, 8)]))
+    for at in range(8, SHORT_WORD, 8):
+        more = np.flatnonzero((size > at) & (size <= SHORT_WORD))
+        if not len(more):
+            break
+        h[more] = mix(h[more] ^ (eight[start[more] + at] & FIRST_BYTES[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size > SHORT_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, powers: Powers, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, words per row) of all runs of `size` lower-cased words, in text order.
 
@@ -128,8 +160,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, powers: Powers, size: int) -
     per_row = np.bincount(row, minlength=len(offsets) - 1)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), per_row
-    cum, down = prefix_hash(data, CODES_LOWER, powers)
-    w = span_hash(cum, down, start, end)
+    w = word_hashes(LOWER[data], start, end)
     m = len(w)
     first_word = np.concatenate(([0], np.cumsum(per_row)[:-1]))
     with np.errstate(over="ignore"):

@@ -73,3 +73,29 @@ def test_tree_loses_no_pair():
         ok = np.triu(want if sides is None else want & (side[:, None] != side[None, :]), 1)
         got = {(min(a, b), max(a, b)) for i, j in ngram_join.Tree(points, n, n, comp, 75).pairs(sides) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
         assert got == set(zip(*(x.tolist() for x in np.nonzero(ok)), strict=True)) and len(got) > 1000
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    words = {}
+    for n in (1024, 4096):
+        for a, b in ("ab", "ba", "AB"):
+            words[len(words)] = "".join(b if i.bit_count() % 2 else a for i in range(n))
+    docs = dict(words) | {100 + k: f"one two {w} four five" for k, w in words.items()} | {200 + k: f"one two three {w} {w}" for k, w in words.items()}
+    got = _check(spark, docs)
+    assert got[1] == (1, 1) and got[2] == (1, 0) and got[101] == (1, 101)
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(400_000))
+    _check(spark, {1: text, 2: text + " tail", 3: "short " + text[:300_000], 4: "x" * 3_000_000, 5: "X" * 3_000_000})
+
+
+def test_word_hashes_part_words():
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("ab") for _ in range(n)) for n in range(1, 90) for _ in range(60)} | {"a\0", "a", "a\0\0"})
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    end = np.append(np.flatnonzero(data == 32), len(data))
+    start = np.append(0, end[:-1] + 1)
+    hashes = ngram_join.textops.word_hashes(data, start, end)
+    assert len(set(hashes.tolist())) == len(words)
+    assert (ngram_join.textops.word_hashes(data[start[7] :], start[7:] - start[7], end[7:] - start[7]) == hashes[7:]).all()

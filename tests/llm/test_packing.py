@@ -60,3 +60,19 @@ def test_two_small_pieces_replace_the_smallest():
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.word_tokenizer()).collect() == []
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 4096])
+def test_long_words_that_polynomials_confuse(spark, n):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.word_tokenizer())
+    texts = [thue_morse(n), thue_morse(n, "b", "a"), f"x {thue_morse(n)} y", f"x {thue_morse(n, 'b', 'a')} y"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.word_tokenizer(), salts=2).collect()
+    for k, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], np.uint32)
+        assert sorted((r.piece, r.ids_crc32) for r in got if r.key == k) == [(i, zlib.crc32(ids[at : at + 2048].tobytes())) for i, at in enumerate(range(0, len(ids), 2048))]
