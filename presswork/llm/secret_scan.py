@@ -46,12 +46,18 @@ SPANS = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 def identifiers(docs: DataFrame, text: str = "text") -> bytes:
     """The dictionary: the pieces of identifiers and words (a letter and three or more small ones) that occur most often over all texts, the commonest last.
 
-    Counted by Spark over whole texts, combined before the shuffle; only the MOST_PIECES first come to the driver. They
-    hold no digit, and a candidate needs one, so a secret that is copied often can't hide itself. Nulls and an empty table add nothing.
+    Counted by Spark over whole texts, combined before the shuffle. A histogram of the counts (a few hundred rows) tells from which count on the
+    MOST_PIECES first are found, so no more than about these go on to be sorted. They hold no digit, and a candidate needs one, so a secret that is copied often can't hide itself. Nulls and an empty table add nothing.
     """
     found = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(PIECE), F.lit(0))
-    counts = docs.select(F.explode(found).alias("word")).groupBy("word").count()
-    most = counts.orderBy(F.desc("count"), "word").limit(MOST_PIECES).collect()
+    step = F.floor(8 * F.log2("count")).cast("int").alias("step")
+    counts = common.stored(docs.select(F.explode(found).alias("word")).groupBy("word").count().withColumn("step", step))
+    have, least = 0, 0
+    for r in counts.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        have, least = have + r["n"], r["step"]
+        if have >= MOST_PIECES:
+            break
+    most = counts.where(F.col("step") >= least).orderBy(F.desc("count"), "word").limit(MOST_PIECES).collect()
     words, size = [], len(CODE)
     for r in most:
         size += len(r["word"]) + 1
