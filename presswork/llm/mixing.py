@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, preference: Column | None = None, seed: int = 8) -> DataFrame:
     """The input's columns and _size, _source_size, _target, _copies (a whole number, 0 to ceil(most)).
 
-    `preference` is a positive factor of a document's expected copies (default: all alike); a
-    document's expected copies never exceed `most`. A null text has size 0, a null source is a source of
+    `preference` is a positive factor (default: all alike) that tilts a source's expected copies: they stay within 0 and `most`, differ
+    as the preference differs from its mean by words, as far as that allows, and a source's expected words stay its target. A null text has size 0, a null source is a source of
     its own, a null key is sampled by its text; rows that repeat both key and text are taken alike. Reruns agree. Columns of
     the input that are named like the four added ones are replaced, others may have any name; an empty table gives an empty one.
     """
@@ -61,12 +61,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = docs.select(F.struct(*own).alias("row"), F.col(source).alias("source"), size_of(text).alias("size"), like.alias("like"), uniform.alias("uniform"))
     small = common.stored(rows.select("source", "size", "like", "uniform"))
     goal = targets(small.select("source", "size"), weights, share, most)
-    mean = small.groupBy(F.col("source").alias("s")).agg(F.try_divide(F.sum(F.col("like") * F.col("size")), F.sum("size")).alias("mean_like"))
-    goal = common.stored(goal.join(mean, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "weight", "target", F.coalesce("mean_like", F.lit(1.0)).alias("mean_like")))
+    sums = small.groupBy(F.col("source").alias("s")).agg(F.try_divide(F.sum(F.col("like") * F.col("size")), F.sum("size")).alias("mean_like"), F.max("like").alias("most_like"))
+    # the tilt is the largest that keeps the copies of the least and the most preferred document within 0 and most
+    even = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    above = F.try_divide("most_like", "mean_like") - 1
+    tilt = F.coalesce(F.least(even, F.when(above > 1e-12, (most - even) / above)), F.lit(0.0))
+    goal = common.stored(goal.join(sums, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "weight", "target", even.alias("even"), F.coalesce("mean_like", F.lit(1.0)).alias("mean_like"), tilt.alias("tilt")))
 
     def ranked(df: DataFrame, like: Column, uniform: Column) -> DataFrame:
         """Adds certain (whole copies) and rank (a long of BITS * ROUNDS bits; null: can't be drawn)."""
-        expected = F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) * like / F.col("mean_like"))
+        expected = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.col("even") + F.col("tilt") * (like / F.col("mean_like") - 1)))
         part = expected - F.floor(expected)
         odds = F.try_divide(uniform / (1 - uniform), part / (1 - part))
         rank = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << (BITS * ROUNDS)))), F.lit((1 << (BITS * ROUNDS)) - 1))
@@ -108,6 +112,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.select("row.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.cast("long").alias("_copies"))
 
 
+def fuller(text: str | Column) -> Column:
+    """The query's preference: from 0.5 for a text without words to 1 for one of 200 words or more."""
+    return 0.5 + 0.5 * F.least(size_of(text), F.lit(200)) / 200
+
+
 def op8_pareto_mix(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return mix(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return mix(docs, preference=fuller("text")).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))

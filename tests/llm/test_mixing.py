@@ -64,3 +64,55 @@ def test_a_very_long_text_and_ties(spark):
     docs = spark.createDataFrame([(1, "w " * 1_000_000, "a")] + [(i, "one two", "b") for i in range(2, 400)], "doc_id long, text string, source string")
     rows = mixing.mix(docs).collect()
     assert len(rows) == 399 and all(0 <= r._copies <= 2 for r in rows) and {r._size for r in rows} == {1_000_000, 2}
+
+
+def plain_draw(rows, target, most, seed=8):
+    """Copies of one source's (key, size, like, uniform), drawn one by one in Pareto's order."""
+    total = sum(r[1] for r in rows)
+    mean = sum(r[1] * r[2] for r in rows) / total
+    even, above = target / total, max(r[2] for r in rows) / mean - 1
+    tilt = min(even, (most - even) / above) if above > 1e-12 else even
+    copies, left, order = {}, target, []
+    for key, size, like, u in rows:
+        expected = min(most, max(0.0, even + tilt * (like / mean - 1)))
+        copies[key] = int(expected)
+        left -= copies[key] * size
+        part = expected - int(expected)
+        if part > 0:
+            order.append((u / (1 - u) / (part / (1 - part)), key, size))
+    order.sort()
+    rest = []
+    for i, (_, key, size) in enumerate(order):
+        if size > left:
+            rest = order[i:]
+            break
+        copies[key] += 1
+        left -= size
+    near = [(abs(size - left), place, key) for place, (_, key, size) in enumerate(rest) if size and abs(size - left) < left]
+    if near:
+        copies[min(near)[2]] += 1
+    return copies
+
+
+def test_unequal_odds_against_a_plain_draw(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "w " * (i * 37 % 311), "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, preference=mixing.fuller("text")).collect()
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(8), F.col("doc_id").cast("string"), F.lit(None).cast("string")), 11).cast("double") + 0.5) / float(1 << 53)
+    draws = {r.doc_id: (r.u, r.like) for r in docs.select("doc_id", uniform.alias("u"), mixing.fuller("text").alias("like")).collect()}
+    for s in "abc":
+        mine = [r for r in rows if r.source == s]
+        want = plain_draw([(r.doc_id, r._size, draws[r.doc_id][1], draws[r.doc_id][0]) for r in mine], mine[0]._target, 2.0)
+        assert {r.doc_id: r._copies for r in mine} == want
+    full, short = ([r._copies for r in rows if (r._size >= 200) == f] for f in (True, False))
+    assert sum(full) / len(full) > sum(short) / len(short) + 0.1
+
+
+def test_targets_hold_at_the_cap_and_at_nothing(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 300), "a" if i < 50 else "b" if i < 60 else "c") for i in range(600)], "doc_id long, text string, source string")
+    for share in (0.0, 0.3, 1.5, 2.0):
+        rows = mixing.mix(docs, preference=mixing.fuller("text"), share=share).collect()
+        for s in "abc":
+            mine = [r for r in rows if r.source == s]
+            assert abs(sum(r._copies * r._size for r in mine) - mine[0]._target) <= 300 and all(r._copies <= 2 for r in mine), (s, share)
