@@ -6,11 +6,10 @@ at most 1: an equi-join of each distinct signature's 33 one-bit neighbours finds
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.functions.shared import shared_dir
 from presswork.functions.text import SPACE_CLASS, pieces
 from presswork.operators.quality import GATE, gate
 from presswork.operators.reports import hours_before
@@ -18,7 +17,8 @@ from presswork.sources.fixtures import AS_OF
 
 
 def token_hash(token: Column) -> Column:
-    """31-polynomial modulo 2**32 over UTF-16 units: Java's string hash, unsigned; null: 0."""
+    """31-polynomial modulo 2**32 over UTF-16 units: Java's string hash, unsigned; null: 0. A call by reflection: it stays in the
+    JVM, but is evaluated a token at a time, outside of generated code."""
     return F.java_method(F.lit("java.util.Objects"), F.lit("hashCode"), token).cast("long").bitwiseAND(F.lit(4294967295))
 
 
@@ -73,10 +73,8 @@ def near_history(batch: DataFrame, history: DataFrame, seen_after: Column, key:
 
 
 def _saved(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Checkpoint in the shared folder, set here only where the session has none."""
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="presswork-"))
+    """Checkpoint in the shared folder."""
+    shared_dir(spark)
     return df.checkpoint()
 
 

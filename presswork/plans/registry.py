@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from presswork.sources import fixtures
 
-MODULES = ("reports", "quality", "dedupe", "extraction", "frontier", "reputation", "maintenance")
+MODULES = ("reports", "quality", "dedupe", "history", "extraction", "frontier", "reputation", "maintenance")
 
 
 def _all() -> dict[str, tuple[Callable[[fixtures.Tables], DataFrame], str | None]]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswork.operators import dedupe, extraction, quality
+from presswork.functions.shared import stored
+from presswork.operators import dedupe, extraction, history, quality
 
 
 def extracted_articles(pages: DataFrame, topics: DataFrame | None = None) -> DataFrame:
@@ -22,32 +23,19 @@ def distinct_urls(articles: DataFrame, horizon: str = "7 days") -> DataFrame:
     return articles.withWatermark("first_seen_at", horizon).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def near_duplicates(history_path: str, out_path: str, days: int = 7):
+    """A foreachBatch function: keeps the articles near none that was stored within the days before the batch's newest, and near no
+    earlier one of the batch that is kept; it stores their signatures (history.fold) and ids.
 
-
-def near_duplicates(history_path: str, out_path: str):
-    """A foreachBatch function: keeps the first of near articles in the batch, without those near stored ones, and stores the signatures kept.
-
-    Each batch has a folder of its own, is compared with earlier ones only and overwritten when it is replayed; an empty batch writes nothing.
+    Each batch has folders of its own, is compared with earlier ones only and overwritten when it is replayed; an empty batch writes nothing.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        sigs = dedupe.signatures(batch).checkpoint()
-        if sigs.isEmpty():
-            return
-        kept = dedupe.keep_first(sigs)
-        if _exists(spark, history_path):
-            history = spark.read.schema("id long, first_seen_at timestamp, sig32 long, batch long").parquet(history_path).where(F.col("batch") < batch_id)
-            newest = sigs.agg(F.max("first_seen_at")).first()[0]
-            if newest is not None:
-                seen_after = F.lit(newest) - F.expr("INTERVAL 7 DAYS")
-                kept = kept.join(dedupe.near_history(sigs, history, seen_after), "id", "left_anti")
-        rows = sigs.join(kept, "id", "left_semi").select("id", "first_seen_at", "sig32").checkpoint()
-        rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-        rows.select("id").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        sigs = stored(dedupe.signatures(batch))
+        newest = sigs.agg(F.count("*"), F.max(F.unix_seconds("first_seen_at"))).first()
+        if newest[0]:
+            kept = history.fold(sigs, history_path, batch_id, newest[1] or 0, days)
+            kept.select("id").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return run
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text, urls
-from presswork.operators import dedupe, extraction, quality
+from presswork.operators import dedupe, extraction, history, quality
 from presswork.operators.reports import hours_before
 from presswork.sources.fixtures import Tables
 from presswork.streaming import ingest
@@ -131,6 +131,32 @@ def test_near_duplicate_batches(spark, tables, tmp_path):
     assert spark.read.parquet(str(tmp_path / "h")).count() == once > 0
 
 
+def _sigs(spark, rows):
+    return spark.createDataFrame(rows, "id long, t long, sig32 long").select("id", F.timestamp_seconds("t").alias("first_seen_at"), "sig32")
+
+
+def test_what_is_near_the_history_takes_nothing_with_it(spark, tmp_path):
+    now, path = 1706659200, str(tmp_path / "h")
+    assert {r.id for r in history.fold(_sigs(spark, [(1, now, 0)]), path, 0, now).collect()} == {1}
+    # A (2) is near H (1), B (3) is near A alone: B stays; its copy (4) goes
+    assert {r.id for r in history.fold(_sigs(spark, [(2, now, 1), (3, now, 3), (4, now, 3)]), path, 1, now).collect()} == {3}
+    assert {r.id for r in history.fold(_sigs(spark, [(2, now, 1), (3, now, 3), (4, now, 3)]), path, 1, now).collect()} == {3}  # a replay
+    later = now + 8 * 86400
+    assert {r.id for r in history.fold(_sigs(spark, [(5, later, 0), (6, None, 3)]), path, 2, later).collect()} == {5, 6}
+    assert {r.id for r in history.fold(_sigs(spark, [(7, later, 3), (8, later, 1)]), path, 3, later).collect()} == {7}
+
+
+def test_only_the_days_needed_are_read(spark, tmp_path):
+    now, path = 1706659200, str(tmp_path / "h")
+    for k in range(20):
+        history.remember(_sigs(spark, [(k, now + k * 86400, 1 << k)]), path, k)
+    recent = history.recall(spark, path, now + 13 * 86400, 19)
+    assert {r.id for r in recent.collect()} == set(range(13, 19))
+    days = {f.rsplit("day=", 1)[1].split("/")[0] for f in recent.inputFiles()}
+    assert days <= {str(now // 86400 + k) for k in range(13, 20)}
+    assert history.recall(spark, str(tmp_path / "none"), 0).collect() == []
+
+
 def test_article_links_of_every_section(spark):
     good = ("news", "article", "actualites", "politique", "societe", "economy", "economie", "world", "monde", "sport", "culture", "tech", "science", "2024/01", "World")
     html = "".join(f'<a href="/{x}/1">' for x in (*good, "story", "tag/news", "about"))
