@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.text import SPACE_CLASS, any_keyword, blacklist_pattern, keywords, listed, token_count
 from presswork.operators.reports import now
+from presswork.operators.topk import places, top_per_group
 from presswork.sources.fixtures import AS_OF
 
 REASONS = ("title", "stale", "length", "blacklist", "keywords")
@@ -77,12 +78,28 @@ def source_weights(sources: DataFrame) -> DataFrame:
     return sources.crossJoin(F.broadcast(bounds)).select(F.col("id").alias("source_id"), weight.cast("double").alias("weight"))
 
 
-def ranked(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Q12, Q13: final score and place in the topic: score, then free before paywalled, then earlier."""
+def order() -> tuple[Column, ...]:
+    """Q13: score, then free before paywalled, then earlier; the id makes it total."""
+    return F.desc("score"), F.asc("paywalled_bool"), F.asc("published_at"), F.asc("id")
+
+
+def final_scores(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Q12: final score."""
     rows = scored(articles, topics).join(source_weights(sources), "source_id", "left")
     score = F.round(recency("published_at", as_of) + 0.2 * F.least(F.col("topic_score") / 50.0, F.lit(1.0)) + 0.1 * F.coalesce("weight", F.lit(0.5)), 6)
-    order = Window.partitionBy("topic_id").orderBy(F.desc("score"), "paywalled_bool", "published_at", "id")
-    return rows.withColumn("score", score).withColumn("place", F.row_number().over(order).cast("long"))
+    return rows.withColumn("score", score)
+
+
+def ranked(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Q13: (id, topic_id, score, place): every article's place in its topic, from ranges of the whole order."""
+    rows = final_scores(articles, topics, sources, as_of).select("id", "topic_id", "score", "paywalled_bool", "published_at")
+    return places(rows, "topic_id", order())
+
+
+def top_items(articles: DataFrame, topics: DataFrame, sources: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Q14: (id, topic_id, score, place) of each topic's first max_items; cut in parts, so no task holds a topic."""
+    rows = final_scores(articles, topics, sources, as_of).select("id", "topic_id", "score", "paywalled_bool", "published_at", "max_items")
+    return top_per_group(rows, ("topic_id",), F.col("max_items"), order(), ("id",), "place").withColumn("place", F.col("place").cast("long"))
 
 
 PAIRS = "SELECT a.*, t.id AS topic_id, t.query, t.includes, t.excludes, t.freshness_hours, t.max_items FROM articles a JOIN topics t ON t.lang = a.lang"
@@ -114,7 +131,7 @@ QUERIES = {
     "q09_score_filter": (lambda v: scored(v.articles, v.topics).where("topic_score >= 0.3").select("id", "topic_id"), f"SELECT id, topic_id FROM ({SCORE}) WHERE topic_score >= 0.3"),
     "q10_recency": (lambda v: v.articles.select("id", recency("published_at").alias("recency")), f"SELECT id, CAST({DECAY} AS DOUBLE) AS recency FROM (SELECT id, epoch({AS_OF} - published_at) / 3600.0 AS age FROM articles)"),
     "q11_source_weights": (lambda v: source_weights(v.sources).withColumn("weight", F.round("weight", 9)), f"SELECT source_id, round(weight, 9) AS weight FROM ({WEIGHTS})"),
-    "q12_final_score": (lambda v: ranked(v.articles, v.topics, v.sources).select("id", "topic_id", "score"), f"SELECT id, topic_id, score FROM ({RANKED})"),
+    "q12_final_score": (lambda v: final_scores(v.articles, v.topics, v.sources).select("id", "topic_id", "score"), f"SELECT id, topic_id, score FROM ({RANKED})"),
     "q13_rank": (lambda v: ranked(v.articles, v.topics, v.sources).select("id", "topic_id", "place"), f"SELECT id, topic_id, place FROM ({RANKED})"),
-    "q14_top_items": (lambda v: ranked(v.articles, v.topics, v.sources).where("place <= max_items").select("id", "topic_id", "place", "score"), f"SELECT id, topic_id, place, score FROM ({RANKED}) WHERE place <= max_items"),
+    "q14_top_items": (lambda v: top_items(v.articles, v.topics, v.sources).select("id", "topic_id", "place", "score"), f"SELECT id, topic_id, place, score FROM ({RANKED}) WHERE place <= max_items"),
 }

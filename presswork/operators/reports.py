@@ -6,10 +6,12 @@ a sort with a unique last key, so they are reproducible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.text import any_keyword, keywords
+from presswork.operators.failures import STATE, failure_state
+from presswork.operators.topk import top_per_group
 from presswork.sources.fixtures import AS_OF
 
 
@@ -40,9 +42,9 @@ def topic_feed(links: DataFrame, articles: DataFrame, sources: DataFrame, topics
         rows = rows.where(F.col("lang") == lang)
     rows = rows.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id", "left")
     one = topic.select("max_items", keywords("query", "includes").alias("keys"))
-    # one topic row: its settings ride along; the rank replaces a limit that would have to be known by the driver
-    ranked = rows.crossJoin(F.broadcast(one)).withColumn("rn", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("added_at"), F.desc("article_id"))))
-    kept = ranked.where((F.col("rn") <= F.col("max_items")) & any_keyword("keys", F.col("title"), F.col("summary")))
+    # one topic row (ids are unique): its settings ride along, as the driver doesn't know them
+    first = top_per_group(rows.crossJoin(F.broadcast(one)), ("topic_id",), F.col("max_items"), (F.desc("added_at"), F.desc("article_id")), ("article_id",))
+    kept = first.where(any_keyword("keys", F.col("title"), F.col("summary")))
     return kept.select("article_id", "title", "source_name", "published_at", "added_at")
 
 
@@ -58,12 +60,33 @@ def home_feed(links: DataFrame, articles: DataFrame, hours: int = 48, n: int = 5
     return top(articles.join(recent, "id").select("id", "title", "published_at"), n, F.desc("published_at"), F.desc("id"))
 
 
-def crawl_report(crawls: DataFrame, sources_topics: DataFrame, sources: DataFrame, links: DataFrame, articles: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """H4: articles per crawl and source of its topic that were added while it ran; sources without one are kept."""
-    added = links.join(articles.select(F.col("id").alias("article_id"), F.col("source_id").alias("a_source")), "article_id").select(F.col("topic_id").alias("a_topic"), "a_source", "article_id", "added_at")
-    of_crawl = crawls.join(sources_topics, "topic_id").join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id")
-    inside = (F.col("a_topic") == F.col("topic_id")) & (F.col("a_source") == F.col("source_id")) & F.col("added_at").between(F.col("started_at"), F.coalesce("finished_at", now(as_of)))
-    return of_crawl.join(added, inside, "left").groupBy(of_crawl.id.alias("crawl_id"), "source_name").agg(F.count("article_id").alias("articles"))
+def crawl_report(crawls: DataFrame, sources_topics: DataFrame, sources: DataFrame, links: DataFrame, articles: DataFrame, failures: DataFrame, as_of: Column | None = None, hours: int = 1) -> DataFrame:
+    """H4: every crawl with all sources of its topic: the source's failures, the number of its articles that were added while the crawl ran, and their list,
+    newest first. A crawl that runs reaches to as_of; one that ends before it starts has no article.
+
+    An interval join: crawls are rows of each bucket of so many hours that they touch, links rows of their own bucket, so they meet
+    by topic and bucket; the exact moment decides among those.
+    """
+    bucket = lambda t: F.floor(F.unix_seconds(t) / (hours * 3600))
+    until = F.coalesce("finished_at", now(as_of))
+    ran = crawls.select(F.col("id").alias("crawl_id"), "topic_id", "started_at", until.alias("until")).where("started_at <= until")
+    ran = ran.withColumn("bucket", F.explode(F.sequence(bucket(F.col("started_at")), bucket(F.col("until")))))
+    written = articles.select(F.col("id").alias("article_id"), "source_id", "title", "canonical_url", "published_at")
+    added = links.select("topic_id", "article_id", "added_at", bucket(F.col("added_at")).alias("bucket")).join(written, "article_id")
+    met = ran.join(added, ["topic_id", "bucket"]).where(F.col("added_at").between(F.col("started_at"), F.col("until")))
+    found = met.groupBy("crawl_id", "source_id").agg(F.sort_array(F.collect_list(F.struct("added_at", "article_id", "title", "canonical_url", "published_at")), asc=False).alias("article_list"))
+    shown = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "domain")
+    every = crawls.select(F.col("id").alias("crawl_id"), "topic_id").join(sources_topics, "topic_id").join(shown, "source_id").join(failures, "source_id", "left")
+    return every.join(found, ["crawl_id", "source_id"], "left").select(
+        "crawl_id", "source_name", "domain", F.coalesce("consecutive_failures", F.lit(0)).alias("consecutive_failures"), "last_failure_at", "last_success_at", "failure_reason",
+        F.coalesce(F.size("article_list"), F.lit(0)).cast("long").alias("articles"), "article_list",
+    )
+
+
+def listed_articles(report: DataFrame) -> DataFrame:
+    """The report with its list as one text: a line of id, second of adding, URL and title each."""
+    line = lambda a: F.concat_ws(" ", a["article_id"].cast("string"), F.unix_seconds(a["added_at"]).cast("string"), a["canonical_url"], a["title"])
+    return report.withColumn("article_list", F.array_join(F.transform(F.coalesce("article_list", F.array()), line), "\n"))
 
 
 def recent_crawls(crawls: DataFrame, topics: DataFrame, hours: int = 48, n: int = 50) -> DataFrame:
@@ -259,8 +282,11 @@ QUERIES = {
     "h01_topic_feed": (lambda v: topic_feed(v.topic_articles, v.articles, v.sources, v.topics, 1), FEED),
     "h02_feed_age": (lambda v: feed_age_minutes(topic_feed(v.topic_articles, v.articles, v.sources, v.topics, 1)), f"SELECT coalesce((SELECT CAST(floor(epoch({AS_OF} - published_at) / 60) AS BIGINT) FROM ({FEED}) ORDER BY added_at DESC, article_id DESC LIMIT 1), 0) AS minutes"),
     "h03_home_feed": (lambda v: home_feed(v.topic_articles, v.articles), f"SELECT DISTINCT a.id, title, published_at FROM articles a JOIN topic_articles l ON l.article_id = a.id WHERE added_at >= {H48} ORDER BY published_at DESC, a.id DESC LIMIT 50"),
-    "h04_crawl_report": (lambda v: crawl_report(v.crawls, v.sources_topics, v.sources, v.topic_articles, v.articles), f"""SELECT c.id AS crawl_id, s.name AS source_name, count(x.article_id) AS articles FROM crawls c JOIN sources_topics st ON st.topic_id = c.topic_id JOIN sources s ON s.id = st.source_id
-        LEFT JOIN (SELECT l.topic_id, a.source_id, l.article_id, l.added_at FROM topic_articles l JOIN articles a ON a.id = l.article_id) x ON x.topic_id = c.topic_id AND x.source_id = st.source_id AND x.added_at BETWEEN c.started_at AND coalesce(c.finished_at, {AS_OF}) GROUP BY 1, 2"""),
+    "h04_crawl_report": (lambda v: listed_articles(crawl_report(v.crawls, v.sources_topics, v.sources, v.topic_articles, v.articles, failure_state(v.attempts))), f"""SELECT c.id AS crawl_id, s.name AS source_name, s.domain, coalesce(f.consecutive_failures, 0) AS consecutive_failures, f.last_failure_at, f.last_success_at, f.failure_reason,
+        count(x.article_id) AS articles, coalesce(string_agg(x.article_id || ' ' || CAST(floor(epoch(x.added_at)) AS BIGINT) || ' ' || x.canonical_url || ' ' || x.title, chr(10) ORDER BY x.added_at DESC, x.article_id DESC), '') AS article_list
+        FROM crawls c JOIN sources_topics st ON st.topic_id = c.topic_id JOIN sources s ON s.id = st.source_id LEFT JOIN ({STATE}) f ON f.source_id = s.id
+        LEFT JOIN (SELECT l.topic_id, a.source_id, l.article_id, l.added_at, a.canonical_url, a.title FROM topic_articles l JOIN articles a ON a.id = l.article_id) x ON x.topic_id = c.topic_id AND x.source_id = st.source_id AND x.added_at BETWEEN c.started_at AND coalesce(c.finished_at, {AS_OF})
+        GROUP BY ALL"""),
     "h05_recent_crawls": (lambda v: recent_crawls(v.crawls, v.topics), f"SELECT c.id, slug, {STATUS}, started_at FROM crawls c LEFT JOIN topics t ON t.id = c.topic_id WHERE finished_at >= {H48} OR (finished_at IS NULL AND started_at >= {H48}) ORDER BY started_at DESC, c.id DESC LIMIT 50"),
     "h06_crawl_status": (lambda v: v.crawls.select("id", crawl_status("ok_bool").alias("status")), f"SELECT id, {STATUS} FROM crawls"),
     "h07_crawl_runs": (lambda v: crawl_runs_report(v.crawl_runs), "SELECT id, workflow_name, started_at, CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS k FROM crawl_runs ORDER BY started_at DESC, id DESC LIMIT 100"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text, urls
-from presswork.operators import dedupe, extraction, history, quality
+from presswork.operators import dedupe, extraction, history, quality, reports, topk
 from presswork.operators.reports import hours_before
 from presswork.sources.fixtures import Tables
 from presswork.streaming import ingest
@@ -157,6 +157,33 @@ def test_only_the_days_needed_are_read(spark, tmp_path):
     assert history.recall(spark, str(tmp_path / "none"), 0).collect() == []
 
 
+def test_places_and_first_rows_of_a_hot_group(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 7).when(F.col("id") % 10 == 1, None).otherwise(100).alias("g"), (F.col("id") * 7919 % 50).alias("score"), F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.lit(None)).alias("other"))
+    want: dict = {}
+    for r in sorted(rows.collect(), key=lambda r: (-r.score, r.id)):
+        want.setdefault(r.g, []).append(r.id)
+    order = (F.desc("score"), F.asc("id"))
+    got = topk.places(rows, "g", order).collect()
+    assert len(got) == 3000 and all(want[r.g][r.place - 1] == r.id for r in got)
+    cut = topk.top_per_group(rows.withColumn("k", F.when(F.col("g") == 3, 0).when(F.col("g") == 4, None).otherwise(11)), ("g",), F.col("k"), order, ("id",)).collect()
+    assert {(r.g, r.rn, r.id) for r in cut} == {(g, i + 1, x) for g, ids in want.items() if g not in (3, 4) for i, x in enumerate(ids[:11])}
+    assert topk.places(rows.limit(0), "g", order).collect() == []
+
+
+def test_crawls_that_run_or_end_before_they_start(spark):
+    t = lambda s: None if s is None else 1706600000 + s
+    stamp = lambda df, *cs: df.withColumns({c: F.timestamp_seconds(c) for c in cs})
+    crawls = stamp(spark.createDataFrame([(1, 1, t(0), t(7200)), (2, 1, t(3600), None), (3, 1, t(9000), t(8000)), (4, 2, t(0), t(10))], "id long, topic_id int, started_at long, finished_at long"), "started_at", "finished_at")
+    links = stamp(spark.createDataFrame([(1, 10, t(0)), (1, 11, t(7200)), (1, 12, t(7201)), (1, 13, t(5)), (2, 10, t(11))], "topic_id int, article_id long, added_at long"), "added_at")
+    articles = stamp(spark.createDataFrame([(i, 5 if i < 13 else 9, f"T{i}", f"u{i}", t(0)) for i in range(10, 14)], "id long, source_id int, title string, canonical_url string, published_at long"), "published_at")
+    sources = spark.createDataFrame([(5, "five", "5.org"), (6, "six", "6.org")], "id int, name string, domain string")
+    st = spark.createDataFrame([(5, 1), (6, 1), (5, 2)], "source_id int, topic_id int")
+    attempts = stamp(spark.createDataFrame([(1, 6, t(1), 500), (2, 6, t(2), 404)], "id long, source_id int, ts long, status int"), "ts")
+    report = reports.crawl_report(crawls, st, sources, links, articles, reports.failure_state(attempts))
+    got = {(r.crawl_id, r.source_name): ([a.article_id for a in r.article_list or []], r.consecutive_failures) for r in report.collect()}
+    assert got == {(1, "five"): ([11, 10], 0), (1, "six"): ([], 2), (2, "five"): ([12, 11], 0), (2, "six"): ([], 2), (3, "five"): ([], 0), (3, "six"): ([], 2), (4, "five"): ([], 0)}
+
+
 def test_article_links_of_every_section(spark):
     good = ("news", "article", "actualites", "politique", "societe", "economy", "economie", "world", "monde", "sport", "culture", "tech", "science", "2024/01", "World")
     html = "".join(f'<a href="/{x}/1">' for x in (*good, "story", "tag/news", "about"))
