@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,14 +46,3 @@ def any_keyword(keys: str, title: Column, summary: Column) -> Column:
     """No keywords: true. Keywords are regular expressions."""
     hit = lambda k: F.rlike(F.lower(F.coalesce(title, F.lit(""))), k) | F.rlike(F.lower(F.coalesce(summary, F.lit(""))), k)
     return (F.size(keys) == 0) | F.exists(keys, hit)
-
-
-def bad_patterns(patterns: list[str]) -> list[str]:
-    """Keywords that are no regular expression; checked before a job would fail on them."""
-    out = []
-    for p in patterns:
-        try:
-            re.compile(p)
-        except re.error:
-            out.append(p)
-    return out

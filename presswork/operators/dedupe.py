@@ -108,12 +108,12 @@ def keep_first(sigs: DataFrame, key: str = "id") -> DataFrame:
 
 
 def outcomes(articles: DataFrame, fetches: DataFrame, topics: DataFrame, seen: DataFrame, seen_after: Column) -> DataFrame:
-    """(id, topic_id, outcome) of each article (one topic a language): error where its fetch wasn't a 200, skippedQuality by the
-    gate, skippedDuplicates where the URL was seen or the text is near one seen lately or an earlier one of the batch that was kept, else kept."""
+    """(id, topic_id, outcome) of each article (one topic a language): error where its fetch wasn't a 200 or a keyword is no pattern, skippedQuality by
+    the gate, skippedDuplicates where the URL was seen or the text is near one seen lately or an earlier one of the batch that was kept, else kept."""
     known = seen.select("canonical_url").distinct().withColumn("known", F.lit(True))
     failed = fetches.where("status <> 200").select("id").distinct().withColumn("failed", F.lit(True))
     rows = gate(articles, topics).select("id", "topic_id", "canonical_url", "reason").join(known, "canonical_url", "left").join(failed, "id", "left")
-    staged = F.when(F.col("failed"), "error").when(F.col("reason").isNotNull(), "skippedQuality").when(F.col("known"), "skippedDuplicates")
+    staged = F.when(F.col("failed") | (F.col("reason") == "error"), "error").when(F.col("reason").isNotNull(), "skippedQuality").when(F.col("known"), "skippedDuplicates")
     rows = _saved(rows.select("id", "topic_id", staged.alias("outcome")), articles.sparkSession)
     left = rows.where("outcome is null").select("id").distinct()
     sigs = _saved(signatures(articles.join(left, "id", "left_semi")), articles.sparkSession)

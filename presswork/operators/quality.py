@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.functions.text import SPACE_CLASS, any_keyword, blacklist_pattern, keywords, listed, token_count
+from presswork.operators.keyword_index import checked, keyword_hits
 from presswork.operators.reports import now
 from presswork.operators.topk import places, top_per_group
 from presswork.sources.fixtures import AS_OF
 
-REASONS = ("title", "stale", "length", "blacklist", "keywords")
+REASONS = ("title", "stale", "length", "blacklist", "error", "keywords")
 
 
 def has_title(title: str = "title", least: int = 10) -> Column:
@@ -35,18 +36,31 @@ def is_blacklisted(title: str = "title", summary: str = "summary", unicode_bound
 
 def topic_pairs(articles: DataFrame, topics: DataFrame) -> DataFrame:
     """Articles with the topics of their language; topics are a small catalogue, joined on the language."""
-    t = topics.select(F.col("id").alias("topic_id"), F.col("lang"), "query", "includes", "excludes", "freshness_hours", "max_items")
+    more = [c for c in ("keys", "broken", "score_broken") if c in topics.columns]
+    t = topics.select(F.col("id").alias("topic_id"), F.col("lang"), "query", "includes", "excludes", "freshness_hours", "max_items", *more)
     return articles.join(t, "lang")
 
 
+def _before_keywords(as_of: Column | None) -> Column:
+    return F.when(~has_title(), "title").when(~is_fresh("published_at", F.col("freshness_hours"), as_of), "stale").when(~right_length(), "length").when(is_blacklisted(), "blacklist")
+
+
 def gate(articles: DataFrame, topics: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Q6, Q7: every article and topic with the first reason to reject it, null if it passes."""
-    rows = topic_pairs(articles, topics).withColumn("keys", keywords("query", "includes"))
-    reason = (
-        F.when(~has_title(), "title").when(~is_fresh("published_at", F.col("freshness_hours"), as_of), "stale").when(~right_length(), "length")
-        .when(is_blacklisted(), "blacklist").when(~any_keyword("keys", F.col("title"), F.col("summary")), "keywords")
-    )
-    return rows.withColumn("reason", reason)
+    """Q6, Q7: every article and topic with the first reason to reject it, null if it passes. A keyword that is no pattern makes the pairs that
+    reach it an error, not the job."""
+    rows = topic_pairs(articles, checked(topics))
+    hit = ((F.size("keys") > 0) | ~F.col("broken")) & any_keyword("keys", F.col("title"), F.col("summary"))
+    return rows.withColumn("reason", _before_keywords(as_of).when(~hit & F.col("broken"), "error").when(~hit, "keywords"))
+
+
+def gate_many(articles: DataFrame, topics: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """gate() for many topics: (id, topic_id, reason), keywords through the inverted index. Articles have one row an id."""
+    known = checked(topics)
+    rows = topic_pairs(articles, known).select("id", "topic_id", _before_keywords(as_of).alias("early"), (F.size("keys") == 0).alias("no_keys"), "broken")
+    hits = keyword_hits(articles, known).withColumn("hit", F.lit(True))
+    missed = F.col("hit").isNull() & (F.col("broken") | ~F.col("no_keys"))
+    reason = F.coalesce("early", F.when(missed & F.col("broken"), "error").when(missed, "keywords"))
+    return rows.join(hits, ["id", "topic_id"], "left").select("id", "topic_id", reason.alias("reason"))
 
 
 def topic_score(title: Column, summary: Column) -> Column:
@@ -61,8 +75,12 @@ def topic_score(title: Column, summary: Column) -> Column:
 
 
 def scored(articles: DataFrame, topics: DataFrame) -> DataFrame:
+    """Q8 for every article and topic of its language; null for a topic with a keyword that is no pattern."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    return topic_pairs(articles, topics).withColumn("topic_score", topic_score(low("title"), low("summary")))
+    known = checked(topics)
+    safe = known.withColumns({c: F.when(~F.col("score_broken"), F.col(c)) for c in ("query", "includes", "excludes")})
+    score = F.when(~F.col("score_broken"), topic_score(low("title"), low("summary")))
+    return topic_pairs(articles, safe).withColumn("topic_score", score)
 
 
 def recency(published: str, as_of: Column | None = None) -> Column:
@@ -118,6 +136,14 @@ RANKED = f"""SELECT id, topic_id, score, row_number() OVER (PARTITION BY topic_i
     SELECT s.*, round(CAST({DECAY} AS DOUBLE) + 0.2 * least(topic_score / 50.0, 1.0) + 0.1 * coalesce(weight, 0.5), 6) AS score
     FROM (SELECT *, epoch({AS_OF} - published_at) / 3600.0 AS age FROM ({SCORE}) z) s LEFT JOIN ({WEIGHTS}) w USING (source_id)) r"""
 
+#: The oracle takes what is valid of the keywords from the table, as its regular expressions can't tell.
+KEYED = "SELECT a.*, t.id AS topic_id, t.freshness_hours, t.valid, t.bad FROM articles a JOIN keyword_topics t ON t.lang = a.lang"
+HITS = f"SELECT id, topic_id FROM ({KEYED}) WHERE valid <> '' AND (regexp_matches(lower(title), valid) OR regexp_matches(lower(summary), valid))"
+GATE_ERRORS = f"""SELECT id, topic_id, CASE WHEN length(title) < 10 THEN 'title' WHEN epoch({AS_OF}) - epoch(published_at) > freshness_hours * 3600 THEN 'stale'
+    WHEN len(list_filter(regexp_split_to_array(summary, '{SPACE_CLASS}+'), lambda x: x <> '')) NOT BETWEEN 20 AND 10000 THEN 'length'
+    WHEN regexp_matches(lower(title || ' ' || summary), '{blacklist_pattern()}') THEN 'blacklist'
+    WHEN valid <> '' AND (regexp_matches(lower(title), valid) OR regexp_matches(lower(summary), valid)) OR valid = '' AND NOT bad THEN NULL WHEN bad THEN 'error' ELSE 'keywords' END AS reason FROM ({KEYED})"""
+
 QUERIES = {
     "q01_token_count": (lambda v: v.articles.select("id", token_count(F.col("summary")).cast("long").alias("tokens")), f"SELECT id, CAST(len(list_filter(regexp_split_to_array(summary, '{SPACE_CLASS}+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM articles"),
     "q02_title": (lambda v: v.articles.select("id", has_title(least=75).alias("ok")), "SELECT id, length(title) >= 75 AS ok FROM articles"),
@@ -126,6 +152,10 @@ QUERIES = {
     "q05_blacklist": (lambda v: v.articles.withColumn("title", F.when(F.col("id") % 7 == 0, F.concat(F.lit("An Editorial, "), "title")).otherwise(F.col("title"))).where(is_blacklisted()).select("id"), f"SELECT id FROM (SELECT id, lower(CASE WHEN id % 7 = 0 THEN 'An Editorial, ' ELSE '' END || title || ' ' || summary) AS t FROM articles) WHERE regexp_matches(t, '{blacklist_pattern()}')"),
     "q06_keywords": (lambda v: topic_pairs(v.articles, v.topics).withColumn("keys", keywords("query", "includes")).where(any_keyword("keys", F.col("title"), F.col("summary"))).select("id", "topic_id"), f"SELECT id, topic_id FROM (SELECT *, replace(query, ' ', '|') || CASE WHEN includes <> '' THEN '|' || includes ELSE '' END AS rx FROM ({PAIRS}) p) WHERE regexp_matches(lower(title), rx) OR regexp_matches(lower(summary), rx)"),
     "q07_gate": (lambda v: gate(v.articles, v.topics).select("id", "topic_id", "reason"), GATE),
+    "q06_keyword_index": (lambda v: keyword_hits(v.articles, checked(v.keyword_topics)), HITS),
+    "q07_gate_errors": (lambda v: gate(v.articles, v.keyword_topics).select("id", "topic_id", "reason"), GATE_ERRORS),
+    "q07_gate_many": (lambda v: gate_many(v.articles, v.keyword_topics), GATE_ERRORS),
+    "q08_score_errors": (lambda v: scored(v.articles, v.keyword_topics.where("id not in (7, 8)")).select("id", "topic_id", F.col("topic_score").isNull().alias("error")), "SELECT a.id, t.id AS topic_id, t.bad OR t.id = 6 AS error FROM articles a JOIN keyword_topics t ON t.lang = a.lang WHERE t.id NOT IN (7, 8)"),
     "q07_gate_counts": (lambda v: gate(v.articles, v.topics).groupBy("topic_id", "reason").agg(F.count("*").alias("articles")), f"SELECT topic_id, reason, count(*) AS articles FROM ({GATE}) GROUP BY 1, 2"),
     "q08_topic_score": (lambda v: scored(v.articles, v.topics).select("id", "topic_id", "topic_score"), f"SELECT id, topic_id, CAST(topic_score AS BIGINT) AS topic_score FROM ({SCORE})"),
     "q09_score_filter": (lambda v: scored(v.articles, v.topics).where("topic_score >= 0.3").select("id", "topic_id"), f"SELECT id, topic_id FROM ({SCORE}) WHERE topic_score >= 0.3"),

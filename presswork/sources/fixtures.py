@@ -35,6 +35,13 @@ def tables(spark: bool) -> dict[str, str]:
             (1, 'en', 'English', 'thing tion', 'ther|onth', 'zzzz', 'en', 72, 30, true), (2, 'de', 'Deutsch', 'keit', 'lich|ung', '', 'de', 72, 30, true),
             (3, 'fr', 'Francais', 'eaux', 'ment|elle', 'qqq', 'fr', 72, 30, true), (4, 'es', 'Espanol', 'mente', '', '', 'es', 72, 30, false))
             AS t(id, slug, name, query, includes, excludes, lang, freshness_hours, max_items, enabled)""",
+        # keywords of every form; valid and bad say what a compiler would: the patterns up to the first that is none, and whether there is one
+        "keyword_topics": """SELECT * FROM (VALUES
+            (1, 'Plain', 'thing tion', 'ther|onth', '', 'en', 720, 10, 'thing|tion|ther|onth', false), (2, 'Bad at once', '', 'a(b', '', 'en', 720, 10, '', true),
+            (3, 'Bad behind good ones', 'keit', 'zzzz|[oops|lich', '', 'de', 720, 10, 'keit|zzzz', true), (4, 'None', 'of', '', '', 'fr', 720, 10, '', false),
+            (5, 'Forms', 'th.n [xyz]{2} an+d', 'and the|or?th|zq[a-z]', '', 'en', 720, 10, 'th.n|[xyz]{2}|an+d|and the|or?th|zq[a-z]', false), (6, 'Bad exclude', 'mente', '', '*', 'es', 720, 10, 'mente', false),
+            (7, 'Rare', 'qqqq', 'lement.*eaux', '', 'fr', 720, 10, 'qqqq|lement.*eaux', false), (8, 'Start', '^[0-9]+', '', '', 'en', 72, 10, '^[0-9]+', false))
+            AS t(id, name, query, includes, excludes, lang, freshness_hours, max_items, valid, bad)""",
         "topic_requests": """SELECT source || '-' || lang AS slug, source || ' ' || lang AS name, CASE WHEN count(*) % 3 <> 0 THEN source || ' ' || lang WHEN count(*) % 2 = 0 THEN '' END AS query,
             CASE WHEN min(doc_id) % 2 = 0 THEN lang END AS lang, CASE WHEN min(doc_id) % 3 = 0 THEN 24 END AS freshness_hours, CASE WHEN min(doc_id) % 5 = 0 THEN 10 END AS max_items FROM documents GROUP BY source, lang""",
         "fetches": "SELECT doc_id AS id, CASE WHEN doc_id % 23 = 0 THEN 503 WHEN doc_id % 31 = 0 THEN 403 ELSE 200 END AS status FROM documents",
@@ -122,4 +129,6 @@ class Tables:
 
     def derive(self, sql: str) -> DataFrame:
         used = [n for n in (*BASE_TABLES, *self._sql) if re.search(rf"(FROM|JOIN)\s+{n}\b", sql)]
+        if not used:
+            return self.spark.sql(sql)  # nothing to fill in, so braces stand for themselves
         return self.spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql.replace("{", "{{").replace("}", "}}")), **{n: getattr(self, n) for n in used})

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text, urls
-from presswork.operators import dedupe, extraction, history, quality, reports, topk
+from presswork.operators import dedupe, extraction, history, keyword_index, quality, reports, topk
 from presswork.operators.reports import hours_before
 from presswork.sources.fixtures import Tables
 from presswork.streaming import ingest
@@ -48,9 +48,27 @@ def test_accents_with_unicode_boundaries(spark):
     assert df.select(quality.is_blacklisted(), quality.is_blacklisted(unicode_boundaries=True)).first()[:] == (False, True)
 
 
-def test_bad_keywords_and_spaces(spark):
-    assert text.bad_patterns(["a(", "ok"]) == ["a("]
-    assert spark.createDataFrame([("a b c  d",)], "s string").select(text.token_count(F.col("s"))).first()[0] == 4
+def test_spaces(spark):
+    assert spark.createDataFrame([("a b c\u00a0 d",)], "s string").select(text.token_count(F.col("s"))).first()[0] == 4
+
+
+def test_keywords_that_are_no_patterns(spark):
+    rows = [("a(b", False), ("ok", True), ("[", False), ("x{2}", True), ("*a", False), ("(?<n>a)\\k<n>", True), ("", True)]
+    got = spark.createDataFrame(rows, "p string, good boolean").select("good", keyword_index.is_pattern(F.col("p")).alias("is")).collect()
+    assert all(r.good == r["is"] for r in got)
+    topics = spark.createDataFrame([(1, "en", "machine [", "", "", 72, 30), (2, "en", "[ machine", "", "", 72, 30), (3, "en", "", "", "+", 72, 30)], "id int, lang string, query string, includes string, excludes string, freshness_hours int, max_items int")
+    topics = topics.withColumn("query", F.when(F.col("id") == 2, "a(b machine").when(F.col("id") == 1, "machine a(b").otherwise(""))
+    a = spark.createDataFrame([(1, "en", "A machine title", LONG), (2, "en", "Another fine title", "words of no interest " * 10)], "id long, lang string, title string, summary string").withColumn("published_at", F.lit(None).cast("timestamp"))
+    want = {(1, 1): None, (2, 1): "error", (1, 2): "error", (2, 2): "error", (1, 3): None, (2, 3): None}
+    assert {(r.id, r.topic_id): r.reason for r in quality.gate(a, topics).collect()} == want
+    assert {(r.id, r.topic_id): r.reason for r in quality.gate_many(a, topics).collect()} == want
+    assert all(r.topic_score is None for r in quality.scored(a, topics).collect())
+
+
+def test_pieces_of_patterns(spark):
+    cases = [("plain", "plain"), ("ab", None), ("th.nking", "nking"), ("two words", "words"), ("or?th", None), ("an+d", None), ("stop+ing", "stop"), ("^start$", "start"), ("a|bcd", None), ("", None), ("x\\dyyy", None)]
+    got = spark.createDataFrame(cases, "p string, want string").select("want", keyword_index.piece(F.col("p")).alias("got")).collect()
+    assert [r.got for r in got] == [w for _, w in cases]
 
 
 def test_urls(spark):
