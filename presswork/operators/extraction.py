@@ -149,11 +149,17 @@ def crawl_delays(robots: DataFrame) -> DataFrame:
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Any allow prefix, else no disallow prefix."""
-    by_domain = rules.groupBy("domain").agg(F.collect_set(F.when(F.col("kind") == "allow", F.col("path"))).alias("allow"), F.collect_set(F.when(F.col("kind") == "disallow", F.col("path"))).alias("deny"))
+    """Any allow prefix, else no disallow prefix. A prefix join: a URL's path is cut at the lengths that its domain's rules have, and the pieces
+    meet the rules by domain and path; no URL is compared with all rules of its domain. Without a rule, a domain or a path all is allowed."""
+    kinds = rules.where(F.col("kind").isin("allow", "disallow")).select(F.col("domain").alias("_d"), F.col("path").alias("_p"), "kind").distinct()
+    lengths = kinds.groupBy("_d").agg(F.collect_set(F.length("_p")).alias("lengths"))  # as many as a path is long, at most
     path = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+([^#]*)", 1)
-    any_of = lambda c: F.coalesce(F.exists(c, lambda p: F.startswith(F.col("path"), p)), F.lit(False))
-    return urls.join(by_domain, "domain", "left").withColumn("path", path).withColumn("allowed", any_of("allow") | ~any_of("deny")).drop("allow", "deny", "path")
+    cut = urls.select("domain", "url").distinct().withColumn("path", path).join(lengths, F.col("domain") == F.col("_d"))
+    starts = cut.select("domain", "url", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    met = starts.select("domain", "url", F.substr("path", F.lit(1), F.col("n")).alias("start")).join(kinds, (F.col("domain") == F.col("_d")) & (F.col("start") == F.col("_p")))
+    said = met.groupBy(F.col("domain").alias("_domain"), F.col("url").alias("_url")).agg(F.max(F.col("kind") == "allow").alias("yes"))
+    told = urls.join(said, (F.col("domain") == F.col("_domain")) & (F.col("url") == F.col("_url")), "left")
+    return told.withColumn("allowed", F.coalesce("yes", F.lit(True))).drop("yes", "_domain", "_url")
 
 
 A = "[\"'']"

@@ -7,11 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.operators.reports import hours_before
+from presswork.operators.reports import CONFIG, hours_before, now
 from presswork.sources.fixtures import AS_OF
 
-CONFIG = "articlePattern string, learned boolean, confidence double"
-
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Incoming rows, the first of each key, with inserted: false if the target has the key."""
@@ -92,10 +90,13 @@ def set_null(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return articles.join(alive, "source_id", "left").select("id", F.col("kept_source").alias("source_id"))
 
 
-def repair_stuck(crawls: DataFrame) -> DataFrame:
-    """Crawls without an end become failed, with one error more."""
+def repair_stuck(crawls: DataFrame, as_of: Column | None = None, error: str = "Crawl timeout - manually cleaned up") -> DataFrame:
+    """Crawls without an end are closed as failed at as_of; their JSON statistics get every count (0 where it lacks), one error more and the error's text."""
     stuck = F.col("finished_at").isNull()
-    return crawls.select("id", F.when(stuck, F.lit(False)).otherwise(F.col("ok_bool")).alias("ok_bool"), (F.col("errors") + F.when(stuck, 1).otherwise(0)).alias("errors"))
+    old = F.from_json(F.coalesce("stats_json", F.lit("{}")), "kept long, skippedDuplicates long, skippedQuality long, errors long")
+    count = lambda c: F.coalesce(old[c], F.lit(0))
+    new = F.to_json(F.struct(*[count(c).alias(c) for c in ("kept", "skippedDuplicates", "skippedQuality")], (count("errors") + 1).alias("errors"), F.lit(error).alias("error")))
+    return crawls.select("id", F.coalesce("finished_at", now(as_of)).alias("finished_at"), F.when(stuck, F.lit(False)).otherwise(F.col("ok_bool")).alias("ok_bool"), F.when(stuck, new).otherwise(F.col("stats_json")).alias("stats_json"))
 
 
 def violations(df: DataFrame, table: str, keys: list[str], required: list[str], enums: dict[str, list[str]] | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ def violations(df: DataFrame, table: str, keys: list[str], required: list[str],
 def merge_config(config: Column, **new: object) -> Column:
     """Some keys of a JSON config replaced, the others kept."""
     old = F.from_json(config, CONFIG)
-    return F.to_json(F.struct(*[(F.lit(new[k]) if k in new else old[k]).alias(k) for k in ("articlePattern", "learned", "confidence")]))
+    return F.to_json(F.struct(*[(F.lit(new[k]) if k in new else old[k]).alias(k) for k in (f.split()[0] for f in CONFIG.split(", "))]))
 
 
 def link_domains(domains: DataFrame, sources: DataFrame, sources_topics: DataFrame, topic_id: int) -> DataFrame:
@@ -125,6 +126,12 @@ def _configs(v):  # noqa: ANN001, ANN202
     return rows.select("domain", F.to_json(F.struct(F.concat(F.lit("/"), F.split_part("domain", F.lit("."), F.lit(1)), F.lit("/")).alias("articlePattern"), F.lit(True).alias("learned"))).alias("api_config"))
 
 
+def _with_stats(crawls: DataFrame) -> DataFrame:
+    """Crawls with their JSON statistics: none, part of them, or all."""
+    some, every = F.to_json(F.struct("kept")), F.to_json(F.struct("kept", F.col("duplicates").alias("skippedDuplicates"), F.col("quality").alias("skippedQuality"), "errors"))
+    return crawls.withColumn("stats_json", F.when(F.col("id") % 3 == 1, some).when(F.col("id") % 3 == 2, every))
+
+
 #: Given tables, each with its key and its time, if any.
 SCANNED = {
     "region": ("r_regionkey", None), "nation": ("n_nationkey", None), "customer": ("c_custkey", None), "supplier": ("s_suppkey", None), "part": ("p_partkey", None),
@@ -174,7 +181,9 @@ QUERIES = {
     "s18_cascade": (lambda v: cascade(v.topic_articles, v.articles.where(has_term("thing"))).select("topic_id", "article_id"), f"SELECT topic_id, article_id FROM topic_articles WHERE article_id IN (SELECT id FROM articles WHERE {HIT})"),
     "s18_set_null": (lambda v: set_null(v.articles, v.sources.where("enabled")), "SELECT a.id, s.id AS source_id FROM articles a LEFT JOIN sources s ON s.id = a.source_id AND s.enabled"),
     "s19_backfill": (lambda v: insert_ignore(v.sources_topics, v.sources.select(F.col("id").alias("source_id"), F.lit(1).alias("topic_id"), "domain"), ["source_id", "topic_id"], ["domain"]).where("inserted").select("source_id", "topic_id"), "SELECT id AS source_id, 1 AS topic_id FROM sources WHERE id NOT IN (SELECT source_id FROM sources_topics WHERE topic_id = 1)"),
-    "s20_repair_stuck": (lambda v: repair_stuck(v.crawls), "SELECT id, CASE WHEN finished_at IS NULL THEN false ELSE ok_bool END AS ok_bool, errors + CASE WHEN finished_at IS NULL THEN 1 ELSE 0 END AS errors FROM crawls"),
+    "s20_repair_stuck": (lambda v: repair_stuck(_with_stats(v.crawls)), f"""SELECT id, coalesce(finished_at, {AS_OF}) AS finished_at, CASE WHEN finished_at IS NULL THEN false ELSE ok_bool END AS ok_bool,
+        CASE WHEN finished_at IS NULL THEN '{{"kept":' || CASE WHEN id % 3 = 0 THEN 0 ELSE kept END || ',"skippedDuplicates":' || CASE WHEN id % 3 < 2 THEN 0 ELSE duplicates END || ',"skippedQuality":' || CASE WHEN id % 3 < 2 THEN 0 ELSE quality END || ',"errors":' || (CASE WHEN id % 3 < 2 THEN 0 ELSE errors END + 1) || ',"error":"Crawl timeout - manually cleaned up"}}'
+        WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN '{{"kept":' || kept || '}}' ELSE '{{"kept":' || kept || ',"skippedDuplicates":' || duplicates || ',"skippedQuality":' || quality || ',"errors":' || errors || '}}' END AS stats_json FROM crawls"""),
     "s21_backfill_links": (lambda v: v.articles.where(has_term("thing")).select(F.lit(3).alias("topic_id"), F.col("id").alias("article_id")).join(v.topic_articles, ["topic_id", "article_id"], "left_anti"), f"SELECT 3 AS topic_id, id AS article_id FROM articles WHERE {HIT} AND id NOT IN (SELECT article_id FROM topic_articles WHERE topic_id = 3)"),
     "s22_link_domains": (lambda v: link_domains(v.sources.select("domain").union(v.candidate_domains.select("domain")), v.sources, v.sources_topics, 2), "SELECT (SELECT count(*) FROM sources WHERE id NOT IN (SELECT source_id FROM sources_topics WHERE topic_id = 2)) AS added, (SELECT count(*) FROM sources_topics WHERE topic_id = 2) AS already, (SELECT count(*) FROM candidate_domains) AS not_found"),
     "s23_violations": (lambda v: violations(v.index_urls, "index_urls", ["url"], ["domain", "place"]).union(violations(v.attempts, "attempts", ["source_id", "ts"], ["status"])), "SELECT 'index_urls:unique' AS check_name, count(*) AS rows FROM (SELECT url FROM index_urls GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'attempts:unique', count(*) FROM (SELECT 1 FROM attempts GROUP BY source_id, ts HAVING count(*) > 1) UNION ALL SELECT 'index_urls:domain:null', count(*) FROM index_urls WHERE domain IS NULL UNION ALL SELECT 'index_urls:place:null', count(*) FROM index_urls WHERE place IS NULL UNION ALL SELECT 'attempts:status:null', count(*) FROM attempts WHERE status IS NULL"),

@@ -94,6 +94,13 @@ def promotable(candidates: DataFrame, topics: DataFrame, least: int = 60) -> Dat
     return candidates.where(F.col("score") >= least).select("domain", "score").crossJoin(F.broadcast(first))  # one row
 
 
+def discovery_stats(candidates: DataFrame, probes: DataFrame, least: int = 60) -> DataFrame:
+    """Candidates found, those probed, those promoted by their probe's score, and those whose probe failed (no probe row)."""
+    tried = probes.select(F.col("domain_id").alias("id")).distinct().withColumn("probed", F.lit(True))
+    rows = candidates.join(tried, "id", "left")
+    return rows.agg(F.count("*").alias("found"), F.count_if("probed").alias("probed"), F.count_if(F.coalesce("probed", F.lit(False)) & (F.col("score") >= least)).alias("promoted"), F.count_if(F.col("probed").isNull()).alias("errors"))
+
+
 def page_listings(pages: DataFrame) -> DataFrame:
     """The URL of each page as a listing of its own."""
     return pages.select(F.to_json(F.struct(F.struct(F.array(F.struct(F.struct("url").alias("data"))).alias("children")).alias("data"))).alias("json"))
@@ -141,6 +148,6 @@ QUERIES = {
     "r15_probe_score_b": (lambda v: v.candidate_probes.withColumn("https", F.lit(True)).select("domain_id", probe_score(PROBE_B).alias("score")), "SELECT domain_id, 5 + CASE WHEN has_sitemap THEN 10 ELSE 0 END + CASE WHEN has_feed THEN 10 ELSE 0 END AS score FROM candidate_probes"),
     "r16_robots_state": (lambda v: robots_state(v.sources.select("domain"), v.robots_rules), "SELECT s.domain, coalesce(max(CASE WHEN kind = 'disallow' THEN 'restricted' ELSE 'open' END) FILTER (kind IS NOT NULL), 'error') AS robots_state FROM sources s LEFT JOIN robots_rules r ON r.domain = s.domain GROUP BY 1"),
     "r17_promotable": (lambda v: promotable(v.candidate_domains, v.topics), "SELECT domain, score, (SELECT min(id) FROM topics WHERE enabled) AS topic_id FROM candidate_domains WHERE score >= 60"),
-    "r18_discovery_stats": (lambda v: v.candidate_domains.agg(F.count("*").alias("found"), F.count_if(F.col("score") >= 60).alias("promoted"), F.count_if(F.col("score").isNull()).alias("unscored")), "SELECT count(*) AS found, count(CASE WHEN score >= 60 THEN 1 END) AS promoted, count(CASE WHEN score IS NULL THEN 1 END) AS unscored FROM candidate_domains"),
+    "r18_discovery_stats": (lambda v: discovery_stats(v.candidate_domains, v.candidate_probes), "SELECT count(*) AS found, count(p.domain_id) AS probed, count(*) FILTER (p.domain_id IS NOT NULL AND score >= 60) AS promoted, count(*) FILTER (p.domain_id IS NULL) AS errors FROM candidate_domains c LEFT JOIN candidate_probes p ON p.domain_id = c.id"),
     "r19_search_queries": (lambda v: search_queries(v.topic_requests.withColumnRenamed("slug", "id")), "SELECT slug AS id, name || ' news' AS q FROM topic_requests UNION ALL SELECT slug, name || ' latest articles' FROM topic_requests UNION ALL SELECT slug, query || ' breaking news' FROM topic_requests WHERE query <> ''"),
 }

@@ -52,7 +52,7 @@ def tables(spark: bool) -> dict[str, str]:
             FROM documents""",
         "sources": f"""SELECT CAST(substring(d.source, 4) AS INT) AS id, d.source AS name, d.source || '.example.com' AS domain, CAST(count(*) AS INT) AS points,
             CAST(substring(d.source, 4) AS INT) % 7 <> 0 AS enabled, max(a.first_seen_at) AS last_seen_at, {ts(f'{AS_OF_EPOCH} - CAST(substring(d.source, 4) AS INT) * 86400')} AS created_at,
-            CASE WHEN CAST(substring(d.source, 4) AS INT) % 3 = 0 THEN '{{"articlePattern":"/' || d.source || '/","learned":true,"confidence":0.8}}'
+            CASE WHEN CAST(substring(d.source, 4) AS INT) % 3 = 0 THEN '{{"articlePattern":"/' || d.source || '/","learned":true,"confidence":0.8,"indexPaths":["/","/' || d.source || '/news","/latest","/archive"]}}'
                  WHEN CAST(substring(d.source, 4) AS INT) % 3 = 1 THEN '{{"articlePattern":"/a/","learned":false}}' END AS api_config
             FROM documents d JOIN articles a ON a.id = d.doc_id GROUP BY d.source""",
         "sources_topics": "SELECT s.id AS source_id, t.id AS topic_id FROM sources s CROSS JOIN topics t WHERE (s.id + t.id) % 3 = 0",
