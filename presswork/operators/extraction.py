@@ -185,6 +185,13 @@ ROBOTS = """SELECT * FROM (SELECT domain, place, lower(trim(split_part(line, ':'
 LOCS = "regexp_extract_all(xml, '(?s)<sitemap>.*?<loc>\\s*(.*?)\\s*</loc>', 1)"
 LISTING_SIZE = 25
 
+LD = lambda k: f"CASE WHEN contains(html, 'ld+json') THEN json_extract_string(regexp_extract(html, '(?s)application/ld.json[^>]*>(.*?)</script>', 1), '$.{k}') END"
+EXTRACTED = f"""SELECT page_id, CASE WHEN fall THEN h1 ELSE t END AS title, coalesce(CASE WHEN fall THEN p1 ELSE s END, '') AS summary, dom AS source_domain,
+    CASE WHEN said IS NULL THEN {AS_OF} ELSE TRY_CAST(said AS TIMESTAMP) END AS published_at, said IS NOT NULL AND TRY_CAST(said AS TIMESTAMP) IS NULL AS date_invalid
+    FROM (SELECT *, (t IS NULL OR s IS NULL) AND h1 IS NOT NULL AND p1 IS NOT NULL AS fall FROM (SELECT page_id, CASE WHEN contains(html, 'ld+json') THEN {LD('headline')} ELSE {TITLE} END AS t,
+    CASE WHEN contains(html, 'ld+json') THEN {LD('description')} ELSE {SUMMARY} END AS s, {DHOST('url')} AS dom, {PLAIN('(?is)<h1[^>]*>(.*?)</h1>')} AS h1, {PLAIN('(?is)<p[^>]*>([^<].*?)</p>')} AS p1,
+    CASE WHEN contains(html, 'ld+json') THEN {LD('datePublished')} ELSE coalesce({META('article:published_time')}, {META('publish(?:ed)?[-_]?(?:date|time)')}) END AS said FROM tagged_pages)) WHERE t IS NOT NULL OR fall"""
+
 QUERIES = {
     "e01_canonical_url": (lambda v: v.tagged_pages.select("page_id", canonical_url().alias("canonical_url")), CANON),
     "e02_strip_tracking": (lambda v: v.pages.select("page_id", strip_tracking(F.col("url")).alias("u")), f"SELECT page_id, {DSTRIP('url')} AS u FROM (SELECT *, {LEFT('url')} AS q FROM pages)"),
@@ -193,10 +200,7 @@ QUERIES = {
     "e05_published": (lambda v: v.tagged_pages.select("page_id", published_text().alias("published")), f"SELECT page_id, coalesce({META('article:published_time')}, {META('publish(?:ed)?[-_]?(?:date|time)')}) AS published FROM tagged_pages"),
     "e06_language": (lambda v: v.tagged_pages.select("page_id", language().alias("lang")), f"SELECT page_id, {DLANG} AS lang FROM tagged_pages"),
     "e07_paywall": (lambda v: v.tagged_pages.select("page_id", F.col("html").rlike(PAYWALL).alias("paywalled")), f"SELECT page_id, regexp_matches(html, '{PAYWALL}') AS paywalled FROM tagged_pages"),
-    "e08_extract": (lambda v: extract(v.tagged_pages).select("page_id", "title", "summary", "source_domain", "published_at", "date_invalid"), f"""SELECT page_id, CASE WHEN fall THEN h1 ELSE t END AS title, coalesce(CASE WHEN fall THEN p1 ELSE s END, '') AS summary, dom AS source_domain,
-        CASE CAST(page_id % 5 AS INT) WHEN 0 THEN TIMESTAMP '2024-01-10 08:00:00' WHEN 1 THEN TIMESTAMP '2024-01-09 10:30:00' WHEN 2 THEN TIMESTAMP '2024-01-08 00:00:00' ELSE {AS_OF} END AS published_at, false AS date_invalid
-        FROM (SELECT *, (t IS NULL OR s IS NULL) AND h1 IS NOT NULL AND p1 IS NOT NULL AS fall FROM (SELECT page_id, CASE WHEN contains(html, 'ld+json') THEN json_extract_string(regexp_extract(html, '(?s)application/ld.json[^>]*>(.*?)</script>', 1), '$.headline') ELSE {TITLE} END AS t,
-        CASE WHEN contains(html, 'ld+json') THEN json_extract_string(regexp_extract(html, '(?s)application/ld.json[^>]*>(.*?)</script>', 1), '$.description') ELSE {SUMMARY} END AS s, {DHOST('url')} AS dom, {PLAIN('(?is)<h1[^>]*>(.*?)</h1>')} AS h1, {PLAIN('(?is)<p[^>]*>([^<].*?)</p>')} AS p1 FROM tagged_pages)) WHERE t IS NOT NULL OR fall"""),
+    "e08_extract": (lambda v: extract(v.tagged_pages).select("page_id", "title", "summary", "source_domain", "published_at", "date_invalid"), EXTRACTED),
     "e09_excerpt": (lambda v: v.pages.select("page_id", plain(found("html", "(?is)<h1[^>]*>(.*?)</h1>")).alias("h1"), plain(found("html", "(?is)<p[^>]*>([^<].*?)</p>")).alias("p1")), f"SELECT page_id, {PLAIN('(?is)<h1[^>]*>(.*?)</h1>')} AS h1, {PLAIN('(?is)<p[^>]*>([^<].*?)</p>')} AS p1 FROM pages"),
     "e10_host": (lambda v: v.pages.select("page_id", host("url").alias("host"), host("url", True).alias("bare")), f"SELECT page_id, {DHOST('url')} AS host, regexp_replace({DHOST('url')}, '^www\\.', '') AS bare FROM pages"),
     "e11_outbound": (lambda v: outbound(v.tagged_pages), OUT(False, "AND NOT contains(domain, 'facebook') AND NOT contains(domain, 'twitter')")),

@@ -25,6 +25,21 @@ def epoch(spark: bool, ts: str) -> str:
     return f"unix_timestamp({ts})" if spark else f"CAST(floor(epoch({ts})) AS BIGINT)"
 
 
+def in_html(text: str) -> str:
+    """SQL of a text inside an element or an attribute."""
+    for char, entity in ((38, "amp"), (60, "lt"), (62, "gt"), (34, "quot"), (39, "#39")):
+        text = f"replace({text}, chr({char}), '&{entity};')"
+    return text
+
+
+def in_json(text: str) -> str:
+    """SQL of a text inside a JSON string (in a script of a page)."""
+    text = f"replace(replace({text}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+    for char, letter in ((10, "n"), (13, "r"), (9, "t")):
+        text = f"replace({text}, chr({char}), chr(92) || '{letter}')"
+    return text
+
+
 def tables(spark: bool) -> dict[str, str]:
     """SQL of each derived table, in an order in which each uses earlier ones only."""
     ts = lambda e: _ts(spark, e)
@@ -68,14 +83,14 @@ def tables(spark: bool) -> dict[str, str]:
             CASE WHEN p % 13 = 0 THEN NULL ELSE CAST(CASE WHEN p % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN p % 3 = 0 THEN 20 ELSE 0 END + CASE WHEN p % 5 < 3 THEN 25 ELSE 0 END + CASE WHEN p % 7 < 4 THEN 10 ELSE 0 END AS INT) END AS score,
             {ts(f'{AS_OF_EPOCH} - p % 200 * 3600')} AS last_seen_at, p FROM (SELECT {host} AS domain, min(page_id) AS p FROM pages GROUP BY 1) h""",
         "candidate_probes": "SELECT id AS domain_id, p % 2 = 0 AS has_sitemap, p % 3 = 0 AS lastmod_recent, p % 4 = 0 AS has_feed, p % 5 < 3 AS jsonld_news, p % 7 < 4 AS has_lang, CASE WHEN p % 7 < 4 THEN 'en' END AS lang FROM candidate_domains WHERE p % 6 <> 5",
-        "tagged_pages": """SELECT doc_id AS page_id, 'https://www.' || source || '.example.com:443/n/' || CAST(doc_id AS VARCHAR(20)) || '?utm_source=x&id=' || CAST(doc_id AS VARCHAR(20)) || '&fbclid=9#top' AS url, source,
+        "tagged_pages": f"""SELECT doc_id AS page_id, 'https://www.' || source || '.example.com:443/n/' || CAST(doc_id AS VARCHAR(20)) || '?utm_source=x&id=' || CAST(doc_id AS VARCHAR(20)) || '&fbclid=9#top' AS url, source,
             CASE CAST(doc_id % 5 AS INT)
-            WHEN 0 THEN '<html lang="' || lang || '-XX"><head><script type="application/ld+json">{"@type":"NewsArticle","headline":"Headline ' || CAST(doc_id AS VARCHAR(20)) || '","description":"About it","datePublished":"2024-01-10T08:00:00Z"}</script></head><body><p>' || source || '</p></body></html>'
-            WHEN 1 THEN '<html><head><meta http-equiv="content-language" content="' || lang || '"><meta property="og:title" content="Og ' || CAST(doc_id AS VARCHAR(20)) || '"><meta name="description" content="Plain text"><meta property="og:image" content="https://img.example.org/' || CAST(doc_id AS VARCHAR(20)) || '.png"><meta property="article:published_time" content="2024-01-09T10:30:00Z"></head><body><a href="https://www.other' || CAST(doc_id % 9 AS VARCHAR(20)) || '.example.net/x">o</a></body></html>'
-            WHEN 2 THEN '<html lang="' || lang || '"><head><title>Title ' || CAST(doc_id AS VARCHAR(20)) || '</title><meta name="publish-date" content="2024-01-08"></head><body><h1>Big <b>head</b></h1><p></p><p>First words &amp; more</p><a href="/2024/01/story-' || CAST(doc_id AS VARCHAR(20)) || '">s</a><a href="/tag/x">t</a><a href="https://facebook.com/p">f</a></body></html>'
-            WHEN 3 THEN '<html><head><link rel="canonical" href="https://Canon.example.org/c/' || CAST(doc_id AS VARCHAR(20)) || '?gclid=1"><meta property="og:title" content="Paid ' || CAST(doc_id AS VARCHAR(20)) || '"><meta property="og:description" content="Behind it"></head><body class="paywall"><a href="http://news' || CAST(doc_id % 4 AS VARCHAR(20)) || '.example.org/article/1">n</a></body></html>'
-            ELSE '<html><body><h1>Bare ' || CAST(doc_id AS VARCHAR(20)) || '</h1><p>Only &lt;text&gt;</p></body></html>' END AS html FROM documents""",
-        "section_pages": """SELECT doc_id AS page_id, 'https://www.' || source || '.example.com/' AS url, '<a href="/' || split_part('news,article,actualites,politique,societe,economy,economie,world,monde,sport,culture,tech,science,2024/01,story,video,opinion,author,World,about', ',', CAST(doc_id % 20 + 1 AS INT)) || '/' || CAST(doc_id AS VARCHAR(20)) || '">' || lang || '</a> <a href="https://elsewhere.example.org/news/1">x</a> <a href="/tag/news/">t</a>' AS html FROM documents""",
+            WHEN 0 THEN '<html lang="' || lang || '-XX"><head><script type="application/ld+json">{{"@type":"NewsArticle","headline":"No ' || CAST(doc_id AS VARCHAR(20)) || ': ' || {in_json('title')} || '","description":"' || {in_json('summary')} || '"' || CASE WHEN doc_id % 4 = 1 THEN '' ELSE ',"datePublished":"2024-01-' || CAST(doc_id % 20 + 10 AS VARCHAR(20)) || 'T08:00:00Z"' END || '}}</script></head><body><p>' || source || '</p></body></html>'
+            WHEN 1 THEN '<html><head><meta http-equiv="content-language" content="' || lang || '"><meta property="og:title" content="' || {in_html('title')} || '"><meta name="description" content="' || {in_html('summary')} || '"><meta property="og:image" content="https://img.example.org/' || CAST(doc_id AS VARCHAR(20)) || '.png"><meta property="article:published_time" content="' || CASE WHEN doc_id % 7 = 3 THEN 'soon' ELSE '2024-01-' || CAST(doc_id % 20 + 10 AS VARCHAR(20)) || 'T10:30:00Z' END || '"></head><body><a href="https://www.other' || CAST(doc_id % 9 AS VARCHAR(20)) || '.example.net/x">o</a></body></html>'
+            WHEN 2 THEN '<html lang="' || lang || '"><head><title>' || {in_html('title')} || '</title><meta name="publish-date" content="2024-01-' || CAST(doc_id % 20 + 10 AS VARCHAR(20)) || '"></head><body><h1>Big <b>' || {in_html('title')} || '</b></h1><p></p><p>' || {in_html('summary')} || '</p><a href="/2024/01/story-' || CAST(doc_id AS VARCHAR(20)) || '">s</a><a href="/tag/x">t</a><a href="https://facebook.com/p">f</a></body></html>'
+            WHEN 3 THEN '<html><head><link rel="canonical" href="https://Canon.example.org/c/' || CAST(doc_id AS VARCHAR(20)) || '?gclid=1"><meta property="og:title" content="' || {in_html('title')} || '"><meta property="og:description" content="' || {in_html('summary')} || '"></head><body class="paywall"><a href="http://news' || CAST(doc_id % 4 AS VARCHAR(20)) || '.example.org/article/1">n</a></body></html>'
+            ELSE '<html><body><h1>' || {in_html('title')} || '</h1><p>' || {in_html('summary')} || '</p></body></html>' END AS html FROM (SELECT doc_id, lang, source, substring(text, 1, 80) AS title, text AS summary FROM documents) d""",
+        "section_pages": f"""SELECT doc_id AS page_id, 'https://www.' || source || '.example.com/' AS url, '<a href="/' || split_part('news,article,actualites,politique,societe,economy,economie,world,monde,sport,culture,tech,science,2024/01,story,video,opinion,author,World,about', ',', CAST(doc_id % 20 + 1 AS INT)) || '/' || CAST(doc_id AS VARCHAR(20)) || '">' || {in_html('text')} || '</a> <a href="https://elsewhere.example.org/news/1">x</a> <a href="/tag/news/">t</a>' AS html FROM documents""",
         "sitemap_urls": f"""SELECT source_domain AS domain, canonical_url AS url, CASE WHEN id % 19 = 0 THEN NULL ELSE published_at END AS lastmod FROM articles""",
         "index_xml": "SELECT id, '<sitemapindex>' || '<sitemap> <loc>' || canonical_url || '/a.xml</loc></sitemap>' || '<sitemap><loc> ' || canonical_url || '/b.xml </loc><lastmod>x</lastmod></sitemap>' || CASE WHEN id % 2 = 0 THEN '<sitemap><loc>' || canonical_url || '/news.xml</loc></sitemap>' ELSE '' END || '<sitemap><loc>' || canonical_url || '/c.xml</loc></sitemap>' || CASE WHEN id % 3 = 0 THEN '<sitemap><loc>' || canonical_url || '/article-' || lang || '.xml</loc></sitemap>' ELSE '' END || '<sitemap><loc>' || canonical_url || '/d.xml</loc></sitemap></sitemapindex>' AS xml FROM articles",
         "robots_texts": "SELECT domain, 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10) || '# ' || name || chr(10) || 'User-Agent: *' || chr(10) || 'Disallow: /' || name || '/' || chr(10) || CASE WHEN id % 2 = 0 THEN 'Allow: /' || name || '/open' || chr(10) ELSE 'Disallow:' || chr(10) END || CASE WHEN id % 3 = 0 THEN 'Crawl-delay: ' || CAST(id % 5 AS VARCHAR(20)) || chr(10) ELSE '' END || 'Sitemap: https://' || domain || '/s.xml' AS text FROM sources",
