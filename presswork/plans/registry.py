@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from presswork.sources import fixtures
 
-MODULES = ("reports", "quality", "dedupe", "history", "extraction", "frontier", "reputation", "maintenance")
+MODULES = (*(f"operators.{m}" for m in ("reports", "quality", "dedupe", "history", "extraction", "frontier", "reputation", "maintenance")), "streaming.queries")
 
 
 def _all() -> dict[str, tuple[Callable[[fixtures.Tables], DataFrame], str | None]]:
     out: dict = {}
     for m in MODULES:
-        out |= import_module(f"presswork.operators.{m}").QUERIES
+        out |= import_module(f"presswork.{m}").QUERIES
     return out
 
 

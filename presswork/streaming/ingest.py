@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from presswork.functions.shared import stored
+from presswork.functions.shared import new_folder, stored
 from presswork.operators import dedupe, extraction, history, quality
 
 
@@ -68,15 +71,64 @@ def crawl_sessions(attempts: DataFrame, gap: str = "30 minutes", delay: str = "1
     return attempts.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "source_id").agg(F.count("*").alias("n")).select("source_id", F.col("session_window.start").alias("start"), "n")
 
 
-def failure_events(attempts: DataFrame, limit: int = 20) -> DataFrame:
-    """(source_id, failures, disabled) after each batch, from state kept by source; attempts of a batch go by time and id."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        n = state.get[0] if state.exists else 0
-        for status in rows["status"]:
-            n = n + 1 if status != 200 else 0
-        state.update((n,))
-        yield pd.DataFrame({"source_id": [key[0]], "failures": [n], "disabled": [n >= limit]})
-
-    return attempts.groupBy("source_id").applyInPandasWithState(step, "source_id int, failures long, disabled boolean", "n long", "update", "NoTimeout")
+class FailureRun(StatefulProcessor):
+    """Failures in a row of one source, kept as a value; with `days_kept` it expires when nothing is heard of the source for so long."""
+
+    def __init__(self, limit: int, days_kept: int | None) -> None:
+        self.limit, self.days_kept = limit, days_kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "failures long, disabled boolean", ttlDurationMs=self.days_kept * 86_400_000 if self.days_kept else None)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
+        before, disabled = self.run.get() if self.run.exists() else (0, False)
+        good = np.flatnonzero(batch["status"].to_numpy() == 200)
+        failed = batch["status"].to_numpy() != 200
+        # a run goes on from the batch before up to the first success; the runs inside the batch lie between successes
+        place = np.arange(len(failed))
+        last_good = np.maximum.accumulate(np.where(failed, -1, place))
+        runs = place - last_good + np.where(last_good < 0, before, 0)
+        crossed = np.flatnonzero(failed & (runs >= self.limit))
+        after = int(runs[-1]) if failed[-1] else 0
+        event = bool(len(crossed)) and not disabled
+        self.run.update((after, disabled or event))
+        at = batch["ts"].iloc[crossed[0]] if event else None
+        yield pd.DataFrame({"source_id": [key[0]], "failures": [after], "disabled_at": pd.Series([at], dtype="datetime64[ns]"), "heard": [len(failed)], "successes": [len(good)]})
+
+    def close(self) -> None:
+        pass
+
+
+FAILURE_SCHEMA = "source_id int, failures long, disabled_at timestamp, heard long, successes long"
+
+
+def failure_events(attempts: DataFrame, limit: int = 20, days_kept: int | None = None) -> DataFrame:
+    """A row for each source of a micro-batch: (source_id, failures in a row after it, disabled_at, heard, successes). disabled_at is set once, where the
+    run first reaches `limit`. Attempts of a batch go by time and id. The state is a value in the RocksDB state store; `days_kept` gives it a time to live, for streams that
+    don't end (with one, Spark goes on with batches without data, so a bounded run would never stop)."""
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return attempts.groupBy("source_id").transformWithStateInPandas(FailureRun(limit, days_kept), FAILURE_SCHEMA, "Update", "ProcessingTime" if days_kept else "None")
+
+
+def micro_batches(batches: Iterable[DataFrame], files: int = 1) -> DataFrame:
+    """A stream of the given tables, one micro-batch each, from folders that are written one after the other (so many files each)."""
+    path = schema = spark = None
+    for k, df in enumerate(batches):
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = new_folder(spark, "stream")
+        df.repartition(files).write.parquet(f"{path}/part={k:05d}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
+
+
+def run_to_end(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """All rows that a bounded stream gives, with `batch`: it runs until its input is used up, each micro-batch overwriting its own folder, so that
+    one that runs again adds nothing."""
+    spark = stream.sparkSession
+    out = new_folder(spark, "stream-out")
+    write = lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_folder(spark, "stream-state")).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.schema(StructType(list(stream.schema)).add("batch", "long")).parquet(out)

@@ -132,11 +132,27 @@ def test_streams_match_batches(spark, tables, tmp_path):
     counts = _run(ingest.hourly_counts(_stream(spark, events, str(tmp_path / "e"))), "w5", tmp_path)
     assert counts.agg(F.sum("n")).first()[0] == tables.events.count()
     state = _run(ingest.failure_events(_stream(spark, tables.attempts.coalesce(1), str(tmp_path / "t")), 4), "w7", tmp_path, "update")
+    assert all(r.disabled_at is None or r.heard >= 4 for r in state.collect())
     from presswork.operators.reputation import failure_state
 
     assert {(r.source_id, r.failures) for r in state.collect()} == {(r.source_id, r.consecutive_failures) for r in failure_state(tables.attempts).collect()}
 
 
+def test_failures_go_on_after_a_restart(spark, tmp_path):
+    def attempts(rows):
+        return spark.createDataFrame(rows, "id long, source_id int, t long, status int").select("id", "source_id", F.timestamp_seconds("t").alias("ts"), "status")
+
+    parts = [[(1, 1, 10, 500), (2, 1, 20, 404), (3, 2, 10, 200)], [(4, 1, 30, 500), (5, 2, 20, 500)], [(6, 1, 40, 500), (7, 1, 50, 200), (8, 2, 30, 500), (9, 2, 40, 500)]]
+    path, check = str(tmp_path / "in"), str(tmp_path / "state")
+    out: dict = {}
+    for k, rows in enumerate(parts):  # each a run of its own over the same checkpoint
+        attempts(rows).coalesce(1).write.mode("append").parquet(path)
+        stream = ingest.failure_events(spark.readStream.schema(attempts([]).schema).parquet(path), 3)
+        for r in ingest.run_to_end(stream, "update", check).collect():
+            out.setdefault(r.source_id, []).append((r.failures, r.disabled_at is not None))
+    assert out == {1: [(2, False), (3, True), (0, False)], 2: [(0, False), (1, False), (3, True)]}
+
+
 def test_near_duplicate_batches(spark, tables, tmp_path):
     run = ingest.near_duplicates(str(tmp_path / "h"), str(tmp_path / "o"))
     recent = tables.articles.where(F.col("first_seen_at") >= hours_before(160))  # older ones are behind the horizon
