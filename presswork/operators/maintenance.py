@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.operators.reports import CONFIG, hours_before, now
-from presswork.sources.fixtures import AS_OF
+from presswork.sources.fixtures import AS_OF, SCHEMAS
 
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -132,15 +132,34 @@ def _with_stats(crawls: DataFrame) -> DataFrame:
     return crawls.withColumn("stats_json", F.when(F.col("id") % 3 == 1, some).when(F.col("id") % 3 == 2, every))
 
 
-#: Given tables, each with its key and its time, if any.
-SCANNED = {
-    "region": ("r_regionkey", None), "nation": ("n_nationkey", None), "customer": ("c_custkey", None), "supplier": ("s_suppkey", None), "part": ("p_partkey", None),
-    "orders": ("o_orderkey", "o_orderdate"), "events": ("event_id", "ts"), "documents": ("doc_id", None), "pages": ("page_id", None), "labels": ("doc_id", None),
-}
+def _measure(name: str, kind: str, spark: bool) -> str:
+    """SQL of a whole number that stands for a value: the number itself (in thousandths), a text's length, a list's length, a moment's microsecond."""
+    if kind == "string":
+        return f"CAST(length({name}) AS BIGINT)"
+    if kind.startswith("array"):
+        return f"CAST({'cardinality' if spark else 'len'}({name}) AS BIGINT)"
+    if kind == "timestamp":
+        return f"unix_micros({name})" if spark else f"epoch_us(CAST({name} AS TIMESTAMP))"
+    return f"CAST(round({name} * 1000) AS BIGINT)" if kind == "double" else f"CAST({name} AS BIGINT)"
 
 
-def _typed(v):  # noqa: ANN001, ANN202
-    return reduce(DataFrame.union, [getattr(v, t).select(F.lit(t).alias("name"), F.col(k).cast("long").alias("key"), (F.col(at) if at else F.lit(None)).cast("timestamp").alias("at")) for t, (k, at) in SCANNED.items()])
+def scanned(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, type, rows, filled, low, high) of every column of every given table, in one aggregate each. A column that is missing or of
+    another type than its schema's is an error."""
+    parts = []
+    for t, df in tables.items():
+        want = [tuple(c.split(" ")) for c in SCHEMAS[t].split(", ")]
+        if (have := [(c, k) for c, k in df.dtypes]) != want:
+            raise TypeError(f"{t}: {have} in place of {want}")
+        cells = [F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("type"), F.count("*").alias("rows"), F.count(c).alias("filled"), F.min(F.expr(_measure(c, k, True))).alias("low"), F.max(F.expr(_measure(c, k, True))).alias("high")) for c, k in want]
+        parts.append(df.agg(F.array(*cells).alias("cells")).select(F.lit(t).alias("table_name"), F.inline("cells")))
+    return reduce(DataFrame.union, parts)
+
+
+SCAN_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{k}' AS type, count(*) AS rows, count({c}) AS filled, min({_measure(c, k, False)}) AS low, max({_measure(c, k, False)}) AS high FROM {t}"
+    for t, schema in SCHEMAS.items() for c, k in (x.split(" ") for x in schema.split(", "))
+)
 
 
 S_OLD = f"{AS_OF} - INTERVAL 48 HOUR"
@@ -156,7 +175,7 @@ def _promoted(v, i: int):  # noqa: ANN001, ANN202
 
 
 QUERIES = {
-    "s01_typed_scan": (_typed, " UNION ALL ".join(f"SELECT '{t}' AS name, CAST({k} AS BIGINT) AS key, CAST({at or 'NULL'} AS TIMESTAMP) AS at FROM {t}" for t, (k, at) in SCANNED.items())),
+    "s01_typed_scan": (lambda v: scanned({t: getattr(v, t) for t in SCHEMAS}), SCAN_SQL),
     "s02_pages_scan": (lambda v: v.pages.select("page_id", "url", "html", F.when(F.col("html").isNull(), 404).otherwise(200).alias("status"), F.expr(AS_OF).alias("fetched_at")), f"SELECT page_id, url, html, CASE WHEN html IS NULL THEN 404 ELSE 200 END AS status, {AS_OF} AS fetched_at FROM pages"),
     "s03_insert_articles": (lambda v: insert_ignore(_old(v), v.articles.select("canonical_url", "id"), ["canonical_url"], ["id"]), f"SELECT canonical_url, id, first_seen_at >= {S_OLD} AS inserted FROM articles"),
     "s04_insert_links": (lambda v: insert_ignore(v.topic_articles.where("hidden_bool"), v.topic_articles.select("topic_id", "article_id", "added_at"), ["topic_id", "article_id"], ["added_at"]).where("inserted").select("topic_id", "article_id"), "SELECT topic_id, article_id FROM topic_articles WHERE NOT hidden_bool"),

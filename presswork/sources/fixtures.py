@@ -14,7 +14,21 @@ from pyspark.sql import functions as F
 #: 2024-01-31 00:00:00 UTC, the moment all time-dependent queries are asked for.
 AS_OF_EPOCH = 1706659200
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
-BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels")
+#: The types of a source.
+DDL_TYPES = ("google_news", "reddit", "custom_crawler", "api")
+BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+#: The given tables' schemas: what a typed scan has to find.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string", "nation": "n_nationkey int, n_name string, n_regionkey int", "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string", "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int", "pages": "page_id bigint, url string, html string", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def _ts(spark: bool, epoch: str) -> str:
@@ -72,6 +86,14 @@ def tables(spark: bool) -> dict[str, str]:
             FROM documents d JOIN articles a ON a.id = d.doc_id GROUP BY d.source""",
         "sources_topics": "SELECT s.id AS source_id, t.id AS topic_id FROM sources s CROSS JOIN topics t WHERE (s.id + t.id) % 3 = 0",
         "topic_articles": "SELECT t.id AS topic_id, a.id AS article_id, a.first_seen_at AS added_at, a.id % 17 = 0 AS hidden_bool FROM articles a JOIN topics t ON t.lang = a.lang",
+        # tables with rows that break each of their constraints
+        "checked_sources": """SELECT id, CASE WHEN id % 9 = 4 THEN NULL ELSE name END AS name, CASE WHEN id % 8 = 6 THEN NULL ELSE domain END AS domain, CASE id % 6 WHEN 0 THEN 'google_news' WHEN 1 THEN 'reddit' WHEN 2 THEN 'api' WHEN 5 THEN 'rss' ELSE 'custom_crawler' END AS type FROM sources
+            UNION ALL SELECT id + CASE WHEN id % 10 = 3 THEN 0 ELSE 1000 END, name, domain, NULL FROM sources WHERE id % 5 = 3""",
+        "checked_topics": "SELECT id, slug, name FROM topics UNION ALL SELECT id + 10, slug, NULL FROM topics WHERE id = 2 UNION ALL SELECT id + 20, NULL, name FROM topics WHERE id = 3",
+        "checked_articles": """SELECT id, CASE WHEN id % 101 = 7 THEN NULL ELSE canonical_url END AS canonical_url, CASE WHEN id % 53 = 0 THEN NULL ELSE title END AS title, CASE WHEN id % 31 = 0 THEN 999 WHEN id % 37 = 0 THEN NULL ELSE source_id END AS source_id, CASE WHEN id % 71 = 0 THEN NULL ELSE published_at END AS published_at FROM articles
+            UNION ALL SELECT id + 1000000, canonical_url, title, source_id, published_at FROM articles WHERE id % 41 = 0""",
+        "checked_links": "SELECT topic_id, article_id FROM topic_articles UNION ALL SELECT topic_id, article_id FROM topic_articles WHERE article_id % 43 = 0 UNION ALL SELECT 77, article_id FROM topic_articles WHERE article_id % 47 = 0 UNION ALL SELECT topic_id, -1 - article_id FROM topic_articles WHERE article_id % 59 = 0",
+        "checked_site_links": "SELECT source_id, topic_id FROM sources_topics UNION ALL SELECT source_id, topic_id FROM sources_topics WHERE source_id % 4 = 1 UNION ALL SELECT source_id + 500, topic_id + 50 FROM sources_topics WHERE source_id % 7 = 2",
         "crawls": f"""SELECT id, topic_id, started_at, CASE WHEN id % 29 <> 0 THEN finished_at END AS finished_at, CASE WHEN id % 29 <> 0 THEN errors <= kept END AS ok_bool, kept, duplicates, quality, errors FROM (
             SELECT CAST({epoch(spark, 'h')} / 3600 AS BIGINT) * 4 + u AS id, u + 1 AS topic_id, started_at, finished_at, kept, duplicates, quality, errors FROM (
             SELECT CAST(user_id % 4 AS INT) AS u, date_trunc('hour', {ev}) AS h, min({ev}) AS started_at, max({ev}) AS finished_at, count(CASE WHEN event_type = 'click' THEN 1 END) AS kept,

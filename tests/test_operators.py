@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text, urls
-from presswork.operators import dedupe, extraction, history, keyword_index, quality, reports, topk
+from presswork.operators import dedupe, extraction, history, keyword_index, quality, reports, snapshots, topk
 from presswork.operators.reports import hours_before
 from presswork.sources.fixtures import Tables
 from presswork.streaming import ingest
@@ -218,6 +218,23 @@ def test_crawls_that_run_or_end_before_they_start(spark):
     assert got == {(1, "five"): ([11, 10], 0), (1, "six"): ([], 2), (2, "five"): ([12, 11], 0), (2, "six"): ([], 2), (3, "five"): ([], 0), (3, "six"): ([], 2), (4, "five"): ([], 0)}
 
 
+def test_a_change_rewrites_only_its_days(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id long, at timestamp, day int"
+    rows = spark.range(100).select("id", F.timestamp_seconds(F.col("id") % 10 * 86400).alias("at")).withColumn("day", snapshots.day_of("at"))
+    snapshots.write_days(rows.where("id < 95"), path)
+    files = lambda: {f for f in snapshots.read_days(spark, path, schema).inputFiles()}
+    before = files()
+    assert snapshots.insert_ignore(spark, path, schema, rows.union(rows), "id", "at") == 5
+    changed = {f.split("day=")[1][0] for f in files() - before}
+    assert changed == set("56789") and snapshots.read_days(spark, path, schema).count() == 100
+    before = files()
+    assert snapshots.insert_ignore(spark, path, schema, rows, "id", "at") == 0 and files() == before
+    assert snapshots.delete(spark, path, schema, rows.where("day = 3 or id = 14"), "id") == 11
+    assert {f.split("day=")[1][0] for f in before - files()} == {"3", "4"} and not any("day=3/" in f for f in files())
+    assert snapshots.delete(spark, path, schema, rows.where("day = 3"), "id") == 0
+    assert {r.id for r in snapshots.read_days(spark, path, schema).collect()} == {i for i in range(100) if i % 10 != 3 and i != 14}
+
+
 def test_article_links_of_every_section(spark):
     good = ("news", "article", "actualites", "politique", "societe", "economy", "economie", "world", "monde", "sport", "culture", "tech", "science", "2024/01", "World")
     html = "".join(f'<a href="/{x}/1">' for x in (*good, "story", "tag/news", "about"))
