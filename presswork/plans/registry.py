@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from presswork.sources import fixtures
 
-MODULES = (*(f"operators.{m}" for m in ("reports", "quality", "dedupe", "history", "extraction", "frontier", "reputation", "maintenance", "snapshots", "constraints")), "streaming.queries")
+MODULES = (*(f"operators.{m}" for m in ("reports", "quality", "dedupe", "history", "extraction", "main_text", "frontier", "reputation", "maintenance", "snapshots", "constraints")), "streaming.queries")
 
 
 def _all() -> dict[str, tuple[Callable[[fixtures.Tables], DataFrame], str | None]]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text, urls
-from presswork.operators import dedupe, extraction, history, keyword_index, quality, reports, snapshots, topk
+from presswork.operators import dedupe, extraction, history, keyword_index, main_text, quality, reports, snapshots, topk
 from presswork.operators.reports import hours_before
 from presswork.sources.fixtures import Tables
 from presswork.streaming import ingest
@@ -235,6 +235,19 @@ def test_a_change_rewrites_only_its_days(spark, tmp_path):
     assert {r.id for r in snapshots.read_days(spark, path, schema).collect()} == {i for i in range(100) if i % 10 != 3 and i != 14}
 
 
+def test_main_text_among_navigation(spark):
+    body = "This paragraph tells a story, in more than sixteen plain words, so that it counts as content of the page."
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(9)) + "</ul>"
+    pages = [
+        (1, f"<html><head><title>T</title><script>var x = '<p>{body}</p>'</script></head><body><div>{menu}</div><div><h1>Head</h1><p>First: {body}</p><p>Second: {body}</p></div><footer><p>{body}</p></footer></body></html>"),
+        (2, f"<div><p>Never <b>closed</b>{' word' * 20}<p>Also not{' word' * 20} < lone"), (3, None), (4, ""), (5, menu), (6, "plain words without a tag " * 5), (7, f"<div><p><a href='x'>{body}</a></p></div>"), (8, "</div></div><p>" + body + "</nav>"),
+    ]
+    got = {r.page_id: r for r in main_text.main_texts(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert len(got) == 8 and got[1].excerpt == f"First: {body}" and got[1].content_blocks >= 2
+    assert got[2].excerpt.startswith("Never closed word") and got[2].content_blocks == 2 and got[6].excerpt.startswith("plain words") and got[8].excerpt == body
+    assert all(got[k].excerpt is None and got[k].content_words == 0 for k in (3, 4, 5, 7))
+
+
 def test_article_links_of_every_section(spark):
     good = ("news", "article", "actualites", "politique", "societe", "economy", "economie", "world", "monde", "sport", "culture", "tech", "science", "2024/01", "World")
     html = "".join(f'<a href="/{x}/1">' for x in (*good, "story", "tag/news", "about"))
