@@ -46,8 +46,40 @@ def test_estimate_is_unbiased_and_within_its_bound():
     rotation = vectors.Rotation(64)
     x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rotated, codes, factor = rotation.signs(x)
-    error = (codes @ rotated.T) / factor[:, None] - x @ x.T
+    rotated = rotation.rotate(x)
+    assert np.allclose(rotated @ rotated.T, x @ x.T)
+    code, factor, near, scale = rotation.encode(x)
+    positive = np.unpackbits(code, axis=1)
+    error = rotation.estimates(positive, factor, near.astype(np.float32), scale) - x @ x.T
     np.fill_diagonal(error, 0)
-    bound = vectors.ERRORS * np.sqrt(1 - factor**2) / factor / math.sqrt(rotation.bits - 1)
-    assert abs(error.mean()) < 0.002 and (np.abs(error) <= bound[:, None]).mean() > 0.999
+    assert abs(error.mean()) < 0.002 and (np.abs(error) <= rotation.errors(factor, scale)).mean() > 0.999
+
+
+def test_bound_leaves_few_pairs_and_loses_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((60, 48))
+    rows = [(i, (base[i % 60] + rng.standard_normal(48) * (0.08 if i < 120 else 4)).tolist(), 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    fetched = []
+    kept = vectors.common.stored
+
+    def stored(x):
+        out = kept(x)
+        if out.columns[:2] == ["group", "id"]:
+            fetched.append(out.count())
+        return out
+
+    monkeypatch.setattr(vectors.common, "stored", stored)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    tables = -(-math.log(0.002) // math.log(1 - (1 - math.acos(0.98) / math.pi) ** 2))  # two band bits for 600 rows
+    want = vectors.brute_force(rows, 0.98)
+    assert sum(v[0] for v in got.values()) >= 0.99 * sum(v[0] for v in want.values()) > 0
+    assert fetched[0] <= 600 * tables / 2  # most rows have no pair left, and their vectors stay where they are
+
+
+def test_very_long_vectors_and_a_tie_at_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    long = rng.standard_normal(9000)
+    rows = [(1, long.tolist(), 1), (2, (long * 3).tolist(), 1), (3, rng.standard_normal(9000).tolist(), 1), (4, [1.0, 0.0], 1), (5, [0.6, 0.8], 1), (6, [0.8, 0.6], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.6).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4)}
