@@ -25,7 +25,9 @@ from presswork.llm import common, textops
 
 #: Words a Python worker remembers; then it starts anew.
 CACHE_WORDS = 1_500_000
-#: Tokens held before a batch of pieces is returned.
+#: Groups that a length is ranked in, at least, and rows a group is aimed at.
+LEAST_SALTS = 256
+GROUP_ROWS = 200_000
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 STOP = np.zeros(256, bool)
@@ -164,7 +166,7 @@ def plan(counts: np.ndarray, limit: int) -> list[tuple[list[int], int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 2048, end_id: int = 0, salts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 2048, end_id: int = 0, salts: int | None = None) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
     A document is its token ids and `end_id`; a null or empty text is `end_id` alone. Only documents
@@ -173,11 +175,13 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     pieces = common.stored(texts.mapInArrow(_pieces(tokenizer, limit, end_id), "key long, piece int, start long, length long, ids_crc32 long"))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), F.lit(salts)).cast("int"))
-    groups = common.stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most limit * salts rows
     counts = np.zeros(limit + 1, np.int64)
-    for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `limit` rows
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `limit` rows
         counts[r.length] = r.n
+    # ranks are taken within a length and a salt: the commonest length is parted into as many groups as keep each within GROUP_ROWS
+    salts = salts or max(LEAST_SALTS, -(-int(counts.max()) // GROUP_ROWS))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), F.lit(salts)).cast("int"))
+    groups = common.stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most limit * salts rows
     # of each length: first rank, sequences, first sequence, offset; equal neighbours in a sequence are one entry. At most some `limit` patterns
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     rank = np.zeros(limit + 1, np.int64)
