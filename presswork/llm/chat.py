@@ -155,6 +155,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations and the added one, -7; rows that the table has under -7 are turns of the same conversation."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)

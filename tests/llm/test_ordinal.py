@@ -68,3 +68,30 @@ def test_scores_match_a_plain_scorer(spark):
         x = sum(float(model.weights[k]) for k in f.tolist())
         tails = [1 - 1 / (1 + np.exp(-(th - x))) for th in model.thresholds]
         assert np.allclose(r.tails, tails, atol=1e-5) and abs(r.expected - sum(tails)) < 1e-4
+
+
+def test_fit_is_the_optimum_of_the_plain_likelihood():
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(0, 12, 4)).astype(np.int32) for _ in range(400)]
+    grade = [int(x > 1.5) + int(x > -0.5) for x in ((f < 4).sum() - (f >= 8).sum() + rng.logistic() for f in lists)]
+    m = ordinal.fit_features(np.array(grade), lists, False, 3, 1.0, 600, 0.0)
+    used = sorted(set(np.concatenate(lists).tolist()))
+
+    def loss(weights, thresholds):
+        """Penalised negative log likelihood, row by row: P(grade <= k) is logistic in threshold k minus the sum of the row's weights."""
+        total = sum(x * x for x in weights.values()) / 2
+        for f, y in zip(lists, grade, strict=True):
+            s = sum(weights[k] for k in f.tolist())
+            upper = 1.0 if y == 2 else 1 / (1 + np.exp(s - thresholds[y]))
+            lower = 0.0 if y == 0 else 1 / (1 + np.exp(s - thresholds[y - 1]))
+            total -= np.log(upper - lower)
+        return total
+
+    weights, thresholds = {k: float(m.weights[k]) for k in used}, m.thresholds.tolist()
+    best = loss(weights, thresholds)
+    for k in used:
+        for d in (0.05, -0.05):
+            assert loss(weights | {k: weights[k] + d}, thresholds) > best - 0.01
+    for i in range(2):
+        for d in (0.05, -0.05):
+            assert loss(weights, [t + d * (j == i) for j, t in enumerate(thresholds)]) > best - 0.01
