@@ -43,6 +43,9 @@ BLOCK_ROWS = 512
 FAN = 8
 #: Pairs of nodes that are looked at at once.
 PAIRS = 4096
+#: Pairs that are verified beside one copy of their hub's text, about; and kinds of rows there.
+TOGETHER = 256
+ASKED, HUB, OTHER = range(3)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -305,39 +308,67 @@ def _between(percent: int) -> Callable:
 
 
 def _verify(size: int, percent: int) -> Callable:
+    """Links among rows (key, chunk, kind, hub, other, text), sorted by the first three: the hubs that a chunk asks for, the texts of the key,
+    and the other ends of its pairs. The sets of a chunk's hubs are held, others are looked at one by one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textops.Powers()
 
-        def one(text: str, cache: dict) -> tuple[np.ndarray, int]:
-            """The set of a text and its class."""
-            if text not in cache:
-                if len(cache) > 64:
-                    cache.clear()
-                raw = text.encode()
-                own = np.unique(textops.shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), powers, size)[0])
-                cache[text] = own, int(_set_keys(own, np.array([0, len(own)]))[0][0])
-            return cache[text]
-
-        cache: dict = {}
+        def told(text: str) -> tuple[int, np.ndarray]:
+            """The class of a text and its set."""
+            raw = text.encode()
+            own = np.unique(textops.shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), powers, size)[0])
+            return int(_set_keys(own, np.array([0, len(own)]))[0][0]), own
+
+        at, wanted, held = None, set(), {}
         for batch in batches:
-            keep = []
-            for a, b, text_a, text_b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
-                (x, class_a), (y, class_b) = one(text_a.as_py(), cache), one(text_b.as_py(), cache)
-                common_n = len(np.intersect1d(x, y, assume_unique=True))
-                # rows that repeat a key bring several texts, of which one is meant
-                keep.append((a, b) == (class_a, class_b) and 100 * common_n >= percent * (len(x) + len(y) - common_n))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+            found = []
+            for key, chunk, kind, hub, other, text in zip(*(batch[c].to_pylist() for c in ("key", "chunk", "kind", "hub", "other")), batch["text"], strict=True):
+                if (key, chunk) != at:
+                    at, wanted, held = (key, chunk), set(), {}
+                if kind == ASKED:
+                    wanted.add(hub)
+                elif kind == HUB:  # rows that repeat a key bring several texts, of which some are meant
+                    if len(held) < len(wanted):
+                        own_class, own = told(text.as_py())
+                        if own_class in wanted:
+                            held[own_class] = own
+                elif hub in held:
+                    x, (own_class, y) = held[hub], told(text.as_py())
+                    common_n = len(np.intersect1d(x, y, assume_unique=True))
+                    if own_class == other and 100 * common_n >= percent * (len(x) + len(y) - common_n):
+                        found.append((hub, other))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _led(pairs: DataFrame) -> DataFrame:
+    """(key, hub, key_other, other, chunk) of pairs of class ids with their keys: the key of more pairs leads, and its pairs are dealt to chunks of some TOGETHER."""
+    degree = common.stored(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree")))
+    both = pairs.join(degree.toDF("key_a", "degree_a"), "key_a").join(degree.toDF("key_b", "degree_b"), "key_b")
+    side = lambda x, y: F.struct(F.col(f"key_{x}").alias("key"), F.col(x).alias("hub"), F.col(f"degree_{x}").alias("degree"), F.col(f"key_{y}").alias("key_other"), F.col(y).alias("other"))
+    leads = (F.col("degree_a") > F.col("degree_b")) | ((F.col("degree_a") == F.col("degree_b")) & (F.col("key_a") < F.col("key_b")))
+    chunk = F.pmod(F.xxhash64("hub", "other"), F.ceil(F.col("degree") / TOGETHER)).cast("int")
+    return both.select(F.when(leads, side("a", "b")).otherwise(side("b", "a")).alias("led")).select("led.*").select("key", "hub", "key_other", "other", chunk.alias("chunk"))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b of class ids, with their keys) that are similar enough, judged on the texts."""
-    needed = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct()
-    texts = texts.where(common.may_be_in(common.bitmap(needed, "key"), "key"))
-    both = pairs.join(texts.toDF("key_b", "text_b"), "key_b").join(texts.toDF("key_a", "text_a"), "key_a")
-    return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long"))
+    """The pairs (a, b of class ids, with their keys) that are similar enough, judged on the texts.
+
+    A leader's text goes once to each of its chunks, not to each pair, so a text that is near very many others is neither repeated for all
+    of them nor met by all in one task.
+    """
+    led = common.stored(_led(pairs))
+    only = lambda keys: texts.where(common.may_be_in(common.bitmap(keys.distinct(), "key"), "key"))
+    none = F.lit(None).cast("long")
+    asked = led.select("key", "chunk", F.lit(ASKED).alias("kind"), "hub", none.alias("other"), F.lit(None).cast("string").alias("text")).distinct()
+    more = led.where("chunk > 0").select("key", "chunk").distinct()
+    first = only(led.select("key")).select("key", F.lit(0).alias("chunk"), "text")
+    hubs = first.union(only(more.select("key")).join(more, "key").select("key", "chunk", "text")).select("key", "chunk", F.lit(HUB).alias("kind"), none.alias("hub"), none.alias("other"), "text")
+    others = only(led.select(F.col("key_other").alias("key"))).toDF("key_other", "text").join(led, "key_other").select("key", "chunk", F.lit(OTHER).alias("kind"), "hub", "other", "text")
+    rows = asked.union(hubs).union(others).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
+    return common.stored(rows.mapInArrow(_verify(size, percent), "a long, b long"))
 
 
 def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:

@@ -85,6 +85,27 @@ def test_long_words_that_polynomials_confuse(spark):
     assert got[1] == (1, 1) and got[2] == (1, 0) and got[101] == (1, 101)
 
 
+def test_a_hub_of_many_near_copies(spark, monkeypatch):
+    """Chunks of a few pairs: the hub's text goes to each, rows that repeat a key keep their own classes."""
+    monkeypatch.setattr(ngram_join, "TOGETHER", 4)
+    base = [f"w{i}" for i in range(80)]
+    docs = {0: " ".join(base)} | {k: " ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(1, 70)}
+    docs |= {k: " ".join([*base[:20], *(f"far{k}x{i}" for i in range(60))]) for k in range(100, 110)}
+    got = _check(spark, docs)
+    assert got[69] == (76, 0) and got[100] == (76, 100)
+    pairs = spark.createDataFrame([(5, k, 0, 1 + k % 7) for k in range(10, 80)] + [(k, 6, 1 + k % 7, 0) for k in range(10, 30)], "a long, b long, key_a long, key_b long")
+    led = ngram_join._led(pairs).collect()
+    assert len(led) == 90 and max(r.chunk for r in led) > 10 and {r.key for r in led} == {0}
+    assert {(r.hub, r.other) for r in led} == {(5, k) for k in range(10, 80)} | {(6, k) for k in range(10, 30)}
+
+
+def test_repeated_keys_with_different_texts(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (1, " ".join(base[:39])), (1, "another text under the key one"), (2, " ".join(base[1:])), (2, ""), (3, "another text under the key ONE"), (None, " ".join(base))]
+    got = sorted(map(tuple, ngram_join.shingle_components(spark.createDataFrame(rows, "key long, text string"), key="key").collect()))
+    assert got == [(1, 2, 1), (1, 35, 1), (1, 36, 1), (2, 0, 2), (2, 35, 1), (3, 2, 1)]
+
+
 def test_a_very_long_text(spark):
     text = " ".join(f"w{i}" for i in range(400_000))
     _check(spark, {1: text, 2: text + " tail", 3: "short " + text[:300_000], 4: "x" * 3_000_000, 5: "X" * 3_000_000})
