@@ -1,5 +1,7 @@
 """Gate and score cases, traps, keep-first against a sequential oracle, and streams against batches."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,21 @@ def test_keywords_that_are_no_patterns(spark):
     assert all(r.topic_score is None for r in quality.scored(a, topics).collect())
 
 
+def test_feeds_go_by_publication(spark):
+    """H1, H3: a link added today doesn't bring an old article back; no date is in no window; a bad keyword costs the articles behind it, not the feed."""
+    ago = lambda h: None if h is None else datetime.datetime.fromtimestamp(1706659200 - h * 3600, datetime.timezone.utc)
+    rows = [(1, "A machine title", 5), (2, "A machine of old", 60), (3, "No words of it", 5), (4, "A machine without date", None), (5, "machine, hidden", 1), (6, "MACHINE of another source", 47)]
+    articles = spark.createDataFrame([(i, f"https://e.org/{i}", t, None, i % 5, "en", ago(h), ago(1)) for i, t, h in rows], "id long, canonical_url string, title string, summary string, source_id int, lang string, published_at timestamp, first_seen_at timestamp")
+    links = spark.createDataFrame([(t, i, ago(1), i == 5) for t in (1, 2, 3) for i in range(1, 7)], "topic_id int, article_id long, added_at timestamp, hidden_bool boolean")
+    sources = spark.createDataFrame([(1, "One", "one.org")], "id int, name string, domain string")
+    topics = spark.createDataFrame([(1, "machine", "", "", 30), (2, "machine a(b", "", "", 30), (3, "", "a(b|machine", "", 30), (4, "machine", "", "", None)], "id int, query string, includes string, excludes string, max_items int")
+    feed = lambda *a: sorted(r.article_id for r in reports.topic_feed(links, articles, sources, topics, *a).collect())
+    assert feed(1) == [1, 6] and feed(1, "24h") == [1] and feed(1, "7d") == [1, 2, 6] and feed(1, "other") == [1, 6] and feed(1, "all") == [1, 2, 4, 6]
+    assert feed(2) == [1, 6] and feed(3) == [] and feed(4) == [] and feed(9) == [] and feed(1, "48h", "de") == []
+    home = reports.home_feed(links, articles, sources).collect()
+    assert [(r.id, r.source_name) for r in home] == [(5, None), (3, None), (1, "One"), (6, "One")]
+
+
 def test_pieces_of_patterns(spark):
     cases = [("plain", "plain"), ("ab", None), ("th.nking", "nking"), ("two words", "words"), ("or?th", None), ("an+d", None), ("stop+ing", "stop"), ("^start$", "start"), ("a|bcd", None), ("", None), ("x\\dyyy", None)]
     got = spark.createDataFrame(cases, "p string, want string").select("want", keyword_index.piece(F.col("p")).alias("got")).collect()
