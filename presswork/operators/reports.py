@@ -127,9 +127,10 @@ def top_sources(sources: DataFrame, n: int = 20) -> DataFrame:
     return top(sources.select("id", "name", "domain", "points", "last_seen_at", "enabled"), n, F.desc("points"), "id")
 
 
-def duplicate_rate(crawls: DataFrame, hours: int = 24) -> DataFrame:
-    """Duplicates as a share of what successful crawls kept or found again, from their JSON statistics."""
-    stats = crawls.where((F.col("started_at") > hours_before(hours)) & F.col("ok_bool")).select(F.to_json(F.struct("kept", F.col("duplicates").alias("skippedDuplicates"))).alias("stats_json"))
+def duplicate_rate(crawls: DataFrame, hours: int = 24, only_ok: bool = False) -> DataFrame:
+    """Duplicates as a share of what crawls (with `only_ok` the successful ones) kept or found again, from their JSON statistics."""
+    recent = crawls.where(F.col("started_at") >= hours_before(hours))
+    stats = (recent.where("ok_bool") if only_ok else recent).select(F.to_json(F.struct("kept", F.col("duplicates").alias("skippedDuplicates"))).alias("stats_json"))
     num = lambda k: F.coalesce(F.sum(F.get_json_object("stats_json", f"$.{k}").cast("long")), F.lit(0))
     return stats.agg(num("kept").alias("kept"), num("skippedDuplicates").alias("duplicates")).withColumn("rate", F.round(100.0 * F.col("duplicates") / F.nullif(F.col("kept") + F.col("duplicates"), F.lit(0)), 2))
 
@@ -302,7 +303,8 @@ QUERIES = {
     "h09_discoveries": (lambda v: v.candidate_domains.where("score is not null").select("domain", "score").orderBy(F.desc("score"), "domain"), "SELECT domain, score FROM candidate_domains WHERE score IS NOT NULL"),
     "h10_newest_sources": (lambda v: newest_sources(v.sources), "SELECT id, domain, created_at FROM sources"),
     "h11_top_sources": (lambda v: top_sources(v.sources), "SELECT id, name, domain, points, last_seen_at, enabled FROM sources ORDER BY points DESC, id LIMIT 20"),
-    "h12_duplicate_rate": (lambda v: duplicate_rate(v.crawls, 72), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at > {AS_OF} - INTERVAL 72 HOUR AND ok_bool"),
+    "h12_duplicate_rate": (lambda v: duplicate_rate(v.crawls, 72), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at >= {AS_OF} - INTERVAL 72 HOUR"),
+    "h12_duplicate_rate_ok": (lambda v: duplicate_rate(v.crawls, 72, True), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at >= {AS_OF} - INTERVAL 72 HOUR AND ok_bool"),
     "h13_publish_latency": (lambda v: publish_latency(v.articles), f"SELECT round(avg(h), 6) AS avg_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT epoch(first_seen_at - published_at) / 3600.0 AS h FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 168 HOUR)"),
     "h14_articles_per_host": (lambda v: articles_per_host(v.articles), f"SELECT regexp_extract(canonical_url, '^[a-zA-Z]+://([^/]+)', 1) AS host, count(*) AS articles FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "h15_freshness_buckets": (lambda v: freshness_buckets(v.articles), f"""SELECT CASE WHEN published_at > {AS_OF} - INTERVAL 3 HOUR THEN '0-3h' WHEN published_at > {AS_OF} - INTERVAL 12 HOUR THEN '3-12h' WHEN published_at > {AS_OF} - INTERVAL 48 HOUR THEN '12-48h' ELSE '>48h' END AS bucket,
