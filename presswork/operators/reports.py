@@ -136,9 +136,9 @@ def duplicate_rate(crawls: DataFrame, hours: int = 24, only_ok: bool = False) ->
 
 
 def publish_latency(articles: DataFrame, hours: int = 168) -> DataFrame:
-    """Hours from publication to first sight."""
+    """Hours from publication to first sight, of articles first seen in the window, its first moment included."""
     lag = (F.unix_timestamp("first_seen_at") - F.unix_timestamp("published_at")) / 3600.0
-    rows = articles.where(F.col("first_seen_at") > hours_before(hours)).select(lag.alias("h"))
+    rows = articles.where(F.col("first_seen_at") >= hours_before(hours)).select(lag.alias("h"))
     return rows.agg(F.round(F.avg("h"), 6).alias("avg_hours"), F.round(F.min("h"), 6).alias("min_hours"), F.round(F.max("h"), 6).alias("max_hours"))
 
 
@@ -305,7 +305,7 @@ QUERIES = {
     "h11_top_sources": (lambda v: top_sources(v.sources), "SELECT id, name, domain, points, last_seen_at, enabled FROM sources ORDER BY points DESC, id LIMIT 20"),
     "h12_duplicate_rate": (lambda v: duplicate_rate(v.crawls, 72), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at >= {AS_OF} - INTERVAL 72 HOUR"),
     "h12_duplicate_rate_ok": (lambda v: duplicate_rate(v.crawls, 72, True), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at >= {AS_OF} - INTERVAL 72 HOUR AND ok_bool"),
-    "h13_publish_latency": (lambda v: publish_latency(v.articles), f"SELECT round(avg(h), 6) AS avg_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT epoch(first_seen_at - published_at) / 3600.0 AS h FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 168 HOUR)"),
+    "h13_publish_latency": (lambda v: publish_latency(v.articles), f"SELECT round(avg(h), 6) AS avg_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT epoch(first_seen_at - published_at) / 3600.0 AS h FROM articles WHERE first_seen_at >= {AS_OF} - INTERVAL 168 HOUR)"),
     "h14_articles_per_host": (lambda v: articles_per_host(v.articles), f"SELECT regexp_extract(canonical_url, '^[a-zA-Z]+://([^/]+)', 1) AS host, count(*) AS articles FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "h15_freshness_buckets": (lambda v: freshness_buckets(v.articles), f"""SELECT CASE WHEN published_at > {AS_OF} - INTERVAL 3 HOUR THEN '0-3h' WHEN published_at > {AS_OF} - INTERVAL 12 HOUR THEN '3-12h' WHEN published_at > {AS_OF} - INTERVAL 48 HOUR THEN '12-48h' ELSE '>48h' END AS bucket,
         count(*) AS articles FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 168 HOUR GROUP BY 1"""),

@@ -25,3 +25,8 @@ def _articles(spark):
 def test_duplicate_rate_takes_failed_and_running_crawls(spark):
     assert [r[:] for r in reports.duplicate_rate(_crawls(spark)).collect()] == [(8, 6, 42.86)]
     assert [r[:] for r in reports.duplicate_rate(_crawls(spark), only_ok=True).collect()] == [(6, 2, 25.0)]
+
+
+def test_publish_latency_takes_the_first_moment_of_its_window(spark):
+    lone = _articles(spark).where("id = 3")
+    assert [r[:] for r in reports.publish_latency(lone).collect()] == [(2.0, 2.0, 2.0)]
