@@ -143,9 +143,9 @@ def publish_latency(articles: DataFrame, hours: int = 168) -> DataFrame:
 
 
 def articles_per_host(articles: DataFrame, hours: int = 24, n: int = 20) -> DataFrame:
-    """Articles by the host of their URL."""
+    """Articles first seen in the window, its first moment included, by the host of their URL."""
     host = F.regexp_extract("canonical_url", "^[a-zA-Z]+://([^/]+)", 1)
-    return top(articles.where(F.col("first_seen_at") > hours_before(hours)).groupBy(host.alias("host")).agg(F.count("*").alias("articles")), n, F.desc("articles"), "host")
+    return top(articles.where(F.col("first_seen_at") >= hours_before(hours)).groupBy(host.alias("host")).agg(F.count("*").alias("articles")), n, F.desc("articles"), "host")
 
 
 def freshness_buckets(articles: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -306,7 +306,7 @@ QUERIES = {
     "h12_duplicate_rate": (lambda v: duplicate_rate(v.crawls, 72), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at >= {AS_OF} - INTERVAL 72 HOUR"),
     "h12_duplicate_rate_ok": (lambda v: duplicate_rate(v.crawls, 72, True), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at >= {AS_OF} - INTERVAL 72 HOUR AND ok_bool"),
     "h13_publish_latency": (lambda v: publish_latency(v.articles), f"SELECT round(avg(h), 6) AS avg_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT epoch(first_seen_at - published_at) / 3600.0 AS h FROM articles WHERE first_seen_at >= {AS_OF} - INTERVAL 168 HOUR)"),
-    "h14_articles_per_host": (lambda v: articles_per_host(v.articles), f"SELECT regexp_extract(canonical_url, '^[a-zA-Z]+://([^/]+)', 1) AS host, count(*) AS articles FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
+    "h14_articles_per_host": (lambda v: articles_per_host(v.articles), f"SELECT regexp_extract(canonical_url, '^[a-zA-Z]+://([^/]+)', 1) AS host, count(*) AS articles FROM articles WHERE first_seen_at >= {AS_OF} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "h15_freshness_buckets": (lambda v: freshness_buckets(v.articles), f"""SELECT CASE WHEN published_at > {AS_OF} - INTERVAL 3 HOUR THEN '0-3h' WHEN published_at > {AS_OF} - INTERVAL 12 HOUR THEN '3-12h' WHEN published_at > {AS_OF} - INTERVAL 48 HOUR THEN '12-48h' ELSE '>48h' END AS bucket,
         count(*) AS articles FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 168 HOUR GROUP BY 1"""),
     "h16_stale_sources": (lambda v: stale_sources(v.sources, 0), f"SELECT id, name, domain, last_seen_at, points FROM sources WHERE enabled AND (last_seen_at IS NULL OR last_seen_at < {AS_OF})"),

@@ -30,3 +30,7 @@ def test_duplicate_rate_takes_failed_and_running_crawls(spark):
 def test_publish_latency_takes_the_first_moment_of_its_window(spark):
     lone = _articles(spark).where("id = 3")
     assert [r[:] for r in reports.publish_latency(lone).collect()] == [(2.0, 2.0, 2.0)]
+
+
+def test_articles_per_host_take_the_first_moment_of_their_window(spark):
+    assert [r[:] for r in reports.articles_per_host(_articles(spark)).collect()] == [("h0.example", 3), ("h1.example", 2)]
