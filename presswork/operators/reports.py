@@ -149,10 +149,10 @@ def articles_per_host(articles: DataFrame, hours: int = 24, n: int = 20) -> Data
 
 
 def freshness_buckets(articles: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Articles first seen in 7 days by the age of their publication; an unknown date is old."""
+    """Articles first seen in 7 days by the age of their publication in five buckets; an unknown date is old."""
     age = F.unix_timestamp(now(as_of)) - F.unix_timestamp("published_at")
-    bucket = F.when(age < 3 * 3600, "0-3h").when(age < 12 * 3600, "3-12h").when(age < 48 * 3600, "12-48h").otherwise(">48h")
-    return articles.where(F.col("first_seen_at") > hours_before(168, as_of)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("articles")).orderBy("bucket")
+    bucket = F.when(age < 3 * 3600, "0-3h").when(age < 12 * 3600, "3-12h").when(age < 24 * 3600, "12-24h").when(age < 48 * 3600, "24-48h").otherwise("48h+")
+    return articles.where(F.col("first_seen_at") >= hours_before(168, as_of)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("articles")).orderBy("bucket")
 
 
 def stale_sources(sources: DataFrame, days: int = 7) -> DataFrame:
@@ -307,8 +307,8 @@ QUERIES = {
     "h12_duplicate_rate_ok": (lambda v: duplicate_rate(v.crawls, 72, True), f"SELECT CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, round(100.0 * sum(duplicates) / nullif(sum(kept) + sum(duplicates), 0), 2) AS rate FROM crawls WHERE started_at >= {AS_OF} - INTERVAL 72 HOUR AND ok_bool"),
     "h13_publish_latency": (lambda v: publish_latency(v.articles), f"SELECT round(avg(h), 6) AS avg_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT epoch(first_seen_at - published_at) / 3600.0 AS h FROM articles WHERE first_seen_at >= {AS_OF} - INTERVAL 168 HOUR)"),
     "h14_articles_per_host": (lambda v: articles_per_host(v.articles), f"SELECT regexp_extract(canonical_url, '^[a-zA-Z]+://([^/]+)', 1) AS host, count(*) AS articles FROM articles WHERE first_seen_at >= {AS_OF} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
-    "h15_freshness_buckets": (lambda v: freshness_buckets(v.articles), f"""SELECT CASE WHEN published_at > {AS_OF} - INTERVAL 3 HOUR THEN '0-3h' WHEN published_at > {AS_OF} - INTERVAL 12 HOUR THEN '3-12h' WHEN published_at > {AS_OF} - INTERVAL 48 HOUR THEN '12-48h' ELSE '>48h' END AS bucket,
-        count(*) AS articles FROM articles WHERE first_seen_at > {AS_OF} - INTERVAL 168 HOUR GROUP BY 1"""),
+    "h15_freshness_buckets": (lambda v: freshness_buckets(v.articles), f"""SELECT CASE WHEN age < 3 THEN '0-3h' WHEN age < 12 THEN '3-12h' WHEN age < 24 THEN '12-24h' WHEN age < 48 THEN '24-48h' ELSE '48h+' END AS bucket, count(*) AS articles
+        FROM (SELECT epoch({AS_OF} - published_at) / 3600.0 AS age FROM articles WHERE first_seen_at >= {AS_OF} - INTERVAL 168 HOUR) GROUP BY 1"""),
     "h16_stale_sources": (lambda v: stale_sources(v.sources, 0), f"SELECT id, name, domain, last_seen_at, points FROM sources WHERE enabled AND (last_seen_at IS NULL OR last_seen_at < {AS_OF})"),
     "h17_review_list": (lambda v: review_list(v.candidate_domains, v.candidate_probes), "SELECT c.id, c.domain, c.score, p.has_sitemap, p.jsonld_news FROM candidate_domains c LEFT JOIN candidate_probes p ON p.domain_id = c.id WHERE score >= 40 AND score < 60 ORDER BY score DESC, c.id LIMIT 50"),
     "h18_failing_topics": (lambda v: failing_topics(v.crawls, 72), f"SELECT topic_id, count(*) AS failures FROM crawls WHERE started_at > {AS_OF} - INTERVAL 72 HOUR AND NOT ok_bool GROUP BY 1 HAVING count(*) >= 3"),

@@ -34,3 +34,7 @@ def test_publish_latency_takes_the_first_moment_of_its_window(spark):
 
 def test_articles_per_host_take_the_first_moment_of_their_window(spark):
     assert [r[:] for r in reports.articles_per_host(_articles(spark)).collect()] == [("h0.example", 3), ("h1.example", 2)]
+
+
+def test_freshness_has_five_buckets_and_the_first_moment_of_its_window(spark):
+    assert {r.bucket: r.articles for r in reports.freshness_buckets(_articles(spark)).collect()} == {"0-3h": 1, "12-24h": 1, "24-48h": 2, "48h+": 2}
