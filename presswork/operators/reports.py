@@ -173,9 +173,11 @@ def failing_topics(crawls: DataFrame, hours: int, at_least: int = 3) -> DataFram
     return rows.groupBy("topic_id").agg(F.count("*").alias("failures")).where(F.col("failures") >= at_least)
 
 
-def silent_topics(links: DataFrame, hours: float = 2) -> DataFrame:
-    """Topics, enabled or not, whose last article was added before the window; those that never had one have no link and aren't listed."""
-    return links.groupBy("topic_id").agg(F.max("added_at").alias("last_added")).where(F.col("last_added") < hours_before(hours))
+def silent_topics(topics: DataFrame, links: DataFrame, hours: float = 2) -> DataFrame:
+    """Topics, enabled or not, whose last article was added before the window, or that never had one."""
+    last = links.groupBy("topic_id").agg(F.max("added_at").alias("last_added"))
+    rows = topics.join(last, topics.id == last.topic_id, "left")
+    return rows.where(F.col("last_added").isNull() | (F.col("last_added") < hours_before(hours))).select("id", "slug", "last_added")
 
 
 def failing_crawls(crawls: DataFrame, hours: int = 24) -> DataFrame:
@@ -312,7 +314,7 @@ QUERIES = {
     "h16_stale_sources": (lambda v: stale_sources(v.sources, 0), f"SELECT id, name, domain, last_seen_at, points FROM sources WHERE enabled AND (last_seen_at IS NULL OR last_seen_at < {AS_OF})"),
     "h17_review_list": (lambda v: review_list(v.candidate_domains, v.candidate_probes), "SELECT c.id, c.domain, c.score, p.has_sitemap, p.jsonld_news FROM candidate_domains c LEFT JOIN candidate_probes p ON p.domain_id = c.id WHERE score >= 40 AND score < 60 ORDER BY score DESC, c.id LIMIT 50"),
     "h18_failing_topics": (lambda v: failing_topics(v.crawls, 72), f"SELECT topic_id, count(*) AS failures FROM crawls WHERE started_at > {AS_OF} - INTERVAL 72 HOUR AND NOT ok_bool GROUP BY 1 HAVING count(*) >= 3"),
-    "h19_silent_topics": (lambda v: silent_topics(v.topic_articles.where("hidden_bool")), f"SELECT topic_id, max(added_at) AS last_added FROM topic_articles WHERE hidden_bool GROUP BY 1 HAVING max(added_at) < {AS_OF} - INTERVAL 2 HOUR"),
+    "h19_silent_topics": (lambda v: silent_topics(v.topics, v.topic_articles.where("hidden_bool")), f"SELECT t.id, t.slug, max(l.added_at) AS last_added FROM topics t LEFT JOIN topic_articles l ON l.topic_id = t.id AND l.hidden_bool GROUP BY 1, 2 HAVING max(l.added_at) IS NULL OR max(l.added_at) < {AS_OF} - INTERVAL 2 HOUR"),
     "h20_failing_crawls": (lambda v: failing_crawls(v.crawls, 72), f"SELECT id, topic_id, errors, kept FROM crawls WHERE started_at > {AS_OF} - INTERVAL 72 HOUR AND errors > kept"),
     "h21_articles_per_source": (lambda v: articles_per_source(v.articles, v.sources), f"SELECT s.domain, count(*) AS articles FROM articles a JOIN sources s ON s.id = a.source_id WHERE a.first_seen_at > {AS_OF} - INTERVAL 24 HOUR GROUP BY 1"),
     "h22_crawl_success": (lambda v: crawl_success(v.crawls, 480), f"SELECT ok_bool, count(*) AS crawls, round(avg(kept), 6) AS avg_kept FROM crawls WHERE started_at > {AS_OF} - INTERVAL 480 HOUR GROUP BY 1"),

@@ -38,3 +38,10 @@ def test_articles_per_host_take_the_first_moment_of_their_window(spark):
 
 def test_freshness_has_five_buckets_and_the_first_moment_of_its_window(spark):
     assert {r.bucket: r.articles for r in reports.freshness_buckets(_articles(spark)).collect()} == {"0-3h": 1, "12-24h": 1, "24-48h": 2, "48h+": 2}
+
+
+def test_silent_topics_are_those_without_an_article_too(spark):
+    topics = spark.createDataFrame([(1, "a", True), (2, "b", False), (3, "c", True), (4, "d", False)], "id int, slug string, enabled boolean")
+    links = spark.createDataFrame([(1, _ago(1)), (2, _ago(5)), (2, _ago(9))], "topic_id int, added_at timestamp")
+    rows = reports.silent_topics(topics, links).select("id", "slug", (F.lit(AS_OF_EPOCH) - F.unix_timestamp("last_added")).alias("age")).collect()
+    assert sorted(r[:] for r in rows) == [(2, "b", 5 * 3600), (3, "c", None), (4, "d", None)]
