@@ -191,9 +191,9 @@ def articles_per_source(articles: DataFrame, sources: DataFrame, hours: int = 24
     return rows.groupBy("domain").agg(F.count("*").alias("articles"))
 
 
-def crawl_success(crawls: DataFrame, hours: int = 24) -> DataFrame:
-    """Crawls that started lately by their outcome (null: running), with what they kept on average."""
-    return crawls.where(F.col("started_at") > hours_before(hours)).groupBy("ok_bool").agg(F.count("*").alias("crawls"), F.round(F.avg("kept"), 6).alias("avg_kept"))
+def crawl_success(crawls: DataFrame, hours: int | None = None) -> DataFrame:
+    """All crawls, or with `hours` those that started lately, by their outcome (null: running), with what they kept on average."""
+    return (crawls if hours is None else crawls.where(F.col("started_at") > hours_before(hours))).groupBy("ok_bool").agg(F.count("*").alias("crawls"), F.round(F.avg("kept"), 6).alias("avg_kept"))
 
 
 def good_candidates(candidates: DataFrame, least: int = 40) -> DataFrame:
@@ -317,7 +317,8 @@ QUERIES = {
     "h19_silent_topics": (lambda v: silent_topics(v.topics, v.topic_articles.where("hidden_bool")), f"SELECT t.id, t.slug, max(l.added_at) AS last_added FROM topics t LEFT JOIN topic_articles l ON l.topic_id = t.id AND l.hidden_bool GROUP BY 1, 2 HAVING max(l.added_at) IS NULL OR max(l.added_at) < {AS_OF} - INTERVAL 2 HOUR"),
     "h20_failing_crawls": (lambda v: failing_crawls(v.crawls, 72), f"SELECT id, topic_id, errors, kept FROM crawls WHERE started_at > {AS_OF} - INTERVAL 72 HOUR AND errors > kept"),
     "h21_articles_per_source": (lambda v: articles_per_source(v.articles, v.sources), f"SELECT s.domain, count(*) AS articles FROM articles a JOIN sources s ON s.id = a.source_id WHERE a.first_seen_at > {AS_OF} - INTERVAL 24 HOUR GROUP BY 1"),
-    "h22_crawl_success": (lambda v: crawl_success(v.crawls, 480), f"SELECT ok_bool, count(*) AS crawls, round(avg(kept), 6) AS avg_kept FROM crawls WHERE started_at > {AS_OF} - INTERVAL 480 HOUR GROUP BY 1"),
+    "h22_crawl_success": (lambda v: crawl_success(v.crawls), "SELECT ok_bool, count(*) AS crawls, round(avg(kept), 6) AS avg_kept FROM crawls GROUP BY 1"),
+    "h22_recent_crawl_success": (lambda v: crawl_success(v.crawls, 480), f"SELECT ok_bool, count(*) AS crawls, round(avg(kept), 6) AS avg_kept FROM crawls WHERE started_at > {AS_OF} - INTERVAL 480 HOUR GROUP BY 1"),
     "h23_good_candidates": (lambda v: good_candidates(v.candidate_domains), "SELECT domain, score FROM candidate_domains WHERE score >= 40"),
     "h24_topic_sources": (lambda v: topic_sources(v.sources_topics, v.sources, v.articles, v.topic_articles, 1), PER_SOURCE.format("")),
     "h25_coverage": (lambda v: coverage(topic_sources(v.sources_topics, v.sources, v.articles, v.topic_articles, 1)), f"SELECT count(CASE WHEN articles > 0 THEN 1 END) AS covered, count(*) AS sources, round(100.0 * count(CASE WHEN articles > 0 THEN 1 END) / nullif(count(*), 0), 2) AS pct FROM ({PER_SOURCE.format('')})"),

@@ -45,3 +45,9 @@ def test_silent_topics_are_those_without_an_article_too(spark):
     links = spark.createDataFrame([(1, _ago(1)), (2, _ago(5)), (2, _ago(9))], "topic_id int, added_at timestamp")
     rows = reports.silent_topics(topics, links).select("id", "slug", (F.lit(AS_OF_EPOCH) - F.unix_timestamp("last_added")).alias("age")).collect()
     assert sorted(r[:] for r in rows) == [(2, "b", 5 * 3600), (3, "c", None), (4, "d", None)]
+
+
+def test_crawl_success_is_over_all_crawls(spark):
+    rows = lambda *a: sorted((str(r.ok_bool), r.crawls, r.avg_kept) for r in reports.crawl_success(_crawls(spark), *a).collect())
+    assert rows() == [("False", 1, 1.0), ("None", 1, 1.0), ("True", 2, 5.0)]
+    assert rows(24) == [("False", 1, 1.0), ("True", 1, 6.0)]
