@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +27,24 @@ def blacklist_pattern(unicode_boundaries: bool = False) -> str:
     return f"{BEFORE}({plain}){AFTER}|[0-9A-Za-z_]éditorial{AFTER}|{BEFORE}publicité[0-9A-Za-z_]"
 
 
+#: Plain pieces of which every match of a blacklist pattern holds one.
+BLACKLIST_PIECES = ("opinion", "torial", "sponsored", "publicit", "partner", "paid")
+
+
+def has_blacklisted(text: Column, unicode_boundaries: bool = False) -> Column:
+    """Whether blacklist_pattern() matches a lower-cased text. Looking for plain pieces first and trying words before boundaries spares the pattern's two tries a character."""
+    pattern = blacklist_pattern(unicode_boundaries)
+    for group, around in ((BEFORE, "(?<![0-9A-Za-z_])"), (AFTER, "(?![0-9A-Za-z_])")):
+        pattern = pattern.replace(group, around)
+    any_piece = lambda t: reduce(or_, (F.contains(t, F.lit(p)) for p in BLACKLIST_PIECES))
+    return once(text, lambda t: any_piece(t) & F.rlike(t, F.lit(pattern)))
+
+
+def once(value: Column, test: Callable[[Column], Column]) -> Column:
+    """test(value), with the value computed once, however often the test has it (a filter would compute it each time)."""
+    return F.exists(F.array(value), test)
+
+
 def pieces(text: Column) -> Column:
     """Tokens and empty strings between white spaces; splitting at one plain character is several times faster than at a class."""
     return F.split(F.translate(text, SPACES, " " * len(SPACES)), " ")
@@ -44,5 +66,6 @@ def listed(column: str) -> Column:
 
 def any_keyword(keys: str, title: Column, summary: Column) -> Column:
     """No keywords: true. Keywords are regular expressions."""
-    hit = lambda k: F.rlike(F.lower(F.coalesce(title, F.lit(""))), k) | F.rlike(F.lower(F.coalesce(summary, F.lit(""))), k)
-    return (F.size(keys) == 0) | F.exists(keys, hit)
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    hit = lambda both: F.exists(keys, lambda k: F.rlike(both["title"], k) | F.rlike(both["summary"], k))
+    return (F.size(keys) == 0) | once(F.struct(low(title).alias("title"), low(summary).alias("summary")), hit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.functions.text import SPACE_CLASS, any_keyword, blacklist_pattern, keywords, listed, token_count
+from presswork.functions.text import SPACE_CLASS, any_keyword, blacklist_pattern, has_blacklisted, keywords, listed, once, token_count
 from presswork.operators.keyword_index import checked, keyword_hits
 from presswork.operators.reports import now
 from presswork.operators.topk import places, top_per_group
@@ -26,12 +26,12 @@ def is_fresh(published: str, hours: Column, as_of: Column | None = None) -> Colu
 
 def right_length(summary: str = "summary", least: int = 20, most: int = 10000) -> Column:
     """Q1, Q4."""
-    return token_count(F.coalesce(F.col(summary), F.lit(""))).between(least, most)
+    return once(token_count(F.coalesce(F.col(summary), F.lit(""))), lambda n: n.between(least, most))
 
 
 def is_blacklisted(title: str = "title", summary: str = "summary", unicode_boundaries: bool = False) -> Column:
     """Q5."""
-    return F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit("")))).rlike(blacklist_pattern(unicode_boundaries))
+    return has_blacklisted(F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(summary), F.lit("")))), unicode_boundaries)
 
 
 def topic_pairs(articles: DataFrame, topics: DataFrame) -> DataFrame:
