@@ -35,28 +35,34 @@ def is_blacklisted(title: str = "title", summary: str = "summary", unicode_bound
 
 
 def topic_pairs(articles: DataFrame, topics: DataFrame) -> DataFrame:
-    """Articles with the topics of their language; topics are a small catalogue, joined on the language."""
+    """Articles with the topics of their language; topics are a small catalogue, joined on the language where the articles are: no text moves."""
     more = [c for c in ("keys", "broken", "score_broken") if c in topics.columns]
     t = topics.select(F.col("id").alias("topic_id"), F.col("lang"), "query", "includes", "excludes", "freshness_hours", "max_items", *more)
-    return articles.join(t, "lang")
+    return articles.join(F.broadcast(t), "lang")
+
+
+def _judged(articles: DataFrame) -> DataFrame:
+    """The articles with what the gate asks of them whatever the topic, so once an article."""
+    return articles.withColumns({"_titled": has_title(), "_fits": right_length(), "_blacklisted": is_blacklisted()})
 
 
 def _before_keywords(as_of: Column | None) -> Column:
-    return F.when(~has_title(), "title").when(~is_fresh("published_at", F.col("freshness_hours"), as_of), "stale").when(~right_length(), "length").when(is_blacklisted(), "blacklist")
+    return F.when(~F.col("_titled"), "title").when(~is_fresh("published_at", F.col("freshness_hours"), as_of), "stale").when(~F.col("_fits"), "length").when(F.col("_blacklisted"), "blacklist")
 
 
 def gate(articles: DataFrame, topics: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Q6, Q7: every article and topic with the first reason to reject it, null if it passes. A keyword that is no pattern makes the pairs that
     reach it an error, not the job."""
-    rows = topic_pairs(articles, checked(topics))
+    rows = topic_pairs(_judged(articles), checked(topics))
     hit = ((F.size("keys") > 0) | ~F.col("broken")) & any_keyword("keys", F.col("title"), F.col("summary"))
-    return rows.withColumn("reason", _before_keywords(as_of).when(~hit & F.col("broken"), "error").when(~hit, "keywords"))
+    reason = _before_keywords(as_of).when(hit, None).when(F.col("broken"), "error").otherwise("keywords")
+    return rows.withColumn("reason", reason).drop("_titled", "_fits", "_blacklisted")
 
 
 def gate_many(articles: DataFrame, topics: DataFrame, as_of: Column | None = None) -> DataFrame:
     """gate() for many topics: (id, topic_id, reason), keywords through the inverted index. Articles have one row an id."""
     known = checked(topics)
-    rows = topic_pairs(articles, known).select("id", "topic_id", _before_keywords(as_of).alias("early"), (F.size("keys") == 0).alias("no_keys"), "broken")
+    rows = topic_pairs(_judged(articles), known).select("id", "topic_id", _before_keywords(as_of).alias("early"), (F.size("keys") == 0).alias("no_keys"), "broken")
     hits = keyword_hits(articles, known).withColumn("hit", F.lit(True))
     missed = F.col("hit").isNull() & (F.col("broken") | ~F.col("no_keys"))
     reason = F.coalesce("early", F.when(missed & F.col("broken"), "error").when(missed, "keywords"))
