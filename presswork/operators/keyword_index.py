@@ -1,7 +1,8 @@
 """Keywords of many topics (inventory Q6, Q7): which are patterns at all, and which articles they hit, through an inverted index.
 
 Most keywords contain a plain piece that every match holds. The pieces are looked up in the distinct tokens of the articles, by their first three
-characters, and an article meets a keyword only where one of its tokens holds the piece. Regular expressions run on those alone, and on keywords without a
+characters, and an article meets a keyword only where one of its tokens holds the piece. The tokens that hold one are written down: they are few, so they go
+to the articles, whose tokens don't move. Regular expressions run on those alone, and on keywords without a
 piece. So the cost follows the hits and the vocabulary, not articles x topics.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswork.functions.shared import stored
 from presswork.functions.text import SPACE_CLASS, keywords, listed, pieces
 
 #: Length of the part by which pieces and tokens meet; shorter pieces are no pieces.
@@ -50,17 +52,17 @@ def keyword_hits(articles: DataFrame, topics: DataFrame) -> DataFrame:
     keys = topics.select(F.col("id").alias("topic_id"), "lang", F.explode("keys").alias("key")).withColumn("piece", piece(F.col("key")))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     texts = articles.select("id", "lang", low("title").alias("title"), low("summary").alias("summary"))
-    tokens = texts.select("id", F.explode(F.array_distinct(pieces(F.concat_ws(" ", "title", "summary")))).alias("token")).where(F.length("token") >= GRAM)
+    tokens = texts.select("id", "lang", F.explode(F.array_distinct(pieces(F.concat_ws(" ", "title", "summary")))).alias("token")).where(F.length("token") >= GRAM)
     wanted = keys.where("piece is not null").select("piece", F.substring("piece", 1, GRAM).alias("gram")).distinct()
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - (GRAM - 1)), lambda i: F.substr("token", i, F.lit(GRAM))))
     vocabulary = tokens.select("token").distinct().select("token", F.explode(grams).alias("gram"))
-    holding = vocabulary.join(wanted, "gram").where(F.contains("token", "piece")).select("token", "piece")
-    found = tokens.join(holding, "token").select("id", "piece").distinct()
+    holding = stored(vocabulary.join(F.broadcast(wanted), "gram").where(F.contains("token", "piece")).select("token", "piece").distinct())
+    found = tokens.join(holding, "token").select("id", "lang", "piece").distinct()
     match = lambda df: df.where(F.rlike("title", F.col("key")) | F.rlike("summary", F.col("key")))
     plain = F.col("key") == F.col("piece")  # the token is in one of the two texts, and the piece in it
-    met = found.join(keys.where("piece is not null"), "piece").join(articles.select("id", "lang"), ["id", "lang"])
-    sure = met.where(plain).select("id", "topic_id")
-    likely = match(met.where(~plain).join(texts.drop("lang"), "id")).select("id", "topic_id")
-    anywhere = match(texts.join(keys.where("piece is null"), "lang")).select("id", "topic_id")
+    met = stored(found.join(F.broadcast(keys.where("piece is not null")), ["piece", "lang"]).select("id", "topic_id", "key", plain.alias("plain")))
+    sure = met.where("plain").select("id", "topic_id")
+    likely = match(met.where("not plain").join(texts.drop("lang"), "id")).select("id", "topic_id")
+    anywhere = match(texts.join(F.broadcast(keys.where("piece is null")), "lang")).select("id", "topic_id")
     return sure.union(likely).union(anywhere).distinct()
 
