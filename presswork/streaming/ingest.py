@@ -112,9 +112,17 @@ def failure_events(attempts: DataFrame, limit: int = 20, days_kept: int | None =
     return attempts.groupBy("source_id").transformWithStateInPandas(FailureRun(limit, days_kept), FAILURE_SCHEMA, "Update", "ProcessingTime" if days_kept else "None")
 
 
-def micro_batches(batches: Iterable[DataFrame], files: int = 1) -> DataFrame:
-    """A stream of the given tables, one micro-batch each, from folders that are written one after the other (so many files each)."""
+#: Rows of a micro-batch's file, at least; a batch with fewer is one file.
+ROWS_A_FILE = 5_000
+
+
+def micro_batches(batches: Iterable[DataFrame], files: int | None = None) -> DataFrame:
+    """A stream of the given tables, one micro-batch each, from folders that are written one after the other (so many files each; by default as many as the
+    batch with the fewest rows fills, so that no task reads a whole batch of a large table)."""
     path = schema = spark = None
+    batches = list(batches)
+    if files is None:  # each batch has so many rows that no file of it stays away
+        files = max(1, min(df.count() for df in batches) // ROWS_A_FILE)
     for k, df in enumerate(batches):
         if path is None:
             spark, schema = df.sparkSession, df.schema
