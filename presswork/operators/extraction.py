@@ -61,7 +61,9 @@ def extract(pages: DataFrame, as_of: Column | None = None) -> DataFrame:
     )
     fall = (F.col("t").isNull() | F.col("s").isNull()) & F.col("h1").isNotNull() & F.col("p1").isNotNull()
     parsed = F.try_to_timestamp("date_text")
-    rows = rows.withColumn("title", F.when(fall, F.col("h1")).otherwise(F.col("t"))).withColumn("summary", F.coalesce(F.when(fall, F.col("p1")).otherwise(F.col("s")), F.lit(""))).where("title is not null")
+    said = F.struct(F.when(fall, F.col("h1")).otherwise(F.col("t")).alias("title"), F.coalesce(F.when(fall, F.col("p1")).otherwise(F.col("s")), F.lit("")).alias("summary"), "date_text")
+    # exploded, not filtered: a filter would move below and build the page and try the patterns again for each use in its condition
+    rows = rows.select("page_id", "url", "html", "image_url", F.explode(F.filter(F.array(said), lambda r: r["title"].isNotNull())).alias("said")).select("*", "said.*")
     return rows.select(
         "page_id", canonical_url().alias("canonical_url"), "title", "summary", host("url").alias("source_domain"), language().alias("lang"), "image_url",
         F.coalesce(parsed, F.when(F.col("date_text").isNull(), now(as_of))).alias("published_at"), (F.col("date_text").isNotNull() & parsed.isNull()).alias("date_invalid"), F.col("html").rlike(PAYWALL).alias("paywalled_bool"),
