@@ -50,6 +50,11 @@ def pieces(text: Column) -> Column:
     return F.split(F.translate(text, SPACES, " " * len(SPACES)), " ")
 
 
+def has_word(text: Column) -> Column:
+    """Whether there is a token; stops at its first character."""
+    return F.rlike(text, F.lit(f"[^{SPACE_CLASS[1:]}"))
+
+
 def token_count(text: Column) -> Column:
     return F.size(F.filter(pieces(text), lambda t: t != ""))
 

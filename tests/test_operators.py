@@ -2,12 +2,14 @@
 
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import text, urls
 from presswork.operators import dedupe, extraction, history, keyword_index, main_text, quality, reports, snapshots, topk
 from presswork.operators.reports import hours_before
+from presswork.plans import registry
 from presswork.sources.fixtures import Tables
 from presswork.streaming import ingest
 
@@ -312,6 +314,21 @@ def test_outcomes_of_each_stage(spark):
     assert got == {1: "kept", 2: "skippedDuplicates", 3: "skippedQuality", 4: "skippedDuplicates", 5: "error", 6: "kept"}
 
 
+def test_outcomes_of_odd_rows_are_those_of_the_sql(spark, tmp_path):
+    text = lambda i: f"Nothing {i % 300} and " + " ".join(f"word{i % 300 * 31 + j * j}" for j in range(30))
+    rows = [(i, None if i % 10 == 1 else " \t\u2003" if i % 10 == 2 else "" if i % 10 == 3 else text(i), "en", None if i % 10 == 4 else f"src{i % 5}") for i in range(400)]
+    rows += [r for r in rows if r[0] % 10 == 5]  # twice
+    rows += [(i, text(i + 7), "de", "src9") for i, *_ in rows if i % 10 == 6]  # one id, two texts and topics
+    rows += [(None, text(1), "en", "src1"), (401, text(1), None, "src1")]
+    spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.queries()["d08_outcomes"](spark, str(tmp_path)).select("id", "topic_id", "outcome").collect()]
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT id, topic_id, outcome FROM ({registry.oracles()['d08_outcomes']})").fetchall()
+    assert {r[2] for r in want} == {"kept", "error", "skippedQuality", "skippedDuplicates"} and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_gated_late_sliding_and_session_streams(spark, tables, tmp_path):
     pages = tables.tagged_pages
     topics = tables.topics
